@@ -22,18 +22,34 @@ def array_sum(x) -> Column:
     return F.aggregate(_col(x), F.lit(0.0).cast("double"), lambda acc, v: acc + v)
 
 
+def _bind(a: Column, scalar: Column, fn) -> Column:
+    """Apply ``fn(element, scalar)`` over ``a`` with the per-row scalar evaluated once.
+
+    A lambda that names an outer expression re-evaluates it for every element (Spark does not
+    eliminate common subexpressions inside lambdas), which makes softmax O(V²); repeating the
+    scalar into an array first keeps it O(V).
+    """
+    return F.zip_with(a, F.array_repeat(scalar, F.size(a)), fn)
+
+
+def _shifted(x, temperature: float) -> Column:
+    """(x − max x) / T as DOUBLE."""
+    a = as_double(x)
+    return _bind(a, F.array_max(a), lambda v, m: (v - m) / temperature)
+
+
 def logsumexp(x, temperature: float = 1.0) -> Column:
     """log Σ exp(x/T), shifted by the maximum for stability."""
     a = as_double(x)
-    m = F.array_max(a)
-    return m / temperature + F.log(F.aggregate(a, F.lit(0.0).cast("double"),
-                                               lambda acc, v: acc + F.exp((v - m) / temperature)))
+    z = _shifted(a, temperature)
+    return F.array_max(a) / temperature + F.log(F.aggregate(z, F.lit(0.0).cast("double"),
+                                                            lambda acc, v: acc + F.exp(v)))
 
 
 def log_softmax_t(x, temperature: float = 1.0) -> Column:
-    a = as_double(x)
-    lse = logsumexp(a, temperature)
-    return F.transform(a, lambda v: v / temperature - lse)
+    z = _shifted(x, temperature)
+    lse = F.log(F.aggregate(z, F.lit(0.0).cast("double"), lambda acc, v: acc + F.exp(v)))
+    return _bind(z, lse, lambda v, l: v - l)
 
 
 def softmax_t(x, temperature: float = 1.0) -> Column:

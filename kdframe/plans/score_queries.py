@@ -1 +1,201 @@
-"""placeholder"""
+"""§2.4 alignment, vocab policies, softmax / KL, the KD loss variants, hidden-state KD."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import scores as sc
+from ..operators import distill as ds
+from ..operators import hidden as hd
+from ..sources import fixtures as fx
+from .registry import register
+
+BATCH = fx.EXAMPLES_PER_BATCH
+CUT = fx.STUDENT_VOCAB_CUT
+PAIRS = fx.logits_pair_sql(None)
+PAIRS60 = fx.logits_pair_sql(CUT)
+
+
+def lse(x, T=1.0):
+    return f"(list_max({x})/{T} + ln(list_sum(list_transform({x}, lambda v: exp((v - list_max({x}))/{T})))))"
+
+
+def lsm(x, T=1.0):
+    return f"list_transform({x}, lambda v: v/{T} - {lse(x, T)})"
+
+
+def kl(s, t, T=1.0):
+    return f"list_sum(list_transform(list_zip({lsm(t, T)}, {lsm(s, T)}), lambda z: exp(z[1]) * (z[1] - z[2])))"
+
+
+def zpad(a, b):
+    return f"list_concat({a}, list_transform(range(greatest(len({b}) - len({a}), 0)), lambda x: 0.0::DOUBLE))"
+
+
+def r6(x):
+    return f"round({x}, 6)"
+
+
+PADDED = f"SELECT example_id, pos, {zpad('s', 't')} AS s, {zpad('t', 's')} AS t FROM ({PAIRS60})"
+TRUNC = f"SELECT example_id, pos, s[1:least(len(s), len(t))] AS s, t[1:least(len(s), len(t))] AS t FROM ({PAIRS60})"
+
+
+def kd_sql(src, T, scale=1.0, batch=BATCH):
+    return f"""
+SELECT batch_id, sum(kl_ex) / count(*) * {T * T} * {scale} AS kd FROM (
+  SELECT example_id // {batch} AS batch_id, example_id, sum(kl) AS kl_ex
+  FROM (SELECT example_id, {kl('s', 't', T)} AS kl FROM ({src})) GROUP BY 1, 2) GROUP BY batch_id"""
+
+
+CE_SQL = f"""
+SELECT p.example_id // {BATCH} AS batch_id, avg({lse('p.s')} - p.s[l.label + 1]) AS ce
+FROM ({PAIRS60}) p JOIN ({fx.LABELS_SQL}) l ON l.example_id = p.example_id AND l.pos = p.pos + 1
+WHERE l.label <> -100 GROUP BY 1"""
+
+
+def _pairs(spark, d, cut=None):
+    return fx.logits_pair(spark, d, cut).withColumn("batch_id", F.floor(F.col("example_id") / BATCH).cast("long"))
+
+
+def _ce(spark, d):
+    s = _pairs(spark, d, CUT).select("example_id", "pos", "batch_id", F.col("s").alias("logits"))
+    return ds.hard_ce(s, fx.labels_tok(spark, d))
+
+
+def _r(c):
+    return F.round(c, 6)
+
+
+@register("align_scores", f"""
+SELECT example_id, pos, {r6('list_sum(s)')} AS s_sum, {r6('list_sum(t)')} AS t_sum FROM ({PAIRS})""")
+def q_align_scores(spark, d):
+    a = ds.align_scores(fx.student_logits(spark, d), fx.teacher_logits(spark, d))
+    return a.select("example_id", "pos", _r(sc.array_sum("s")).alias("s_sum"), _r(sc.array_sum("t")).alias("t_sum"))
+
+
+@register("pad_vocab", f"""
+SELECT example_id, pos, CAST(len(s) AS BIGINT) AS n_vocab, {r6(kl('s', 't', 2.0))} AS kl FROM ({PADDED})""")
+def q_pad_vocab(spark, d):
+    p = ds.with_vocab_policy(_pairs(spark, d, CUT), "pad")
+    return p.select("example_id", "pos", F.size("s").cast("long").alias("n_vocab"), _r(sc.kl_row("s", "t", 2.0)).alias("kl"))
+
+
+@register("truncate_vocab", f"""
+SELECT example_id, pos, CAST(len(s) AS BIGINT) AS n_vocab, {r6(kl('s', 't', 1.0))} AS kl FROM ({TRUNC})""")
+def q_truncate_vocab(spark, d):
+    p = ds.with_vocab_policy(_pairs(spark, d, CUT), "truncate")
+    return p.select("example_id", "pos", F.size("s").cast("long").alias("n_vocab"), _r(sc.kl_row("s", "t", 1.0)).alias("kl"))
+
+
+@register("softmax_t", f"""
+SELECT example_id, pos, {r6(f"list_max({lsm('logits', 2.0)})")} AS lp_max, {r6(f"list_sum(list_transform({lsm('logits', 2.0)}, lambda v: exp(v)))")} AS p_sum,
+       {r6(f"exp(({lsm('logits', 2.0)})[1])")} AS p_first
+FROM ({fx.TEACHER_LOGITS_SQL})""")
+def q_softmax_t(spark, d):
+    t = fx.teacher_logits(spark, d)
+    p = sc.softmax_t("logits", 2.0)
+    return t.select("example_id", "pos", _r(F.array_max(sc.log_softmax_t("logits", 2.0))).alias("lp_max"),
+                    _r(sc.array_sum(p)).alias("p_sum"), _r(F.element_at(p, 1)).alias("p_first"))
+
+
+@register("log_softmax_t", f"""
+SELECT example_id, pos, {r6(f"({lsm('logits', 2.0)})[1]")} AS lp_first, {r6(f"list_min({lsm('logits', 2.0)})")} AS lp_min
+FROM ({fx.TEACHER_LOGITS_SQL})""")
+def q_log_softmax_t(spark, d):
+    t = fx.teacher_logits(spark, d)
+    lp = sc.log_softmax_t("logits", 2.0)
+    return t.select("example_id", "pos", _r(F.element_at(lp, 1)).alias("lp_first"), _r(F.array_min(lp)).alias("lp_min"))
+
+
+@register("kl_row", f"SELECT example_id, pos, {r6(kl('s', 't', 2.0))} AS kl FROM ({PAIRS})")
+def q_kl_row(spark, d):
+    return _pairs(spark, d).select("example_id", "pos", _r(sc.kl_row("s", "t", 2.0)).alias("kl"))
+
+
+@register("kd_loss_logits", f"""
+SELECT k.batch_id, {r6('k.kd')} AS kd, {r6('c.ce')} AS ce, {r6('0.5 * k.kd + 0.5 * c.ce')} AS loss
+FROM ({kd_sql(PADDED, 2.0, 1.0 / 4096)}) k LEFT JOIN ({CE_SQL}) c ON c.batch_id = k.batch_id""")
+def q_kd_loss_logits(spark, d):
+    out = ds.kd_loss_logits(_pairs(spark, d, CUT), _ce(spark, d), 2.0, 0.5, 4096)
+    return out.select("batch_id", _r("kd").alias("kd"), _r("ce").alias("ce"), _r("loss").alias("loss"))
+
+
+@register("kd_loss_plain", f"""
+SELECT k.batch_id, {r6('k.kd')} AS kd, {r6('0.5 * k.kd + 0.5 * c.ce')} AS loss, {r6('0.5 * k.kd')} AS loss_no_ce
+FROM ({kd_sql(PADDED, 2.0)}) k LEFT JOIN ({CE_SQL}) c ON c.batch_id = k.batch_id""")
+def q_kd_loss_plain(spark, d):
+    pairs = _pairs(spark, d, CUT)
+    with_ce = ds.kd_loss_plain(pairs, _ce(spark, d), 2.0, 0.5)
+    no_ce = ds.kd_loss_plain(pairs, None, 2.0, 0.5).select("batch_id", F.col("loss").alias("loss_no_ce"))
+    return with_ce.join(no_ce, "batch_id").select("batch_id", _r("kd").alias("kd"), _r("loss").alias("loss"),
+                                                  _r("loss_no_ce").alias("loss_no_ce"))
+
+
+@register("kd_loss_dpo", f"SELECT batch_id, {r6('kd')} AS kd FROM ({kd_sql(PAIRS, 1.0, 1.0, 4)})")
+def q_kd_loss_dpo(spark, d):
+    p = fx.logits_pair(spark, d).withColumn("batch_id", F.floor(F.col("example_id") / 4).cast("long"))
+    return ds.kd_loss_dpo(p, 1.0).select("batch_id", _r("kd").alias("kd"))
+
+
+@register("kd_loss_debug", f"SELECT batch_id, {r6('kd')} AS kd FROM ({kd_sql(TRUNC, 1.0)})")
+def q_kd_loss_debug(spark, d):
+    return ds.kd_loss_debug(_pairs(spark, d, CUT)).select("batch_id", _r("kd").alias("kd"))
+
+
+@register("response_kd_mse", f"""
+SELECT pair_id // 4 AS batch_id, {r6('avg(pow(chosen - ref_chosen, 2))')} AS mse FROM ({fx.PAIR_LOGPS_SQL}) GROUP BY 1""")
+def q_response_kd_mse(spark, d):
+    p = fx.pair_logps(spark, d).select(F.floor(F.col("pair_id") / 4).cast("long").alias("batch_id"),
+                                       F.col("chosen").alias("student_chosen"), F.col("ref_chosen").alias("teacher_chosen"))
+    return ds.response_kd_mse(p).select("batch_id", _r("mse").alias("mse"))
+
+
+@register("hard_ce", f"SELECT batch_id, {r6('ce')} AS ce FROM ({CE_SQL})")
+def q_hard_ce(spark, d):
+    return _ce(spark, d).select("batch_id", _r("ce").alias("ce"))
+
+
+@register("layer_map", f"""
+SELECT CAST(i AS INTEGER) AS student_layer,
+       CAST(round_even(i * (t.n - 1) / (s.n - 1), 0) AS INTEGER) AS teacher_layer
+FROM (SELECT count(DISTINCT layer) AS n FROM ({fx.hidden_sql('student')})) s,
+     (SELECT count(DISTINCT layer) AS n FROM ({fx.hidden_sql('teacher')})) t,
+     LATERAL (SELECT unnest(range(s.n)) AS i)""")
+def q_layer_map(spark, d):
+    return hd.layer_map(spark, student=fx.hidden_states(spark, d, "student"),
+                        teacher=fx.hidden_states(spark, d, "teacher"))
+
+
+PROJ_SQL = f"""
+SELECT h.example_id, h.pos, h.layer, p.out_idx,
+       list_sum(list_transform(list_zip(p.w, h.h), lambda z: z[1] * z[2])) + p.b AS v
+FROM ({fx.hidden_sql('student')}) h JOIN ({fx.PROJECTIONS_SQL}) p ON p.layer = h.layer"""
+
+
+@register("project_hidden", f"SELECT example_id, pos, layer, CAST(out_idx AS INTEGER) AS out_idx, {r6('v')} AS v FROM ({PROJ_SQL})")
+def q_project_hidden(spark, d):
+    p = hd.project_hidden(fx.hidden_states(spark, d, "student"), fx.projections(spark))
+    return p.select("example_id", "pos", "layer", F.posexplode("h").alias("out_idx", "v")).select(
+        "example_id", "pos", "layer", F.col("out_idx").cast("int").alias("out_idx"), _r("v").alias("v"))
+
+
+HIDDEN_KD_SQL = f"""
+SELECT batch_id, avg(lk) / max(dim) AS kd FROM (
+  SELECT batch_id, student_layer, sum(kl_ex) / count(*) * 4.0 AS lk, max(dim) AS dim FROM (
+    SELECT s.example_id // {BATCH} AS batch_id, s.student_layer, s.example_id, sum({kl('s.v', 't.h', 2.0)}) AS kl_ex,
+           max(len(s.v)) AS dim
+    FROM (SELECT example_id, pos, layer AS student_layer, list(v ORDER BY out_idx) AS v FROM ({PROJ_SQL}) GROUP BY 1, 2, 3) s
+    JOIN (SELECT CAST(i AS INTEGER) AS sl, CAST(round_even(i * 4 / 2, 0) AS INTEGER) AS tl FROM range(3) r(i)) m ON m.sl = s.student_layer
+    JOIN ({fx.hidden_sql('teacher')}) t ON t.example_id = s.example_id AND t.pos = s.pos AND t.layer = m.tl
+    GROUP BY 1, 2, 3) GROUP BY 1, 2) GROUP BY batch_id"""
+
+
+@register("hidden_kd_loss", f"""
+SELECT k.batch_id, {r6('k.kd')} AS kd, {r6('c.ce')} AS ce, {r6('0.5 * k.kd + 0.5 * c.ce')} AS loss
+FROM ({HIDDEN_KD_SQL}) k LEFT JOIN ({CE_SQL}) c ON c.batch_id = k.batch_id""")
+def q_hidden_kd_loss(spark, d):
+    bid = F.floor(F.col("example_id") / BATCH).cast("long")
+    s = fx.hidden_states(spark, d, "student").withColumn("batch_id", bid)
+    t = fx.hidden_states(spark, d, "teacher")
+    out = hd.hidden_kd_loss(s, t, fx.projections(spark), 2.0, 0.5, ce=_ce(spark, d))
+    return out.select("batch_id", _r("kd").alias("kd"), _r("ce").alias("ce"), _r("loss").alias("loss"))
