@@ -112,6 +112,19 @@ def encode(df: DataFrame, text_col: str, vocab: DataFrame, out: str = "input_ids
                         .otherwise(F.coalesce(out, F.array().cast("array<int>")))))
 
 
+def encode_columns(df: DataFrame, outputs: dict, vocab: DataFrame, unk_id: int = 0) -> DataFrame:
+    """Encode several text columns with one size check and one broadcast of the vocabulary."""
+    n = vocab.count()
+    if n > MAX_BROADCAST_VOCAB:
+        raise ValueError(f"vocabulary of {n} entries is too large to broadcast; use encode(method='join')")
+    rows = vocab.select("token", "id").collect()
+    bc = df.sparkSession.sparkContext.broadcast(([r[0] for r in rows], [r[1] for r in rows]))
+    fn = _lookup_udf(bc, uuid.uuid4().hex, unk_id)
+    for out, text_col in outputs.items():
+        df = df.withColumn(out, F.coalesce(fn(tokenize(text_col)), F.array().cast("array<int>")))
+    return df
+
+
 def encode_padded(df: DataFrame, text_col: str, vocab: DataFrame, n: int, pad_id: int, side: str = "right",
                   prefix: str = "", unk_id: int = 0, key: str | None = None) -> DataFrame:
     """``tokenizer(text, truncation=True, max_length=n, padding='max_length')`` → ids + mask."""

@@ -256,3 +256,47 @@ def names(spark: SparkSession, d: str) -> DataFrame:
 
 def patterns(spark: SparkSession, values=PATTERNS) -> DataFrame:
     return spark.createDataFrame([(v,) for v in values], "pattern string")
+
+
+def pair_tokens(spark: SparkSession, d: str) -> DataFrame:
+    """Wide pair rows (batch_id, pair_id, prompt_ids/mask, chosen_ids/mask, rejected_ids/mask):
+    the DPO-formatted pair encoded with the document vocabulary; the prompt keeps its last
+    PROMPT_LEN tokens and is left-padded, completions keep their first COMPLETION_LEN tokens and
+    are right-padded; pad = eos."""
+    from ..functions.arrays import attention_mask, keep_end, keep_start, pad_ids
+    from ..operators import tokens as tk
+    from ..operators.conversations import dpo_format
+    eos = SPECIALS.index("<eos>")
+    f = dpo_format(dpo_pairs(spark, d))
+    vocab = tk.fit_vocab(table(spark, d, "documents"), "text", VOCAB_SIZE)
+    e = tk.encode_columns(f, {"_p": "prompt", "_c": "chosen", "_r": "rejected"}, vocab)
+    p = keep_end("_p", PROMPT_LEN)
+    c, r = keep_start("_c", COMPLETION_LEN), keep_start("_r", COMPLETION_LEN)
+    return e.select(
+        F.floor(F.col("pair_id") / PAIRS_PER_BATCH / 2).cast("long").alias("batch_id"), "pair_id",
+        pad_ids(p, PROMPT_LEN, eos, "left").alias("prompt_ids"), attention_mask(p, PROMPT_LEN, "left").alias("prompt_mask"),
+        pad_ids(c, COMPLETION_LEN, eos).alias("chosen_ids"), attention_mask(c, COMPLETION_LEN).alias("chosen_mask"),
+        pad_ids(r, COMPLETION_LEN, eos).alias("rejected_ids"), attention_mask(r, COMPLETION_LEN).alias("rejected_mask"))
+
+
+def pref_tokens(spark: SparkSession, d: str) -> DataFrame:
+    """Per-token preference rows from the logit fixture: stacked row r = example_id,
+    pair = r div 2, side = chosen for even r; the first 2 positions are prompt (loss_mask 0).
+    Only complete pairs are kept.  Columns: batch_id, pair_id, side, pos, logits (student),
+    t_logits (teacher), label, loss_mask."""
+    e = table(spark, d, "embeddings")
+    n_keep = (e.count() // (2 * EX_POSITIONS)) * 2          # complete pairs × 2 rows
+    p = logits_pair(spark, d).join(labels_tok(spark, d), ["example_id", "pos"]).where(F.col("example_id") < n_keep)
+    pair = F.floor(F.col("example_id") / 2).cast("long")
+    return p.select(F.floor(pair / PAIRS_PER_BATCH).cast("long").alias("batch_id"), pair.alias("pair_id"),
+                    F.when(F.col("example_id") % 2 == 0, "chosen").otherwise("rejected").alias("side"),
+                    "example_id", "pos", F.col("s").alias("logits"), F.col("t").alias("t_logits"), "label",
+                    (F.col("pos") >= 2).cast("int").alias("loss_mask"))
+
+
+PREF_TOKENS_SQL = f"""
+SELECT (p.example_id // 2) // {PAIRS_PER_BATCH} AS batch_id, p.example_id // 2 AS pair_id,
+       CASE WHEN p.example_id % 2 = 0 THEN 'chosen' ELSE 'rejected' END AS side, p.example_id, p.pos,
+       p.s AS logits, p.t AS t_logits, l.label, CAST(p.pos >= 2 AS INTEGER) AS loss_mask
+FROM ({logits_pair_sql(None)}) p JOIN ({LABELS_SQL}) l ON l.example_id = p.example_id AND l.pos = p.pos
+WHERE p.example_id < (SELECT count(*) // {2 * EX_POSITIONS} * 2 FROM embeddings)"""
