@@ -1 +1,121 @@
-"""placeholder"""
+"""§2.8 linear distillation runs, run plans, pattern flags; §2.9 user maps; §2.1 sinks."""
+
+from __future__ import annotations
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from ..functions import text as tx
+from ..operators import evaluation as ev
+from ..operators import fit as ft
+from ..operators import ordering as od
+from ..operators.patterns import pattern_flag
+from ..operators.udf import map_rows
+from ..sources import fixtures as fx
+from ..sources import sinks
+from ..sources.readers import table
+from .eval_queries import ARC, GEN_ARC, SUMMARY_SQL, _arc, _gen_arc, _summary, letter_sql, match_sql, stop_sql
+from .registry import register
+
+ITERS = 15
+STUDENTS = (ft.StudentSpec("s1", tuple(range(0, 64))), ft.StudentSpec("s2", tuple(range(0, 64, 2))),
+            ft.StudentSpec("s3", tuple(range(0, 16))))
+
+
+@register("distil_linear")
+def q_distil_linear(spark, d):
+    _, hist = ft.distil_linear(fx.linear_task(spark, d), "features", "teacher_logits", "label", 2.0, 0.5, ITERS, 0.5)
+    return hist
+
+
+CENT_SQL = """
+SELECT label, list(m ORDER BY j) AS c FROM (
+  SELECT label, j, avg(CAST(v AS DOUBLE)) AS m FROM (
+    SELECT label, unnest(embedding) AS v, unnest(range(len(embedding))) AS j FROM embeddings) GROUP BY 1, 2) GROUP BY 1"""
+
+
+@register("score_linear", f"""
+WITH c AS ({CENT_SQL}),
+s AS (SELECT e.vec_id AS id, c.label AS k,
+             list_sum(list_transform(list_zip(c.c, e.embedding), lambda z: 2.0 * z[1] * CAST(z[2] AS DOUBLE)))
+             - list_sum(list_transform(c.c, lambda v: v * v)) AS logit
+      FROM embeddings e, c)
+SELECT id, CAST(arg_max(k, logit) AS INTEGER) AS pred, round(max(logit), 6) AS max_logit FROM s GROUP BY id""")
+def q_score_linear(spark, d):
+    cents = fx.class_centroids(spark, d).orderBy("label").collect()          # one row per class
+    w = np.array([[2.0 * v for v in r["c"]] for r in cents])
+    b = np.array([-sum(v * v for v in r["c"]) for r in cents])
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    s = ft.score_linear(e, "embedding", {"W": w, "b": b})
+    best = F.array_max("logits")
+    return s.select("id", (F.array_position("logits", best) - 1).cast("int").alias("pred"), F.round(best, 6).alias("max_logit"))
+
+
+@register("distil_control")
+def q_distil_control(spark, d):
+    summary, _ = ft.distil_control(fx.linear_task(spark, d), STUDENTS, iters=ITERS, temperature=2.0, alpha=0.5, lr=0.5)
+    return summary
+
+
+@register("distil_cascade")
+def q_distil_cascade(spark, d):
+    summary, _ = ft.distil_cascade(fx.linear_task(spark, d), STUDENTS, iters=ITERS, temperature=2.0, alpha=0.5, lr=0.5)
+    return summary
+
+
+@register("run_plan", """
+WITH s AS (SELECT CAST(row_number() OVER (ORDER BY p_brand) AS INTEGER) AS stage, p_brand AS student
+           FROM (SELECT DISTINCT p_brand FROM part)),
+g AS (SELECT m.mode, s.stage, s.student FROM s, (VALUES ('control'), ('cascade')) m(mode))
+SELECT mode, stage,
+       CASE WHEN mode = 'control' THEN 'teacher'
+            ELSE coalesce(lag(student) OVER (PARTITION BY mode ORDER BY stage), 'teacher') END AS teacher,
+       student, replace(student, '/', '_') AS label,
+       mode || '/stage_' || CAST(stage AS VARCHAR) || '_' || replace(student, '/', '_') AS out_dir
+FROM g""")
+def q_run_plan(spark, d):
+    brands = table(spark, d, "part").select(F.col("p_brand").alias("student")).distinct()
+    staged = od.global_index(brands, ["student"], name="stage").withColumn("stage", F.col("stage") + 1)
+    return ft.run_plan(staged, "teacher")
+
+
+@register("pattern_flag", """
+SELECT p_partkey, p_name AS name, len(list_filter(['red', 'bolt'], lambda p: instr(p_name, p) > 0)) > 0 AS flag FROM part""")
+def q_pattern_flag(spark, d):
+    return pattern_flag(fx.names(spark, d), "name", fx.patterns(spark)).select("p_partkey", "name", "flag")
+
+
+@register("map_rows", f"""
+SELECT doc_id, CAST(len(regexp_extract_all(text, '[^{tx.PY_SPACE[1:-1]}]+')) AS BIGINT) AS n_words FROM documents""")
+def q_map_rows(spark, d):
+    def words(pdf):
+        return pdf.assign(n_words=pdf["text"].fillna("").str.split().str.len().astype("int64"))[["doc_id", "n_words"]]
+    return map_rows(table(spark, d, "documents").select("doc_id", "text"), words, "doc_id long, n_words long")
+
+
+@register("write_eval_csv", f"""
+SELECT g.model, g.dataset, g.shot, g.item_id, i.question, to_json(i.choices.text) AS choices, i.answerKey AS gold,
+       coalesce({letter_sql(stop_sql('g.generation'))}, {match_sql(stop_sql('g.generation'), 'i.choices.text')}) AS pred,
+       coalesce(coalesce({letter_sql(stop_sql('g.generation'))}, {match_sql(stop_sql('g.generation'), 'i.choices.text')}) = i.answerKey, false) AS correct,
+       {stop_sql('g.generation')} AS generation
+FROM ({GEN_ARC}) g JOIN ({ARC}) i ON i.item_id = g.item_id""")
+def q_write_eval_csv(spark, d):
+    return sinks.eval_csv_frame(ev.score_arc(_gen_arc(spark, d), _arc(spark, d)))
+
+
+@register("write_summary_csv", SUMMARY_SQL)
+def q_write_summary_csv(spark, d):
+    s = _summary(spark, d)
+    return s.select("model", "dataset", "shot", F.round("accuracy", 6).alias("accuracy"), "num")
+
+
+@register("write_results_json")
+def q_write_results_json(spark, d):
+    s = _summary(spark, d).withColumn("student", F.regexp_replace("model", "model", "student"))
+    return sinks.results_doc(s, "student")
+
+
+@register("write_fit_log")
+def q_write_fit_log(spark, d):
+    _, hist = ft.distil_linear(fx.linear_task(spark, d), "features", "teacher_logits", "label", 2.0, 0.5, 5, 0.5)
+    return hist

@@ -300,3 +300,25 @@ SELECT (p.example_id // 2) // {PAIRS_PER_BATCH} AS batch_id, p.example_id // 2 A
        p.s AS logits, p.t AS t_logits, l.label, CAST(p.pos >= 2 AS INTEGER) AS loss_mask
 FROM ({logits_pair_sql(None)}) p JOIN ({LABELS_SQL}) l ON l.example_id = p.example_id AND l.pos = p.pos
 WHERE p.example_id < (SELECT count(*) // {2 * EX_POSITIONS} * 2 FROM embeddings)"""
+
+
+def class_centroids(spark: SparkSession, d: str) -> DataFrame:
+    """(label, c ARRAY<DOUBLE>): per-class mean embedding (a hash aggregate on (label, dim))."""
+    e = table(spark, d, "embeddings")
+    cells = e.select("label", F.posexplode("embedding").alias("j", "v"))
+    per = cells.groupBy("label", "j").agg(F.avg(F.col("v").cast("double")).alias("m"))
+    return per.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("j", "m"))).alias("_c")).select(
+        "label", F.transform("_c", lambda x: x["m"]).alias("c"))
+
+
+def linear_task(spark: SparkSession, d: str) -> DataFrame:
+    """(id, features, label, teacher_logits): teacher = −10 × squared distance to each class
+    centroid.  The centroid table has one row per class (bounded by the label set) and is
+    gathered into a single broadcast row."""
+    cents = class_centroids(spark, d).agg(F.array_sort(F.collect_list(F.struct("label", "c"))).alias("_cs"))
+    cents = cents.select(F.transform("_cs", lambda x: x["c"]).alias("_cs"))
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"),
+                                              F.transform("embedding", lambda v: v.cast("double")).alias("features"), "label")
+    j = e.crossJoin(F.broadcast(cents))
+    sq = lambda c: F.aggregate(F.zip_with("features", c, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda acc, v: acc + v)
+    return j.select("id", "features", "label", F.transform("_cs", lambda c: -10.0 * sq(c)).alias("teacher_logits"))
