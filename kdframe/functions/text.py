@@ -79,22 +79,26 @@ def _word_set(c) -> Column:
 
 def match_choice_by_text(gen, choices) -> Column:
     """First choice contained in the lower-cased text; else the best Jaccard overlap of word sets
-    (first maximum wins) if it exceeds 0.1; else null.  Empty text or choices → null."""
+    (first maximum wins) if it exceeds 0.1; else null.  Empty text or choices → null.
+
+    Per-row values used inside lambdas (the lower-cased text, its word set) are repeated into
+    arrays first so each is computed once per row, not once per choice."""
     g, ch = _col(gen), _col(choices)
-    gl = F.lower(g)
-    hits = F.filter(F.transform(ch, lambda c, i: F.struct(i.alias("i"), c.alias("c"))),
-                    lambda x: x["c"].isNotNull() & (x["c"] != "") & (F.instr(gl, F.lower(x["c"])) > 0))
+    n = F.size(ch)
+    gl = F.array_repeat(F.lower(g), n)
+    hits = F.filter(F.zip_with(F.zip_with(ch, gl, lambda c, t: F.struct(c.alias("c"), t.alias("t"))),
+                               F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))),
+                               lambda x, i: F.struct(i.alias("i"), x["c"].alias("c"), x["t"].alias("t"))),
+                    lambda x: x["c"].isNotNull() & (x["c"] != "") & (F.instr(x["t"], F.lower(x["c"])) > 0))
     sub_i = F.try_element_at(hits, F.lit(1))["i"]
-    gset = _word_set(g)
-    scored = F.transform(ch, lambda c, i: F.struct(
-        F.when(c.isNull() | (F.size(_word_set(c)) == 0) | (F.size(gset) == 0), F.lit(0.0)).otherwise(
-            F.size(F.array_intersect(gset, _word_set(c))) /
-            F.greatest(F.lit(1), F.size(F.array_union(gset, _word_set(c))))).alias("s"),
-        (-i).alias("ni")))
-    best = F.array_max(scored)
+    gsets = F.array_repeat(_word_set(g), n)
+    csets = F.transform(ch, lambda c: F.when(c.isNull(), F.array().cast("array<string>")).otherwise(_word_set(c)))
+    jac = F.zip_with(csets, gsets, lambda cs, gs: F.when((F.size(cs) == 0) | (F.size(gs) == 0), F.lit(0.0)).otherwise(
+        F.size(F.array_intersect(gs, cs)) / F.greatest(F.lit(1), F.size(F.array_union(gs, cs)))))
+    best = F.array_max(F.transform(jac, lambda s, i: F.struct(s.alias("s"), (-i).alias("ni"))))
     jac_i = F.when(best["s"] > 0.1, -best["ni"])
     idx = F.coalesce(sub_i, jac_i)
-    empty = g.isNull() | (g == "") | ch.isNull() | (F.size(ch) == 0)
+    empty = g.isNull() | (g == "") | ch.isNull() | (n == 0)
     return F.when(empty, F.lit(None).cast("string")).otherwise(
         F.when(idx.isNull(), F.lit(None).cast("string")).otherwise(F.chr(idx + 65)))
 

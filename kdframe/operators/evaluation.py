@@ -113,8 +113,9 @@ def eval_grid(spark: SparkSession, models: DataFrame, items: DataFrame, shots=SH
 
 def score_gsm(gens: DataFrame, items: DataFrame, clean: bool = True) -> DataFrame:
     """gold = last integer of the answer; correct iff both exist and are equal."""
-    g = truncate_at_stop("generation") if clean else F.col("generation")
-    j = gens.join(items.select("item_id", "question", "answer"), "item_id", "inner")
+    g0 = truncate_at_stop("generation") if clean else F.col("generation")
+    j = gens.withColumn("_gen", g0).join(items.select("item_id", "question", "answer"), "item_id", "inner")
+    g = F.col("_gen")
     pred = extract_last_integer(g)
     gold = extract_last_integer("answer")
     return j.select("model", "dataset", "shot", "item_id", "question", gold.alias("gold"), pred.alias("pred"),
@@ -123,8 +124,9 @@ def score_gsm(gens: DataFrame, items: DataFrame, clean: bool = True) -> DataFram
 
 def score_arc(gens: DataFrame, items: DataFrame, clean: bool = True) -> DataFrame:
     """pred = letter or text match; correct iff both exist and pred == key."""
-    g = truncate_at_stop("generation") if clean else F.col("generation")
-    j = gens.join(items.select("item_id", "question", "choices", "answerKey"), "item_id", "inner")
+    g0 = truncate_at_stop("generation") if clean else F.col("generation")
+    j = gens.withColumn("_gen", g0).join(items.select("item_id", "question", "choices", "answerKey"), "item_id", "inner")
+    g = F.col("_gen")
     pred = predict_choice(g, F.col("choices.text"))
     return j.select("model", "dataset", "shot", "item_id", "question", F.col("choices.text").alias("choices"),
                     F.col("answerKey").alias("gold"), pred.alias("pred"),

@@ -63,6 +63,9 @@ def prefix_sum(df: DataFrame, order_cols, weight=None, group_cols=(), bucket: Co
         return out.drop("_kb", "_kw", "_ko")
     if groups:
         raise ValueError("group_cols needs a bucket expression")
+    auto = _numeric_bucket(df, order_cols)
+    if auto is not None:
+        return prefix_sum(df, order_cols, weight, (), auto, name, small_groups)
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     nparts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -84,6 +87,28 @@ def prefix_sum(df: DataFrame, order_cols, weight=None, group_cols=(), bucket: Co
     return out.drop("_kp", "_kr", "_kw", "_ko")
 
 
+ROWS_PER_BUCKET = 1_000_000
+MAX_BUCKETS = 65_536
+
+
+def _numeric_bucket(df: DataFrame, order_cols) -> Column | None:
+    """Equal-width range buckets over an integral leading order key (min/max from one narrow
+    aggregate); balanced for id-like keys.  None for other key types."""
+    first = order_cols[0] if isinstance(order_cols, (list, tuple)) else order_cols
+    if not isinstance(first, str):
+        return None
+    dtype = df.schema[first].dataType.typeName()
+    if dtype not in ("long", "integer", "short", "byte"):
+        return None
+    st = df.agg(F.min(first).alias("lo"), F.max(first).alias("hi"), F.count("*").alias("n")).first()
+    if st["n"] == 0 or st["lo"] is None:
+        return F.lit(0)
+    par = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = int(min(MAX_BUCKETS, max(8 * par, st["n"] // ROWS_PER_BUCKET)))
+    width = max(1, (int(st["hi"]) - int(st["lo"]) + buckets) // buckets)
+    return F.floor((F.col(first) - F.lit(int(st["lo"]))) / F.lit(width)).cast("long")
+
+
 def global_index(df: DataFrame, order_cols, group_cols=(), bucket: Column | None = None,
                  name: str = "idx") -> DataFrame:
     """0-based position of each row in ``order_cols`` order (per group if ``group_cols``)."""

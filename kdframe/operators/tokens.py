@@ -63,6 +63,12 @@ def vocab_id(vocab: DataFrame, token: str) -> int | None:
 _LOOKUP_CACHE: dict = {}
 
 
+def _bounded_vocab(vocab: DataFrame):
+    """Collect the vocabulary in one pass if it has at most MAX_BROADCAST_VOCAB entries, else None."""
+    rows = vocab.select("token", "id").limit(MAX_BROADCAST_VOCAB + 1).collect()
+    return rows if len(rows) <= MAX_BROADCAST_VOCAB else None
+
+
 def _lookup_udf(bc, tag: str, unk_id: int):
     @F.pandas_udf(ArrayType(IntegerType()))
     def lookup(toks: pd.Series) -> pd.Series:
@@ -94,12 +100,13 @@ def encode(df: DataFrame, text_col: str, vocab: DataFrame, out: str = "input_ids
     and re-collects in position order.
     """
     spark = df.sparkSession
-    if method == "auto":
-        method = "udf" if vocab.count() <= MAX_BROADCAST_VOCAB else "join"
-    if method == "udf":
-        rows = vocab.select("token", "id").collect()        # size checked above
-        bc = spark.sparkContext.broadcast(([r[0] for r in rows], [r[1] for r in rows]))
-        return df.withColumn(out, _lookup_udf(bc, uuid.uuid4().hex, unk_id)(tokenize(text_col)))
+    if method in ("auto", "udf"):
+        rows = _bounded_vocab(vocab)
+        if rows is not None:
+            bc = spark.sparkContext.broadcast(([r[0] for r in rows], [r[1] for r in rows]))
+            return df.withColumn(out, _lookup_udf(bc, uuid.uuid4().hex, unk_id)(tokenize(text_col)))
+        if method == "udf":
+            raise ValueError("vocabulary too large to broadcast")
     if key is None:
         raise ValueError("method='join' needs a unique key column")
     ex = df.select(key, F.posexplode(tokenize(text_col)).alias("_p", "token"))
@@ -114,10 +121,9 @@ def encode(df: DataFrame, text_col: str, vocab: DataFrame, out: str = "input_ids
 
 def encode_columns(df: DataFrame, outputs: dict, vocab: DataFrame, unk_id: int = 0) -> DataFrame:
     """Encode several text columns with one size check and one broadcast of the vocabulary."""
-    n = vocab.count()
-    if n > MAX_BROADCAST_VOCAB:
-        raise ValueError(f"vocabulary of {n} entries is too large to broadcast; use encode(method='join')")
-    rows = vocab.select("token", "id").collect()
+    rows = _bounded_vocab(vocab)
+    if rows is None:
+        raise ValueError("vocabulary too large to broadcast; use encode(method='join')")
     bc = df.sparkSession.sparkContext.broadcast(([r[0] for r in rows], [r[1] for r in rows]))
     fn = _lookup_udf(bc, uuid.uuid4().hex, unk_id)
     for out, text_col in outputs.items():

@@ -114,7 +114,7 @@ def generations(spark: SparkSession, d: str, items: DataFrame, dataset: str) ->
     """(model, dataset, shot, item_id, generation): model × shot × item; the text is a document
     prefix picked by item and shot, and a third of the rows lead with 'The answer is (X). '."""
     from ..config import SHOTS
-    docs = table(spark, d, "documents").select("doc_id", "text")
+    docs = table(spark, d, "documents").select("doc_id", F.expr("left(text, 120)").alias("text"))
     n_docs = docs.count()
     grid = (items.select("item_id")
             .crossJoin(F.broadcast(spark.createDataFrame([(i, m) for i, m in enumerate(MODELS)], "m_idx int, model string")))
