@@ -19,12 +19,13 @@ from ..config import SHOTS, STOP_SEQS
 from ..functions.text import (extract_last_integer, format_choices, predict_choice, py_strip, truncate_at_stop,
                               zero_shot_prompt)
 from .ordering import sample_n
+from ..sources.readers import literal_table
 
 
 def _one_row_block(rows: DataFrame, text_col: str, n: int, sep: str = "\n") -> DataFrame:
     """Join the (≤ n, already sampled) demo rows in shuffle order into one string."""
     if n <= 0:
-        return rows.sparkSession.createDataFrame([("", 0)], "demos string, n_demos int")
+        return literal_table(rows.sparkSession, [("", 0)], "demos string, n_demos int")
     agg = rows.agg(F.array_sort(F.collect_list(F.struct("shuffle_key", "item_id", F.col(text_col).alias("t")))).alias("_d"))
     return agg.select(F.array_join(F.transform("_d", lambda x: x["t"]), sep).alias("demos"),
                       F.size("_d").cast("int").alias("n_demos"))
@@ -107,7 +108,7 @@ def qa_prompt(test: DataFrame, demos: DataFrame) -> DataFrame:
 
 def eval_grid(spark: SparkSession, models: DataFrame, items: DataFrame, shots=SHOTS) -> DataFrame:
     """model × item × shot."""
-    sh = spark.createDataFrame([(s, n) for s, n in shots], "shot string, n_shot int")
+    sh = literal_table(spark, [(s, n) for s, n in shots], "shot string, n_shot int")
     return items.crossJoin(F.broadcast(models)).crossJoin(F.broadcast(sh))
 
 

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
+from ..sources.readers import literal_table
 
 
 @dataclass(frozen=True)
@@ -171,7 +172,7 @@ def run_plan(students: DataFrame, teacher: str, student_col: str = "student", or
 
     The student list is a small table (one row per student); ``lag`` runs per mode.
     """
-    modes = students.sparkSession.createDataFrame([("control",), ("cascade",)], "mode string")
+    modes = literal_table(students.sparkSession, [("control",), ("cascade",)], "mode string")
     grid = students.select(F.col(order_col).cast("int").alias("stage"), F.col(student_col).alias("student")).crossJoin(
         F.broadcast(modes))
     prev = F.lag("student").over(Window.partitionBy("mode").orderBy("stage"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scores as sc
+from ..sources.readers import literal_table
 
 MAX_PROJECTION_ROWS = 1_000_000     # layers × out_dim rows of adapter weights allowed in a broadcast
 
@@ -21,7 +22,7 @@ def layer_map(spark, num_student: int | None = None, num_teacher: int | None = N
         counts = student.agg(F.countDistinct("layer").alias("S")).crossJoin(
             teacher.agg(F.countDistinct("layer").alias("T")))
     else:
-        counts = spark.createDataFrame([(num_student, num_teacher)], "S long, T long")
+        counts = literal_table(spark, [(num_student, num_teacher)], "S long, T long")
     counts = counts.withColumn("_chk", F.when(F.col("S") < 2, F.raise_error(F.lit("layer_map needs at least 2 student layers"))))
     return counts.select(F.explode(F.sequence(F.lit(0).cast("long"), F.col("S") - 1)).alias("student_layer"),
                          "S", "T", "_chk").select(

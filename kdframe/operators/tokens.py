@@ -19,6 +19,7 @@ from pyspark.sql.types import ArrayType, IntegerType
 
 from ..functions.arrays import attention_mask, pad_ids, truncate_ids
 from .ordering import prefix_sum
+from ..sources.readers import literal_table
 
 # Token pattern (letters/digits/underscore runs, or one other non-space char)
 # and the special tokens placed before the fitted vocabulary.
@@ -44,7 +45,7 @@ def fit_vocab(df: DataFrame, text_col: str, size: int, specials=SPECIALS) -> Dat
     # the ranked list is bounded by ``size`` (a parameter), so a single ordered window is fine here
     ranked = top.select("token", (F.row_number().over(Window.orderBy(F.desc("n"), F.asc("token"))) - 1 + k)
                         .cast("int").alias("id"))
-    sp = spark.createDataFrame([(s, i) for i, s in enumerate(specials)], "token string, id int")
+    sp = literal_table(spark, [(s, i) for i, s in enumerate(specials)], "token string, id int")
     return sp.unionByName(ranked)
 
 

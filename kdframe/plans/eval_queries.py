@@ -9,7 +9,7 @@ from ..operators import evaluation as ev
 from ..operators import ordering as od
 from ..operators import tokens as tk
 from ..sources import fixtures as fx
-from ..sources.readers import table
+from ..sources.readers import literal_table, table
 from .registry import register
 from .sqlparts import md5_key
 from .token_queries import encode_sql, vocab_sql
@@ -164,7 +164,7 @@ def q_qa_prompt(spark, d):
 SELECT m.model, g.item_id, s.shot FROM ({GSM}) g, (VALUES ('modelA'), ('modelB')) m(model),
        (VALUES ('0-shot'), ('1-shot'), ('3-shot')) s(shot)""")
 def q_eval_grid(spark, d):
-    models = spark.createDataFrame([(m,) for m in fx.MODELS], "model string")
+    models = literal_table(spark, [(m,) for m in fx.MODELS], "model string")
     return ev.eval_grid(spark, models, _gsm(spark, d).select("item_id")).select("model", "item_id", "shot")
 
 
@@ -265,9 +265,9 @@ FROM grid LEFT JOIN a ON a.model = grid.model AND a.dataset = grid.dataset AND a
 def _summary(spark, d):
     scored = ev.score_gsm(_gen_gsm(spark, d), _gsm(spark, d)).select("model", "dataset", "shot", "correct").unionByName(
         ev.score_arc(_gen_arc(spark, d), _arc(spark, d)).select("model", "dataset", "shot", "correct"))
-    grid = (spark.createDataFrame([(m,) for m in (*fx.MODELS, "modelC")], "model string")
-            .crossJoin(spark.createDataFrame([("GSM8K",), ("ARC-Challenge",)], "dataset string"))
-            .crossJoin(spark.createDataFrame([(s,) for s in ("0-shot", "1-shot", "3-shot")], "shot string")))
+    grid = (literal_table(spark, [(m,) for m in (*fx.MODELS, "modelC")], "model string")
+            .crossJoin(literal_table(spark, [("GSM8K",), ("ARC-Challenge",)], "dataset string"))
+            .crossJoin(literal_table(spark, [(s,) for s in ("0-shot", "1-shot", "3-shot")], "shot string")))
     return ev.accuracy_summary(scored, grid)
 
 

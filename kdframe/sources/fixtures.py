@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .readers import table
+from .readers import literal_table, table
 
 # Fixed values of the derivations.
 MODELS = ("modelA", "modelB")
@@ -115,11 +115,12 @@ def generations(spark: SparkSession, d: str, items: DataFrame, dataset: str) ->
     prefix picked by item and shot, and a third of the rows lead with 'The answer is (X). '."""
     from ..config import SHOTS
     docs = table(spark, d, "documents").select("doc_id", F.expr("left(text, 120)").alias("text"))
-    n_docs = docs.count()
+    n_docs = F.broadcast(table(spark, d, "documents").agg(F.count("*").alias("_n")))     # one-row scalar
     grid = (items.select("item_id")
-            .crossJoin(F.broadcast(spark.createDataFrame([(i, m) for i, m in enumerate(MODELS)], "m_idx int, model string")))
-            .crossJoin(F.broadcast(spark.createDataFrame([(s, n) for s, n in SHOTS], "shot string, n_shot int"))))
-    grid = grid.withColumn("doc_id", ((F.col("item_id") * 7 + F.col("n_shot") * 3 + F.col("m_idx")) % n_docs).cast("long"))
+            .crossJoin(F.broadcast(literal_table(spark, [(i, m) for i, m in enumerate(MODELS)], "m_idx int, model string")))
+            .crossJoin(F.broadcast(literal_table(spark, [(s, n) for s, n in SHOTS], "shot string, n_shot int")))
+            .crossJoin(n_docs))
+    grid = grid.withColumn("doc_id", ((F.col("item_id") * 7 + F.col("n_shot") * 3 + F.col("m_idx")) % F.col("_n")).cast("long"))
     j = grid.join(docs, "doc_id", "left")
     lead = F.concat(F.lit("The answer is ("), F.expr("chr(65 + cast(item_id % 4 as int))"), F.lit("). "))
     gen = F.when((F.col("item_id") + F.col("n_shot") + F.col("m_idx")) % 3 == 0,
@@ -144,10 +145,10 @@ LEFT JOIN documents doc ON doc.doc_id = g.doc_id"""
 def logits_pair(spark: SparkSession, d: str, student_vocab: int | None = None) -> DataFrame:
     """(example_id, pos, s, t): teacher = embedding × 10, student = next embedding × 10."""
     e = table(spark, d, "embeddings").select("vec_id", "embedding")
-    n = e.count()
-    t = e.select((F.floor(F.col("vec_id") / EX_POSITIONS)).cast("long").alias("example_id"),
+    n = F.broadcast(e.agg(F.count("*").alias("_n")))                                  # one-row scalar
+    t = e.crossJoin(n).select((F.floor(F.col("vec_id") / EX_POSITIONS)).cast("long").alias("example_id"),
                  (F.col("vec_id") % EX_POSITIONS).cast("int").alias("pos"),
-                 ((F.col("vec_id") + 1) % n).alias("_nxt"),
+                 ((F.col("vec_id") + 1) % F.col("_n")).alias("_nxt"),
                  F.transform("embedding", lambda x: x.cast("double") * 10).alias("t"))
     s = e.select(F.col("vec_id").alias("_nxt"), F.transform("embedding", lambda x: x.cast("double") * 10).alias("s"))
     out = t.join(s, "_nxt").drop("_nxt")
@@ -255,7 +256,7 @@ def names(spark: SparkSession, d: str) -> DataFrame:
 
 
 def patterns(spark: SparkSession, values=PATTERNS) -> DataFrame:
-    return spark.createDataFrame([(v,) for v in values], "pattern string")
+    return literal_table(spark, [(v,) for v in values], "pattern string")
 
 
 def pair_tokens(spark: SparkSession, d: str) -> DataFrame:
@@ -285,8 +286,9 @@ def pref_tokens(spark: SparkSession, d: str) -> DataFrame:
     Only complete pairs are kept.  Columns: batch_id, pair_id, side, pos, logits (student),
     t_logits (teacher), label, loss_mask."""
     e = table(spark, d, "embeddings")
-    n_keep = (e.count() // (2 * EX_POSITIONS)) * 2          # complete pairs × 2 rows
-    p = logits_pair(spark, d).join(labels_tok(spark, d), ["example_id", "pos"]).where(F.col("example_id") < n_keep)
+    n_keep = F.broadcast(e.agg((F.floor(F.count("*") / (2 * EX_POSITIONS)) * 2).alias("_keep")))   # complete pairs × 2
+    p = (logits_pair(spark, d).join(labels_tok(spark, d), ["example_id", "pos"]).crossJoin(n_keep)
+         .where(F.col("example_id") < F.col("_keep")).drop("_keep"))
     pair = F.floor(F.col("example_id") / 2).cast("long")
     return p.select(F.floor(pair / PAIRS_PER_BATCH).cast("long").alias("batch_id"), pair.alias("pair_id"),
                     F.when(F.col("example_id") % 2 == 0, "chosen").otherwise("rejected").alias("side"),

@@ -22,8 +22,34 @@ def read_dataset(spark: SparkSession, path: str, fmt: str = "parquet", schema: S
     return reader.load(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin an under-partitioned scan (e.g. one parquet row group) over the cluster's
+    cores so CPU-heavy text work runs in parallel.  A no-op once the scan already has at least
+    ``defaultParallelism`` splits, which is the case for any large input."""
+    par = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(par) if df.rdd.getNumPartitions() < par else df
+
+
+def literal_table(spark: SparkSession, rows, schema: str) -> DataFrame:
+    """Small literal table built JVM-side (an inline of literal structs over a one-row range):
+    one partition, no Python-backed RDD behind it."""
+    from pyspark.sql import functions as F
+    from pyspark.sql.types import _parse_datatype_string
+    st = _parse_datatype_string(schema)
+    names = [f.name for f in st.fields]
+    if not rows:
+        return spark.range(0).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in st.fields])
+    structs = [F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(r, st.fields)]) for r in rows]
+    return spark.range(1).select(F.inline(F.array(*structs))).select(*names)
+
+
+TEXT_TABLES = ("documents", "pages", "conversations")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """Driver table by name; the free-text tables (tokenised, regex-scanned) are spread."""
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spread(df) if name in TEXT_TABLES else df
 
 
 def read_with_fallback(primary: Callable[[], DataFrame], fallback: Callable[[], DataFrame]) -> DataFrame:
