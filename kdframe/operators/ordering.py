@@ -120,6 +120,39 @@ def hash_bucket(hash_col: str | Column, digits: int = BUCKET_HEX_DIGITS) -> Colu
     return F.substring(c, 1, digits)
 
 
+def first_n_predicate(df: DataFrame, order_cols, n: int, bucket: Column) -> Column:
+    """Boolean column: is the row among the first ``n`` in ``order_cols`` order?
+
+    One aggregate gives the row count per bucket (a table of at most #buckets rows, read by
+    the driver); the bucket holding the n-th row is the only one whose rows are ranked, and
+    only its n-th key is fetched.  The result is a plain predicate, so a split or a large head
+    costs one extra scan instead of a shuffle of every row.  ``bucket`` must be monotone in
+    the order and ``order_cols`` a total order.
+    """
+    order = _cols(order_cols)
+    if n <= 0:
+        return F.lit(False)
+    tagged = df.withColumn("_kb", bucket)
+    totals = sorted((r["_kb"], r["n"]) for r in tagged.groupBy("_kb").agg(F.count("*").alias("n")).collect()
+                    if r["_kb"] is not None)
+    seen = 0
+    for b, c in totals:
+        if seen + c >= n:
+            k = n - seen                       # the k-th row (1-based) of bucket b is the last one in
+            names = [f"_ko{i}" for i in range(len(order))]
+            row = (tagged.where(F.col("_kb") == F.lit(b)).select(*[c_.alias(nm) for c_, nm in zip(order, names)])
+                   .orderBy(*names).offset(k - 1).limit(1).first())
+            key = F.struct(*[c_.alias(nm) for c_, nm in zip(order, names)])
+            lim = F.struct(*[F.lit(row[nm]).alias(nm) for nm in names])
+            return (bucket < F.lit(b)) | ((bucket == F.lit(b)) & (key <= lim))
+        seen += c
+    return F.lit(True)
+
+
+def numeric_bucket(df: DataFrame, col: str) -> Column | None:
+    return _numeric_bucket(df, [col])
+
+
 def seeded_shuffle(df: DataFrame, id_col: str, seed: int = 42, name: str = "idx",
                    key_name: str = "shuffle_key") -> DataFrame:
     """Deterministic permutation: order by (md5(seed|id), id); adds the key and the position."""
@@ -127,13 +160,18 @@ def seeded_shuffle(df: DataFrame, id_col: str, seed: int = 42, name: str = "idx"
     return global_index(keyed, [key_name, id_col], bucket=hash_bucket(key_name), name=name)
 
 
-def _take_first(df: DataFrame, order_cols, n: int, name: str | None = None, bucket=None) -> DataFrame:
-    """First ``n`` rows in order.  Small n: TakeOrdered; large n: distributed index + filter."""
-    if n <= SMALL_LIMIT and name is None:
+def _take_first(df: DataFrame, order_cols, n: int, bucket=None) -> DataFrame:
+    """First ``n`` rows in order.  Small n: TakeOrdered (bounded rows through the driver);
+    large n: a bucket-threshold predicate (no shuffle of the rows)."""
+    if n <= SMALL_LIMIT:
         return df.orderBy(*_cols(order_cols)).limit(n)
-    indexed = global_index(df, order_cols, bucket=bucket, name=name or "_kidx")
-    out = indexed.where(F.col(name or "_kidx") < n)
-    return out if name else out.drop("_kidx")
+    if bucket is None:
+        first = order_cols[0] if isinstance(order_cols, (list, tuple)) else order_cols
+        bucket = _numeric_bucket(df, order_cols) if isinstance(first, str) else None
+    if bucket is None:
+        indexed = global_index(df, order_cols, name="_kidx")
+        return indexed.where(F.col("_kidx") < n).drop("_kidx")
+    return df.where(first_n_predicate(df, order_cols, n, bucket))
 
 
 def sample_n(df: DataFrame, id_col: str, n: int, seed: int = 42) -> DataFrame:
@@ -165,9 +203,9 @@ def train_test_split(df: DataFrame, id_col: str, test_size: float | int | None,
         return df.withColumn(split_col, F.lit("train"))
     n = df.count()
     n_test = int(test_size) if isinstance(test_size, int) and test_size >= 1 else math.ceil(test_size * n)
-    shuffled = seeded_shuffle(df, id_col, seed, name="_kpos")
-    return (shuffled.withColumn(split_col, F.when(F.col("_kpos") < n_test, "test").otherwise("train"))
-            .drop("_kpos", "shuffle_key"))
+    keyed = df.withColumn("_kh", hash_key(seed, id_col))
+    is_test = first_n_predicate(keyed, ["_kh", id_col], n_test, hash_bucket("_kh"))
+    return keyed.withColumn(split_col, F.when(is_test, "test").otherwise("train")).drop("_kh")
 
 
 def epoch_batches(df: DataFrame, id_col: str, epochs: int, batch_size: int, grad_accum: int,
@@ -205,15 +243,23 @@ def _bound(tok: str | None, n: int, default: int) -> int:
     return max(0, min(n, v))
 
 
-def split_slice(df: DataFrame, spec: str, order_cols, name: str = "idx") -> DataFrame:
-    """Row-range slice of a split in dataset order (``train[:1%]`` etc.)."""
+def split_slice(df: DataFrame, spec: str, order_cols, name: str | None = "idx") -> DataFrame:
+    """Row-range slice of a split in dataset order (``train[:1%]`` etc.).  With ``name`` the
+    position is added as a column (distributed index); with ``name=None`` the slice is a
+    bucket-threshold filter and the rows are not shuffled."""
     _, start, stop = parse_split_spec(spec)
     n = df.count() if (start or stop) else 0
     lo, hi = _bound(start, n, 0), _bound(stop, n, n)
     if start is None and stop is None:
         return df
-    indexed = global_index(df, order_cols, name=name)
-    return indexed.where((F.col(name) >= lo) & (F.col(name) < hi))
+    first = order_cols[0] if isinstance(order_cols, (list, tuple)) else order_cols
+    bucket = _numeric_bucket(df, order_cols) if isinstance(first, str) else None
+    if bucket is None or name:
+        indexed = global_index(df, order_cols, bucket=bucket, name=name or "_kidx")
+        out = indexed.where((F.col(name or "_kidx") >= lo) & (F.col(name or "_kidx") < hi))
+        return out if name else out.drop("_kidx")
+    keep = first_n_predicate(df, order_cols, hi, bucket) & ~first_n_predicate(df, order_cols, lo, bucket)
+    return df.where(keep)
 
 
 def spark_of(df: DataFrame) -> SparkSession:

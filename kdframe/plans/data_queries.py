@@ -36,7 +36,7 @@ def q_read_with_fallback(spark, d):
         return spark.read.parquet(f"{d}/gsm8k_train.parquet")          # absent: the guarded case
 
     def fallback():
-        return od.split_slice(table(spark, d, "documents"), "train[:100]", ["doc_id"])
+        return od.split_slice(table(spark, d, "documents"), "train[:100]", ["doc_id"], name=None)
 
     df = read_with_fallback(primary, fallback)
     return df.select(F.col("doc_id").alias("item_id"), F.expr("left(text, 200)").alias("question"))
