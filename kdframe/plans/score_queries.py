@@ -199,3 +199,78 @@ def q_hidden_kd_loss(spark, d):
     t = fx.hidden_states(spark, d, "teacher")
     out = hd.hidden_kd_loss(s, t, fx.projections(spark), 2.0, 0.5, ce=_ce(spark, d))
     return out.select("batch_id", _r("kd").alias("kd"), _r("ce").alias("ce"), _r("loss").alias("loss"))
+
+
+# Long-form variants (one row per vocabulary entry) of the same operators.
+
+from ..operators import long_scores as lg  # noqa: E402
+
+S_LONG = f"""
+SELECT example_id, pos, CAST(vocab_id AS INTEGER) AS vocab_id, s FROM (
+  SELECT example_id, pos, unnest(range(len(s))) AS vocab_id, unnest(s) AS s FROM ({PAIRS60}))"""
+T_LONG = f"""
+SELECT example_id, pos, CAST(vocab_id AS INTEGER) AS vocab_id, t FROM (
+  SELECT example_id, pos, unnest(range(len(t))) AS vocab_id, unnest(t) AS t FROM ({PAIRS60}))"""
+
+
+def _long_sides(spark, d):
+    p = fx.logits_pair(spark, d, CUT)
+    return lg.to_long(p, "s", "s"), lg.to_long(p, "t", "t")
+
+
+def kl_long_sql(src, T):
+    return f"""
+WITH p AS ({src}), m AS (SELECT example_id, pos, max(t) AS mt, max(s) AS ms FROM p GROUP BY 1, 2)
+SELECT p.example_id, p.pos,
+       sum(exp((p.t - m.mt) / {T}) * (p.t - p.s) / {T}) / sum(exp((p.t - m.mt) / {T}))
+       - (max(m.mt) / {T} + ln(sum(exp((p.t - m.mt) / {T})))) + (max(m.ms) / {T} + ln(sum(exp((p.s - m.ms) / {T})))) AS kl
+FROM p JOIN m ON m.example_id = p.example_id AND m.pos = p.pos GROUP BY 1, 2"""
+
+
+PAD_LONG_SQL = f"""
+SELECT coalesce(s.example_id, t.example_id) AS example_id, coalesce(s.pos, t.pos) AS pos,
+       coalesce(s.vocab_id, t.vocab_id) AS vocab_id, coalesce(s.s, 0.0) AS s, coalesce(t.t, 0.0) AS t
+FROM ({S_LONG}) s FULL OUTER JOIN ({T_LONG}) t ON s.example_id = t.example_id AND s.pos = t.pos AND s.vocab_id = t.vocab_id"""
+
+TRUNC_LONG_SQL = f"""
+SELECT s.example_id, s.pos, s.vocab_id, s.s, t.t
+FROM ({S_LONG}) s JOIN ({T_LONG}) t ON s.example_id = t.example_id AND s.pos = t.pos AND s.vocab_id = t.vocab_id"""
+
+
+@register("pad_vocab_long", f"""
+SELECT k.example_id, k.pos, n.n_vocab, round(k.kl, 6) AS kl FROM ({kl_long_sql(PAD_LONG_SQL, 2.0)}) k
+JOIN (SELECT example_id, pos, CAST(count(*) AS BIGINT) AS n_vocab FROM ({PAD_LONG_SQL}) GROUP BY 1, 2) n
+  ON n.example_id = k.example_id AND n.pos = k.pos""")
+def q_pad_vocab_long(spark, d):
+    s, t = _long_sides(spark, d)
+    padded = lg.pad_vocab_long(s, t)
+    n = padded.groupBy(*lg.KEYS).agg(F.count("*").cast("long").alias("n_vocab"))
+    return lg.kl_long(padded, 2.0).join(n, lg.KEYS).select("example_id", "pos", "n_vocab", _r("kl").alias("kl"))
+
+
+@register("truncate_vocab_long", f"""
+SELECT example_id, pos, round(kl, 6) AS kl FROM ({kl_long_sql(TRUNC_LONG_SQL, 1.0)})""")
+def q_truncate_vocab_long(spark, d):
+    s, t = _long_sides(spark, d)
+    return lg.kl_long(lg.truncate_vocab_long(s, t), 1.0).select("example_id", "pos", _r("kl").alias("kl"))
+
+
+@register("softmax_long", f"""
+WITH l AS (SELECT example_id, pos, unnest(range(len(logits))) AS vocab_id, unnest(logits) AS t FROM ({fx.TEACHER_LOGITS_SQL})),
+m AS (SELECT example_id, pos, max(t) AS mt FROM l GROUP BY 1, 2),
+e AS (SELECT l.example_id, l.pos, l.vocab_id, exp((l.t - m.mt) / 2.0) AS e FROM l JOIN m USING (example_id, pos))
+SELECT example_id, pos, CAST(vocab_id AS INTEGER) AS vocab_id, round(e / sum(e) OVER (PARTITION BY example_id, pos), 6) AS p FROM e""")
+def q_softmax_long(spark, d):
+    t = lg.to_long(fx.teacher_logits(spark, d), "logits", "t")
+    return lg.softmax_long(t, 2.0).select("example_id", "pos", F.col("vocab_id").cast("int").alias("vocab_id"),
+                                          _r("p").alias("p"))
+
+
+@register("selective_log_softmax_long", f"""
+WITH l AS (SELECT example_id, pos, unnest(range(len(logits))) AS vocab_id, unnest(logits) AS t FROM ({fx.TEACHER_LOGITS_SQL})),
+j AS (SELECT l.*, b.label FROM l JOIN ({fx.LABELS_SQL}) b USING (example_id, pos))
+SELECT example_id, pos, round(max(t) FILTER (WHERE vocab_id = label) - (max(t) + ln(sum(exp(t - mx)) )) + 0.0, 6) AS lp
+FROM (SELECT *, max(t) OVER (PARTITION BY example_id, pos) AS mx FROM j) GROUP BY 1, 2""")
+def q_selective_log_softmax_long(spark, d):
+    t = lg.to_long(fx.teacher_logits(spark, d), "logits", "t")
+    return lg.selective_log_softmax_long(t, fx.labels_tok(spark, d)).select("example_id", "pos", _r("lp").alias("lp"))

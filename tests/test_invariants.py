@@ -125,3 +125,12 @@ def test_slice_filter_equals_index(spark):
     a = od.split_slice(docs, "train[10%:35%]", ["doc_id"], name=None)
     b = od.split_slice(docs, "train[10%:35%]", ["doc_id"]).drop("idx")
     assert a.count() == 250 and a.exceptAll(b).count() == 0
+
+
+def test_dense_and_long_kl_agree(spark):
+    from kdframe.operators import long_scores as lg
+    p = fx.logits_pair(spark, SF001, 60)
+    dense = ds.with_vocab_policy(p, "pad").select("example_id", "pos", sc.kl_row("s", "t", 2.0).alias("d"))
+    long = lg.kl_long(lg.pad_vocab_long(lg.to_long(p, "s", "s"), lg.to_long(p, "t", "t")), 2.0)
+    diff = dense.join(long, ["example_id", "pos"]).select(F.max(F.abs(F.col("d") - F.col("kl")))).first()[0]
+    assert diff < 1e-9
