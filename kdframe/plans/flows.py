@@ -2,18 +2,83 @@
 
 from __future__ import annotations
 
+from typing import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..config import ARC_NAME, GSM_NAME, SHOTS
 from ..functions.chat import render_chatml, sharegpt_to_messages
+from ..operators import evaluation as ev
+from ..operators import ordering as od
+from ..operators import preference as pf
+from ..operators import tokens as tk
 from ..operators.conversations import collect_conversations
-from ..operators.ordering import train_test_split
-from ..sources.readers import table
+from ..operators.distill import kd_loss_dpo
+from ..sources import fixtures as fx
+from ..sources.readers import literal_table, table
 
 
 def chat_sequences(spark: SparkSession, d: str, test_size: float = 0.1, seed: int = 42) -> DataFrame:
     """Logit-KD data slice: turns → ShareGPT → messages → ChatML text → exact seeded split."""
     conv = collect_conversations(table(spark, d, "conversations"))
     text = conv.select("conv_id", render_chatml(sharegpt_to_messages("conversations"), True).alias("text"))
-    return train_test_split(text, "conv_id", test_size, seed).select(
+    return od.train_test_split(text, "conv_id", test_size, seed).select(
         "conv_id", "split", F.length("text").cast("long").alias("n_chars"), "text")
+
+
+def chat_kd_dataset(spark: SparkSession, d: str, vocab_size: int = 4096, max_length: int = 4096,
+                    test_size: float = 0.1, seed: int = 42) -> DataFrame:
+    """Entry 1 end to end: ChatML text encoded with a vocabulary fitted on the corpus, truncated
+    and padded to ``max_length`` (pad = eos), with attention masks and the seeded split."""
+    seqs = chat_sequences(spark, d, test_size, seed)
+    vocab = tk.fit_vocab(table(spark, d, "documents"), "text", vocab_size)
+    eos = tk.SPECIALS.index("<eos>")
+    enc = tk.encode_padded(seqs, "text", vocab, max_length, eos)
+    return enc.select("conv_id", "split", F.aggregate("attention_mask", F.lit(0), lambda a, m: a + m).cast("long")
+                      .alias("n_tokens"), "input_ids", "attention_mask")
+
+
+def preference_batches(spark: SparkSession, d: str, beta: float = 0.1, kd_weight: float = 1e-3) -> DataFrame:
+    """Entry 2 per batch: sequence log-probs of policy (student) and reference (teacher), DPO
+    loss + kd_weight · batch KD, and the logged metrics as (batch_id, metric, value)."""
+    tok = fx.pref_tokens(spark, d)
+    pol = pf.sequence_logps(tok, "logits")
+    ref = pf.sequence_logps(tok, "t_logits").select("pair_id", F.col("chosen_logps").alias("ref_chosen"),
+                                                    F.col("rejected_logps").alias("ref_rejected"))
+    pairs = pf.reference_logps(pol, ref).select("batch_id", "pair_id", F.col("chosen_logps").alias("chosen"),
+                                                 F.col("rejected_logps").alias("rejected"), "ref_chosen", "ref_rejected")
+    per_pair = pf.reward_accuracy(pf.dpo_loss(pairs, beta))
+    kd = kd_loss_dpo(tok.select("batch_id", "example_id", "pos", F.col("logits").alias("s"), F.col("t_logits").alias("t")))
+    total = pf.dpo_kd_total(per_pair, kd, kd_weight).select("batch_id", F.lit("loss").alias("metric"),
+                                                            F.col("total_loss").alias("value"))
+    per_batch = pf.mean_masked_logits(tok).join(kd, "batch_id")
+    return pf.preference_metrics(per_pair, per_batch).unionByName(total)
+
+
+def reasoning_eval(spark: SparkSession, d: str, models: list, generate: Callable[[list], list],
+                   shots=SHOTS, seed: int = 42, n_items: int = 50) -> tuple:
+    """Entry 3: for every model and shot setting build GSM and ARC prompts (demos from a seeded
+    pool), generate through the hook, score, and return (detail rows, summary, pivot)."""
+    gsm, arc = fx.gsm_items(spark, d), fx.arc_items(spark, d)
+    gsm_test, arc_test = od.bounded_head(gsm, ["item_id"], n_items), od.bounded_head(arc, ["item_id"], n_items)
+    prompts = []
+    for label, n in shots:
+        g = ev.few_shot_prompt_gsm(gsm_test, ev.gsm_demo_block(gsm, n, seed, strip_q=False), n,
+                                   fallback=ev.gsm_demo_block(gsm, n, seed, strip_q=True) if n else None)
+        a = ev.few_shot_prompt_arc(arc_test, ev.arc_demo_block_text(arc, n, seed), n)
+        prompts.append(g.select("item_id", "prompt", F.lit(GSM_NAME).alias("dataset"), F.lit(label).alias("shot")))
+        prompts.append(a.select("item_id", "prompt", F.lit(ARC_NAME).alias("dataset"), F.lit(label).alias("shot")))
+    allp = prompts[0]
+    for p in prompts[1:]:
+        allp = allp.unionByName(p)
+    mdf = literal_table(spark, [(m,) for m in models], "model string")
+    gens = ev.generate_batch(allp.crossJoin(F.broadcast(mdf)), generate)
+    sg = ev.score_gsm(gens.where(F.col("dataset") == GSM_NAME), gsm)
+    sa = ev.score_arc(gens.where(F.col("dataset") == ARC_NAME), arc)
+    detail = sg.select("model", "dataset", "shot", "item_id", "correct").unionByName(
+        sa.select("model", "dataset", "shot", "item_id", "correct"))
+    grid = (mdf.crossJoin(literal_table(spark, [(GSM_NAME,), (ARC_NAME,)], "dataset string"))
+            .crossJoin(literal_table(spark, [(s,) for s, _ in shots], "shot string")))
+    summary = ev.accuracy_summary(detail, grid)
+    return detail, summary, ev.accuracy_pivot(summary, [s for s, _ in shots])

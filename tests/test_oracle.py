@@ -46,5 +46,5 @@ def test_rows_only_queries_run(spark, key):
 
 def test_entry(spark):
     df = entry.entry(spark)
-    assert df.columns == ["conv_id", "split", "n_chars", "text"]
+    assert df.columns == ["conv_id", "split", "n_tokens", "input_ids", "attention_mask"]
     assert df.count() > 0
