@@ -65,7 +65,8 @@ def prefix_sum(df: DataFrame, order_cols, weight=None, group_cols=(), bucket: Co
         raise ValueError("group_cols needs a bucket expression")
     auto = _numeric_bucket(df, order_cols)
     if auto is not None:
-        return prefix_sum(df, order_cols, weight, (), auto, name, small_groups)
+        bdf, bcol = auto
+        return prefix_sum(bdf, order_cols, weight, (), bcol, name, small_groups).drop("_kq")
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     nparts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -91,22 +92,29 @@ ROWS_PER_BUCKET = 1_000_000
 MAX_BUCKETS = 65_536
 
 
-def _numeric_bucket(df: DataFrame, order_cols) -> Column | None:
-    """Equal-width range buckets over an integral leading order key (min/max from one narrow
-    aggregate); balanced for id-like keys.  None for other key types."""
+def _numeric_bucket(df: DataFrame, order_cols):
+    """Quantile range buckets over an integral leading order key.
+
+    Returns (df with a ``_kq`` bucket column, bucket Column) or None for other key types.
+    Boundaries come from one ``approxQuantile`` pass (at most MAX_BUCKETS values on the driver);
+    the JVM ``Bucketizer`` assigns buckets by binary search.  Buckets are monotone in the key
+    and hold ≈ ROWS_PER_BUCKET rows whatever the key distribution (keys must be unique).
+    """
+    from pyspark.ml.feature import Bucketizer
     first = order_cols[0] if isinstance(order_cols, (list, tuple)) else order_cols
-    if not isinstance(first, str):
+    if not isinstance(first, str) or first not in df.columns:
         return None
-    dtype = df.schema[first].dataType.typeName()
-    if dtype not in ("long", "integer", "short", "byte"):
+    if df.schema[first].dataType.typeName() not in ("long", "integer", "short", "byte"):
         return None
-    st = df.agg(F.min(first).alias("lo"), F.max(first).alias("hi"), F.count("*").alias("n")).first()
-    if st["n"] == 0 or st["lo"] is None:
-        return F.lit(0)
     par = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    buckets = int(min(MAX_BUCKETS, max(8 * par, st["n"] // ROWS_PER_BUCKET)))
-    width = max(1, (int(st["hi"]) - int(st["lo"]) + buckets) // buckets)
-    return F.floor((F.col(first) - F.lit(int(st["lo"]))) / F.lit(width)).cast("long")
+    n = df.count()
+    buckets = int(min(MAX_BUCKETS, max(8 * par, n // ROWS_PER_BUCKET)))
+    keyed = df.withColumn("_kd", F.col(first).cast("double"))
+    probs = [i / buckets for i in range(1, buckets)]
+    qs = keyed.approxQuantile("_kd", probs, 1.0 / (4 * buckets)) if n else []
+    splits = [float("-inf")] + sorted(set(q for q in qs if q is not None)) + [float("inf")]
+    out = Bucketizer(splits=splits, inputCol="_kd", outputCol="_kq", handleInvalid="keep").transform(keyed)
+    return out.drop("_kd"), F.col("_kq")
 
 
 def global_index(df: DataFrame, order_cols, group_cols=(), bucket: Column | None = None,
@@ -149,10 +157,6 @@ def first_n_predicate(df: DataFrame, order_cols, n: int, bucket: Column) -> Colu
     return F.lit(True)
 
 
-def numeric_bucket(df: DataFrame, col: str) -> Column | None:
-    return _numeric_bucket(df, [col])
-
-
 def seeded_shuffle(df: DataFrame, id_col: str, seed: int = 42, name: str = "idx",
                    key_name: str = "shuffle_key") -> DataFrame:
     """Deterministic permutation: order by (md5(seed|id), id); adds the key and the position."""
@@ -165,13 +169,14 @@ def _take_first(df: DataFrame, order_cols, n: int, bucket=None) -> DataFrame:
     large n: a bucket-threshold predicate (no shuffle of the rows)."""
     if n <= SMALL_LIMIT:
         return df.orderBy(*_cols(order_cols)).limit(n)
-    if bucket is None:
-        first = order_cols[0] if isinstance(order_cols, (list, tuple)) else order_cols
-        bucket = _numeric_bucket(df, order_cols) if isinstance(first, str) else None
-    if bucket is None:
+    if bucket is not None:
+        return df.where(first_n_predicate(df, order_cols, n, bucket))
+    auto = _numeric_bucket(df, order_cols)
+    if auto is None:
         indexed = global_index(df, order_cols, name="_kidx")
         return indexed.where(F.col("_kidx") < n).drop("_kidx")
-    return df.where(first_n_predicate(df, order_cols, n, bucket))
+    bdf, bcol = auto
+    return bdf.where(first_n_predicate(bdf, order_cols, n, bcol)).drop("_kq")
 
 
 def sample_n(df: DataFrame, id_col: str, n: int, seed: int = 42) -> DataFrame:
@@ -252,14 +257,14 @@ def split_slice(df: DataFrame, spec: str, order_cols, name: str | None = "idx")
     lo, hi = _bound(start, n, 0), _bound(stop, n, n)
     if start is None and stop is None:
         return df
-    first = order_cols[0] if isinstance(order_cols, (list, tuple)) else order_cols
-    bucket = _numeric_bucket(df, order_cols) if isinstance(first, str) else None
-    if bucket is None or name:
-        indexed = global_index(df, order_cols, bucket=bucket, name=name or "_kidx")
+    auto = None if name else _numeric_bucket(df, order_cols)
+    if auto is None:
+        indexed = global_index(df, order_cols, name=name or "_kidx")
         out = indexed.where((F.col(name or "_kidx") >= lo) & (F.col(name or "_kidx") < hi))
         return out if name else out.drop("_kidx")
-    keep = first_n_predicate(df, order_cols, hi, bucket) & ~first_n_predicate(df, order_cols, lo, bucket)
-    return df.where(keep)
+    bdf, bcol = auto
+    keep = first_n_predicate(bdf, order_cols, hi, bcol) & ~first_n_predicate(bdf, order_cols, lo, bcol)
+    return bdf.where(keep).drop("_kq")
 
 
 def spark_of(df: DataFrame) -> SparkSession:
