@@ -144,7 +144,7 @@ def q_lm_labels(spark, d):
 
 @register("pack_sequences", f"""
 SELECT block_id, CAST(count(*) AS BIGINT) AS n_tokens, {j('list(id ORDER BY off)')} AS input_ids FROM (
-  SELECT (start + i - 1) // 1024 AS block_id, start + i - 1 AS off, ids[i] AS id FROM (
+  SELECT CAST((start + i - 1) // 1024 AS BIGINT) AS block_id, start + i - 1 AS off, ids[i] AS id FROM (
     SELECT ids, coalesce(sum(len(ids)) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
     FROM ({DOC_IDS})), LATERAL (SELECT unnest(range(1, len(ids) + 1)) AS i))
 GROUP BY block_id""")
