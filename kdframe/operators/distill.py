@@ -101,3 +101,11 @@ def response_kd_mse(df: DataFrame, student: str = "student_chosen", teacher: str
                     batch_col: str = "batch_id") -> DataFrame:
     """MSE between student and teacher chosen-sequence log-probs, per batch."""
     return df.groupBy(batch_col).agg(F.avg(F.pow(F.col(student) - F.col(teacher), 2)).alias("mse"))
+
+
+def write_bucketed(df: DataFrame, table_name: str, buckets: int, keys=("example_id", "pos")) -> DataFrame:
+    """Store scores bucketed and sorted by the alignment key, so the teacher ⋈ student join of
+    two such tables (same bucket count) reads co-located files and shuffles neither side; only
+    the per-position KL scalars are shuffled afterwards for the per-example sums."""
+    (df.write.mode("overwrite").bucketBy(buckets, *keys).sortBy(*keys).format("parquet").saveAsTable(table_name))
+    return df.sparkSession.table(table_name)

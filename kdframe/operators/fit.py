@@ -103,6 +103,20 @@ def distil_linear(df: DataFrame, features: str, teacher_logits: str, label: str,
     return {"W": w, "b": b}, hist
 
 
+def distil_and_log(df: DataFrame, features: str, teacher_logits: str, label: str, log_path: str, **kw):
+    """Fit and write the loss history; as in the source the log is written even when the fit
+    fails (the error is then re-raised after the partial history is saved)."""
+    from ..sources.sinks import write_fit_log
+    spark = df.sparkSession
+    try:
+        weights, hist = distil_linear(df, features, teacher_logits, label, **kw)
+    except Exception:
+        write_fit_log(literal_table(spark, [], "run string, step int, loss double"), log_path)
+        raise
+    write_fit_log(hist, log_path)
+    return weights, hist
+
+
 def score_linear(df: DataFrame, features: str, weights: dict, out: str = "logits") -> DataFrame:
     """Student logits W·x + b as a JVM expression (the weights are a small literal)."""
     w, b = weights["W"], weights["b"]

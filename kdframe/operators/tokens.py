@@ -166,3 +166,20 @@ def pack_sequences(df: DataFrame, order_cols, ids_col: str, n: int, bucket: Colu
                           F.slice(ids_col, (lo - F.col("_off") + 1).cast("int"), (hi - lo).cast("int")).alias("_piece"))
     blocks = pieces.groupBy("block_id").agg(F.array_sort(F.collect_list(F.struct("_start", "_piece"))).alias("_ps"))
     return blocks.select("block_id", F.flatten(F.transform("_ps", lambda x: x["_piece"])).alias("input_ids"))
+
+
+def encode_with_tokenizer(df: DataFrame, text_col: str, make_tokenizer, out: str = "input_ids") -> DataFrame:
+    """User tokenizer hook: ``make_tokenizer()`` returns ``fn(list[str]) -> list[list[int]]``
+    (e.g. a fast subword tokenizer).  It is built once per Python worker and applied per Arrow
+    batch inside a pandas UDF."""
+    cache: dict = {}
+
+    @F.pandas_udf(ArrayType(IntegerType()))
+    def run(texts: pd.Series) -> pd.Series:
+        fn = cache.get("fn")
+        if fn is None:
+            fn = cache["fn"] = make_tokenizer()
+        ids = fn(texts.fillna("").tolist())
+        return pd.Series([np.asarray(x, dtype=np.int32) for x in ids], index=texts.index, dtype=object)
+
+    return df.withColumn(out, run(F.col(text_col)))

@@ -20,6 +20,7 @@ def spark():
          .config("spark.ui.showConsoleProgress", "false")
          .config("spark.sql.session.timeZone", "UTC")
          .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+         .config("spark.sql.warehouse.dir", tempfile.mkdtemp(prefix="kdframe-test-wh-"))
          .getOrCreate())
     s.sparkContext.setLogLevel("ERROR")
     s.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="kdframe-test-ckpt-"))

@@ -104,3 +104,35 @@ def test_pattern_semi_and_anti(spark):
     pats = fx.patterns(spark)
     hit, miss = pattern_rows(names, "name", pats).count(), pattern_rows(names, "name", pats, keep=False).count()
     assert hit + miss == names.count() and hit > 0
+
+
+def test_bucketed_scores_join_without_exchange(spark):
+    from kdframe.operators import distill as ds
+    t = ds.write_bucketed(fx.teacher_logits(spark, SF001), "kd_teacher", 8)
+    s = ds.write_bucketed(fx.student_logits(spark, SF001), "kd_student", 8)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")     # force the sort-merge join
+    try:
+        j = ds.align_scores(s, t)
+        plan = j._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Exchange" not in plan and j.count() == t.count()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_user_tokenizer_hook(spark):
+    from kdframe.operators.tokens import encode_with_tokenizer
+
+    def make():
+        return lambda texts: [[len(w) for w in t.split()] for t in texts]
+    df = table(spark, SF001, "benchmark").select("item_id", "text")
+    out = encode_with_tokenizer(df, "text", make).first()
+    assert out["input_ids"] == [len(w) for w in out["text"].split()]
+
+
+def test_fit_log_written(spark, tmpdir_path):
+    from kdframe.operators import fit as ft
+    task = fx.linear_task(spark, SF001)
+    ft.distil_and_log(task, "features", "teacher_logits", "label", os.path.join(tmpdir_path, "log"), iters=2)
+    rows = spark.read.json(os.path.join(tmpdir_path, "log")).count()
+    assert rows == 3
