@@ -26,8 +26,11 @@ def spread(df: DataFrame) -> DataFrame:
     """Round-robin an under-partitioned scan (e.g. one parquet row group) over the cluster's
     cores so CPU-heavy text work runs in parallel.  A no-op once the scan already has at least
     ``defaultParallelism`` splits, which is the case for any large input."""
-    par = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(par) if df.rdd.getNumPartitions() < par else df
+    try:
+        par = df.sparkSession.sparkContext.defaultParallelism
+        return df.repartition(par) if df.rdd.getNumPartitions() < par else df
+    except Exception:  # sessions without RDD access (e.g. a remote client) keep the scan as is
+        return df
 
 
 def literal_table(spark: SparkSession, rows, schema: str) -> DataFrame:
