@@ -74,22 +74,25 @@ def mix_loss(kd: DataFrame, ce: DataFrame | None, alpha: float, batch_col: str =
 
 
 def kd_loss_logits(pairs: DataFrame, ce: DataFrame | None, temperature: float = 2.0, alpha: float = 0.5,
-                   max_length: int = 4096, batch_col: str = "batch_id") -> DataFrame:
-    """Logit-KD script: zero-padded vocab, batchmean KL · T² / max_length, α-mixed with CE."""
-    kd = batch_kd(with_vocab_policy(pairs, "pad"), temperature, batch_col, scale=1.0 / max_length)
+                   max_length: int = 4096, batch_col: str = "batch_id", mask: Column | None = None) -> DataFrame:
+    """Logit-KD script: zero-padded vocab, batchmean KL · T² / max_length, α-mixed with CE.
+    ``mask`` (e.g. ``F.col('attention_mask') == 1``) leaves padding positions out; the source
+    counts them, which is the default."""
+    kd = batch_kd(with_vocab_policy(pairs, "pad"), temperature, batch_col, scale=1.0 / max_length, mask=mask)
     return mix_loss(kd, ce, alpha, batch_col, guard_missing_ce=False)
 
 
 def kd_loss_plain(pairs: DataFrame, ce: DataFrame | None, temperature: float = 2.0, alpha: float = 0.5,
-                  batch_col: str = "batch_id") -> DataFrame:
+                  batch_col: str = "batch_id", mask: Column | None = None) -> DataFrame:
     """Control/cascade script: same without ÷max_length; no hard loss → α·KD."""
-    kd = batch_kd(with_vocab_policy(pairs, "pad"), temperature, batch_col)
+    kd = batch_kd(with_vocab_policy(pairs, "pad"), temperature, batch_col, mask=mask)
     return mix_loss(kd, ce, alpha, batch_col, guard_missing_ce=True)
 
 
-def kd_loss_dpo(pairs: DataFrame, temperature: float = 1.0, batch_col: str = "batch_id") -> DataFrame:
+def kd_loss_dpo(pairs: DataFrame, temperature: float = 1.0, batch_col: str = "batch_id",
+                mask: Column | None = None) -> DataFrame:
     """Preference script: batchmean KL · T² over the stacked chosen+rejected rows, no padding."""
-    return batch_kd(with_vocab_policy(pairs, "none"), temperature, batch_col)
+    return batch_kd(with_vocab_policy(pairs, "none"), temperature, batch_col, mask=mask)
 
 
 def kd_loss_debug(pairs: DataFrame, batch_col: str = "batch_id") -> DataFrame:

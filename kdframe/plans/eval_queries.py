@@ -29,7 +29,8 @@ def py_strip_sql(x):
 def stop_sql(x):
     pos = (f"list_min(list_filter([instr({x}, {NL} || 'Q:'), instr({x}, {NL} || 'Question:'), "
            f"instr({x}, {NL} || 'A:')], lambda p: p > 0))")
-    return (f"{py_strip_sql(f'(CASE WHEN {pos} IS NULL THEN coalesce({x}, {chr(39)}{chr(39)}) ELSE substr({x}, 1, {pos} - 1) END)')}")
+    cut = f"(CASE WHEN {pos} IS NULL THEN coalesce({x}, '') ELSE substr({x}, 1, {pos} - 1) END)"
+    return py_strip_sql(cut)
 
 
 def last_int_sql(x):
@@ -70,10 +71,11 @@ FROM (SELECT item_id, {md5_key(SEED, 'item_id')} AS k, {demo_expr} AS d FROM ({r
       ORDER BY k, item_id LIMIT {n})"""
 
 
-GSM_LOOP_DEMO = f"'Question: ' || coalesce(question, '') || {NL} || 'Answer: ' || {py_strip_sql(chr(99) + 'oalesce(answer, ' + chr(39) * 2 + ')')} || {NL}"
-GSM_BUILDER_DEMO = (f"'Question: ' || {py_strip_sql('coalesce(question, ' + chr(39) * 2 + ')')} || {NL} || 'Answer: ' || "
-                    f"{py_strip_sql('coalesce(answer, ' + chr(39) * 2 + ')')} || {NL}")
-ARC_BUILDER_DEMO = (f"'Question: ' || {py_strip_sql('coalesce(question, ' + chr(39) * 2 + ')')} || {NL} || "
+Q = "coalesce(question, '')"
+A = "coalesce(answer, '')"
+GSM_LOOP_DEMO = f"'Question: ' || {Q} || {NL} || 'Answer: ' || {py_strip_sql(A)} || {NL}"
+GSM_BUILDER_DEMO = f"'Question: ' || {py_strip_sql(Q)} || {NL} || 'Answer: ' || {py_strip_sql(A)} || {NL}"
+ARC_BUILDER_DEMO = (f"'Question: ' || {py_strip_sql(Q)} || {NL} || "
                     f"{choices_sql('choices.text')} || {NL} || 'Answer: ' || coalesce(answerKey, '') || {NL}")
 
 

@@ -223,3 +223,11 @@ def test_arc_answer_text(spark):
 def test_format_choices(spark):
     df = spark.createDataFrame([(["x", "y"],)], "c array<string>")
     assert df.select(tx.format_choices("c")).first()[0] == "A) x\nB) y"
+
+
+def test_masked_kd_drops_padding_positions(spark):
+    rows = [(0, 0, 0, 1, [1.0, 2.0, 3.0], [3.0, 2.0, 1.0]), (0, 0, 1, 0, [9.0, 0.0, 0.0], [0.0, 0.0, 9.0])]
+    df = spark.createDataFrame(rows, "batch_id long, example_id long, pos int, m int, s array<double>, t array<double>")
+    masked = ds.batch_kd(df, 2.0, mask=F.col("m") == 1).first()["kd"]
+    assert masked == pytest.approx(1.2806266713, abs=1e-9)
+    assert ds.batch_kd(df, 2.0).first()["kd"] > masked
