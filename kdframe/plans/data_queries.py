@@ -29,7 +29,7 @@ def q_split_slice(spark, d):
 
 
 @register("read_with_fallback", """
-SELECT doc_id AS item_id, left(text, 200) AS question FROM (
+SELECT doc_id AS item_id, text AS question FROM (
   SELECT doc_id, text, row_number() OVER (ORDER BY doc_id) AS rn FROM documents) WHERE rn <= 100""")
 def q_read_with_fallback(spark, d):
     def primary():
@@ -39,7 +39,7 @@ def q_read_with_fallback(spark, d):
         return od.split_slice(table(spark, d, "documents"), "train[:100]", ["doc_id"], name=None)
 
     df = read_with_fallback(primary, fallback)
-    return df.select(F.col("doc_id").alias("item_id"), F.expr("left(text, 200)").alias("question"))
+    return df.select(F.col("doc_id").alias("item_id"), F.col("text").alias("question"))
 
 
 @register("seeded_shuffle", f"""

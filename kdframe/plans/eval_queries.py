@@ -183,14 +183,18 @@ def q_strip_prompt(spark, d):
 
 
 STOP_TEXTS = f"""
-SELECT doc_id, left(text, 60) || CASE doc_id % 3 WHEN 0 THEN {NL} || 'Q: ' WHEN 1 THEN {NL} || 'A: ' ELSE ' ' END
-       || substr(text, 61, 60) AS text FROM documents"""
+SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN replace(text, '. ', '.' || {NL} || 'Q: ')
+                               WHEN 1 THEN replace(text, '. ', '.' || {NL} || 'Question: ') ELSE text END AS text
+FROM documents"""
 
 
 def _stop_texts(spark, d):
+    """Whole documents with stop markers after every sentence for two thirds of them."""
     doc = table(spark, d, "documents")
-    sep = F.when(F.col("doc_id") % 3 == 0, "\nQ: ").when(F.col("doc_id") % 3 == 1, "\nA: ").otherwise(" ")
-    return doc.select("doc_id", F.concat(F.expr("left(text, 60)"), sep, F.expr("substr(text, 61, 60)")).alias("text"))
+    t = F.col("text")
+    marked = (F.when(F.col("doc_id") % 3 == 0, F.replace(t, F.lit(". "), F.lit(".\nQ: ")))
+              .when(F.col("doc_id") % 3 == 1, F.replace(t, F.lit(". "), F.lit(".\nQuestion: "))).otherwise(t))
+    return doc.select("doc_id", marked.alias("text"))
 
 
 @register("truncate_at_stop", f"SELECT doc_id, {stop_sql('text')} AS cut FROM ({STOP_TEXTS})")

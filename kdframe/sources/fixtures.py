@@ -70,13 +70,20 @@ HAVING count(*) FILTER (WHERE role = 'assistant') >= 2"""
 
 
 def gsm_items(spark: SparkSession, d: str) -> DataFrame:
-    """Math QA: question = first 200 characters, answer = last 200 characters of a document."""
+    """Math QA from whole documents: answer = the last line, question = everything before it
+    (a single-line document is both question and answer)."""
     doc = table(spark, d, "documents")
-    return doc.select(F.col("doc_id").alias("item_id"), F.expr("left(text, 200)").alias("question"),
-                      F.expr("right(text, 200)").alias("answer"))
+    ans = F.element_at(F.split(F.col("text"), "\n"), -1)
+    q = F.when(F.instr("text", "\n") > 0, F.expr("substring(text, 1, length(text) - length(element_at(split(text, '\\n'), -1)) - 1)")
+               ).otherwise(F.col("text"))
+    return doc.select(F.col("doc_id").alias("item_id"), q.alias("question"), ans.alias("answer"))
 
 
-GSM_SQL = "SELECT doc_id AS item_id, left(text, 200) AS question, right(text, 200) AS answer FROM documents"
+GSM_SQL = """
+SELECT doc_id AS item_id,
+       CASE WHEN instr(text, chr(10)) > 0 THEN left(text, length(text) - length(string_split(text, chr(10))[-1]) - 1)
+            ELSE text END AS question,
+       string_split(text, chr(10))[-1] AS answer FROM documents"""
 
 
 def arc_items(spark: SparkSession, d: str) -> DataFrame:
@@ -111,10 +118,10 @@ def math_items(spark: SparkSession, d: str) -> DataFrame:
 
 
 def generations(spark: SparkSession, d: str, items: DataFrame, dataset: str) -> DataFrame:
-    """(model, dataset, shot, item_id, generation): model × shot × item; the text is a document
-    prefix picked by item and shot, and a third of the rows lead with 'The answer is (X). '."""
+    """(model, dataset, shot, item_id, generation): model × shot × item; the text is a whole
+    document picked by item and shot, and a third of the rows lead with 'The answer is (X). '."""
     from ..config import SHOTS
-    docs = table(spark, d, "documents").select("doc_id", F.expr("left(text, 120)").alias("text"))
+    docs = table(spark, d, "documents").select("doc_id", "text")
     n_docs = F.broadcast(table(spark, d, "documents").agg(F.count("*").alias("_n")))     # one-row scalar
     grid = (items.select("item_id")
             .crossJoin(F.broadcast(literal_table(spark, [(i, m) for i, m in enumerate(MODELS)], "m_idx int, model string")))
@@ -124,7 +131,7 @@ def generations(spark: SparkSession, d: str, items: DataFrame, dataset: str) ->
     j = grid.join(docs, "doc_id", "left")
     lead = F.concat(F.lit("The answer is ("), F.expr("chr(65 + cast(item_id % 4 as int))"), F.lit("). "))
     gen = F.when((F.col("item_id") + F.col("n_shot") + F.col("m_idx")) % 3 == 0,
-                 F.concat(lead, F.expr("left(text, 120)"))).otherwise(F.expr("left(text, 120)"))
+                 F.concat(lead, F.col("text"))).otherwise(F.col("text"))
     return j.select("model", F.lit(dataset).alias("dataset"), "shot", "item_id", gen.alias("generation"))
 
 
@@ -132,8 +139,8 @@ def generations_sql(items_sql: str, dataset: str) -> str:
     return f"""
 SELECT g.model, '{dataset}' AS dataset, g.shot, g.item_id,
        CASE WHEN (g.item_id + g.n_shot + g.m_idx) % 3 = 0
-            THEN 'The answer is (' || chr(CAST(65 + g.item_id % 4 AS INTEGER)) || '). ' || left(doc.text, 120)
-            ELSE left(doc.text, 120) END AS generation
+            THEN 'The answer is (' || chr(CAST(65 + g.item_id % 4 AS INTEGER)) || '). ' || doc.text
+            ELSE doc.text END AS generation
 FROM (SELECT i.item_id, m.m_idx, m.model, s.shot, s.n_shot,
              (i.item_id * 7 + s.n_shot * 3 + m.m_idx) % (SELECT count(*) FROM documents) AS doc_id
       FROM ({items_sql}) i,
