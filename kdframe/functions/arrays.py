@@ -12,6 +12,14 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def idiv(c, n) -> Column:
+    """Exact floor division of integers (``c - pmod(c, n)`` is a multiple of n, so ``div`` is
+    exact); unlike ``floor(c / n)`` it never goes through DOUBLE, so ids beyond 2^53 stay exact."""
+    c = _col(c).cast("long")
+    n = (F.lit(n) if not isinstance(n, Column) else n).cast("long")
+    return F.call_function("div", c - F.pmod(c, n), n)
+
+
 def truncate_ids(ids, n: int) -> Column:
     """``truncation=True, max_length=n``: keep the first n tokens."""
     return F.slice(_col(ids), 1, n)

@@ -19,6 +19,7 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.arrays import idiv
 from ..session import ensure_checkpoint_dir
 
 BUCKET_HEX_DIGITS = 4           # 65,536 hash buckets: ~1.5 M rows per bucket at 1e11 rows
@@ -220,8 +221,8 @@ def epoch_batches(df: DataFrame, id_col: str, epochs: int, batch_size: int, grad
     ep = F.broadcast(spark.range(epochs).withColumnRenamed("id", "epoch"))
     keyed = df.crossJoin(ep).withColumn("_kh", hash_key(seed, id_col, "epoch"))
     pos = global_index(keyed, ["_kh", id_col], group_cols=["epoch"], bucket=hash_bucket("_kh"), name="pos")
-    return (pos.withColumn("batch_id", F.floor(F.col("pos") / batch_size).cast("long"))
-            .withColumn("step", F.floor(F.col("pos") / (batch_size * grad_accum)).cast("long"))
+    return (pos.withColumn("batch_id", idiv("pos", batch_size))
+            .withColumn("step", idiv("pos", batch_size * grad_accum))
             .drop("_kh"))
 
 

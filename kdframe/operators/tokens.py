@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
-from ..functions.arrays import attention_mask, pad_ids, truncate_ids
+from ..functions.arrays import attention_mask, idiv, pad_ids, truncate_ids
 from .ordering import prefix_sum
 from ..sources.readers import literal_table
 
@@ -156,8 +156,8 @@ def pack_sequences(df: DataFrame, order_cols, ids_col: str, n: int, bucket: Colu
     """
     sized = df.withColumn("_len", F.size(ids_col).cast("long"))
     off = prefix_sum(sized, order_cols, weight="_len", bucket=bucket, name="_off")
-    first = F.floor(F.col("_off") / n)
-    last = F.floor((F.col("_off") + F.col("_len") - 1) / n)
+    first = idiv("_off", n)
+    last = idiv(F.col("_off") + F.col("_len") - 1, n)
     spans = off.where(F.col("_len") > 0).select(
         ids_col, "_off", "_len", F.explode(F.sequence(first.cast("long"), last.cast("long"))).alias("block_id"))
     lo = F.greatest(F.col("block_id") * n, F.col("_off"))

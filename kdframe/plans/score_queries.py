@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scores as sc
+from ..functions.arrays import idiv
 from ..operators import distill as ds
 from ..operators import hidden as hd
 from ..sources import fixtures as fx
@@ -54,7 +55,7 @@ WHERE l.label <> -100 GROUP BY 1"""
 
 
 def _pairs(spark, d, cut=None):
-    return fx.logits_pair(spark, d, cut).withColumn("batch_id", F.floor(F.col("example_id") / BATCH).cast("long"))
+    return fx.logits_pair(spark, d, cut).withColumn("batch_id", idiv("example_id", BATCH))
 
 
 def _ce(spark, d):
@@ -133,7 +134,7 @@ def q_kd_loss_plain(spark, d):
 
 @register("kd_loss_dpo", f"SELECT batch_id, {r6('kd')} AS kd FROM ({kd_sql(PAIRS, 1.0, 1.0, 4)})")
 def q_kd_loss_dpo(spark, d):
-    p = fx.logits_pair(spark, d).withColumn("batch_id", F.floor(F.col("example_id") / 4).cast("long"))
+    p = fx.logits_pair(spark, d).withColumn("batch_id", idiv("example_id", 4))
     return ds.kd_loss_dpo(p, 1.0).select("batch_id", _r("kd").alias("kd"))
 
 
@@ -145,7 +146,7 @@ def q_kd_loss_debug(spark, d):
 @register("response_kd_mse", f"""
 SELECT pair_id // 4 AS batch_id, {r6('avg(pow(chosen - ref_chosen, 2))')} AS mse FROM ({fx.PAIR_LOGPS_SQL}) GROUP BY 1""")
 def q_response_kd_mse(spark, d):
-    p = fx.pair_logps(spark, d).select(F.floor(F.col("pair_id") / 4).cast("long").alias("batch_id"),
+    p = fx.pair_logps(spark, d).select(idiv("pair_id", 4).alias("batch_id"),
                                        F.col("chosen").alias("student_chosen"), F.col("ref_chosen").alias("teacher_chosen"))
     return ds.response_kd_mse(p).select("batch_id", _r("mse").alias("mse"))
 
@@ -194,7 +195,7 @@ SELECT batch_id, avg(lk) / max(dim) AS kd FROM (
 SELECT k.batch_id, {r6('k.kd')} AS kd, {r6('c.ce')} AS ce, {r6('0.5 * k.kd + 0.5 * c.ce')} AS loss
 FROM ({HIDDEN_KD_SQL}) k LEFT JOIN ({CE_SQL}) c ON c.batch_id = k.batch_id""")
 def q_hidden_kd_loss(spark, d):
-    bid = F.floor(F.col("example_id") / BATCH).cast("long")
+    bid = idiv("example_id", BATCH)
     s = fx.hidden_states(spark, d, "student").withColumn("batch_id", bid)
     t = fx.hidden_states(spark, d, "teacher")
     out = hd.hidden_kd_loss(s, t, fx.projections(spark), 2.0, 0.5, ce=_ce(spark, d))

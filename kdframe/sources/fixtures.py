@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.arrays import idiv
 from .readers import literal_table, table
 
 # Fixed values of the derivations.
@@ -89,7 +90,7 @@ SELECT doc_id AS item_id,
 def arc_items(spark: SparkSession, d: str) -> DataFrame:
     """Multiple choice: parts grouped by p_partkey div 4; options = 'p_name p_partkey' in key order."""
     p = table(spark, d, "part")
-    g = (p.groupBy(F.floor(F.col("p_partkey") / 4).cast("long").alias("item_id"))
+    g = (p.groupBy(idiv("p_partkey", 4).alias("item_id"))
          .agg(F.array_sort(F.collect_list(F.struct("p_partkey", F.concat_ws(" ", "p_name", F.col("p_partkey").cast("string")).alias("t")))).alias("_o")))
     letters = F.array(*[F.lit(x) for x in ARC_LETTERS])
     text = F.transform("_o", lambda x: x["t"])
@@ -128,6 +129,10 @@ def generations(spark: SparkSession, d: str, items: DataFrame, dataset: str) ->
             .crossJoin(F.broadcast(literal_table(spark, [(s, n) for s, n in SHOTS], "shot string, n_shot int")))
             .crossJoin(n_docs))
     grid = grid.withColumn("doc_id", ((F.col("item_id") * 7 + F.col("n_shot") * 3 + F.col("m_idx")) % F.col("_n")).cast("long"))
+    # the grid is narrow but expands items 6x and is then joined to whole texts that are scanned
+    # by regexes; spread it over the cores so a small item table (which AQE coalesces to one
+    # partition) does not leave all text work to one task
+    grid = grid.repartition(spark.sparkContext.defaultParallelism, "doc_id")
     j = grid.join(docs, "doc_id", "left")
     lead = F.concat(F.lit("The answer is ("), F.expr("chr(65 + cast(item_id % 4 as int))"), F.lit("). "))
     gen = F.when((F.col("item_id") + F.col("n_shot") + F.col("m_idx")) % 3 == 0,
@@ -153,7 +158,7 @@ def logits_pair(spark: SparkSession, d: str, student_vocab: int | None = None) -
     """(example_id, pos, s, t): teacher = embedding × 10, student = next embedding × 10."""
     e = table(spark, d, "embeddings").select("vec_id", "embedding")
     n = F.broadcast(e.agg(F.count("*").alias("_n")))                                  # one-row scalar
-    t = e.crossJoin(n).select((F.floor(F.col("vec_id") / EX_POSITIONS)).cast("long").alias("example_id"),
+    t = e.crossJoin(n).select(idiv("vec_id", EX_POSITIONS).alias("example_id"),
                  (F.col("vec_id") % EX_POSITIONS).cast("int").alias("pos"),
                  ((F.col("vec_id") + 1) % F.col("_n")).alias("_nxt"),
                  F.transform("embedding", lambda x: x.cast("double") * 10).alias("t"))
@@ -166,7 +171,7 @@ def logits_pair(spark: SparkSession, d: str, student_vocab: int | None = None) -
 
 def teacher_logits(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "embeddings")
-    return e.select((F.floor(F.col("vec_id") / EX_POSITIONS)).cast("long").alias("example_id"),
+    return e.select(idiv("vec_id", EX_POSITIONS).alias("example_id"),
                     (F.col("vec_id") % EX_POSITIONS).cast("int").alias("pos"),
                     F.transform("embedding", lambda x: x.cast("double") * 10).alias("logits"))
 
@@ -193,7 +198,7 @@ SELECT vec_id // {EX_POSITIONS} AS example_id, CAST(vec_id % {EX_POSITIONS} AS I
 
 def labels_tok(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "embeddings")
-    return e.select((F.floor(F.col("vec_id") / EX_POSITIONS)).cast("long").alias("example_id"),
+    return e.select(idiv("vec_id", EX_POSITIONS).alias("example_id"),
                     (F.col("vec_id") % EX_POSITIONS).cast("int").alias("pos"), F.col("label").cast("int").alias("label"))
 
 
@@ -208,7 +213,7 @@ def hidden_states(spark: SparkSession, d: str, who: str = "student") -> DataFram
     e = table(spark, d, "embeddings").select("vec_id", "embedding")
     lay = F.broadcast(spark.range(layers).select(F.col("id").cast("int").alias("layer")))
     return e.crossJoin(lay).select(
-        (F.floor(F.col("vec_id") / EX_POSITIONS)).cast("long").alias("example_id"),
+        idiv("vec_id", EX_POSITIONS).alias("example_id"),
         (F.col("vec_id") % EX_POSITIONS).cast("int").alias("pos"), "layer",
         F.transform(F.slice("embedding", F.col("layer") * dim + 1, F.lit(dim)), lambda x: x.cast("double")).alias("h"))
 
@@ -281,7 +286,7 @@ def pair_tokens(spark: SparkSession, d: str) -> DataFrame:
     p = keep_end("_p", PROMPT_LEN)
     c, r = keep_start("_c", COMPLETION_LEN), keep_start("_r", COMPLETION_LEN)
     return e.select(
-        F.floor(F.col("pair_id") / PAIRS_PER_BATCH / 2).cast("long").alias("batch_id"), "pair_id",
+        idiv("pair_id", 2 * PAIRS_PER_BATCH).alias("batch_id"), "pair_id",
         pad_ids(p, PROMPT_LEN, eos, "left").alias("prompt_ids"), attention_mask(p, PROMPT_LEN, "left").alias("prompt_mask"),
         pad_ids(c, COMPLETION_LEN, eos).alias("chosen_ids"), attention_mask(c, COMPLETION_LEN).alias("chosen_mask"),
         pad_ids(r, COMPLETION_LEN, eos).alias("rejected_ids"), attention_mask(r, COMPLETION_LEN).alias("rejected_mask"))
@@ -293,11 +298,11 @@ def pref_tokens(spark: SparkSession, d: str) -> DataFrame:
     Only complete pairs are kept.  Columns: batch_id, pair_id, side, pos, logits (student),
     t_logits (teacher), label, loss_mask."""
     e = table(spark, d, "embeddings")
-    n_keep = F.broadcast(e.agg((F.floor(F.count("*") / (2 * EX_POSITIONS)) * 2).alias("_keep")))   # complete pairs × 2
+    n_keep = F.broadcast(e.agg((idiv(F.count("*"), 2 * EX_POSITIONS) * 2).alias("_keep")))   # complete pairs × 2
     p = (logits_pair(spark, d).join(labels_tok(spark, d), ["example_id", "pos"]).crossJoin(n_keep)
          .where(F.col("example_id") < F.col("_keep")).drop("_keep"))
-    pair = F.floor(F.col("example_id") / 2).cast("long")
-    return p.select(F.floor(pair / PAIRS_PER_BATCH).cast("long").alias("batch_id"), pair.alias("pair_id"),
+    pair = idiv("example_id", 2)
+    return p.select(idiv(pair, PAIRS_PER_BATCH).alias("batch_id"), pair.alias("pair_id"),
                     F.when(F.col("example_id") % 2 == 0, "chosen").otherwise("rejected").alias("side"),
                     "example_id", "pos", F.col("s").alias("logits"), F.col("t").alias("t_logits"), "label",
                     (F.col("pos") >= 2).cast("int").alias("loss_mask"))
