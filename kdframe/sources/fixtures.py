@@ -25,7 +25,7 @@ PAIRS_PER_BATCH = 4
 PROMPT_LEN, COMPLETION_LEN = 32, 32
 VOCAB_SIZE = 4096
 SPECIALS = ("<unk>", "<eos>")
-TOKEN_RE = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\t\n\x0B\f\r ]"
+MAX_CLASSES = 10_000      # centroids (classes × dims) are gathered into one broadcast row
 
 
 def sharegpt(spark: SparkSession, d: str) -> DataFrame:
@@ -329,7 +329,11 @@ def linear_task(spark: SparkSession, d: str) -> DataFrame:
     """(id, features, label, teacher_logits): teacher = −10 × squared distance to each class
     centroid.  The centroid table has one row per class (bounded by the label set) and is
     gathered into a single broadcast row."""
-    cents = class_centroids(spark, d).agg(F.array_sort(F.collect_list(F.struct("label", "c"))).alias("_cs"))
+    cents = class_centroids(spark, d)
+    n_classes = cents.count()
+    if n_classes > MAX_CLASSES:
+        raise ValueError(f"{n_classes} classes: centroid row too large to broadcast")
+    cents = cents.agg(F.array_sort(F.collect_list(F.struct("label", "c"))).alias("_cs"))
     cents = cents.select(F.transform("_cs", lambda x: x["c"]).alias("_cs"))
     e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"),
                                               F.transform("embedding", lambda v: v.cast("double")).alias("features"), "label")
