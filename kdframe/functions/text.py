@@ -46,8 +46,8 @@ def truncate_at_stop(text, stops=STOP_SEQS, cleanup: bool = True) -> Column:
     t = F.coalesce(_col(text), F.lit(""))
     if not cleanup:
         return t
-    pos = F.array_min(F.filter(F.transform(F.array(*[F.lit(s) for s in stops]), lambda s: F.instr(t, s)),
-                               lambda p: p > 0))
+    hits = [F.nullif(F.instr(t, s), F.lit(0)) for s in stops]
+    pos = F.least(*hits) if len(hits) > 1 else hits[0]          # least() skips nulls; no lambda
     cut = F.when(pos.isNull(), t).otherwise(t.substr(F.lit(1), pos - 1))
     return py_strip(cut)
 

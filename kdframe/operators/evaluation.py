@@ -165,3 +165,21 @@ def generate_batch(df: DataFrame, fn: Callable[[list], list], prompt_col: str =
 
     out = df.mapInPandas(run, schema)
     return out.withColumn(out_col, truncate_at_stop(out_col, stops, cleanup) if cleanup else py_strip(out_col))
+
+
+def generation_udf(make_generate: Callable[[], Callable[[list], list]], batch_size: int = 64):
+    """Column-level inference hook built on ``predict_batch_udf``: ``make_generate()`` loads the
+    model once per Python worker and returns ``fn(list_of_prompts) -> list_of_texts``; Spark feeds
+    it Arrow batches of ``batch_size`` prompts.  Apply ``truncate_at_stop`` to the result as the
+    cleanup step."""
+    import numpy as np
+    from pyspark.ml.functions import predict_batch_udf
+
+    def make():
+        fn = make_generate()
+
+        def predict(prompts):
+            return np.array(fn([str(p) for p in prompts]), dtype=object)
+        return predict
+
+    return predict_batch_udf(make, return_type=StringType(), batch_size=batch_size)

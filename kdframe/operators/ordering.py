@@ -129,7 +129,13 @@ def hash_bucket(hash_col: str | Column, digits: int = BUCKET_HEX_DIGITS) -> Colu
     return F.substring(c, 1, digits)
 
 
-def first_n_predicate(df: DataFrame, order_cols, n: int, bucket: Column) -> Column:
+def bucket_totals(df: DataFrame, bucket: Column) -> list:
+    """Sorted (bucket, rows) pairs: one aggregate, at most #buckets rows on the driver."""
+    rows = df.select(bucket.alias("_kb")).groupBy("_kb").agg(F.count("*").alias("n")).collect()
+    return sorted((r["_kb"], r["n"]) for r in rows if r["_kb"] is not None)
+
+
+def first_n_predicate(df: DataFrame, order_cols, n: int, bucket: Column, totals: list | None = None) -> Column:
     """Boolean column: is the row among the first ``n`` in ``order_cols`` order?
 
     One aggregate gives the row count per bucket (a table of at most #buckets rows, read by
@@ -142,8 +148,7 @@ def first_n_predicate(df: DataFrame, order_cols, n: int, bucket: Column) -> Colu
     if n <= 0:
         return F.lit(False)
     tagged = df.withColumn("_kb", bucket)
-    totals = sorted((r["_kb"], r["n"]) for r in tagged.groupBy("_kb").agg(F.count("*").alias("n")).collect()
-                    if r["_kb"] is not None)
+    totals = bucket_totals(df, bucket) if totals is None else totals
     seen = 0
     for b, c in totals:
         if seen + c >= n:
@@ -207,10 +212,11 @@ def train_test_split(df: DataFrame, id_col: str, test_size: float | int | None,
     """
     if not test_size:
         return df.withColumn(split_col, F.lit("train"))
-    n = df.count()
-    n_test = int(test_size) if isinstance(test_size, int) and test_size >= 1 else math.ceil(test_size * n)
     keyed = df.withColumn("_kh", hash_key(seed, id_col))
-    is_test = first_n_predicate(keyed, ["_kh", id_col], n_test, hash_bucket("_kh"))
+    totals = bucket_totals(keyed, hash_bucket("_kh"))          # also gives n: no separate count
+    n = sum(c for _, c in totals)
+    n_test = int(test_size) if isinstance(test_size, int) and test_size >= 1 else math.ceil(test_size * n)
+    is_test = first_n_predicate(keyed, ["_kh", id_col], n_test, hash_bucket("_kh"), totals)
     return keyed.withColumn(split_col, F.when(is_test, "test").otherwise("train")).drop("_kh")
 
 

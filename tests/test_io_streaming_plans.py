@@ -136,3 +136,15 @@ def test_fit_log_written(spark, tmpdir_path):
     ft.distil_and_log(task, "features", "teacher_logits", "label", os.path.join(tmpdir_path, "log"), iters=2)
     rows = spark.read.json(os.path.join(tmpdir_path, "log")).count()
     assert rows == 3
+
+
+def test_generation_udf(spark):
+    from kdframe.functions.text import truncate_at_stop, zero_shot_prompt
+    from kdframe.operators.evaluation import generation_udf
+
+    def make():
+        return lambda prompts: [p.split("\n")[0] + "\nQ: next" for p in prompts]
+    items = fx.gsm_items(spark, SF001).select("item_id", zero_shot_prompt("question").alias("prompt"))
+    gen = generation_udf(make, batch_size=16)
+    out = items.withColumn("raw", gen("prompt")).withColumn("generation", truncate_at_stop("raw")).collect()
+    assert all(r["generation"] == r["prompt"].split("\n")[0].strip() for r in out)
