@@ -28,19 +28,18 @@ class StudentSpec:
     features: tuple          # indices into the feature array used by this student
 
 
-def _softmax(z: np.ndarray) -> np.ndarray:
-    z = z - z.max(axis=1, keepdims=True)
-    e = np.exp(z)
-    return e / e.sum(axis=1, keepdims=True)
-
+def _partials(bc, k: int, d: int, temperature: float, alpha: float):
+    """mapInPandas function: partial gradient sums and loss of one partition as (idx, value) rows.
 
-def _log_softmax(z: np.ndarray) -> np.ndarray:
-    z = z - z.max(axis=1, keepdims=True)
-    return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
+    Everything the workers run is defined in here, so it is shipped by value and the workers do
+    not need this package installed."""
+    def _log_softmax(z):
+        z = z - z.max(axis=1, keepdims=True)
+        return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
 
+    def _softmax(z):
+        return np.exp(_log_softmax(z))
 
-def _partials(bc, k: int, d: int, temperature: float, alpha: float):
-    """mapInPandas function: partial gradient sums and loss of one partition as (idx, value) rows."""
     def run(batches):
         w, b = bc.value
         gw = np.zeros((k, d))
