@@ -10,6 +10,15 @@ from pyspark.sql import SparkSession
 _LOCAL_CKPT: dict[str, str] = {}
 
 
+def _default_driver_memory() -> str:
+    """Local mode runs everything in the driver JVM: give it ~60 % of RAM, at most 16 GiB."""
+    try:
+        total = os.sysconf("SC_PAGE_SIZE") * os.sysconf("SC_PHYS_PAGES")
+    except (ValueError, OSError, AttributeError):
+        return "4g"
+    return f"{max(1, min(16, int(total * 0.6 / 2 ** 30)))}g"
+
+
 def get_session(master: str | None = None, shuffle_partitions: int | None = None,
                 app: str = "kdframe", event_log_dir: str | None = None) -> SparkSession:
     """Build (or reuse) a session with the settings every entry point here assumes.
@@ -29,7 +38,7 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
          .config("spark.sql.adaptive.skewJoin.enabled", "true")
          .config("spark.sql.session.timeZone", "UTC")
          .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-         .config("spark.driver.memory", os.environ.get("KDFRAME_DRIVER_MEMORY", "16g"))
+         .config("spark.driver.memory", os.environ.get("KDFRAME_DRIVER_MEMORY", _default_driver_memory()))
          .config("spark.sql.autoBroadcastJoinThreshold", str(32 * 1024 * 1024)))
     if event_log_dir:
         b = b.config("spark.eventLog.enabled", "true").config("spark.eventLog.dir", event_log_dir)
