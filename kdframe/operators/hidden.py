@@ -51,11 +51,15 @@ def project_hidden(hidden: DataFrame, weights: DataFrame, h_col: str = "h") -> D
 
 
 def hidden_kd_loss(student: DataFrame, teacher: DataFrame, weights: DataFrame, temperature: float = 2.0,
-                   alpha: float = 0.5, ce: DataFrame | None = None, batch_col: str = "batch_id") -> DataFrame:
+                   alpha: float = 0.5, ce: DataFrame | None = None, batch_col: str = "batch_id",
+                   num_student: int | None = None, num_teacher: int | None = None) -> DataFrame:
     """(batch_id, kd, ce, loss): per mapped layer batchmean KL · T², mean over layers, ÷ hidden dim,
     α-mixed with CE.  A dimension mismatch between adapted student and teacher state raises."""
     spark = student.sparkSession
-    lm = F.broadcast(layer_map(spark, student=student, teacher=teacher))
+    if num_student is not None and num_teacher is not None:      # model config known: no scan
+        lm = F.broadcast(layer_map(spark, num_student, num_teacher))
+    else:                                                          # else count distinct layers
+        lm = F.broadcast(layer_map(spark, student=student, teacher=teacher))
     s = project_hidden(student, weights).join(lm, F.col("layer") == F.col("student_layer")).drop("layer")
     t = teacher.select("example_id", "pos", F.col("layer").alias("teacher_layer"), F.col("h").alias("t"))
     j = s.join(t, ["example_id", "pos", "teacher_layer"], "inner")

@@ -183,3 +183,13 @@ def encode_with_tokenizer(df: DataFrame, text_col: str, make_tokenizer, out: str
         return pd.Series([np.asarray(x, dtype=np.int32) for x in ids], index=texts.index, dtype=object)
 
     return df.withColumn(out, run(F.col(text_col)))
+
+
+def save_vocab(vocab: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """Persist a fitted vocabulary (it is small: at most ``size`` rows) so later jobs over the
+    same corpus reuse it instead of refitting."""
+    vocab.coalesce(1).write.mode(mode).parquet(path)
+
+
+def load_vocab(spark, path: str) -> DataFrame:
+    return spark.read.schema("token string, id int").parquet(path)

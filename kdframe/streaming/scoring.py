@@ -50,3 +50,16 @@ def start(df: DataFrame, name: str, sink: str = "memory", output_mode: str = "co
     if path is not None:
         w = w.option("path", path)
     return w.start()
+
+
+PAIR_SCHEMA = "pair_id bigint, system string, question string, chosen string, rejected string"
+
+
+def format_pair_stream(spark: SparkSession, path: str, max_files_per_trigger: int | None = None) -> DataFrame:
+    """Preference rows arriving as parquet files → (pair_id, prompt, chosen, rejected); the DPO
+    formatter is a row-local projection, so the streaming query keeps no state."""
+    from ..operators.conversations import dpo_format
+    r = spark.readStream.schema(PAIR_SCHEMA)
+    if max_files_per_trigger:
+        r = r.option("maxFilesPerTrigger", max_files_per_trigger)
+    return dpo_format(r.parquet(path))

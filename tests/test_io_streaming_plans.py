@@ -148,3 +148,30 @@ def test_generation_udf(spark):
     gen = generation_udf(make, batch_size=16)
     out = items.withColumn("raw", gen("prompt")).withColumn("generation", truncate_at_stop("raw")).collect()
     assert all(r["generation"] == r["prompt"].split("\n")[0].strip() for r in out)
+
+
+def test_format_pair_stream_matches_batch(spark, tmpdir_path):
+    from kdframe.operators.conversations import dpo_format
+    pairs = fx.dpo_pairs(spark, SF001)
+    src = os.path.join(tmpdir_path, "pairs")
+    pairs.repartition(3).write.parquet(src)
+    q = st.start(st.format_pair_stream(spark, src, 1), "pairs_fmt", output_mode="append",
+                 checkpoint=os.path.join(tmpdir_path, "ckpt_pairs"))
+    q.processAllAvailable()
+    got = spark.sql("SELECT * FROM pairs_fmt")
+    q.stop()
+    ref = dpo_format(pairs)
+    assert got.count() == ref.count() and got.exceptAll(ref).count() == 0
+
+
+def test_vocab_roundtrip_and_layer_counts(spark, tmpdir_path):
+    from kdframe.operators import tokens as tk
+    v = tk.fit_vocab(table(spark, SF001, "documents"), "text", 300)
+    tk.save_vocab(v, os.path.join(tmpdir_path, "vocab"))
+    back = tk.load_vocab(spark, os.path.join(tmpdir_path, "vocab"))
+    assert back.exceptAll(v).count() == 0 and back.count() == 300
+    s = fx.hidden_states(spark, SF001, "student").withColumn("batch_id", F.lit(0))
+    t = fx.hidden_states(spark, SF001, "teacher")
+    a = hd.hidden_kd_loss(s, t, fx.projections(spark)).first()["kd"]
+    b = hd.hidden_kd_loss(s, t, fx.projections(spark), num_student=3, num_teacher=5).first()["kd"]
+    assert abs(a - b) < 1e-12
