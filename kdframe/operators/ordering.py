@@ -115,7 +115,8 @@ def _numeric_bucket(df: DataFrame, order_cols):
     qs = keyed.approxQuantile("_kd", probs, 1.0 / (4 * buckets)) if n else []
     splits = [float("-inf")] + sorted(set(q for q in qs if q is not None)) + [float("inf")]
     out = Bucketizer(splits=splits, inputCol="_kd", outputCol="_kq", handleInvalid="keep").transform(keyed)
-    return out.drop("_kd"), F.col("_kq")
+    # null keys sort first in Spark's ascending order: give them the bucket before all others
+    return out.drop("_kd"), F.when(F.col(first).isNull(), F.lit(-1.0)).otherwise(F.col("_kq"))
 
 
 def global_index(df: DataFrame, order_cols, group_cols=(), bucket: Column | None = None,

@@ -134,3 +134,19 @@ def test_dense_and_long_kl_agree(spark):
     long = lg.kl_long(lg.pad_vocab_long(lg.to_long(p, "s", "s"), lg.to_long(p, "t", "t")), 2.0)
     diff = dense.join(long, ["example_id", "pos"]).select(F.max(F.abs(F.col("d") - F.col("kl")))).first()[0]
     assert diff < 1e-9
+
+
+def test_encode_join_path_equals_udf_path(spark):
+    from kdframe.operators import tokens as tk
+    docs = table(spark, SF001, "documents").select("doc_id", "text")
+    vocab = tk.fit_vocab(docs, "text", 500)
+    a = tk.encode(docs, "text", vocab, method="udf").select("doc_id", F.col("input_ids").alias("a"))
+    b = tk.encode(docs, "text", vocab, method="join", key="doc_id").select("doc_id", F.col("input_ids").alias("b"))
+    j = a.join(b, "doc_id")
+    assert j.count() == docs.count() and j.where(F.col("a") != F.col("b")).count() == 0
+
+
+def test_null_order_keys_sort_first(spark):
+    df = spark.createDataFrame([(None, "a"), (5, "b"), (None, "c"), (1, "d")], "k long, v string")
+    got = [(r["k"], r["v"]) for r in od.global_index(df, ["k", "v"]).orderBy("idx").collect()]
+    assert got == [(None, "a"), (None, "c"), (1, "d"), (5, "b")]
