@@ -29,7 +29,8 @@ def sequence_logps(tokens: DataFrame, logits: str = "logits", ipo: bool = False,
     """(keys…, chosen_logps, rejected_logps): Σ masked token log-probs per sequence (the +1 roll
     of the source does not change a sum); ``ipo`` divides by the number of loss tokens."""
     t = token_logps(tokens, logits)
-    val = F.sum("lp") / F.sum("loss_mask") if ipo else F.sum("lp")
+    # a sequence without loss tokens has no IPO average (0/0): null instead of an ANSI error
+    val = F.try_divide(F.sum("lp"), F.sum("loss_mask")) if ipo else F.sum("lp")
     per = t.groupBy(*keys, "side").agg(val.alias("v"))
     return per.groupBy(*keys).pivot("side", SIDES).agg(F.first("v")).select(
         *keys, F.col("chosen").alias("chosen_logps"), F.col("rejected").alias("rejected_logps"))
@@ -86,7 +87,7 @@ def wpo_weights(tokens: DataFrame, logits: str = "logits", faithful_shift: bool
     adj = F.zip_with(lp, F.transform("_s", lambda x: x["_adj"]), lambda a, b: a - b)
     num = sc.array_sum(F.zip_with(adj, F.transform("_s", lambda x: x["loss_mask"].cast("double")), lambda a, m: a * m))
     den = F.aggregate(F.transform("_s", lambda x: x["loss_mask"]), F.lit(0), lambda a, m: a + m)
-    w = seq.select(*keys, "side", (num / den).alias("w"))
+    w = seq.select(*keys, "side", F.try_divide(num, den).alias("w"))
     p = w.groupBy(*keys).pivot("side", SIDES).agg(F.first("w"))
     return p.select(*keys, F.least(F.lit(1.0), F.exp(F.col("chosen") + F.col("rejected"))).alias("policy_weight"))
 
