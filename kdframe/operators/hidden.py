@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scores as sc
 from ..sources.readers import literal_table
 
-MAX_PROJECTION_ROWS = 1_000_000     # layers × out_dim rows of adapter weights allowed in a broadcast
+BROADCAST_BUDGET_BYTES = 256 * 2 ** 20   # adapter weights shipped to every executor at once
 
 
 def layer_map(spark, num_student: int | None = None, num_teacher: int | None = None,
@@ -38,16 +38,33 @@ def projection_matrices(weights: DataFrame) -> DataFrame:
 
 
 def project_hidden(hidden: DataFrame, weights: DataFrame, h_col: str = "h") -> DataFrame:
-    """Adapted state per (example, pos, layer): W·h + B.  The weight table is sized by the model
-    (layers × dims), checked, then broadcast, so the hidden-state side is never shuffled;
-    layers without a projection are dropped (inner join)."""
-    n = weights.count()
-    if n > MAX_PROJECTION_ROWS:
-        raise ValueError(f"projection table has {n} rows; too large to broadcast")
-    mats = F.broadcast(projection_matrices(weights))
-    j = hidden.join(mats, "layer", "inner")
+    """Adapted state per (example, pos, layer): W·h + B; layers without a projection are dropped.
+
+    The weights are sized by the model, not the data.  Their byte size is measured first: within
+    the budget all layers are broadcast together and the hidden-state side is never shuffled;
+    above it each layer's matrix is broadcast on its own against that layer's rows (the passes
+    are unioned), so no single broadcast exceeds one layer's matrix, which must fit the budget.
+    """
+    st = weights.agg(F.count("*").alias("rows"), F.max(F.size("w")).alias("dim"),
+                     F.collect_set("layer").alias("layers")).first()
+    per_row = 8 * (int(st["dim"] or 0) + 1)
+    total = int(st["rows"]) * per_row
+    mats = projection_matrices(weights)
     proj = F.transform("W", lambda w, o: sc.dot(w, h_col) + F.element_at("B", o + 1))
-    return j.withColumn(h_col, proj).drop("W", "B")
+
+    def apply(h: DataFrame, m: DataFrame) -> DataFrame:
+        return h.join(F.broadcast(m), "layer", "inner").withColumn(h_col, proj).drop("W", "B")
+
+    if total <= BROADCAST_BUDGET_BYTES:
+        return apply(hidden, mats)
+    out = None
+    for layer in sorted(st["layers"]):
+        size = weights.where(F.col("layer") == layer).count() * per_row
+        if size > BROADCAST_BUDGET_BYTES:
+            raise ValueError(f"projection of layer {layer} is {size} bytes; above the broadcast budget")
+        part = apply(hidden.where(F.col("layer") == layer), mats.where(F.col("layer") == layer))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def hidden_kd_loss(student: DataFrame, teacher: DataFrame, weights: DataFrame, temperature: float = 2.0,
