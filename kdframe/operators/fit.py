@@ -2,8 +2,9 @@
 soft labels by full-batch gradient descent.
 
 Per iteration the (small) weights are broadcast, every partition computes its partial gradient
-with numpy inside ``mapInPandas`` and emits it as (index, value) rows, and a hash aggregate
-sums them -- the same map-side combine as any Spark aggregation.  The input is cached once;
+with numpy inside ``mapInPandas`` and emits it as fixed-size array chunks, and the chunks are
+summed element-wise per chunk id -- a group holds one chunk from each partition, so the
+reduction is spread over tasks and bounded per group.  The input is cached once;
 only the weights change between iterations.  Between cascade stages the student scores are
 reliably checkpointed so lineage does not grow with the number of stages.
 """
@@ -22,6 +23,9 @@ from ..session import ensure_checkpoint_dir
 from ..sources.readers import literal_table
 
 
+CHUNK = 8192      # partial gradients travel as arrays of this many doubles, summed per chunk id
+
+
 @dataclass(frozen=True)
 class StudentSpec:
     name: str
@@ -65,7 +69,8 @@ def _partials(bc, k: int, d: int, temperature: float, alpha: float):
             gb += g.sum(axis=0)
             n += len(y)
         vals = np.concatenate([gw.ravel(), gb, [loss, float(n)]])
-        yield pd.DataFrame({"idx": np.arange(len(vals), dtype=np.int64), "v": vals})
+        chunks = [vals[i:i + CHUNK] for i in range(0, len(vals), CHUNK)]
+        yield pd.DataFrame({"chunk": np.arange(len(chunks), dtype=np.int64), "vals": chunks})
     return run
 
 
@@ -85,11 +90,14 @@ def distil_linear(df: DataFrame, features: str, teacher_logits: str, label: str,
     history = []
     for step in range(iters + 1):
         bc = spark.sparkContext.broadcast((w, b))
-        parts = data.mapInPandas(_partials(bc, k, d, temperature, alpha), "idx long, v double")
-        tot = parts.groupBy("idx").agg(F.sum("v").alias("v")).collect()    # K·D + K + 2 values
-        vec = np.zeros(k * d + k + 2)
-        for r in tot:
-            vec[r["idx"]] = r["v"]
+        parts = data.mapInPandas(_partials(bc, k, d, temperature, alpha), "chunk long, vals array<double>")
+        # per chunk id: element-wise sum of one partial per partition (JVM, no Python stage)
+        grouped = parts.groupBy("chunk").agg(F.collect_list("vals").alias("_l"))
+        summed = grouped.select("chunk", F.aggregate(
+            F.slice("_l", 2, F.greatest(F.size("_l") - 1, F.lit(0))), F.element_at("_l", 1),
+            lambda acc, v: F.zip_with(acc, v, lambda x, y: x + y)).alias("vals"))
+        tot = summed.collect()
+        vec = np.concatenate([np.asarray(r["vals"]) for r in sorted(tot, key=lambda r: r["chunk"])])
         n = max(vec[-1], 1.0)
         history.append((run, step, float(vec[-2] / n)))
         bc.unpersist()
