@@ -7,9 +7,6 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT_SYSTEM, DPO_SUFFIX, FIXED_SYSTEM, IM_END, IM_START
 
-_ROLE = {"human": "user", "gpt": "assistant", "system": "system"}
-
-
 def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 

@@ -92,6 +92,3 @@ def wpo_adjust(logits) -> Column:
 def dot(a, b) -> Column:
     return array_sum(F.zip_with(as_double(a), as_double(b), lambda x, y: x * y))
 
-
-def round6(c) -> Column:
-    return F.round(_col(c), 6)

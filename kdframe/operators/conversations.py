@@ -8,9 +8,6 @@ from pyspark.sql import functions as F
 from ..config import DEFAULT_SYSTEM, DPO_SUFFIX
 from ..functions.chat import dpo_completion, dpo_prompt, render_chatml, sharegpt_to_messages
 
-ROLE_TO_FROM = {"user": "human", "assistant": "gpt", "system": "system"}
-
-
 def collect_conversations(turns: DataFrame, conv_col="conv_id", turn_col="turn", role_col="role",
                           text_col="text") -> DataFrame:
     """(conv_id, turn, role, text) → (conv_id, conversations ARRAY<STRUCT<from, value>>) in turn order.

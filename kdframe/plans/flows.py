@@ -7,13 +7,12 @@ from typing import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import ARC_NAME, GSM_NAME, SHOTS
-from ..functions.chat import render_chatml, sharegpt_to_messages
+from ..config import ARC_NAME, GSM_NAME, DistillConfig, DPOConfig, EvalConfig
 from ..operators import evaluation as ev
 from ..operators import ordering as od
 from ..operators import preference as pf
 from ..operators import tokens as tk
-from ..operators.conversations import collect_conversations
+from ..operators.conversations import collect_conversations, format_sharegpt
 from ..operators.distill import kd_loss_dpo
 from ..sources import fixtures as fx
 from ..sources.readers import literal_table, table
@@ -21,27 +20,29 @@ from ..sources.readers import literal_table, table
 
 def chat_sequences(spark: SparkSession, d: str, test_size: float = 0.1, seed: int = 42) -> DataFrame:
     """Logit-KD data slice: turns → ShareGPT → messages → ChatML text → exact seeded split."""
-    conv = collect_conversations(table(spark, d, "conversations"))
-    text = conv.select("conv_id", render_chatml(sharegpt_to_messages("conversations"), True).alias("text"))
+    text = format_sharegpt(collect_conversations(table(spark, d, "conversations")))
     return od.train_test_split(text, "conv_id", test_size, seed).select(
         "conv_id", "split", F.length("text").cast("long").alias("n_chars"), "text")
 
 
-def chat_kd_dataset(spark: SparkSession, d: str, vocab_size: int = 4096, max_length: int = 4096,
-                    test_size: float = 0.1, seed: int = 42) -> DataFrame:
+def chat_kd_dataset(spark: SparkSession, d: str, vocab_size: int = 4096, cfg: DistillConfig = DistillConfig(),
+                    max_length: int | None = None) -> DataFrame:
     """Entry 1 end to end: ChatML text encoded with a vocabulary fitted on the corpus, truncated
-    and padded to ``max_length`` (pad = eos), with attention masks and the seeded split."""
-    seqs = chat_sequences(spark, d, test_size, seed)
+    and padded to ``max_length`` (default ``cfg.max_length``; pad = eos), with attention masks
+    and the seeded split of ``cfg.test_size``."""
+    n = max_length or cfg.max_length
+    seqs = chat_sequences(spark, d, cfg.test_size, cfg.seed)
     vocab = tk.fit_vocab(table(spark, d, "documents"), "text", vocab_size)
     eos = tk.SPECIALS.index("<eos>")
-    enc = tk.encode_padded(seqs, "text", vocab, max_length, eos)
+    enc = tk.encode_padded(seqs, "text", vocab, n, eos)
     return enc.select("conv_id", "split", F.aggregate("attention_mask", F.lit(0), lambda a, m: a + m).cast("long")
                       .alias("n_tokens"), "input_ids", "attention_mask")
 
 
-def preference_batches(spark: SparkSession, d: str, beta: float = 0.1, kd_weight: float = 1e-3) -> DataFrame:
+def preference_batches(spark: SparkSession, d: str, cfg: DPOConfig = DPOConfig()) -> DataFrame:
     """Entry 2 per batch: sequence log-probs of policy (student) and reference (teacher), DPO
     loss + kd_weight · batch KD, and the logged metrics as (batch_id, metric, value)."""
+    beta, kd_weight = cfg.beta, cfg.kd_weight
     tok = fx.pref_tokens(spark, d)
     pol = pf.sequence_logps(tok, "logits")
     ref = pf.sequence_logps(tok, "t_logits").select("pair_id", F.col("chosen_logps").alias("ref_chosen"),
@@ -49,7 +50,8 @@ def preference_batches(spark: SparkSession, d: str, beta: float = 0.1, kd_weight
     pairs = pf.reference_logps(pol, ref).select("batch_id", "pair_id", F.col("chosen_logps").alias("chosen"),
                                                  F.col("rejected_logps").alias("rejected"), "ref_chosen", "ref_rejected")
     per_pair = pf.reward_accuracy(pf.dpo_loss(pairs, beta))
-    kd = kd_loss_dpo(tok.select("batch_id", "example_id", "pos", F.col("logits").alias("s"), F.col("t_logits").alias("t")))
+    kd = kd_loss_dpo(tok.select("batch_id", "example_id", "pos", F.col("logits").alias("s"), F.col("t_logits").alias("t")),
+                     cfg.kd_temperature)
     total = pf.dpo_kd_total(per_pair, kd, kd_weight).select("batch_id", F.lit("loss").alias("metric"),
                                                             F.col("total_loss").alias("value"))
     per_batch = pf.mean_masked_logits(tok).join(kd, "batch_id")
@@ -57,9 +59,11 @@ def preference_batches(spark: SparkSession, d: str, beta: float = 0.1, kd_weight
 
 
 def reasoning_eval(spark: SparkSession, d: str, models: list, generate: Callable[[list], list],
-                   shots=SHOTS, seed: int = 42, n_items: int = 50) -> tuple:
+                   cfg: EvalConfig = EvalConfig(), n_items: int | None = None) -> tuple:
     """Entry 3: for every model and shot setting build GSM and ARC prompts (demos from a seeded
     pool), generate through the hook, score, and return (detail rows, summary, pivot)."""
+    shots, seed = cfg.shots, cfg.seed
+    n_items = n_items or cfg.gsm_samples
     gsm, arc = fx.gsm_items(spark, d), fx.arc_items(spark, d)
     gsm_test, arc_test = od.bounded_head(gsm, ["item_id"], n_items), od.bounded_head(arc, ["item_id"], n_items)
     prompts = []

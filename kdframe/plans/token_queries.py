@@ -60,7 +60,7 @@ def sj(c):
 
 
 def _docs(spark, d):
-    return table(spark, d, "documents").select("doc_id", "text")
+    return fx.lm_text(spark, d)
 
 
 def _vocab(spark, d, size=VOCAB):

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from kdframe.config import DistillConfig
 from kdframe.plans import flows
 
 from .conftest import SF001
@@ -9,6 +10,7 @@ from .conftest import SF001
 
 def test_chat_kd_dataset(spark):
     df = flows.chat_kd_dataset(spark, SF001, vocab_size=512, max_length=64)
+    assert flows.chat_kd_dataset(spark, SF001, 512, DistillConfig(max_length=32)).first()["input_ids"].__len__() == 32
     r = df.first()
     assert len(r["input_ids"]) == 64 and len(r["attention_mask"]) == 64
     assert df.select(F.max("n_tokens")).first()[0] <= 64
