@@ -153,7 +153,9 @@ def generate_batch(df: DataFrame, fn: Callable[[list], list], prompt_col: str =
                    out_col: str = "generation", stops=STOP_SEQS, cleanup: bool = True) -> DataFrame:
     """Batch-inference hook: ``fn(list_of_prompts) -> list_of_texts`` runs inside ``mapInPandas``
     on Arrow batches (load the model once per worker inside ``fn``); outputs are stripped and,
-    with ``cleanup``, cut at the stop sequences."""
+    with ``cleanup``, cut at the stop sequences.  ``fn`` owns decoding: greedy, at most
+    ``max_new_tokens`` new tokens, the prompt truncated to its first ``max_length`` model tokens
+    and only the continuation returned (see ``strip_prompt`` for id-level outputs)."""
     schema = StructType(list(df.schema.fields) + [StructField(out_col, StringType())])
 
     def run(batches):
