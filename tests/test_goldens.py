@@ -231,3 +231,13 @@ def test_masked_kd_drops_padding_positions(spark):
     masked = ds.batch_kd(df, 2.0, mask=F.col("m") == 1).first()["kd"]
     assert masked == pytest.approx(1.2806266713, abs=1e-9)
     assert ds.batch_kd(df, 2.0).first()["kd"] > masked
+
+
+def test_eval_metrics_prefix(spark):
+    pairs = spark.createDataFrame([(0, 1, -10.0, -14.0, -11.0, -13.0)],
+                                  "batch_id long, pair_id long, chosen double, rejected double, ref_chosen double, ref_rejected double")
+    per_pair = pf.reward_accuracy(pf.dpo_loss(pairs, 0.1))
+    per_batch = spark.createDataFrame([(0, 1.5, -0.5, 0.01)], "batch_id long, mean_chosen_logits double, mean_rejected_logits double, kd double")
+    got = {r["metric"]: r["value"] for r in pf.preference_metrics(per_pair, per_batch, train_eval="eval").collect()}
+    assert set(got) == {"eval_" + m for m in pf.METRICS}
+    assert got["eval_rewards/margins"] == pytest.approx(0.2) and got["eval_logits/kd"] == pytest.approx(0.01)
