@@ -30,3 +30,10 @@ def test_reasoning_eval(spark):
     assert summary.count() == 2 * 2 * 3
     assert detail.count() == 2 * 3 * (5 + 5)
     assert set(pivot.columns) == {"dataset", "model", "0-shot", "1-shot", "3-shot"}
+
+
+def test_entry_is_deterministic(spark):
+    import __spark_entry__ as entry
+    a = {(r["conv_id"], r["split"], r["n_tokens"]) for r in entry.entry(spark).collect()}
+    b = {(r["conv_id"], r["split"], r["n_tokens"]) for r in entry.entry(spark).collect()}
+    assert a == b and len(a) == 20
