@@ -21,5 +21,6 @@ def register(name: str, sql: str | None = None):
 
 def load() -> tuple[dict, dict]:
     """Import every query module and return (queries, oracle SQL)."""
-    from . import decontam_queries, dedup_queries, mixing_queries, quality_queries, topk_queries  # noqa: F401
+    from . import (decontam_queries, dedup_queries, langid_queries, mixing_queries, quality_queries,  # noqa: F401
+                   topk_queries)
     return dict(QUERIES), dict(ORACLE)
