@@ -21,6 +21,6 @@ def register(name: str, sql: str | None = None):
 
 def load() -> tuple[dict, dict]:
     """Import every query module and return (queries, oracle SQL)."""
-    from . import (decontam_queries, dedup_queries, langid_queries, mixing_queries, quality_queries,  # noqa: F401
-                   tokencount_queries, topk_queries)
+    from . import (decontam_queries, dedup_queries, html_queries, langid_queries, mixing_queries,  # noqa: F401
+                   quality_queries, tokencount_queries, topk_queries)
     return dict(QUERIES), dict(ORACLE)
