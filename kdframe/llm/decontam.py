@@ -142,3 +142,23 @@ def contaminated(docs: DataFrame, items: DataFrame, shingle: int = SHINGLE, thre
         part = probe(block)
         found = part if found is None else found.unionByName(part)
     return found if found is not None else spark.createDataFrame([], schema)
+
+
+def clean(docs: DataFrame, items: DataFrame, shingle: int = SHINGLE, threshold: float = THRESHOLD, text_col: str = "text",
+          item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that hold no item at or above ``threshold``, with their columns; nothing is shuffled."""
+    at = docs.columns.index(text_col)
+    test = items.select(F.col(item_col).alias("item_id"), F.col(item_text_col).alias("text"))
+
+    def without(rows: DataFrame, block: list[tuple]) -> DataFrame:
+        sent = docs.sparkSession.sparkContext.broadcast(block)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            index = ItemIndex(sent.value, shingle, threshold)
+            for b in batches:
+                yield b.filter(pa.array([not index.matches(t.as_py()) for t in b.column(at)], pa.bool_()))
+        return rows.mapInArrow(run, docs.schema)
+
+    for block in _item_blocks(test):
+        docs = without(docs, block)
+    return docs

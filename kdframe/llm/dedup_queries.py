@@ -9,7 +9,8 @@ from .queries import register
 
 @register("op1_simhash_near_dedup")
 def op1_simhash_near_dedup(spark, sf_dir):
-    return simhash.near_duplicates(read_table(spark, sf_dir, "documents"), shingle=3, max_bits=3)
+    found = simhash.near_duplicates(read_table(spark, sf_dir, "documents"), shingle=3, max_bits=3)
+    return found.select("doc_id", "fingerprint", "component_id")
 
 
 @register("op2_substring_dedup")

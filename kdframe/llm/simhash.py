@@ -52,15 +52,17 @@ def fingerprint_of(text: bytes | None, k: int) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, fp)`` for every row of ``docs``; ``fp`` holds the 64 bits as a signed long."""
+    """``(doc_id, row_key, fp)`` for every row of ``docs``; ``fp`` holds the 64 bits as a signed long, and
+    ``row_key`` a hash of id and text."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = np.fromiter((fingerprint_of(t.as_py(), shingle) for t in b.column(1)), np.uint64, b.num_rows)
-            yield pa.record_batch([b.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.record_batch([b.column(0), b.column(2), pa.array(fps.view(np.int64))], names=["doc_id", "row_key", "fp"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    return src.mapInArrow(run, f"doc_id {kind}, fp bigint")
+    src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"),
+                      F.xxhash64(F.col(id_col), F.col(text_col)).alias("row_key"))
+    return src.mapInArrow(run, f"doc_id {kind}, row_key bigint, fp bigint")
 
 
 def _half_cells(fp: F.Column, half: int) -> F.Column:
@@ -156,7 +158,7 @@ def fingerprint_links(distinct: DataFrame, max_bits: int = 3) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 3, id_col: str = "doc_id",
                     text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: ``(doc_id, fingerprint, component_id)``.
+    """One row per row of ``docs``: ``(doc_id, fingerprint, component_id, row_key)``.
 
     ``component_id`` is the smallest id among all documents reachable over links of
     ``max_bits`` or fewer differing bits.  Null, empty and white-space-only texts have
@@ -170,5 +172,20 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 3, id_col
     rooted = (distinct.join(comp.withColumnRenamed("node", "fp"), "fp", "left")
               .withColumn("root", F.coalesce("root", "fp")))
     lowest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_fp = rooted.join(lowest, "root").select("fp", "component_id")
-    return f.join(by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    by_fp = rooted.join(lowest, "root").select("fp", "component_id", "root")
+    return f.join(by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id",
+                                       "row_key", F.col("root").alias("component"))
+
+
+def one_of_each(docs: DataFrame, shingle: int = 3, max_bits: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` less near-duplicates: of each component the row with the smallest id stays
+    (of equal ids the one with the smallest row key, of equal rows one); a null id only if all are."""
+    groups = near_duplicates(docs, shingle, max_bits, id_col, text_col)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_key")).alias("first")
+    keep = written(groups.groupBy("component").agg(first).select(F.col("first.row_key").alias("llm_key")), "kept")
+    rows = docs.withColumn("llm_key", F.xxhash64(F.col(id_col), F.col(text_col))).join(keep, "llm_key", "left_semi")
+    copies = groups.groupBy("row_key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    if copies.limit(1).count():  # rows equal in id and text
+        rank = F.row_number().over(Window.partitionBy("llm_key").orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])))
+        rows = rows.withColumn("llm_nth", rank).filter("llm_nth = 1")
+    return rows.select(*[F.col(f"`{c}`") for c in docs.columns])
