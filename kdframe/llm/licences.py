@@ -76,7 +76,8 @@ OTHERWISE = [
 
 
 def _words(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    """Lower-cased words; numbers (versions, years) say nothing of the family and are left out."""
+    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: ~w.rlike("^[0-9]*$"))
 
 
 def _pairs(words: Column) -> Column:
@@ -168,10 +169,10 @@ def scan(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     """
     rows = paragraphs(docs, id_col, text_col).filter(F.arrays_overlap("words", F.lit(model.anchors)))
     rows = _odds(rows.withColumn("grams", _grams(F.col("words"))).drop("words"), model)
-    kept = re.compile(r"\w+")
+    kept = re.compile(r"[^\W_]+")
     held = []
     for n, (family, text) in enumerate(model.templates):
-        words = kept.findall(text.lower())
+        words = [w for w in kept.findall(text.lower()) if not w.isdigit()]
         own = sorted({g for g in [*words, *map(" ".join, zip(words, words[1:]))] if g in set(model.grams)})
         share = F.size(F.array_intersect("grams", F.lit(own))) / len(own) if own else F.lit(0.0)
         held.append(F.struct(F.when(F.col("best.family") == family, share).otherwise(-1.0).alias("held"), F.lit(-n).alias("n")))
