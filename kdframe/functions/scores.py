@@ -79,9 +79,15 @@ def truncate_vocab(student, teacher):
 
 
 def selective_log_softmax(logits, label) -> Column:
-    """log p(label) = logits[label] − logsumexp(logits), without the full log-softmax."""
-    a = as_double(logits)
-    return F.try_element_at(a, _col(label).cast("int") + 1) - logsumexp(a)
+    """log p(label) = logits[label] − logsumexp(logits), without the full log-softmax.
+
+    A label outside the vocabulary is an error, as it is for an index lookup; a null label or
+    null logits give null."""
+    a, at = as_double(logits), _col(label).cast("int")
+    fits = (at >= 0) & (at < F.size(a))
+    wrong = F.raise_error(F.concat(F.lit("label "), at.cast("string"), F.lit(" is outside the vocabulary")))
+    return (F.when(at.isNull() | a.isNull(), F.lit(None).cast("double"))
+            .when(fits, F.element_at(a, at + 1) - logsumexp(a)).otherwise(wrong.cast("double")))
 
 
 def wpo_adjust(logits) -> Column:

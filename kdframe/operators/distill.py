@@ -44,8 +44,11 @@ def kl_rows(df: DataFrame, temperature: float = 1.0) -> DataFrame:
 
 def batch_kd(df: DataFrame, temperature: float = 1.0, batch_col: str = "batch_id",
              example_col: str = "example_id", scale: float = 1.0, mask: Column | None = None) -> DataFrame:
-    """(batch_id, kd): batchmean KL · T² · scale.  ``mask`` (optional) drops positions first."""
-    rows = kl_rows(df if mask is None else df.where(mask), temperature)
+    """(batch_id, kd): batchmean KL · T² · scale.  Positions outside the (optional) ``mask`` count
+    zero; their examples stay in the denominator."""
+    rows = kl_rows(df, temperature)
+    if mask is not None:
+        rows = rows.withColumn("kl", F.when(mask, F.col("kl")).otherwise(0.0))
     per_ex = rows.groupBy(batch_col, example_col).agg(F.sum("kl").alias("_kl"))
     return per_ex.groupBy(batch_col).agg(
         (F.sum("_kl") / F.count("*") * (temperature ** 2) * scale).alias("kd"))
@@ -95,9 +98,9 @@ def kd_loss_dpo(pairs: DataFrame, temperature: float = 1.0, batch_col: str = "ba
     return batch_kd(with_vocab_policy(pairs, "none"), temperature, batch_col, mask=mask)
 
 
-def kd_loss_debug(pairs: DataFrame, batch_col: str = "batch_id") -> DataFrame:
+def kd_loss_debug(pairs: DataFrame, batch_col: str = "batch_id", mask: Column | None = None) -> DataFrame:
     """Smoke scripts: plain KL (T = 1) on vocabularies truncated to the common size."""
-    return batch_kd(with_vocab_policy(pairs, "truncate"), 1.0, batch_col)
+    return batch_kd(with_vocab_policy(pairs, "truncate"), 1.0, batch_col, mask=mask)
 
 
 def response_kd_mse(df: DataFrame, student: str = "student_chosen", teacher: str = "teacher_chosen",

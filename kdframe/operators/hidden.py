@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scores as sc
 from ..sources.readers import literal_table
 
-BROADCAST_BUDGET_BYTES = 256 * 2 ** 20   # adapter weights shipped to every executor at once
-
 
 def layer_map(spark, num_student: int | None = None, num_teacher: int | None = None,
               student: DataFrame | None = None, teacher: DataFrame | None = None) -> DataFrame:
@@ -33,57 +31,44 @@ def layer_map(spark, num_student: int | None = None, num_teacher: int | None = N
 def projection_matrices(weights: DataFrame) -> DataFrame:
     """(layer, out_idx, w, b) rows → one row per layer: W (rows in out_idx order) and B."""
     g = weights.groupBy("layer").agg(F.array_sort(F.collect_list(F.struct("out_idx", "w", "b"))).alias("_r"))
-    return g.select("layer", F.transform("_r", lambda x: x["w"]).alias("W"),
+    return g.select("layer", F.transform("_r", lambda x: sc.as_double(x["w"])).alias("W"),
                     F.transform("_r", lambda x: x["b"]).alias("B"))
 
 
 def project_hidden(hidden: DataFrame, weights: DataFrame, h_col: str = "h") -> DataFrame:
     """Adapted state per (example, pos, layer): W·h + B; layers without a projection are dropped.
 
-    The weights are sized by the model, not the data.  Their byte size is measured first: within
-    the budget all layers are broadcast together and the hidden-state side is never shuffled;
-    above it each layer's matrix is broadcast on its own against that layer's rows (the passes
-    are unioned), so no single broadcast exceeds one layer's matrix, which must fit the budget.
+    One join on the layer for weights of any size: Spark broadcasts the matrices while they are
+    small and shuffles both sides by layer beyond.  Both sides are cast once, outside the loop over
+    the output dimensions.
     """
-    st = weights.agg(F.count("*").alias("rows"), F.max(F.size("w")).alias("dim"),
-                     F.collect_set("layer").alias("layers")).first()
-    per_row = 8 * (int(st["dim"] or 0) + 1)
-    total = int(st["rows"]) * per_row
     mats = projection_matrices(weights)
-    proj = F.transform("W", lambda w, o: sc.dot(w, h_col) + F.element_at("B", o + 1))
-
-    def apply(h: DataFrame, m: DataFrame) -> DataFrame:
-        return h.join(F.broadcast(m), "layer", "inner").withColumn(h_col, proj).drop("W", "B")
-
-    if total <= BROADCAST_BUDGET_BYTES:
-        return apply(hidden, mats)
-    out = None
-    for layer in sorted(st["layers"]):
-        size = weights.where(F.col("layer") == layer).count() * per_row
-        if size > BROADCAST_BUDGET_BYTES:
-            raise ValueError(f"projection of layer {layer} is {size} bytes; above the broadcast budget")
-        part = apply(hidden.where(F.col("layer") == layer), mats.where(F.col("layer") == layer))
-        out = part if out is None else out.unionByName(part)
-    return out
+    both = hidden.withColumn(h_col, sc.as_double(h_col)).join(mats, "layer", "inner")
+    dot = lambda w: F.aggregate(F.zip_with(w, h_col, lambda x, y: x * y), F.lit(0.0), lambda acc, v: acc + v)
+    return both.withColumn(h_col, F.transform("W", lambda w, o: dot(w) + F.element_at("B", o + 1))).drop("W", "B")
 
 
 def hidden_kd_loss(student: DataFrame, teacher: DataFrame, weights: DataFrame, temperature: float = 2.0,
                    alpha: float = 0.5, ce: DataFrame | None = None, batch_col: str = "batch_id",
-                   num_student: int | None = None, num_teacher: int | None = None) -> DataFrame:
+                   num_student: int | None = None, num_teacher: int | None = None, mask: Column | None = None) -> DataFrame:
     """(batch_id, kd, ce, loss): per mapped layer batchmean KL · T², mean over layers, ÷ hidden dim,
-    α-mixed with CE.  A dimension mismatch between adapted student and teacher state raises."""
+    α-mixed with CE.  A dimension mismatch between adapted student and teacher state raises.
+    Positions outside the (optional) ``mask`` over the student's columns count zero."""
     spark = student.sparkSession
     if num_student is not None and num_teacher is not None:      # model config known: no scan
         lm = F.broadcast(layer_map(spark, num_student, num_teacher))
     else:                                                          # else count distinct layers
         lm = F.broadcast(layer_map(spark, student=student, teacher=teacher))
-    s = project_hidden(student, weights).join(lm, F.col("layer") == F.col("student_layer")).drop("layer")
-    t = teacher.select("example_id", "pos", F.col("layer").alias("teacher_layer"), F.col("h").alias("t"))
-    j = s.join(t, ["example_id", "pos", "teacher_layer"], "inner")
+    # only mapped teacher layers are shuffled, and the student is projected after the join
+    s = student.join(lm, F.col("layer") == F.col("student_layer"))
+    used = F.broadcast(lm.select("teacher_layer").distinct())
+    t = teacher.select("example_id", "pos", F.col("layer").alias("teacher_layer"), F.col("h").alias("t")).join(used, "teacher_layer", "left_semi")
+    j = project_hidden(s.join(t, ["example_id", "pos", "teacher_layer"], "inner"), weights)
     j = j.withColumn("s", F.when(F.size("h") == F.size("t"), F.col("h")).otherwise(
         F.raise_error(F.concat(F.lit("Shape mismatch: student "), F.size("h").cast("string"),
                                F.lit(" vs teacher "), F.size("t").cast("string")))))
-    rows = j.withColumn("kl", sc.kl_row("s", "t", temperature))
+    kl = sc.kl_row("s", "t", temperature)
+    rows = j.withColumn("kl", kl if mask is None else F.when(mask, kl).otherwise(0.0))
     per_ex = rows.groupBy(batch_col, "student_layer", "example_id").agg(F.sum("kl").alias("_kl"),
                                                                       F.max(F.size("s")).alias("_dim"))
     per_layer = per_ex.groupBy(batch_col, "student_layer").agg(

@@ -23,7 +23,6 @@ from ..functions.arrays import idiv
 from ..session import ensure_checkpoint_dir
 
 BUCKET_HEX_DIGITS = 4           # 65,536 hash buckets: ~1.5 M rows per bucket at 1e11 rows
-SMALL_LIMIT = 100_000           # below this a TakeOrdered (driver-bounded) limit is used
 
 
 def hash_key(seed, id_col, *extra) -> Column:
@@ -171,11 +170,14 @@ def seeded_shuffle(df: DataFrame, id_col: str, seed: int = 42, name: str = "idx"
     return global_index(keyed, [key_name, id_col], bucket=hash_bucket(key_name), name=name)
 
 
-def _take_first(df: DataFrame, order_cols, n: int, bucket=None) -> DataFrame:
-    """First ``n`` rows in order.  Small n: TakeOrdered (bounded rows through the driver);
-    large n: a bucket-threshold predicate (no shuffle of the rows)."""
-    if n <= SMALL_LIMIT:
+def _take_first(df: DataFrame, order_cols, n: int, bucket=None, method: str = "take") -> DataFrame:
+    """First ``n`` rows in order.  ``method='take'``: an ordered limit, lazy, for an ``n`` whose rows
+    one task can hold; ``method='threshold'``: a bucket-threshold predicate found by two small
+    jobs, for an ``n`` of any size (no shuffle of the rows).  Both give the same rows."""
+    if method == "take":
         return df.orderBy(*_cols(order_cols)).limit(n)
+    if method != "threshold":
+        raise ValueError(f"unknown method {method!r}")
     if bucket is not None:
         return df.where(first_n_predicate(df, order_cols, n, bucket))
     auto = _numeric_bucket(df, order_cols)
@@ -186,22 +188,22 @@ def _take_first(df: DataFrame, order_cols, n: int, bucket=None) -> DataFrame:
     return bdf.where(first_n_predicate(bdf, order_cols, n, bcol)).drop("_kq")
 
 
-def sample_n(df: DataFrame, id_col: str, n: int, seed: int = 42) -> DataFrame:
+def sample_n(df: DataFrame, id_col: str, n: int, seed: int = 42, method: str = "take") -> DataFrame:
     """Exact-n sample: seeded shuffle first, then the head (``shuffle(seed).select(range(n))``)."""
     keyed = df.withColumn("shuffle_key", hash_key(seed, id_col))
-    return _take_first(keyed, ["shuffle_key", id_col], n, bucket=hash_bucket("shuffle_key"))
+    return _take_first(keyed, ["shuffle_key", id_col], n, bucket=hash_bucket("shuffle_key"), method=method)
 
 
 def head_then_shuffle(df: DataFrame, order_cols, id_col: str, n: int | None, seed: int = 42,
-                      name: str = "idx") -> DataFrame:
+                      name: str = "idx", method: str = "take") -> DataFrame:
     """First n rows in source order, then shuffled; falsy n skips the head."""
-    head = _take_first(df, order_cols, n) if n else df
+    head = _take_first(df, order_cols, n, method=method) if n else df
     return seeded_shuffle(head, id_col, seed, name=name)
 
 
-def bounded_head(df: DataFrame, order_cols, n: int) -> DataFrame:
+def bounded_head(df: DataFrame, order_cols, n: int, method: str = "take") -> DataFrame:
     """First min(n, len) rows."""
-    return _take_first(df, order_cols, n)
+    return _take_first(df, order_cols, n, method=method)
 
 
 def train_test_split(df: DataFrame, id_col: str, test_size: float | int | None, seed: int = 42,

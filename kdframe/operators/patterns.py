@@ -2,28 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-MAX_PATTERNS = 100_000
 
-
-def _bounded_patterns(patterns: DataFrame, pattern_col: str) -> list:
-    n = patterns.count()
-    if n > MAX_PATTERNS:
-        raise ValueError(f"{n} patterns is too many to inline; use pattern_rows (broadcast join)")
-    return [r[0] for r in patterns.select(pattern_col).where(F.col(pattern_col).isNotNull()).collect()]
+def read_patterns(spark: SparkSession, path: str, key: str = "unfrozen_parameters") -> DataFrame:
+    """(pattern) from a YAML file: the items (``- text``) of the list under ``key``."""
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("n", "line"))
+    own = Window.orderBy("n").rowsBetween(Window.unboundedPreceding, Window.currentRow)       # one small file
+    head = F.when(F.col("line").rlike(r"^[^\s#-][^:]*:"), F.regexp_extract("line", r"^([^:]+):", 1))
+    item = F.regexp_extract("line", r"^\s*-\s+(['\"]?)(.*?)\1\s*$", 2)
+    return (lines.withColumn("head", F.last(head, ignorenulls=True).over(own)).withColumn("pattern", item)
+            .where((F.col("head") == key) & (F.col("pattern") != "")).select("pattern"))
 
 
 def pattern_flag(df: DataFrame, col: str, patterns: DataFrame, out: str = "flag",
                  pattern_col: str = "pattern") -> DataFrame:
-    """``any(p in name for p in patterns)`` as a boolean column; the (size-checked) pattern list
-    is inlined into an ``exists`` expression, so no shuffle and no join."""
-    pats = _bounded_patterns(patterns, pattern_col)
-    if not pats:
-        return df.withColumn(out, F.lit(False))
-    arr = F.array(*[F.lit(p) for p in pats])
-    return df.withColumn(out, F.coalesce(F.exists(arr, lambda p: F.instr(F.col(col), p) > 0), F.lit(False)))
+    """``any(p in name for p in patterns)`` as a boolean column: an existence join on ``contains``, one
+    form for a pattern list of any size.  Null names and null patterns match nothing."""
+    pats = patterns.select(F.col(pattern_col).alias("_pat")).where(F.col("_pat").isNotNull())
+    hit = pats.where(F.contains(F.col(col).outer(), F.col("_pat")))
+    return df.withColumn(out, F.coalesce(hit.exists(), F.lit(False)))
 
 
 def pattern_rows(df: DataFrame, col: str, patterns: DataFrame, keep: bool = True,

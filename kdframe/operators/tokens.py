@@ -2,9 +2,10 @@
 
 The pretrained subword tokenizers of the source scripts are re-aimed as a word-level vocabulary
 fitted on the corpus (count desc, token asc; specials first).  Tokenisation is a JVM regex
-(``regexp_extract_all``); id lookup is either an Arrow-batched pandas UDF against a broadcast
-vocabulary (no shuffle; default while the vocabulary is below ``MAX_BROADCAST_VOCAB``) or a
-pure-JVM explode + join + ordered re-collect (one shuffle of token triples) beyond that size.
+(``regexp_extract_all``).  Id lookup takes one of two forms, chosen by the caller: ``udf`` (default)
+broadcasts the vocabulary, whose size is a parameter of the fit, to an Arrow-batched pandas UDF
+and shuffles nothing; ``join`` explodes tokens, joins a vocabulary of any size and collects them
+again in order.
 """
 
 from __future__ import annotations
@@ -25,7 +26,6 @@ from ..sources.readers import literal_table
 # and the special tokens placed before the fitted vocabulary.
 TOKEN_RE = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\t\n\x0B\f\r ]"
 SPECIALS = ("<unk>", "<eos>")
-MAX_BROADCAST_VOCAB = 2_000_000
 
 
 def tokenize(text) -> Column:
@@ -64,10 +64,10 @@ def vocab_id(vocab: DataFrame, token: str) -> int | None:
 _LOOKUP_CACHE: dict = {}
 
 
-def _bounded_vocab(vocab: DataFrame):
-    """Collect the vocabulary in one pass if it has at most MAX_BROADCAST_VOCAB entries, else None."""
-    rows = vocab.select("token", "id").limit(MAX_BROADCAST_VOCAB + 1).collect()
-    return rows if len(rows) <= MAX_BROADCAST_VOCAB else None
+def _sent_vocab(vocab: DataFrame):
+    """Broadcast of the vocabulary (as many entries as the fit was asked for)."""
+    rows = vocab.select("token", "id").collect()
+    return vocab.sparkSession.sparkContext.broadcast(([r[0] for r in rows], [r[1] for r in rows]))
 
 
 def _lookup_udf(bc, tag: str, unk_id: int):
@@ -93,21 +93,17 @@ def _lookup_udf(bc, tag: str, unk_id: int):
 
 
 def encode(df: DataFrame, text_col: str, vocab: DataFrame, out: str = "input_ids", unk_id: int = 0,
-           key: str | None = None, method: str = "auto") -> DataFrame:
+           key: str | None = None, method: str = "udf") -> DataFrame:
     """Text → id array (unknown → ``unk_id``).
 
-    ``auto`` broadcasts the vocabulary to an Arrow pandas UDF after checking its size, otherwise
-    (or with ``method='join'``, which needs a unique ``key``) explodes tokens, joins the vocabulary
-    and re-collects in position order.
+    ``method='udf'`` broadcasts the vocabulary to an Arrow pandas UDF; ``method='join'``, which needs
+    a unique ``key``, takes a vocabulary of any size: it explodes tokens, joins the vocabulary and
+    collects them again in position order.
     """
-    spark = df.sparkSession
-    if method in ("auto", "udf"):
-        rows = _bounded_vocab(vocab)
-        if rows is not None:
-            bc = spark.sparkContext.broadcast(([r[0] for r in rows], [r[1] for r in rows]))
-            return df.withColumn(out, _lookup_udf(bc, uuid.uuid4().hex, unk_id)(tokenize(text_col)))
-        if method == "udf":
-            raise ValueError("vocabulary too large to broadcast")
+    if method == "udf":
+        return df.withColumn(out, _lookup_udf(_sent_vocab(vocab), uuid.uuid4().hex, unk_id)(tokenize(text_col)))
+    if method != "join":
+        raise ValueError(f"unknown method {method!r}")
     if key is None:
         raise ValueError("method='join' needs a unique key column")
     ex = df.select(key, F.posexplode(tokenize(text_col)).alias("_p", "token"))
@@ -121,31 +117,38 @@ def encode(df: DataFrame, text_col: str, vocab: DataFrame, out: str = "input_ids
 
 
 def encode_columns(df: DataFrame, outputs: dict, vocab: DataFrame, unk_id: int = 0) -> DataFrame:
-    """Encode several text columns with one size check and one broadcast of the vocabulary."""
-    rows = _bounded_vocab(vocab)
-    if rows is None:
-        raise ValueError("vocabulary too large to broadcast; use encode(method='join')")
-    bc = df.sparkSession.sparkContext.broadcast(([r[0] for r in rows], [r[1] for r in rows]))
-    fn = _lookup_udf(bc, uuid.uuid4().hex, unk_id)
+    """Encode several text columns with one broadcast of the vocabulary."""
+    fn = _lookup_udf(_sent_vocab(vocab), uuid.uuid4().hex, unk_id)
     for out, text_col in outputs.items():
         df = df.withColumn(out, F.coalesce(fn(tokenize(text_col)), F.array().cast("array<int>")))
     return df
 
 
-def encode_padded(df: DataFrame, text_col: str, vocab: DataFrame, n: int, pad_id: int, side: str = "right",
-                  prefix: str = "", unk_id: int = 0, key: str | None = None) -> DataFrame:
-    """``tokenizer(text, truncation=True, max_length=n, padding='max_length')`` → ids + mask."""
-    enc = encode(df, text_col, vocab, out="_ids", unk_id=unk_id, key=key)
-    ids = truncate_ids(F.coalesce("_ids", F.array().cast("array<int>")), n)
-    return (enc.withColumn(f"{prefix}input_ids", pad_ids(ids, n, pad_id, side))
-            .withColumn(f"{prefix}attention_mask", attention_mask(ids, n, side)).drop("_ids"))
+def batch_length(df: DataFrame, ids_col: str, batch: Column, name: str = "_n") -> DataFrame:
+    """``df`` with the longest length of ``ids_col`` among the rows of the same batch."""
+    return df.withColumn(name, F.max(F.size(ids_col)).over(Window.partitionBy(batch)))
+
+
+def encode_padded(df: DataFrame, text_col: str, vocab: DataFrame, n: int | None, pad_id: int, side: str = "right",
+                  prefix: str = "", unk_id: int = 0, key: str | None = None, batch: Column | None = None) -> DataFrame:
+    """``tokenizer(text, truncation=True, max_length=n, padding='max_length')`` → ids + mask.
+
+    With ``n=None`` nothing is cut and rows are padded to the longest of their ``batch``."""
+    enc = encode(df, text_col, vocab, out="_ids", unk_id=unk_id, key=key).withColumn(
+        "_ids", F.coalesce("_ids", F.array().cast("array<int>")))
+    if n is None:
+        enc, ids, size = batch_length(enc, "_ids", batch, "_size"), F.col("_ids"), F.col("_size")
+    else:
+        ids, size = truncate_ids("_ids", n), n
+    return (enc.withColumn(f"{prefix}input_ids", pad_ids(ids, size, pad_id, side))
+            .withColumn(f"{prefix}attention_mask", attention_mask(ids, size, side)).drop("_ids", "_size"))
 
 
 def dual_encode(df: DataFrame, student_text: str, teacher_text: str, svocab: DataFrame, tvocab: DataFrame,
-                n: int, spad: int, tpad: int) -> DataFrame:
+                n: int | None, spad: int, tpad: int, batch: Column | None = None) -> DataFrame:
     """Student and teacher encodings side by side: input_ids/attention_mask and teacher_* columns."""
-    out = encode_padded(df, student_text, svocab, n, spad)
-    return encode_padded(out, teacher_text, tvocab, n, tpad, prefix="teacher_")
+    out = encode_padded(df, student_text, svocab, n, spad, batch=batch)
+    return encode_padded(out, teacher_text, tvocab, n, tpad, prefix="teacher_", batch=batch)
 
 
 def pack_sequences(df: DataFrame, order_cols, ids_col: str, n: int, bucket: Column | None = None) -> DataFrame:
@@ -158,12 +161,16 @@ def pack_sequences(df: DataFrame, order_cols, ids_col: str, n: int, bucket: Colu
     off = prefix_sum(sized, order_cols, weight="_len", bucket=bucket, name="_off")
     first = idiv("_off", n)
     last = idiv(F.col("_off") + F.col("_len") - 1, n)
-    spans = off.where(F.col("_len") > 0).select(
-        ids_col, "_off", "_len", F.explode(F.sequence(first.cast("long"), last.cast("long"))).alias("block_id"))
-    lo = F.greatest(F.col("block_id") * n, F.col("_off"))
-    hi = F.least((F.col("block_id") + 1) * n, F.col("_off") + F.col("_len"))
-    pieces = spans.select("block_id", lo.alias("_start"),
-                          F.slice(ids_col, (lo - F.col("_off") + 1).cast("int"), (hi - lo).cast("int")).alias("_piece"))
+
+    def piece(block):
+        lo = F.greatest(block * n, F.col("_off"))
+        hi = F.least((block + 1) * n, F.col("_off") + F.col("_len"))
+        ids = F.slice(ids_col, (lo - F.col("_off") + 1).cast("int"), (hi - lo).cast("int"))
+        return F.struct(block.alias("block_id"), lo.alias("_start"), ids.alias("_piece"))
+
+    # each piece is sliced before the explode, so a long row is not copied once a block
+    pieces = off.where(F.col("_len") > 0).select(
+        F.inline(F.transform(F.sequence(first.cast("long"), last.cast("long")), piece)))
     blocks = pieces.groupBy("block_id").agg(F.array_sort(F.collect_list(F.struct("_start", "_piece"))).alias("_ps"))
     return blocks.select("block_id", F.flatten(F.transform("_ps", lambda x: x["_piece"])).alias("input_ids"))
 

@@ -48,18 +48,22 @@ SELECT batch_id, sum(kl_ex) / count(*) * {T * T} * {scale} AS kd FROM (
   FROM (SELECT example_id, {kl('s', 't', T)} AS kl FROM ({src})) GROUP BY 1, 2) GROUP BY batch_id"""
 
 
-CE_SQL = f"""
+def ce_sql(pairs):
+    return f"""
 SELECT p.example_id // {BATCH} AS batch_id, avg({lse('p.s')} - p.s[l.label + 1]) AS ce
-FROM ({PAIRS60}) p JOIN ({fx.LABELS_SQL}) l ON l.example_id = p.example_id AND l.pos = p.pos + 1
+FROM ({pairs}) p JOIN ({fx.LABELS_SQL}) l ON l.example_id = p.example_id AND l.pos = p.pos + 1
 WHERE l.label <> -100 GROUP BY 1"""
 
 
+CE_SQL = ce_sql(PAIRS60)
+
+
 def _pairs(spark, d, cut=None):
     return fx.logits_pair(spark, d, cut).withColumn("batch_id", idiv("example_id", BATCH))
 
 
-def _ce(spark, d):
-    s = _pairs(spark, d, CUT).select("example_id", "pos", "batch_id", F.col("s").alias("logits"))
+def _ce(spark, d, cut=CUT):
+    s = _pairs(spark, d, cut).select("example_id", "pos", "batch_id", F.col("s").alias("logits"))
     return ds.hard_ce(s, fx.labels_tok(spark, d))
 
 
@@ -125,11 +129,10 @@ def q_kd_loss_logits(spark, d):
 SELECT k.batch_id, {r6('k.kd')} AS kd, {r6('0.5 * k.kd + 0.5 * c.ce')} AS loss, {r6('0.5 * k.kd')} AS loss_no_ce
 FROM ({kd_sql(PADDED, 2.0)}) k LEFT JOIN ({CE_SQL}) c ON c.batch_id = k.batch_id""")
 def q_kd_loss_plain(spark, d):
-    pairs = _pairs(spark, d, CUT)
-    with_ce = ds.kd_loss_plain(pairs, _ce(spark, d), 2.0, 0.5)
-    no_ce = ds.kd_loss_plain(pairs, None, 2.0, 0.5).select("batch_id", F.col("loss").alias("loss_no_ce"))
-    return with_ce.join(no_ce, "batch_id").select("batch_id", _r("kd").alias("kd"), _r("loss").alias("loss"),
-                                                  _r("loss_no_ce").alias("loss_no_ce"))
+    with_ce = ds.kd_loss_plain(_pairs(spark, d, CUT), _ce(spark, d), 2.0, 0.5)
+    no_ce = ds.mix_loss(with_ce.withColumnRenamed("loss", "_with"), None, 0.5).withColumnRenamed("loss", "loss_no_ce")
+    both = no_ce.withColumnRenamed("_with", "loss")
+    return both.select("batch_id", _r("kd").alias("kd"), _r("loss").alias("loss"), _r("loss_no_ce").alias("loss_no_ce"))
 
 
 @register("kd_loss_dpo", f"SELECT batch_id, {r6('kd')} AS kd FROM ({kd_sql(PAIRS, 1.0, 1.0, 4)})")
@@ -151,9 +154,9 @@ def q_response_kd_mse(spark, d):
     return ds.response_kd_mse(p).select("batch_id", _r("mse").alias("mse"))
 
 
-@register("hard_ce", f"SELECT batch_id, {r6('ce')} AS ce FROM ({CE_SQL})")
+@register("hard_ce", f"SELECT batch_id, {r6('ce')} AS ce FROM ({ce_sql(PAIRS)})")
 def q_hard_ce(spark, d):
-    return _ce(spark, d).select("batch_id", _r("ce").alias("ce"))
+    return _ce(spark, d, None).select("batch_id", _r("ce").alias("ce"))
 
 
 @register("layer_map", f"""
@@ -186,7 +189,7 @@ SELECT batch_id, avg(lk) / max(dim) AS kd FROM (
     SELECT s.example_id // {BATCH} AS batch_id, s.student_layer, s.example_id, sum({kl('s.v', 't.h', 2.0)}) AS kl_ex,
            max(len(s.v)) AS dim
     FROM (SELECT example_id, pos, layer AS student_layer, list(v ORDER BY out_idx) AS v FROM ({PROJ_SQL}) GROUP BY 1, 2, 3) s
-    JOIN (SELECT CAST(i AS INTEGER) AS sl, CAST(round_even(i * 4 / 2, 0) AS INTEGER) AS tl FROM range(3) r(i)) m ON m.sl = s.student_layer
+    JOIN (SELECT CAST(i AS INTEGER) AS sl, CAST(round_even(i * {fx.TEACHER_LAYERS - 1} / {fx.STUDENT_LAYERS - 1}, 0) AS INTEGER) AS tl FROM range({fx.STUDENT_LAYERS}) r(i)) m ON m.sl = s.student_layer
     JOIN ({fx.hidden_sql('teacher')}) t ON t.example_id = s.example_id AND t.pos = s.pos AND t.layer = m.tl
     GROUP BY 1, 2, 3) GROUP BY 1, 2) GROUP BY batch_id"""
 

@@ -11,7 +11,6 @@ from .registry import register
 from .sqlparts import DPO_PAIRS, dpo_prompt_sql
 from .token_queries import encode_sql, vocab_sql
 
-P, C = fx.PROMPT_LEN, fx.COMPLETION_LEN
 EOS = 1
 TRUNC_N = 48
 
@@ -37,12 +36,13 @@ WITH f AS (SELECT pair_id, {dpo_prompt_sql()} AS prompt, chosen || '<|im_end|>n'
 src AS (SELECT pair_id * 3 AS k, prompt AS text FROM f UNION ALL SELECT pair_id * 3 + 1, chosen FROM f
         UNION ALL SELECT pair_id * 3 + 2, rejected FROM f),
 enc AS ({encode_sql('SELECT k, text FROM src', 'k', 'text', vocab_sql())}),
-e AS (SELECT f.pair_id, {_keep_end('p.ids', P)} AS p, c.ids[1:{C}] AS c, r.ids[1:{C}] AS r
-      FROM f JOIN enc p ON p.k = f.pair_id * 3 JOIN enc c ON c.k = f.pair_id * 3 + 1 JOIN enc r ON r.k = f.pair_id * 3 + 2)
-SELECT pair_id // {2 * fx.PAIRS_PER_BATCH} AS batch_id, pair_id,
-       {_pad('p', P, 'left')} AS prompt_ids, {_mask('p', P, 'left')} AS prompt_mask,
-       {_pad('c', C, 'right')} AS chosen_ids, {_mask('c', C, 'right')} AS chosen_mask,
-       {_pad('r', C, 'right')} AS rejected_ids, {_mask('r', C, 'right')} AS rejected_mask FROM e"""
+e AS (SELECT f.pair_id, f.pair_id // {fx.CONVS_PER_BATCH * fx.PAIR_STRIDE} AS batch_id, p.ids AS p, c.ids AS c, r.ids AS r
+      FROM f JOIN enc p ON p.k = f.pair_id * 3 JOIN enc c ON c.k = f.pair_id * 3 + 1 JOIN enc r ON r.k = f.pair_id * 3 + 2),
+b AS (SELECT *, max(len(p)) OVER (PARTITION BY batch_id) AS np, max(greatest(len(c), len(r))) OVER (PARTITION BY batch_id) AS nc FROM e)
+SELECT batch_id, pair_id,
+       {_pad('p', 'np', 'left')} AS prompt_ids, {_mask('p', 'np', 'left')} AS prompt_mask,
+       {_pad('c', 'nc', 'right')} AS chosen_ids, {_mask('c', 'nc', 'right')} AS chosen_mask,
+       {_pad('r', 'nc', 'right')} AS rejected_ids, {_mask('r', 'nc', 'right')} AS rejected_mask FROM b"""
 
 STACK_SQL = f"""
 WITH R AS (SELECT *, row_number() OVER (PARTITION BY batch_id ORDER BY pair_id) - 1 AS r,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.arrays import attention_mask, lm_labels, pad_ids, truncate_ids
+from ..functions.arrays import attention_mask, idiv, lm_labels, pad_ids, truncate_ids
 from ..functions.chat import render_chatml, sharegpt_fixed_system
 from ..operators import tokens as tk
 from ..sources import fixtures as fx
@@ -68,6 +68,8 @@ def _vocab(spark, d, size=VOCAB):
 
 
 DOC_IDS = encode_sql("SELECT doc_id, text FROM documents", "doc_id", "text", vocab_sql())
+BATCH = 8      # documents (conversations) that are padded together
+BATCH_IDS = f"SELECT *, max(len(ids)) OVER (PARTITION BY doc_id // {BATCH}) AS n FROM ({DOC_IDS})"
 
 
 @register("fit_vocab", vocab_sql())
@@ -87,24 +89,28 @@ def q_truncate_ids(spark, d):
     return e.select("doc_id", sj(truncate_ids("input_ids", N)).alias("ids"))
 
 
+def _batched(spark, d):
+    """Encoded documents with the longest length of their batch as ``_n``: padding goes up to it, nothing is cut."""
+    e = tk.encode(_docs(spark, d), "text", _vocab(spark, d)).select("doc_id", "input_ids")
+    return tk.batch_length(e, "input_ids", idiv("doc_id", BATCH))
+
+
 @register("pad_ids", f"""
-SELECT doc_id, {j(pad_sql('ids', N * 4, EOS))} AS right_ids, {j(pad_sql('ids', N * 4, EOS, 'left'))} AS left_ids
-FROM ({DOC_IDS})""")
+SELECT doc_id, {j(pad_sql('ids', 'n', EOS))} AS right_ids, {j(pad_sql('ids', 'n', EOS, 'left'))} AS left_ids
+FROM ({BATCH_IDS})""")
 def q_pad_ids(spark, d):
-    e = tk.encode(_docs(spark, d), "text", _vocab(spark, d))
-    t = truncate_ids("input_ids", N * 4)
-    return e.select("doc_id", sj(pad_ids(t, N * 4, EOS)).alias("right_ids"),
-                    sj(pad_ids(t, N * 4, EOS, "left")).alias("left_ids"))
+    e, n = _batched(spark, d), F.col("_n")
+    return e.select("doc_id", sj(pad_ids("input_ids", n, EOS)).alias("right_ids"),
+                    sj(pad_ids("input_ids", n, EOS, "left")).alias("left_ids"))
 
 
 @register("attention_mask", f"""
-SELECT doc_id, {j(mask_sql('ids', N * 4))} AS mask_right, {j(mask_sql('ids', N * 4, 'left'))} AS mask_left
-FROM ({DOC_IDS})""")
+SELECT doc_id, {j(mask_sql('ids', 'n'))} AS mask_right, {j(mask_sql('ids', 'n', 'left'))} AS mask_left
+FROM ({BATCH_IDS})""")
 def q_attention_mask(spark, d):
-    e = tk.encode(_docs(spark, d), "text", _vocab(spark, d))
-    t = truncate_ids("input_ids", N * 4)
-    return e.select("doc_id", sj(attention_mask(t, N * 4)).alias("mask_right"),
-                    sj(attention_mask(t, N * 4, "left")).alias("mask_left"))
+    e, n = _batched(spark, d), F.col("_n")
+    return e.select("doc_id", sj(attention_mask("input_ids", n)).alias("mask_right"),
+                    sj(attention_mask("input_ids", n, "left")).alias("mask_left"))
 
 
 @register("pad_id_default", f"""
@@ -120,25 +126,30 @@ def _dual_src_sql():
 
 
 @register("dual_encode", f"""
-SELECT s.conv_id, {j(pad_sql('s.ids', N * 2, EOS))} AS input_ids, {j(mask_sql('s.ids', N * 2))} AS attention_mask,
-       {j(pad_sql('t.ids', N * 2, EOS))} AS teacher_input_ids, {j(mask_sql('t.ids', N * 2))} AS teacher_attention_mask
-FROM ({encode_sql(_dual_src_sql(), 'conv_id', 'st', vocab_sql())}) s
-JOIN ({encode_sql(_dual_src_sql(), 'conv_id', 'tt', vocab_sql(TVOCAB))}) t ON s.conv_id = t.conv_id""")
+SELECT conv_id, {j(pad_sql('si', 'sn', EOS))} AS input_ids, {j(mask_sql('si', 'sn'))} AS attention_mask,
+       {j(pad_sql('ti', 'tn', EOS))} AS teacher_input_ids, {j(mask_sql('ti', 'tn'))} AS teacher_attention_mask
+FROM (SELECT s.conv_id, s.ids AS si, t.ids AS ti, max(len(s.ids)) OVER (PARTITION BY s.conv_id // {BATCH}) AS sn,
+             max(len(t.ids)) OVER (PARTITION BY s.conv_id // {BATCH}) AS tn
+      FROM ({encode_sql(_dual_src_sql(), 'conv_id', 'st', vocab_sql())}) s
+      JOIN ({encode_sql(_dual_src_sql(), 'conv_id', 'tt', vocab_sql(TVOCAB))}) t ON s.conv_id = t.conv_id)""")
 def q_dual_encode(spark, d):
     m = sharegpt_fixed_system("conversations")
     src = fx.sharegpt(spark, d).select("conv_id", render_chatml(m, True).alias("st"),
                                        render_chatml(m, True, start="<|start|>", end="<|end|>",
                                                      default_system=None).alias("tt"))
-    out = tk.dual_encode(src, "st", "tt", _vocab(spark, d), _vocab(spark, d, TVOCAB), N * 2, EOS, EOS)
+    vocab = _vocab(spark, d)
+    # the smaller vocabulary is the head of the larger one: one fit serves both
+    out = tk.dual_encode(src, "st", "tt", vocab, vocab.where(F.col("id") < TVOCAB), None, EOS, EOS,
+                         batch=idiv("conv_id", BATCH))
     return out.select("conv_id", *[sj(c).alias(c) for c in
                                    ("input_ids", "attention_mask", "teacher_input_ids", "teacher_attention_mask")])
 
 
 @register("lm_labels", f"""
-SELECT doc_id, {j(f"list_transform(list_zip({pad_sql('ids', N, EOS)}, {mask_sql('ids', N)}), lambda x: CASE WHEN x[2] = 1 THEN x[1] ELSE -100 END)")} AS labels
-FROM ({DOC_IDS})""")
+SELECT doc_id, {j(f"list_transform(list_zip({pad_sql('ids', 'n', EOS)}, {mask_sql('ids', 'n')}), lambda x: CASE WHEN x[2] = 1 THEN x[1] ELSE -100 END)")} AS labels
+FROM ({BATCH_IDS})""")
 def q_lm_labels(spark, d):
-    e = tk.encode_padded(_docs(spark, d), "text", _vocab(spark, d), N, EOS)
+    e = tk.encode_padded(_docs(spark, d), "text", _vocab(spark, d), None, EOS, batch=idiv("doc_id", BATCH))
     return e.select("doc_id", sj(lm_labels("input_ids", "attention_mask")).alias("labels"))
 
 

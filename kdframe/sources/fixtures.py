@@ -6,7 +6,7 @@ plain-SQL form (``*_SQL``) that the DuckDB oracle repeats.  Both read whole tabl
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.arrays import idiv
@@ -17,15 +17,15 @@ MODELS = ("modelA", "modelB")
 ARC_LETTERS = ("A", "B", "C", "D")
 PATTERNS = ("red", "bolt")
 EX_POSITIONS = 8          # positions per example in the logit fixtures
-STUDENT_LAYERS, STUDENT_DIM = 3, 16
-TEACHER_LAYERS, TEACHER_DIM = 5, 12
+STUDENT_LAYERS, STUDENT_DIM = 4, 16
+TEACHER_LAYERS, TEACHER_DIM = 8, 8
 STUDENT_VOCAB_CUT = 60
 EXAMPLES_PER_BATCH = 2
 PAIRS_PER_BATCH = 4
-PROMPT_LEN, COMPLETION_LEN = 32, 32
+CONVS_PER_BATCH = 8
+PAIR_STRIDE = 1 << 20    # pair_id = conv_id * PAIR_STRIDE + number of the pair in its conversation
 VOCAB_SIZE = 4096
 SPECIALS = ("<unk>", "<eos>")
-MAX_CLASSES = 10_000      # centroids (classes × dims) are gathered into one broadcast row
 
 
 def sharegpt(spark: SparkSession, d: str) -> DataFrame:
@@ -47,27 +47,33 @@ FROM conversations GROUP BY conv_id"""
 
 
 def dpo_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """(pair_id, system, question, chosen, rejected): first user turn; first / last assistant turn."""
+    """(pair_id, system, question, chosen, rejected): one pair for each two neighbouring assistant
+    turns of a conversation; the question is all turns before the first of them (system turns
+    apart), one a line; the system text is the first system turn."""
     c = table(spark, d, "conversations")
-    g = c.groupBy("conv_id").agg(
-        F.expr("coalesce(min_by(text, turn) FILTER (WHERE role = 'system'), '')").alias("system"),
-        F.expr("min_by(text, turn) FILTER (WHERE role = 'user')").alias("question"),
-        F.expr("min_by(text, turn) FILTER (WHERE role = 'assistant')").alias("chosen"),
-        F.expr("max_by(text, turn) FILTER (WHERE role = 'assistant')").alias("rejected"),
-        F.expr("count_if(role = 'assistant')").alias("_na"))
-    return (g.where(F.col("_na") >= 2)
-            .select(F.col("conv_id").alias("pair_id"), F.coalesce("system", F.lit("")).alias("system"),
-                    F.coalesce("question", F.lit("")).alias("question"), "chosen", "rejected"))
-
-
-DPO_PAIRS_SQL = """
-SELECT conv_id AS pair_id,
-       coalesce(arg_min(text, turn) FILTER (WHERE role = 'system'), '') AS system,
-       coalesce(arg_min(text, turn) FILTER (WHERE role = 'user'), '') AS question,
-       arg_min(text, turn) FILTER (WHERE role = 'assistant') AS chosen,
-       arg_max(text, turn) FILTER (WHERE role = 'assistant') AS rejected
-FROM conversations GROUP BY conv_id
-HAVING count(*) FILTER (WHERE role = 'assistant') >= 2"""
+    g = c.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("_t"))
+    answers = F.filter("_t", lambda x: x["role"] == "assistant")
+    g = g.withColumn("_a", answers).where(F.size("_a") >= 2)
+    pair = F.explode(F.transform(F.sequence(F.lit(1), F.size("_a") - 1), lambda i: F.struct(
+        i.alias("i"), F.element_at("_a", i).alias("c"), F.element_at("_a", i + 1).alias("r"))))
+    g = g.select("conv_id", "_t", pair.alias("_p"))
+    before = F.filter("_t", lambda x: (x["role"] != "system") & (x["turn"] < F.col("_p.c.turn")))
+    system = F.filter("_t", lambda x: x["role"] == "system")
+    return g.select((F.col("conv_id") * PAIR_STRIDE + F.col("_p.i")).alias("pair_id"),
+                    F.coalesce(F.try_element_at(system, F.lit(1))["text"], F.lit("")).alias("system"),
+                    F.array_join(F.transform(before, lambda x: x["text"]), "\n").alias("question"),
+                    F.col("_p.c.text").alias("chosen"), F.col("_p.r.text").alias("rejected"))
+
+
+DPO_PAIRS_SQL = f"""
+SELECT a.conv_id * {PAIR_STRIDE} + a.i AS pair_id, coalesce(any_value(s.text), '') AS system,
+       coalesce(string_agg(b.text, chr(10) ORDER BY b.turn), '') AS question, any_value(a.chosen) AS chosen,
+       any_value(a.rejected) AS rejected
+FROM (SELECT conv_id, turn, text AS chosen, lead(text) OVER w AS rejected, lead(turn) OVER w AS after, row_number() OVER w AS i
+      FROM conversations WHERE role = 'assistant' WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) a
+LEFT JOIN conversations b ON b.conv_id = a.conv_id AND b.role <> 'system' AND b.turn < a.turn
+LEFT JOIN (SELECT conv_id, arg_min(text, turn) AS text FROM conversations WHERE role = 'system' GROUP BY 1) s ON s.conv_id = a.conv_id
+WHERE a.after IS NOT NULL GROUP BY a.conv_id, a.i"""
 
 
 def gsm_items(spark: SparkSession, d: str) -> DataFrame:
@@ -208,7 +214,7 @@ SELECT vec_id // {EX_POSITIONS} AS example_id, CAST(vec_id % {EX_POSITIONS} AS I
 
 
 def hidden_states(spark: SparkSession, d: str, who: str = "student") -> DataFrame:
-    """(example_id, pos, layer, h): slices of the embedding; student 3 × 16, teacher 5 × 12."""
+    """(example_id, pos, layer, h): slices of the whole embedding; student 4 × 16, teacher 8 × 8."""
     layers, dim = (STUDENT_LAYERS, STUDENT_DIM) if who == "student" else (TEACHER_LAYERS, TEACHER_DIM)
     e = table(spark, d, "embeddings").select("vec_id", "embedding")
     lay = F.broadcast(spark.range(layers).select(F.col("id").cast("int").alias("layer")))
@@ -273,47 +279,53 @@ def patterns(spark: SparkSession, values=PATTERNS) -> DataFrame:
 
 def pair_tokens(spark: SparkSession, d: str) -> DataFrame:
     """Wide pair rows (batch_id, pair_id, prompt_ids/mask, chosen_ids/mask, rejected_ids/mask):
-    the DPO-formatted pair encoded with the document vocabulary; the prompt keeps its last
-    PROMPT_LEN tokens and is left-padded, completions keep their first COMPLETION_LEN tokens and
-    are right-padded; pad = eos."""
-    from ..functions.arrays import attention_mask, keep_end, keep_start, pad_ids
+    the DPO-formatted pair encoded with the document vocabulary.  As a collator does, prompts are
+    left-padded to the longest prompt of the batch and completions right-padded to its longest
+    completion; nothing is cut; pad = eos."""
+    from ..functions.arrays import attention_mask, pad_ids
     from ..operators import tokens as tk
     from ..operators.conversations import dpo_format
     eos = SPECIALS.index("<eos>")
     f = dpo_format(dpo_pairs(spark, d))
     vocab = tk.fit_vocab(table(spark, d, "documents"), "text", VOCAB_SIZE)
     e = tk.encode_columns(f, {"_p": "prompt", "_c": "chosen", "_r": "rejected"}, vocab)
-    p = keep_end("_p", PROMPT_LEN)
-    c, r = keep_start("_c", COMPLETION_LEN), keep_start("_r", COMPLETION_LEN)
+    e = e.select(idiv("pair_id", CONVS_PER_BATCH * PAIR_STRIDE).alias("batch_id"), "pair_id", "_p", "_c", "_r")
+    w = Window.partitionBy("batch_id")
+    e = (e.withColumn("_np", F.max(F.size("_p")).over(w))
+         .withColumn("_nc", F.max(F.greatest(F.size("_c"), F.size("_r"))).over(w)))
+    np_, nc = F.col("_np"), F.col("_nc")
     return e.select(
-        idiv("pair_id", 2 * PAIRS_PER_BATCH).alias("batch_id"), "pair_id",
-        pad_ids(p, PROMPT_LEN, eos, "left").alias("prompt_ids"), attention_mask(p, PROMPT_LEN, "left").alias("prompt_mask"),
-        pad_ids(c, COMPLETION_LEN, eos).alias("chosen_ids"), attention_mask(c, COMPLETION_LEN).alias("chosen_mask"),
-        pad_ids(r, COMPLETION_LEN, eos).alias("rejected_ids"), attention_mask(r, COMPLETION_LEN).alias("rejected_mask"))
+        "batch_id", "pair_id",
+        pad_ids("_p", np_, eos, "left").alias("prompt_ids"), attention_mask("_p", np_, "left").alias("prompt_mask"),
+        pad_ids("_c", nc, eos).alias("chosen_ids"), attention_mask("_c", nc).alias("chosen_mask"),
+        pad_ids("_r", nc, eos).alias("rejected_ids"), attention_mask("_r", nc).alias("rejected_mask"))
 
 
 def pref_tokens(spark: SparkSession, d: str) -> DataFrame:
-    """Per-token preference rows from the logit fixture: stacked row r = example_id,
-    pair = r div 2, side = chosen for even r; the first 2 positions are prompt (loss_mask 0).
-    Only complete pairs are kept.  Columns: batch_id, pair_id, side, pos, logits (student),
-    t_logits (teacher), label, loss_mask."""
-    e = table(spark, d, "embeddings")
-    n_keep = F.broadcast(e.agg((idiv(F.count("*"), 2 * EX_POSITIONS) * 2).alias("_keep")))   # complete pairs × 2
-    p = (logits_pair(spark, d).join(labels_tok(spark, d), ["example_id", "pos"]).crossJoin(n_keep)
-         .where(F.col("example_id") < F.col("_keep")).drop("_keep"))
-    pair = idiv("example_id", 2)
-    return p.select(idiv(pair, PAIRS_PER_BATCH).alias("batch_id"), pair.alias("pair_id"),
-                    F.when(F.col("example_id") % 2 == 0, "chosen").otherwise("rejected").alias("side"),
-                    "example_id", "pos", F.col("s").alias("logits"), F.col("t").alias("t_logits"), "label",
-                    (F.col("pos") >= 2).cast("int").alias("loss_mask"))
-
-
+    """Per-token preference rows from the logit fixture: each example gives both sides of one
+    pair, so no row lacks a partner.  The chosen side has the example's student and teacher
+    scores and labels; the rejected side has them swapped and the labels moved on by one class
+    of ten.  The first 2 positions are prompt (loss_mask 0).  Columns: batch_id, pair_id, side,
+    example_id (row of the stacked batch), pos, logits (student), t_logits (teacher), label,
+    loss_mask."""
+    p = logits_pair(spark, d).join(labels_tok(spark, d), ["example_id", "pos"])
+    sides = F.explode(F.array(
+        F.struct(F.lit("chosen").alias("side"), (F.col("example_id") * 2).alias("row"), F.col("s").alias("logits"),
+                 F.col("t").alias("t_logits"), F.col("label").alias("label")),
+        F.struct(F.lit("rejected").alias("side"), (F.col("example_id") * 2 + 1).alias("row"), F.col("t").alias("logits"),
+                 F.col("s").alias("t_logits"), ((F.col("label") + 1) % 10).alias("label"))))
+    p = p.select(F.col("example_id").alias("pair_id"), "pos", sides.alias("x"))
+    return p.select(idiv("pair_id", PAIRS_PER_BATCH).alias("batch_id"), "pair_id", "x.side", F.col("x.row").alias("example_id"),
+                    "pos", "x.logits", "x.t_logits", "x.label", (F.col("pos") >= 2).cast("int").alias("loss_mask"))
+
+
+_PREF_BOTH_SQL = f"({logits_pair_sql(None)}) p JOIN ({LABELS_SQL}) l ON l.example_id = p.example_id AND l.pos = p.pos"
 PREF_TOKENS_SQL = f"""
-SELECT (p.example_id // 2) // {PAIRS_PER_BATCH} AS batch_id, p.example_id // 2 AS pair_id,
-       CASE WHEN p.example_id % 2 = 0 THEN 'chosen' ELSE 'rejected' END AS side, p.example_id, p.pos,
-       p.s AS logits, p.t AS t_logits, l.label, CAST(p.pos >= 2 AS INTEGER) AS loss_mask
-FROM ({logits_pair_sql(None)}) p JOIN ({LABELS_SQL}) l ON l.example_id = p.example_id AND l.pos = p.pos
-WHERE p.example_id < (SELECT count(*) // {2 * EX_POSITIONS} * 2 FROM embeddings)"""
+SELECT p.example_id // {PAIRS_PER_BATCH} AS batch_id, p.example_id AS pair_id, 'chosen' AS side, 2 * p.example_id AS example_id,
+       p.pos, p.s AS logits, p.t AS t_logits, l.label, CAST(p.pos >= 2 AS INTEGER) AS loss_mask FROM {_PREF_BOTH_SQL}
+UNION ALL
+SELECT p.example_id // {PAIRS_PER_BATCH}, p.example_id, 'rejected', 2 * p.example_id + 1,
+       p.pos, p.t, p.s, (l.label + 1) % 10, CAST(p.pos >= 2 AS INTEGER) FROM {_PREF_BOTH_SQL}"""
 
 
 def class_centroids(spark: SparkSession, d: str) -> DataFrame:
@@ -327,16 +339,12 @@ def class_centroids(spark: SparkSession, d: str) -> DataFrame:
 
 def linear_task(spark: SparkSession, d: str) -> DataFrame:
     """(id, features, label, teacher_logits): teacher = −10 × squared distance to each class
-    centroid.  The centroid table has one row per class (bounded by the label set) and is
-    gathered into a single broadcast row."""
-    cents = class_centroids(spark, d)
-    n_classes = cents.count()
-    if n_classes > MAX_CLASSES:
-        raise ValueError(f"{n_classes} classes: centroid row too large to broadcast")
-    cents = cents.agg(F.array_sort(F.collect_list(F.struct("label", "c"))).alias("_cs"))
+    centroid, in label order.  A row's teacher logits are its distances to every class by
+    definition; the centroids are one row (classes × dims), joined like any table."""
+    cents = class_centroids(spark, d).agg(F.array_sort(F.collect_list(F.struct("label", "c"))).alias("_cs"))
     cents = cents.select(F.transform("_cs", lambda x: x["c"]).alias("_cs"))
     e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"),
                                               F.transform("embedding", lambda v: v.cast("double")).alias("features"), "label")
-    j = e.crossJoin(F.broadcast(cents))
+    j = e.crossJoin(cents)                                             # one-row side
     sq = lambda c: F.aggregate(F.zip_with("features", c, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda acc, v: acc + v)
     return j.select("id", "features", "label", F.transform("_cs", lambda c: -10.0 * sq(c)).alias("teacher_logits"))

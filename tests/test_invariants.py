@@ -110,13 +110,12 @@ def test_cascade_runs_and_checkpoints(spark):
     assert hist.count() == 6
 
 
-def test_large_head_predicate_equals_take_ordered(spark, monkeypatch):
+def test_large_head_predicate_equals_take_ordered(spark):
     docs = table(spark, SF01, "documents").select("doc_id")
-    monkeypatch.setattr(od, "SMALL_LIMIT", 10)
-    big = od.sample_n(docs, "doc_id", 321, 5).select("doc_id")
+    big = od.sample_n(docs, "doc_id", 321, 5, method="threshold").select("doc_id")
     ref = docs.withColumn("h", od.hash_key(5, "doc_id")).orderBy("h", "doc_id").limit(321).select("doc_id")
     assert big.count() == 321 and big.exceptAll(ref).count() == 0
-    head = od.bounded_head(docs, ["doc_id"], 77)
+    head = od.bounded_head(docs, ["doc_id"], 77, method="threshold")
     assert sorted(r[0] for r in head.collect()) == sorted(r[0] for r in docs.orderBy("doc_id").limit(77).collect())
 
 
