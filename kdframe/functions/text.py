@@ -18,7 +18,7 @@ NONWORD = r"[^\p{L}\p{N}_]"
 PY_SPACE = (r"[\t\n\x0B\f\r \x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}"
             r"\x{202f}\x{205f}\x{3000}]")
 LETTER_RE = r"(^|" + NONWORD + r")([A-D])(" + NONWORD + r"|$)"
-KEYWORD_RE = r"(?i)(choice|answer)[:\t\n\f\r ]*([A-Da-d])"
+KEYWORD_RE = r"(?i)(choice|answer)(?::|" + PY_SPACE + r")*([A-Da-d])"
 INT_RE = r"(-?[0-9]+)"
 
 

@@ -34,8 +34,9 @@ def _one_row_block(rows: DataFrame, text_col: str, n: int, sep: str = "\n") -> D
 def shot_pool(train: DataFrame, n: int, seed: int = 42, pool_min: int = 50) -> DataFrame:
     """First max(pool_min, n) rows of the seeded shuffle, with their position ``pool_idx``."""
     from .ordering import seeded_shuffle
-    pool = seeded_shuffle(train, "item_id", seed, name="pool_idx")
-    return pool.where(F.col("pool_idx") < max(pool_min, n))
+    # only the pool's rows are indexed, not the whole table
+    pool = sample_n(train, "item_id", max(pool_min, n), seed).drop("shuffle_key")
+    return seeded_shuffle(pool, "item_id", seed, name="pool_idx")
 
 
 def gsm_demo_block(train: DataFrame, n: int, seed: int = 42, strip_q: bool = True) -> DataFrame:
@@ -86,18 +87,26 @@ def few_shot_prompt_gsm(test: DataFrame, demos: DataFrame, n: int, fallback: Dat
         d = d.crossJoin(fallback.select(F.col("demos").alias("_fb")))
     j = test.crossJoin(F.broadcast(d))
     block = F.col("demos") if fallback is None else F.when(F.col("n_demos") < n, F.col("_fb")).otherwise(F.col("demos"))
-    return j.withColumn("prompt", F.concat(block, F.lit("\nQuestion: "), F.col("question"), F.lit("\nAnswer:"))).drop(
+    shown = F.concat(block, F.lit("\nQuestion: "), F.col("question"), F.lit("\nAnswer:"))
+    # without any demo to show the prompt is the zero-shot one
+    return j.withColumn("prompt", F.when(F.col("n_demos") == 0, zero_shot_prompt("question")).otherwise(shown)).drop(
         "demos", "n_demos", *(["_fb"] if fallback is not None else []))
 
 
-def few_shot_prompt_arc(test: DataFrame, demos: DataFrame, n: int) -> DataFrame:
-    """n = 0 → question + options + ``\\nAnswer:``; else demos first."""
+def few_shot_prompt_arc(test: DataFrame, demos: DataFrame, n: int, fallback: DataFrame | None = None) -> DataFrame:
+    """n = 0 → question + options + ``\\nAnswer:``; else demos first; with fewer demos than n the
+    builder block over the available ones (``fallback``) is used, without any the zero-shot form."""
     opts = format_choices(F.coalesce(F.col("choices.text"), F.array().cast("array<string>")))
     tail = F.concat(F.lit("Question: "), F.col("question"), F.lit("\n"), opts, F.lit("\nAnswer:"))
     if n == 0:
         return test.withColumn("prompt", tail)
-    j = test.crossJoin(F.broadcast(demos.select("demos")))
-    return j.withColumn("prompt", F.concat(F.col("demos"), F.lit("\n"), tail)).drop("demos")
+    d = demos.select("demos", "n_demos")
+    if fallback is not None:
+        d = d.crossJoin(fallback.select(F.col("demos").alias("_fb")))            # one row each
+        d = d.select(F.when(F.col("n_demos") < n, F.col("_fb")).otherwise(F.col("demos")).alias("demos"), "n_demos")
+    j = test.crossJoin(F.broadcast(d))
+    shown = F.when(F.col("n_demos") == 0, tail).otherwise(F.concat(F.col("demos"), F.lit("\n"), tail))
+    return j.withColumn("prompt", shown).drop("demos", "n_demos")
 
 
 def qa_prompt(test: DataFrame, demos: DataFrame) -> DataFrame:
@@ -114,13 +123,14 @@ def eval_grid(spark: SparkSession, models: DataFrame, items: DataFrame, shots=SH
 
 def score_gsm(gens: DataFrame, items: DataFrame, clean: bool = True) -> DataFrame:
     """gold = last integer of the answer; correct iff both exist and are equal."""
-    g0 = truncate_at_stop("generation") if clean else F.col("generation")
-    j = gens.withColumn("_gen", g0).join(items.select("item_id", "question", "answer"), "item_id", "inner")
-    g = F.col("_gen")
-    pred = extract_last_integer(g)
-    gold = extract_last_integer("answer")
-    return j.select("model", "dataset", "shot", "item_id", "question", gold.alias("gold"), pred.alias("pred"),
-                    F.coalesce(pred == gold, F.lit(False)).alias("correct"), g.alias("generation"))
+    g = truncate_at_stop("generation") if clean else F.col("generation")
+    # both answers are extracted before the join: once a generation and once an item, and a query
+    # that wants no texts moves none
+    left = gens.select("model", "dataset", "shot", "item_id", g.alias("generation")).withColumn("pred", extract_last_integer("generation"))
+    right = items.select("item_id", "question", extract_last_integer("answer").alias("gold"))
+    return left.join(right, "item_id", "inner").select(
+        "model", "dataset", "shot", "item_id", "question", "gold", "pred",
+        F.coalesce(F.col("pred") == F.col("gold"), F.lit(False)).alias("correct"), "generation")
 
 
 def score_arc(gens: DataFrame, items: DataFrame, clean: bool = True) -> DataFrame:
@@ -149,21 +159,31 @@ def accuracy_pivot(summary: DataFrame, shots=None) -> DataFrame:
     return summary.groupBy("dataset", "model").pivot("shot", labels).agg(F.first("accuracy"))
 
 
-def generate_batch(df: DataFrame, fn: Callable[[list], list], prompt_col: str = "prompt",
-                   out_col: str = "generation", stops=STOP_SEQS, cleanup: bool = True) -> DataFrame:
+def generate_batch(df: DataFrame, fn: Callable[..., list], prompt_col: str = "prompt",
+                   out_col: str = "generation", stops=STOP_SEQS, cleanup: bool = True, max_new_tokens: int = 64,
+                   max_length: int = 1024, model_col: str | None = None) -> DataFrame:
     """Batch-inference hook: ``fn(list_of_prompts) -> list_of_texts`` runs inside ``mapInPandas``
     on Arrow batches (load the model once per worker inside ``fn``); outputs are stripped and,
-    with ``cleanup``, cut at the stop sequences.  ``fn`` owns decoding: greedy, at most
-    ``max_new_tokens`` new tokens, the prompt truncated to its first ``max_length`` model tokens
-    and only the continuation returned (see ``strip_prompt`` for id-level outputs)."""
+    with ``cleanup``, cut at the stop sequences.  ``fn`` owns decoding (greedy; only the continuation
+    is returned, see ``strip_prompt`` for id-level outputs).  It is handed what it has parameters
+    for: ``max_new_tokens``, ``max_length`` (model tokens kept of a prompt) and, with ``model_col``,
+    the ``model`` it serves; prompts of different models come in calls of their own."""
     schema = StructType(list(df.schema.fields) + [StructField(out_col, StringType())])
 
+    import inspect
+    taken = inspect.signature(fn).parameters
+    anything = any(p.kind is p.VAR_KEYWORD for p in taken.values())
+    given = {k: v for k, v in (("max_new_tokens", max_new_tokens), ("max_length", max_length)) if anything or k in taken}
+    with_model = model_col is not None and (anything or "model" in taken)
+
     def run(batches):
         for pdf in batches:
-            outs = fn(pdf[prompt_col].fillna("").tolist())
-            pdf = pdf.copy()
-            pdf[out_col] = pd.Series(outs, index=pdf.index, dtype=object)
-            yield pdf
+            parts = [(m, g) for m, g in pdf.groupby(model_col, sort=False, dropna=False)] if with_model else [(None, pdf)]
+            for m, g in parts:
+                g = g.copy()
+                outs = fn(g[prompt_col].fillna("").tolist(), **given, **({"model": m} if with_model else {}))
+                g[out_col] = pd.Series(outs, index=g.index, dtype=object)
+                yield g
 
     out = df.mapInPandas(run, schema)
     return out.withColumn(out_col, truncate_at_stop(out_col, stops, cleanup) if cleanup else py_strip(out_col))

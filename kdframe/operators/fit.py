@@ -2,10 +2,9 @@
 soft labels by full-batch gradient descent.
 
 Per iteration the (small) weights are broadcast, every partition computes its partial gradient
-with numpy inside ``mapInPandas`` and emits it as fixed-size array chunks, and the chunks are
-summed element-wise per chunk id -- a group holds one chunk from each partition, so the
-reduction is spread over tasks and bounded per group.  The input is cached once;
-only the weights change between iterations.  Between cascade stages the student scores are
+with numpy inside ``mapInPandas`` and emits it as (index, value) rows, which a hash aggregate sums
+by index with map-side combine: nothing is gathered by partition, whatever their number.  The
+input is cached once; only the weights change between iterations.  Between cascade stages the student scores are
 reliably checkpointed so lineage does not grow with the number of stages.
 """
 
@@ -23,9 +22,6 @@ from ..session import ensure_checkpoint_dir
 from ..sources.readers import literal_table
 
 
-CHUNK = 8192      # partial gradients travel as arrays of this many doubles, summed per chunk id
-
-
 @dataclass(frozen=True)
 class StudentSpec:
     name: str
@@ -69,35 +65,30 @@ def _partials(bc, k: int, d: int, temperature: float, alpha: float):
             gb += g.sum(axis=0)
             n += len(y)
         vals = np.concatenate([gw.ravel(), gb, [loss, float(n)]])
-        chunks = [vals[i:i + CHUNK] for i in range(0, len(vals), CHUNK)]
-        yield pd.DataFrame({"chunk": np.arange(len(chunks), dtype=np.int64), "vals": chunks})
+        yield pd.DataFrame({"idx": np.arange(len(vals), dtype=np.int64), "val": vals})
     return run
 
 
 def distil_linear(df: DataFrame, features: str, teacher_logits: str, label: str, temperature: float = 2.0,
-                  alpha: float = 0.5, iters: int = 50, lr: float = 0.5, run: str = "run"):
+                  alpha: float = 0.5, iters: int = 50, lr: float = 0.5, run: str = "run", history: list | None = None):
     """Fit W (K × D), b by gradient descent on α·T²·KL(p_t^T ‖ p_s^T) + (1−α)·CE.
 
     Returns (weights dict with numpy W, b; history DataFrame (run, step, loss)).  ``alpha = 0``
-    is plain multinomial logistic regression.
+    is plain multinomial logistic regression.  A ``history`` list is filled step by step, so a
+    caller has it even if a later step fails.
     """
     spark = df.sparkSession
+    history = [] if history is None else history
     data = df.select(F.col(features).alias("x"), F.col(teacher_logits).alias("t"), F.col(label).cast("int").alias("y"))
     data = data.persist(StorageLevel.MEMORY_AND_DISK)
     first = data.select(F.size("x").alias("d"), F.size("t").alias("k")).first()
     d, k = int(first["d"]), int(first["k"])
     w, b = np.zeros((k, d)), np.zeros(k)
-    history = []
     for step in range(iters + 1):
         bc = spark.sparkContext.broadcast((w, b))
-        parts = data.mapInPandas(_partials(bc, k, d, temperature, alpha), "chunk long, vals array<double>")
-        # per chunk id: element-wise sum of one partial per partition (JVM, no Python stage)
-        grouped = parts.groupBy("chunk").agg(F.collect_list("vals").alias("_l"))
-        summed = grouped.select("chunk", F.aggregate(
-            F.slice("_l", 2, F.greatest(F.size("_l") - 1, F.lit(0))), F.element_at("_l", 1),
-            lambda acc, v: F.zip_with(acc, v, lambda x, y: x + y)).alias("vals"))
-        tot = summed.collect()
-        vec = np.concatenate([np.asarray(r["vals"]) for r in sorted(tot, key=lambda r: r["chunk"])])
+        parts = data.mapInPandas(_partials(bc, k, d, temperature, alpha), "idx long, val double")
+        tot = parts.groupBy("idx").agg(F.sum("val").alias("val")).toPandas()     # K·D + K + 2 rows: the weights
+        vec = tot.sort_values("idx")["val"].to_numpy()
         n = max(vec[-1], 1.0)
         history.append((run, step, float(vec[-2] / n)))
         bc.unpersist()
@@ -114,24 +105,21 @@ def distil_and_log(df: DataFrame, features: str, teacher_logits: str, label: str
     """Fit and write the loss history; as in the source the log is written even when the fit
     fails (the error is then re-raised after the partial history is saved)."""
     from ..sources.sinks import write_fit_log
-    spark = df.sparkSession
+    steps: list = []
     try:
-        weights, hist = distil_linear(df, features, teacher_logits, label, **kw)
-    except Exception:
-        write_fit_log(literal_table(spark, [], "run string, step int, loss double"), log_path)
-        raise
-    write_fit_log(hist, log_path)
-    return weights, hist
+        return distil_linear(df, features, teacher_logits, label, history=steps, **kw)
+    finally:
+        write_fit_log(df.sparkSession.createDataFrame(steps, "run string, step int, loss double"), log_path)
 
 
 def score_linear(df: DataFrame, features: str, weights: dict, out: str = "logits") -> DataFrame:
-    """Student logits W·x + b as a JVM expression (the weights are a small literal)."""
-    w, b = weights["W"], weights["b"]
-    rows = [F.array(*[F.lit(float(v)) for v in row]) for row in w]
+    """Student logits W·x + b.  The weights are data: a one-row table (K × D numbers, the size of the
+    model) joined to every row and applied by JVM expressions, so plans don't grow with them."""
+    model = df.sparkSession.createDataFrame([(np.asarray(weights["W"], float).tolist(), np.asarray(weights["b"], float).tolist())],
+                                            "_W array<array<double>>, _b array<double>")
     x = F.transform(features, lambda v: v.cast("double"))
-    logits = [F.aggregate(F.zip_with(r, x, lambda p, q: p * q), F.lit(float(b[i])), lambda acc, v: acc + v)
-              for i, r in enumerate(rows)]
-    return df.withColumn(out, F.array(*logits))
+    logits = F.zip_with("_W", "_b", lambda r, b: F.aggregate(F.zip_with(r, F.col("_x"), lambda p, q: p * q), b, lambda acc, v: acc + v))
+    return df.withColumn("_x", x).crossJoin(F.broadcast(model)).withColumn(out, logits).drop("_W", "_b", "_x")
 
 
 def select_features(df: DataFrame, features: str, idx, out: str = "x_sub") -> DataFrame:

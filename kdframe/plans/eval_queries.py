@@ -22,8 +22,17 @@ GEN_GSM = fx.generations_sql(GSM, "GSM8K")
 GEN_ARC = fx.generations_sql(ARC, "ARC-Challenge")
 
 
+# Patterns of the SQL twins, written from the semantics and sharing nothing with the library:
+# white space as Unicode defines it for str.strip, digits, standalone letters, word characters.
+SPACE_SQL = r"\x{9}-\x{d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+DIGITS_SQL = r"-?\d+"
+LETTER_SQL = r"(?:^|[^\pL\pN_])([A-D])(?:[^\pL\pN_]|$)"
+KEYWORD_SQL = rf"(?i:choice|answer)[:{SPACE_SQL}]*([ABCDabcd])"
+WORDS_SQL = r"[_\pL\pN]+"
+
+
 def py_strip_sql(x):
-    return f"regexp_replace({x}, '^{tx.PY_SPACE}+|{tx.PY_SPACE}+$', '', 'g')"
+    return f"regexp_replace({x}, '^[{SPACE_SQL}]+|[{SPACE_SQL}]+$', '', 'g')"
 
 
 def stop_sql(x):
@@ -34,19 +43,19 @@ def stop_sql(x):
 
 
 def last_int_sql(x):
-    last = f"regexp_extract_all(replace({x}, ',', ''), '{tx.INT_RE}', 1)[-1]"
+    last = f"regexp_extract_all(replace({x}, ',', ''), '{DIGITS_SQL}')[-1]"
     digits = f"(CASE WHEN regexp_replace({last}, '^-?0*', '') = '' THEN '0' ELSE regexp_replace({last}, '^-?0*', '') END)"
     return (f"(CASE WHEN {last} IS NULL THEN NULL WHEN starts_with({last}, '-') AND {digits} <> '0' "
             f"THEN '-' || {digits} ELSE {digits} END)")
 
 
 def letter_sql(x):
-    return (f"coalesce(nullif(regexp_extract(upper({x}), '{tx.LETTER_RE}', 2), ''), "
-            f"nullif(upper(regexp_extract({x}, '{tx.KEYWORD_RE}', 2)), ''))")
+    return (f"coalesce(nullif(regexp_extract(upper({x}), '{LETTER_SQL}', 1), ''), "
+            f"nullif(upper(regexp_extract({x}, '{KEYWORD_SQL}', 1)), ''))")
 
 
 def _wset(x):
-    return f"list_distinct(regexp_extract_all(lower({x}), '{tx.WORD}+'))"
+    return f"list_distinct(regexp_extract_all(lower({x}), '{WORDS_SQL}'))"
 
 
 def match_sql(g, ch):
@@ -146,7 +155,8 @@ SELECT a.item_id, b.demos || {NL} || 'Question: ' || a.question || {NL} || {choi
 FROM ({ARC}) a, ({_block_sql(ARC, ARC_LOOP_DEMO, 3)}) b""")
 def q_few_shot_prompt_arc(spark, d):
     a = _arc(spark, d)
-    return ev.few_shot_prompt_arc(a, ev.arc_demo_block_text(a, 3, SEED), 3).select("item_id", "prompt")
+    fb = ev.arc_demo_block(a, 3, SEED)
+    return ev.few_shot_prompt_arc(a, ev.arc_demo_block_text(a, 3, SEED), 3, fallback=fb).select("item_id", "prompt")
 
 
 @register("qa_prompt", f"""
@@ -183,17 +193,19 @@ def q_strip_prompt(spark, d):
 
 
 STOP_TEXTS = f"""
-SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN replace(text, '. ', '.' || {NL} || 'Q: ')
-                               WHEN 1 THEN replace(text, '. ', '.' || {NL} || 'Question: ') ELSE text END AS text
+SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN replace(text, '. ', '.' || {NL} || 'Q: ')
+                               WHEN 1 THEN replace(text, '. ', '.' || {NL} || 'Question: ')
+                               WHEN 2 THEN replace(text, '. ', '.' || chr(8195) || {NL} || 'A: ') ELSE text END AS text
 FROM documents"""
 
 
 def _stop_texts(spark, d):
-    """Whole documents with stop markers after every sentence for two thirds of them."""
+    """Whole documents with one of the three stop markers after every sentence for three of four."""
     doc = table(spark, d, "documents")
     t = F.col("text")
-    marked = (F.when(F.col("doc_id") % 3 == 0, F.replace(t, F.lit(". "), F.lit(".\nQ: ")))
-              .when(F.col("doc_id") % 3 == 1, F.replace(t, F.lit(". "), F.lit(".\nQuestion: "))).otherwise(t))
+    marked = (F.when(F.col("doc_id") % 4 == 0, F.replace(t, F.lit(". "), F.lit(".\nQ: ")))
+              .when(F.col("doc_id") % 4 == 1, F.replace(t, F.lit(". "), F.lit(".\nQuestion: ")))
+              .when(F.col("doc_id") % 4 == 2, F.replace(t, F.lit(". "), F.lit(".\u2003\nA: "))).otherwise(t))
     return doc.select("doc_id", marked.alias("text"))
 
 
@@ -301,7 +313,9 @@ def q_model_label(spark, d):
                     tx.model_label("_name", suffix="_cascade").alias("label_cascade"))
 
 
-@register("generate_batch")
+@register("generate_batch", f"""
+SELECT item_id, array_to_string(w[greatest(len(w) - 7, 1):], ' ') AS generation
+FROM (SELECT item_id, regexp_extract_all('Question: ' || question || {NL} || 'Answer:', '[^{SPACE_SQL}]+') AS w FROM ({GSM}))""")
 def q_generate_batch(spark, d):
     def last_words(prompts, n=8):
         """Stand-in generator for the hook: echoes the last n words of each prompt."""

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
-from ..functions import text as tx
 from ..operators import evaluation as ev
 from ..operators import fit as ft
 from ..operators import ordering as od
@@ -13,8 +15,9 @@ from ..operators.patterns import pattern_flag
 from ..operators.udf import map_rows
 from ..sources import fixtures as fx
 from ..sources import sinks
+from ..session import ensure_checkpoint_dir
 from ..sources.readers import table
-from .eval_queries import ARC, GEN_ARC, SUMMARY_SQL, _arc, _gen_arc, _summary, letter_sql, match_sql, stop_sql
+from .eval_queries import ARC, GEN_ARC, SPACE_SQL, SUMMARY_SQL, _arc, _gen_arc, _summary, letter_sql, match_sql, stop_sql
 from .registry import register
 
 ITERS = 15
@@ -22,10 +25,50 @@ STUDENTS = (ft.StudentSpec("s1", tuple(range(0, 64))), ft.StudentSpec("s2", tupl
             ft.StudentSpec("s3", tuple(range(0, 16))))
 
 
-@register("distil_linear")
+TASK_SQL = """
+WITH cells AS (SELECT label, unnest(embedding) AS v, unnest(range(len(embedding))) AS j FROM embeddings),
+cm AS (SELECT label, j, avg(CAST(v AS DOUBLE)) AS m FROM cells GROUP BY 1, 2),
+cent AS (SELECT label, list(m ORDER BY j) AS c FROM cm GROUP BY 1),
+task AS (SELECT e.vec_id AS id, e.label, list_transform(e.embedding, lambda x: CAST(x AS DOUBLE)) AS x,
+                list(-10.0 * list_sum(list_transform(list_zip(c.c, e.embedding), lambda z: (CAST(z[2] AS DOUBLE) - z[1]) * (CAST(z[2] AS DOUBLE) - z[1]))) ORDER BY c.label) AS t
+         FROM embeddings e, cent c GROUP BY ALL)"""
+
+
+def _lsm(z, t):
+    top = f"list_max({z})"
+    return f"list_transform({z}, lambda q: (q - {top}) / {t} - ln(list_sum(list_transform({z}, lambda r: exp((r - {top}) / {t})))))"
+
+
+def fit_sql(steps: int, t: float = 2.0, alpha: float = 0.5, lr: float = 0.5) -> str:
+    """(run, step, loss) of ``steps`` gradient steps from zero weights, each written out as SQL."""
+    ctes, zero = [], "list_transform(t, lambda q: 0.0::DOUBLE)"
+    ctes.append(f"z0 AS MATERIALIZED (SELECT id, label, x, t, {zero} AS z FROM task)")
+    for i in range(steps + 1):
+        ctes.append(f"l{i} AS MATERIALIZED (SELECT *, {_lsm('z', t)} AS st, {_lsm('t', t)} AS tt, {_lsm('z', 1.0)} AS s1 FROM z{i})")
+        ctes.append(f"""h{i} AS MATERIALIZED (SELECT avg({alpha * t * t} * list_sum(list_transform(list_zip(tt, st), lambda q: exp(q[1]) * (q[1] - q[2])))
+                     - {1 - alpha} * s1[label + 1]) AS loss FROM l{i})""")
+        if i < steps:
+            ctes.append(f"""g{i} AS MATERIALIZED (SELECT id, x, unnest(range(len(z))) AS k, unnest(list_transform(list_zip(st, tt, s1), lambda q, n:
+                     {alpha * t} * (exp(q[1]) - exp(q[2])) + {1 - alpha} * (exp(q[3]) - CASE WHEN n - 1 = label THEN 1.0 ELSE 0.0 END))) AS g FROM l{i})""")
+            ctes.append(f"w{i} AS MATERIALIZED (SELECT k, j, sum(g * v) / (SELECT count(*) FROM task) AS w FROM (SELECT k, g, unnest(x) AS v, unnest(range(len(x))) AS j FROM g{i}) GROUP BY 1, 2)")
+            ctes.append(f"v{i} AS MATERIALIZED (SELECT k, list(w ORDER BY j) AS w FROM w{i} GROUP BY 1)")
+            ctes.append(f"b{i} AS MATERIALIZED (SELECT k, avg(g) AS b FROM g{i} GROUP BY 1)")
+            ctes.append(f"""d{i} AS MATERIALIZED (SELECT l.id, list(list_sum(list_transform(list_zip(v.w, l.x), lambda q: q[1] * q[2])) + b.b ORDER BY v.k) AS d
+                     FROM l{i} l, v{i} v JOIN b{i} b ON b.k = v.k GROUP BY 1)""")
+            ctes.append(f"""z{i + 1} AS MATERIALIZED (SELECT l.id, l.label, l.x, l.t, list_transform(list_zip(l.z, d.d), lambda q: q[1] - {lr} * q[2]) AS z
+                     FROM l{i} l JOIN d{i} d ON d.id = l.id)""")
+    rows = " UNION ALL ".join(f"SELECT 'run' AS run, CAST({i} AS INTEGER) AS step, round(loss, 6) AS loss FROM h{i}" for i in range(steps + 1))
+    return f"{TASK_SQL},\n" + ",\n".join(ctes) + f"\n{rows}"
+
+
+def _folder(spark, tag: str) -> str:
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+
+
+@register("distil_linear", fit_sql(ITERS))
 def q_distil_linear(spark, d):
     _, hist = ft.distil_linear(fx.linear_task(spark, d), "features", "teacher_logits", "label", 2.0, 0.5, ITERS, 0.5)
-    return hist
+    return hist.withColumn("loss", F.round("loss", 6))
 
 
 CENT_SQL = """
@@ -86,7 +129,7 @@ def q_pattern_flag(spark, d):
 
 
 @register("map_rows", f"""
-SELECT doc_id, CAST(len(regexp_extract_all(text, '[^{tx.PY_SPACE[1:-1]}]+')) AS BIGINT) AS n_words FROM documents""")
+SELECT doc_id, CAST(len(regexp_extract_all(text, '[^{SPACE_SQL}]+')) AS BIGINT) AS n_words FROM documents""")
 def q_map_rows(spark, d):
     def words(pdf):
         return pdf.assign(n_words=pdf["text"].fillna("").str.split().str.len().astype("int64"))[["doc_id", "n_words"]]
@@ -100,22 +143,35 @@ SELECT g.model, g.dataset, g.shot, g.item_id, i.question, to_json(i.choices.text
        {stop_sql('g.generation')} AS generation
 FROM ({GEN_ARC}) g JOIN ({ARC}) i ON i.item_id = g.item_id""")
 def q_write_eval_csv(spark, d):
-    return sinks.eval_csv_frame(ev.score_arc(_gen_arc(spark, d), _arc(spark, d)))
+    rows, path = ev.score_arc(_gen_arc(spark, d), _arc(spark, d)), _folder(spark, "eval-csv")
+    sinks.write_eval_csv(rows, path)
+    keys = ["model", "dataset", "shot"]
+    back = sinks.read_csv(spark, path, StructType([f for f in sinks.eval_csv_frame(rows).schema.fields if f.name not in keys]
+                                                  + [StructField(k, StringType()) for k in keys]))
+    return back.select(*rows.columns)
 
 
 @register("write_summary_csv", SUMMARY_SQL)
 def q_write_summary_csv(spark, d):
-    s = _summary(spark, d)
-    return s.select("model", "dataset", "shot", F.round("accuracy", 6).alias("accuracy"), "num")
+    s, path = _summary(spark, d), _folder(spark, "summary-csv")
+    sinks.write_summary_csv(s, path)
+    return sinks.read_csv(spark, path, s.schema).select("model", "dataset", "shot", F.round("accuracy", 6).alias("accuracy"), "num")
 
 
-@register("write_results_json")
+@register("write_results_json", f"SELECT replace(model, 'model', 'student') AS student, model, dataset, shot, accuracy, num FROM ({SUMMARY_SQL})")
 def q_write_results_json(spark, d):
     s = _summary(spark, d).withColumn("student", F.regexp_replace("model", "model", "student"))
-    return sinks.results_doc(s, "student")
+    path = _folder(spark, "results-json")
+    sinks.write_results_json(s, path)
+    row = "struct<model:string,dataset:string,shot:string,accuracy:double,num:bigint>"
+    doc = spark.read.text(path, wholetext=True).select(F.from_json("value", f"map<string,struct<eval_summary:array<{row}>>>").alias("m"))
+    return (doc.select(F.explode("m").alias("student", "v")).select("student", F.inline("v.eval_summary"))
+            .withColumn("accuracy", F.round("accuracy", 6)))
 
 
-@register("write_fit_log")
+@register("write_fit_log", fit_sql(5))
 def q_write_fit_log(spark, d):
-    _, hist = ft.distil_linear(fx.linear_task(spark, d), "features", "teacher_logits", "label", 2.0, 0.5, 5, 0.5)
-    return hist
+    path = _folder(spark, "fit-log")
+    ft.distil_and_log(fx.linear_task(spark, d), "features", "teacher_logits", "label", path, temperature=2.0, alpha=0.5, iters=5, lr=0.5)
+    log = spark.read.text(path, wholetext=True).select(F.from_json("value", "array<struct<run:string,step:int,loss:double>>").alias("l"))
+    return log.select(F.inline("l")).withColumn("loss", F.round("loss", 6))

@@ -14,6 +14,7 @@ from ..operators import preference as pf
 from ..operators import tokens as tk
 from ..operators.conversations import collect_conversations, format_sharegpt
 from ..operators.distill import kd_loss_dpo
+from ..session import materialised
 from ..sources import fixtures as fx
 from ..sources.readers import literal_table, table
 
@@ -58,26 +59,31 @@ def preference_batches(spark: SparkSession, d: str, cfg: DPOConfig = DPOConfig()
     return pf.preference_metrics(per_pair, per_batch).unionByName(total)
 
 
-def reasoning_eval(spark: SparkSession, d: str, models: list, generate: Callable[[list], list],
+def reasoning_eval(spark: SparkSession, d: str, models: list, generate: Callable[..., list],
                    cfg: EvalConfig = EvalConfig(), n_items: int | None = None) -> tuple:
     """Entry 3: for every model and shot setting build GSM and ARC prompts (demos from a seeded
-    pool), generate through the hook, score, and return (detail rows, summary, pivot)."""
+    pool), generate through the hook (``generate(prompts, model=…)``), score, and return (detail
+    rows, summary, pivot)."""
     shots, seed = cfg.shots, cfg.seed
-    n_items = n_items or cfg.gsm_samples
     gsm, arc = fx.gsm_items(spark, d), fx.arc_items(spark, d)
-    gsm_test, arc_test = od.bounded_head(gsm, ["item_id"], n_items), od.bounded_head(arc, ["item_id"], n_items)
+    gsm_test = od.bounded_head(gsm, ["item_id"], n_items or cfg.gsm_samples)
+    arc_test = od.bounded_head(arc, ["item_id"], n_items or cfg.arc_samples)
     prompts = []
     for label, n in shots:
         g = ev.few_shot_prompt_gsm(gsm_test, ev.gsm_demo_block(gsm, n, seed, strip_q=False), n,
                                    fallback=ev.gsm_demo_block(gsm, n, seed, strip_q=True) if n else None)
-        a = ev.few_shot_prompt_arc(arc_test, ev.arc_demo_block_text(arc, n, seed), n)
+        a = ev.few_shot_prompt_arc(arc_test, ev.arc_demo_block_text(arc, n, seed), n,
+                                   fallback=ev.arc_demo_block(arc, n, seed) if n else None)
         prompts.append(g.select("item_id", "prompt", F.lit(GSM_NAME).alias("dataset"), F.lit(label).alias("shot")))
         prompts.append(a.select("item_id", "prompt", F.lit(ARC_NAME).alias("dataset"), F.lit(label).alias("shot")))
     allp = prompts[0]
     for p in prompts[1:]:
         allp = allp.unionByName(p)
     mdf = literal_table(spark, [(m,) for m in models], "model string")
-    gens = ev.generate_batch(allp.crossJoin(F.broadcast(mdf)), generate)
+    gens = ev.generate_batch(allp.crossJoin(F.broadcast(mdf)), generate, stops=cfg.stops,
+                             max_new_tokens=cfg.max_new_tokens, model_col="model")
+    # every prompt is generated once: both datasets and all tables below read what was written
+    gens = materialised(gens, "generations")
     sg = ev.score_gsm(gens.where(F.col("dataset") == GSM_NAME), gsm)
     sa = ev.score_arc(gens.where(F.col("dataset") == ARC_NAME), arc)
     detail = sg.select("model", "dataset", "shot", "item_id", "correct").unionByName(

@@ -17,13 +17,17 @@ EOS = 1        # id of '<eos>' (specials '<unk>'=0, '<eos>'=1); no '<pad>' so pa
 N = 64
 
 
+# the token pattern written again for the oracle: runs of word characters, or one other visible character
+TOKEN_SQL = r"[_\pL\pN]+|[^_\pL\pN\x{9}-\x{d} ]"
+
+
 def vocab_sql(size: int = VOCAB, src: str = "documents", col: str = "text") -> str:
     return f"""
 SELECT token, CAST(id AS INTEGER) AS id FROM (VALUES ('<unk>', 0), ('<eos>', 1)) s(token, id)
 UNION ALL
 SELECT token, CAST(id AS INTEGER) AS id FROM (
   SELECT token, row_number() OVER (ORDER BY n DESC, token) + 1 AS id
-  FROM (SELECT token, count(*) AS n FROM (SELECT unnest(regexp_extract_all({col}, '{tk.TOKEN_RE}')) AS token FROM {src})
+  FROM (SELECT token, count(*) AS n FROM (SELECT unnest(regexp_extract_all({col}, '{TOKEN_SQL}')) AS token FROM {src})
         GROUP BY token)
   QUALIFY row_number() OVER (ORDER BY n DESC, token) <= {size - 2})"""
 
@@ -34,7 +38,7 @@ def encode_sql(src: str, key: str, text: str, vocab: str) -> str:
 SELECT s.{key} AS {key}, coalesce(e.ids, []::INTEGER[]) AS ids FROM ({src}) s LEFT JOIN (
   SELECT k, list(coalesce(v.id, 0) ORDER BY i) AS ids FROM (
     SELECT k, unnest(toks) AS token, unnest(range(1, len(toks) + 1)) AS i
-    FROM (SELECT {key} AS k, regexp_extract_all({text}, '{tk.TOKEN_RE}') AS toks FROM ({src}))) u
+    FROM (SELECT {key} AS k, regexp_extract_all({text}, '{TOKEN_SQL}') AS toks FROM ({src}))) u
   LEFT JOIN ({vocab}) v ON v.token = u.token GROUP BY k) e ON e.k = s.{key}"""
 
 

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_CKPT: dict[str, str] = {}
 
@@ -23,22 +24,22 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
                 app: str = "kdframe", event_log_dir: str | None = None) -> SparkSession:
     """Build (or reuse) a session with the settings every entry point here assumes.
 
+    Master and shuffle partitions are set only when given, so a cluster submit keeps its own.
     AQE stays on so that skewed joins are split and small shuffles coalesced at runtime;
     the UI is off (no server is opened).
     """
-    cpus = os.environ.get("BENCH_CPUS", "8")
-    master = master or f"local[{cpus}]"
-    parts = shuffle_partitions or int(os.environ.get("KDFRAME_SHUFFLE_PARTITIONS", "8"))
-    b = (SparkSession.builder.master(master).appName(app)
-         .config("spark.ui.enabled", "false")
+    b = SparkSession.builder.appName(app)
+    if master:
+        b = b.master(master).config("spark.driver.memory", os.environ.get("KDFRAME_DRIVER_MEMORY", _default_driver_memory()))
+    if shuffle_partitions:
+        b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+    b = (b.config("spark.ui.enabled", "false")
          .config("spark.ui.showConsoleProgress", "false")
-         .config("spark.sql.shuffle.partitions", str(parts))
          .config("spark.sql.adaptive.enabled", "true")
          .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
          .config("spark.sql.adaptive.skewJoin.enabled", "true")
          .config("spark.sql.session.timeZone", "UTC")
          .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-         .config("spark.driver.memory", os.environ.get("KDFRAME_DRIVER_MEMORY", _default_driver_memory()))
          .config("spark.sql.autoBroadcastJoinThreshold", str(32 * 1024 * 1024)))
     if event_log_dir:
         b = b.config("spark.eventLog.enabled", "true").config("spark.eventLog.dir", event_log_dir)
@@ -70,3 +71,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         _LOCAL_CKPT[key] = tempfile.mkdtemp(prefix="kdframe-ckpt-")
     sc.setCheckpointDir(_LOCAL_CKPT[key])
     return _LOCAL_CKPT[key]
+
+
+def materialised(df: DataFrame, tag: str) -> DataFrame:
+    """``df`` written as Parquet into the shared checkpoint folder and read again: later reads neither
+    repeat the work above it nor depend on one executor."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

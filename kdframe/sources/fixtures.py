@@ -77,20 +77,21 @@ WHERE a.after IS NOT NULL GROUP BY a.conv_id, a.i"""
 
 
 def gsm_items(spark: SparkSession, d: str) -> DataFrame:
-    """Math QA from whole documents: answer = the last line, question = everything before it
-    (a single-line document is both question and answer)."""
+    """Math QA from whole documents: answer = the last line and a final ``#### number`` line, question =
+    everything before the last line (a single-line document is both question and answer)."""
     doc = table(spark, d, "documents")
     ans = F.element_at(F.split(F.col("text"), "\n"), -1)
     q = F.when(F.instr("text", "\n") > 0, F.expr("substring(text, 1, length(text) - length(element_at(split(text, '\\n'), -1)) - 1)")
                ).otherwise(F.col("text"))
-    return doc.select(F.col("doc_id").alias("item_id"), q.alias("question"), ans.alias("answer"))
+    number = F.concat(F.lit("\n#### "), (F.col("doc_id") * 37 % 1000).cast("string"))
+    return doc.select(F.col("doc_id").alias("item_id"), q.alias("question"), F.concat(ans, number).alias("answer"))
 
 
 GSM_SQL = """
 SELECT doc_id AS item_id,
        CASE WHEN instr(text, chr(10)) > 0 THEN left(text, length(text) - length(string_split(text, chr(10))[-1]) - 1)
             ELSE text END AS question,
-       string_split(text, chr(10))[-1] AS answer FROM documents"""
+       string_split(text, chr(10))[-1] || chr(10) || '#### ' || CAST(doc_id * 37 % 1000 AS VARCHAR) AS answer FROM documents"""
 
 
 def arc_items(spark: SparkSession, d: str) -> DataFrame:
@@ -125,12 +126,24 @@ def math_items(spark: SparkSession, d: str) -> DataFrame:
 
 
 def generations(spark: SparkSession, d: str, items: DataFrame, dataset: str) -> DataFrame:
-    """(model, dataset, shot, item_id, generation): model × shot × item; the text is a whole
-    document picked by item and shot, and a third of the rows lead with 'The answer is (X). '."""
+    """(model, dataset, shot, item_id, generation): model × shot × item in seven kinds, by
+    (item + shots + model) mod 7: a whole document picked by item and shot, led by 'The answer is
+    (X). ' (0) or alone (1, 6); text that names an option or the gold answer (2); the option's
+    words in another order, or the gold answer before a stop marker (3); one word of the option
+    among many others, or a wrong number (4); a letter after a keyword and an em space (5)."""
     from ..config import SHOTS
     docs = table(spark, d, "documents").select("doc_id", "text")
     n_docs = F.broadcast(table(spark, d, "documents").agg(F.count("*").alias("_n")))     # one-row scalar
-    grid = (items.select("item_id")
+    if dataset == "ARC-Challenge":
+        own = F.element_at("choices.text", (F.col("item_id") % F.size("choices.text") + 1).cast("int"))
+        words = F.split("_own", " ")
+        named, turned = F.concat(F.lit("it must be "), "_own"), F.concat(F.lit("perhaps "), F.array_join(F.reverse(words), " "))
+        vague = F.concat(F.element_at(words, 1), F.lit(" or else one two three four five six seven eight nine ten eleven"))
+    else:
+        own = F.col("answer")
+        named, turned = F.concat(F.lit("so it is: "), "_own"), F.concat(F.lit("1,0 and "), "_own", F.lit("\nA: 99999"))
+        vague = F.concat(F.lit("-"), "_own", F.lit(" and -0"))
+    grid = (items.select("item_id", own.alias("_own"))
             .crossJoin(F.broadcast(literal_table(spark, [(i, m) for i, m in enumerate(MODELS)], "m_idx int, model string")))
             .crossJoin(F.broadcast(literal_table(spark, [(s, n) for s, n in SHOTS], "shot string, n_shot int")))
             .crossJoin(n_docs))
@@ -141,18 +154,30 @@ def generations(spark: SparkSession, d: str, items: DataFrame, dataset: str) ->
     grid = grid.repartition(spark.sparkContext.defaultParallelism)     # round-robin: no hot partition
     j = grid.join(docs, "doc_id", "left")
     lead = F.concat(F.lit("The answer is ("), F.expr("chr(65 + cast(item_id % 4 as int))"), F.lit("). "))
-    gen = F.when((F.col("item_id") + F.col("n_shot") + F.col("m_idx")) % 3 == 0,
-                 F.concat(lead, F.col("text"))).otherwise(F.col("text"))
+    kind = (F.col("item_id") + F.col("n_shot") + F.col("m_idx")) % 7
+    keyword = F.concat(F.lit("my choice\u2003"), F.expr("chr(97 + cast(item_id % 4 as int))"), F.lit("x is this"))
+    gen = (F.when(kind == 0, F.concat(lead, F.col("text"))).when(kind == 2, named).when(kind == 3, turned)
+           .when(kind == 4, vague).when(kind == 5, keyword).otherwise(F.col("text")))
     return j.select("model", F.lit(dataset).alias("dataset"), "shot", "item_id", gen.alias("generation"))
 
 
 def generations_sql(items_sql: str, dataset: str) -> str:
+    if dataset == "ARC-Challenge":
+        own = "i.choices.text[CAST(i.item_id % len(i.choices.text) AS INTEGER) + 1]"
+        named, turned = "'it must be ' || g.own", "'perhaps ' || array_to_string(list_reverse(string_split(g.own, ' ')), ' ')"
+        vague = "string_split(g.own, ' ')[1] || ' or else one two three four five six seven eight nine ten eleven'"
+    else:
+        own = "i.answer"
+        named, turned = "'so it is: ' || g.own", "'1,0 and ' || g.own || chr(10) || 'A: 99999'"
+        vague = "'-' || g.own || ' and -0'"
     return f"""
 SELECT g.model, '{dataset}' AS dataset, g.shot, g.item_id,
-       CASE WHEN (g.item_id + g.n_shot + g.m_idx) % 3 = 0
-            THEN 'The answer is (' || chr(CAST(65 + g.item_id % 4 AS INTEGER)) || '). ' || doc.text
+       CASE (g.item_id + g.n_shot + g.m_idx) % 7
+            WHEN 0 THEN 'The answer is (' || chr(CAST(65 + g.item_id % 4 AS INTEGER)) || '). ' || doc.text
+            WHEN 2 THEN {named} WHEN 3 THEN {turned} WHEN 4 THEN {vague}
+            WHEN 5 THEN 'my choice' || chr(8195) || chr(CAST(97 + g.item_id % 4 AS INTEGER)) || 'x is this'
             ELSE doc.text END AS generation
-FROM (SELECT i.item_id, m.m_idx, m.model, s.shot, s.n_shot,
+FROM (SELECT i.item_id, {own} AS own, m.m_idx, m.model, s.shot, s.n_shot,
              (i.item_id * 7 + s.n_shot * 3 + m.m_idx) % (SELECT count(*) FROM documents) AS doc_id
       FROM ({items_sql}) i,
            (VALUES (0, 'modelA'), (1, 'modelB')) m(m_idx, model),

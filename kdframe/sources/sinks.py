@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
 
@@ -16,15 +16,23 @@ def eval_csv_frame(scored: DataFrame) -> DataFrame:
     return scored.select(*cols)
 
 
+#: CSV as other readers expect it: quotes doubled, spaces kept, null and '' told apart.
+CSV_OPTIONS = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+
+
 def write_eval_csv(scored: DataFrame, path: str, mode: str = "overwrite") -> None:
     """One CSV directory per (model, dataset, shot), with header."""
-    (eval_csv_frame(scored).write.mode(mode).partitionBy("model", "dataset", "shot")
-     .option("header", True).csv(path))
+    (eval_csv_frame(scored).write.mode(mode).partitionBy("model", "dataset", "shot").options(**CSV_OPTIONS).csv(path))
+
+
+def read_csv(spark: SparkSession, path: str, schema) -> DataFrame:
+    """A CSV written here, values as they were (line breaks included)."""
+    return spark.read.schema(schema).options(**CSV_OPTIONS, multiLine=True).csv(path)
 
 
 def write_summary_csv(summary: DataFrame, path: str, mode: str = "overwrite") -> None:
     """The summary has #models × #datasets × #shots rows, so a single file is written."""
-    summary.coalesce(1).write.mode(mode).option("header", True).csv(path)
+    summary.coalesce(1).write.mode(mode).options(**CSV_OPTIONS).csv(path)
 
 
 def results_doc(summary: DataFrame, student_col: str = "student") -> DataFrame:
@@ -43,5 +51,7 @@ def write_results_json(summary: DataFrame, path: str, student_col: str = "studen
 
 
 def write_fit_log(history: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Loss history (run, step, loss) as JSON lines."""
-    history.coalesce(1).write.mode(mode).json(path)
+    """Loss history as one JSON list of {run, step, loss} in step order for each run (as many entries
+    as the fit made steps)."""
+    rows = F.array_sort(F.collect_list(F.struct("run", "step", "loss")))
+    history.agg(F.to_json(rows).alias("value")).coalesce(1).write.mode(mode).text(path)
