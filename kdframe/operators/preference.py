@@ -8,9 +8,10 @@ loss = −log σ(β[(π_c − π_r) − (ref_c − ref_r)]), rewards = β(π −
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..config import DPOConfig
 from ..functions import scores as sc
 from ..functions.arrays import roll_right
 
@@ -92,6 +93,80 @@ def wpo_weights(tokens: DataFrame, logits: str = "logits", faithful_shift: bool
     return p.select(*keys, F.least(F.lit(1.0), F.exp(F.col("chosen") + F.col("rejected"))).alias("policy_weight"))
 
 
+def pair_table(tokens: DataFrame, logits: str = "logits", ref_logits: str = "t_logits", keys=("batch_id", "pair_id"),
+               kd_temperature: float = 1.0) -> DataFrame:
+    """Everything the preference loss and its metrics need, one narrow row a pair, from one pass over
+    the scores: each row's logit arrays are read where they lie and only sums are shuffled.
+
+    Per side: log-prob sums of policy and reference, loss tokens, summed WPO adjustment, sum and
+    number of logit values at loss positions; per pair: KL sum over all positions, rows, and the
+    summed CE and count of the chosen side's non-zero labels.
+    """
+    on = F.col("loss_mask") == 1
+    lp = F.when(on, sc.selective_log_softmax(logits, "label")).otherwise(0.0)
+    ref = F.when(on, sc.selective_log_softmax(ref_logits, "label")).otherwise(0.0)
+    t = tokens.select(*keys, "side", "loss_mask", "label", lp.alias("lp"), ref.alias("ref"),
+                      sc.kl_row(logits, ref_logits, kd_temperature).alias("kl"),
+                      F.when(on, sc.wpo_adjust(logits)).otherwise(0.0).alias("adj"),
+                      F.when(on, sc.array_sum(logits)).otherwise(0.0).alias("total"), F.when(on, F.size(logits)).otherwise(0).alias("size"))
+
+    def of(side: str, value) -> Column:
+        return F.sum(F.when(F.col("side") == side, value))
+
+    sides = [x for s in SIDES for x in (
+        of(s, F.col("lp")).alias(s), of(s, F.col("ref")).alias(f"ref_{s}"), of(s, F.col("loss_mask")).alias(f"n_{s}"),
+        of(s, F.col("lp") - F.col("adj")).alias(f"w_{s}"), of(s, F.col("total")).alias(f"logits_{s}"), of(s, F.col("size")).alias(f"size_{s}"))]
+    counted = (F.col("side") == "chosen") & (F.col("loss_mask") == 1) & (F.col("label") != 0)
+    rows = sum(F.max(F.when(F.col("side") == s, 1).otherwise(0)) for s in SIDES[1:]) + F.max(F.when(F.col("side") == SIDES[0], 1).otherwise(0))
+    return t.groupBy(*keys).agg(*sides, F.sum("kl").alias("kl"), rows.alias("rows"),
+                                F.sum(F.when(counted, -F.col("lp"))).alias("nll_sum"), F.count(F.when(counted, 1)).alias("nll_n"))
+
+
+def composed_loss(pairs: DataFrame, cfg: DPOConfig = DPOConfig(), use_weighting: bool = False, ipo: bool = False,
+                  batch_col: str = "batch_id") -> DataFrame:
+    """Per-pair loss of ``pair_table`` rows in the order of the source: DPO, + ``rpo_alpha`` · batch NLL of
+    the chosen side, × WPO weight, + ``aux_loss_coef`` · ``aux_loss`` (a column of ``pairs``, if the
+    coefficient is set), + ``kd_weight`` · batch KD.  ``ipo`` averages log-probs over loss tokens.
+    Adds loss, rewards, margin, reward_accuracy, kd, nll_loss and policy_weight."""
+    w = Window.partitionBy(batch_col)
+    out = (pairs.withColumn("kd", F.sum("kl").over(w) / F.sum("rows").over(w) * cfg.kd_temperature ** 2)
+           .withColumn("nll_loss", F.try_divide(F.sum("nll_sum").over(w), F.sum("nll_n").over(w)))
+           .withColumn("policy_weight", F.least(F.lit(1.0), F.exp(F.try_divide(F.col("w_chosen"), F.col("n_chosen"))
+                                                                  + F.try_divide(F.col("w_rejected"), F.col("n_rejected"))))))
+    if ipo:
+        for s in SIDES:
+            out = out.withColumn(s, F.try_divide(F.col(s), F.col(f"n_{s}"))).withColumn(f"ref_{s}", F.try_divide(F.col(f"ref_{s}"), F.col(f"n_{s}")))
+    out = reward_accuracy(dpo_loss(out, cfg.beta))
+    loss = F.col("loss")
+    if cfg.rpo_alpha is not None:
+        loss = loss + cfg.rpo_alpha * F.col("nll_loss")
+    if use_weighting:
+        loss = loss * F.col("policy_weight")
+    if cfg.aux_loss_coef:
+        loss = loss + cfg.aux_loss_coef * F.coalesce("aux_loss", F.lit(0.0))
+    return out.withColumn("loss", loss + cfg.kd_weight * F.col("kd"))
+
+
+def composed_metrics(losses: DataFrame, cfg: DPOConfig = DPOConfig(), batch_col: str = "batch_id", train_eval: str = "train") -> DataFrame:
+    """(batch_id, metric, value) of ``composed_loss`` rows, one aggregate: the logged means, the total
+    ``loss``, and ``nll_loss`` / ``aux_loss`` where their options are on."""
+    mean = lambda c: F.avg(c)
+    values = {"rewards/chosen": mean("chosen_reward"), "rewards/rejected": mean("rejected_reward"),
+              "rewards/accuracies": mean("reward_accuracy"), "rewards/margins": mean("margin"),
+              "logps/chosen": mean("chosen"), "logps/rejected": mean("rejected"),
+              "logits/chosen": F.try_divide(F.sum("logits_chosen"), F.sum("size_chosen")),
+              "logits/rejected": F.try_divide(F.sum("logits_rejected"), F.sum("size_rejected")),
+              "logits/kd": F.max("kd"), "loss": mean("loss")}
+    if cfg.rpo_alpha is not None:
+        values["nll_loss"] = F.max("nll_loss")
+    if cfg.aux_loss_coef:
+        values["aux_loss"] = mean("aux_loss")
+    prefix = "eval_" if train_eval == "eval" else ""
+    row = losses.groupBy(batch_col).agg(*[v.cast("double").alias(f"_m{i}") for i, v in enumerate(values.values())])
+    pairs = F.array(*[F.struct(F.lit(prefix + m).alias("metric"), F.col(f"_m{i}").alias("value")) for i, m in enumerate(values)])
+    return row.select(batch_col, F.inline(pairs))
+
+
 def aux_loss_mix(df: DataFrame, coef: float, loss: str = "loss", aux: str = "aux_loss") -> DataFrame:
     return df.withColumn(loss, F.col(loss) + coef * F.coalesce(F.col(aux), F.lit(0.0)))
 

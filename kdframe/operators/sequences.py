@@ -44,11 +44,13 @@ def flush_left(df: DataFrame, batch_col: str = "batch_id", mask: str = "attentio
     for c in (mask, *others):
         out = out.withColumn(c, F.when(F.col("_k") < 0, F.array().cast(out.schema[c].dataType))
                              .otherwise(rotate_left(c, F.col("_k"))))
-    cells = out.select(batch_col, F.posexplode(mask).alias("_c", "_m"))
-    col_max = cells.groupBy(batch_col, "_c").agg(F.max("_m").alias("_mx"))
-    cut = col_max.groupBy(batch_col).agg(
-        F.min(F.when(F.col("_mx") == 0, F.col("_c"))).alias("_cut"), F.max("_c").alias("_last"))
-    cut = cut.select(batch_col, F.coalesce("_cut", F.col("_last") + 1).alias("_cut"))
+    # per batch the column numbers that some row uses are united as arrays, one array a row: tokens
+    # are never exploded or shuffled one by one, and a group is one batch
+    ones = F.transform(mask, lambda m, i: F.when(m == 1, i))
+    used = F.array_distinct(F.flatten(F.collect_list(F.filter(ones, lambda i: i.isNotNull()))))
+    cut = out.groupBy(batch_col).agg(used.alias("_u"), F.max(F.size(mask)).alias("_last"))
+    free = F.array_min(F.array_except(F.sequence(F.lit(0), F.col("_last")), F.col("_u")))
+    cut = cut.select(batch_col, free.alias("_cut"))
     out = out.join(cut, batch_col, "left").withColumn("_cut", F.coalesce("_cut", F.lit(0)))
     for c in (mask, *others):
         out = out.withColumn(c, F.slice(c, 1, F.col("_cut")))

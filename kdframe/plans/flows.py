@@ -13,7 +13,6 @@ from ..operators import ordering as od
 from ..operators import preference as pf
 from ..operators import tokens as tk
 from ..operators.conversations import collect_conversations, format_sharegpt
-from ..operators.distill import kd_loss_dpo
 from ..session import materialised
 from ..sources import fixtures as fx
 from ..sources.readers import literal_table, table
@@ -43,20 +42,8 @@ def chat_kd_dataset(spark: SparkSession, d: str, vocab_size: int = 4096, cfg: Di
 def preference_batches(spark: SparkSession, d: str, cfg: DPOConfig = DPOConfig()) -> DataFrame:
     """Entry 2 per batch: sequence log-probs of policy (student) and reference (teacher), DPO
     loss + kd_weight · batch KD, and the logged metrics as (batch_id, metric, value)."""
-    beta, kd_weight = cfg.beta, cfg.kd_weight
-    tok = fx.pref_tokens(spark, d)
-    pol = pf.sequence_logps(tok, "logits")
-    ref = pf.sequence_logps(tok, "t_logits").select("pair_id", F.col("chosen_logps").alias("ref_chosen"),
-                                                    F.col("rejected_logps").alias("ref_rejected"))
-    pairs = pf.reference_logps(pol, ref).select("batch_id", "pair_id", F.col("chosen_logps").alias("chosen"),
-                                                 F.col("rejected_logps").alias("rejected"), "ref_chosen", "ref_rejected")
-    per_pair = pf.reward_accuracy(pf.dpo_loss(pairs, beta))
-    kd = kd_loss_dpo(tok.select("batch_id", "example_id", "pos", F.col("logits").alias("s"), F.col("t_logits").alias("t")),
-                     cfg.kd_temperature)
-    total = pf.dpo_kd_total(per_pair, kd, kd_weight).select("batch_id", F.lit("loss").alias("metric"),
-                                                            F.col("total_loss").alias("value"))
-    per_batch = pf.mean_masked_logits(tok).join(kd, "batch_id")
-    return pf.preference_metrics(per_pair, per_batch).unionByName(total)
+    pairs = pf.pair_table(fx.pref_tokens(spark, d), kd_temperature=cfg.kd_temperature).withColumn("aux_loss", F.lit(0.0))
+    return pf.composed_metrics(pf.composed_loss(pairs, cfg), cfg)
 
 
 def reasoning_eval(spark: SparkSession, d: str, models: list, generate: Callable[..., list],

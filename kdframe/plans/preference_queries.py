@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import distill as ds
+from ..config import DPOConfig
 from ..operators import preference as pf
 from ..sources import fixtures as fx
 from .registry import register
@@ -62,21 +62,6 @@ def _tokens(spark, d):
     return fx.pref_tokens(spark, d)
 
 
-def _pair_dpo(spark, d):
-    tok = _tokens(spark, d)
-    pol = pf.sequence_logps(tok, "logits")
-    ref = pf.sequence_logps(tok, "t_logits").select("pair_id", F.col("chosen_logps").alias("ref_chosen"),
-                                                    F.col("rejected_logps").alias("ref_rejected"))
-    both = pf.reference_logps(pol, ref).select("batch_id", "pair_id", F.col("chosen_logps").alias("chosen"),
-                                                F.col("rejected_logps").alias("rejected"), "ref_chosen", "ref_rejected")
-    return pf.dpo_loss(both, BETA)
-
-
-def _batch_kd(spark, d):
-    tok = _tokens(spark, d).select("batch_id", "example_id", "pos", F.col("logits").alias("s"), F.col("t_logits").alias("t"))
-    return ds.kd_loss_dpo(tok, 1.0)
-
-
 @register("sequence_logps", f"""
 SELECT batch_id, pair_id, {r6('chosen_logps')} AS chosen_logps, {r6('rejected_logps')} AS rejected_logps FROM ({_seq_sql()})""")
 def q_sequence_logps(spark, d):
@@ -160,19 +145,36 @@ def q_aux_loss_mix(spark, d):
     return pf.aux_loss_mix(l, 0.01).select("pair_id", _r("loss").alias("loss"))
 
 
+AUX_SQL = "(p.pair_id % 5) / 10.0::DOUBLE"
+NLL_SQL = f"SELECT batch_id, avg({lse('logits')} - logits[label0 + 1]) AS nll FROM ({_lp_sql()}) WHERE side = 'chosen' AND label0 <> 0 GROUP BY 1"
+FULL = DPOConfig(beta=BETA, rpo_alpha=0.5, aux_loss_coef=0.01)
+
+
+def _pairs(spark, d):
+    return pf.pair_table(_tokens(spark, d)).withColumn("aux_loss", (F.col("pair_id") % 5) / 10.0)
+
+
 @register("dpo_kd_total", f"""
-SELECT p.batch_id, {r6('avg(p.loss + 0.001 * k.kd)')} AS total_loss, {r6('max(k.kd)')} AS kd
-FROM ({PAIR_DPO_SQL}) p LEFT JOIN ({BATCH_KD_SQL}) k ON k.batch_id = p.batch_id GROUP BY 1""")
+SELECT p.batch_id, {r6('avg(p.loss + 0.001 * k.kd)')} AS total_loss, {r6('max(k.kd)')} AS kd,
+       {r6(f'avg((p.loss + 0.5 * n.nll) * w.policy_weight + 0.01 * {AUX_SQL} + 0.001 * k.kd)')} AS total_loss_full
+FROM ({PAIR_DPO_SQL}) p LEFT JOIN ({BATCH_KD_SQL}) k ON k.batch_id = p.batch_id LEFT JOIN ({NLL_SQL}) n ON n.batch_id = p.batch_id
+JOIN ({_wpo_sql(False)}) w ON w.pair_id = p.pair_id GROUP BY 1""")
 def q_dpo_kd_total(spark, d):
-    out = pf.dpo_kd_total(_pair_dpo(spark, d), _batch_kd(spark, d), 1e-3)
-    return out.select("batch_id", _r("total_loss").alias("total_loss"), _r("kd").alias("kd"))
+    pairs = _pairs(spark, d)
+    plain = pf.composed_loss(pairs, DPOConfig(beta=BETA))
+    both = pf.composed_loss(plain.withColumnRenamed("loss", "plain"), FULL, use_weighting=True)
+    out = both.groupBy("batch_id").agg(F.avg("plain").alias("total_loss"), F.max("kd").alias("kd"), F.avg("loss").alias("total_loss_full"))
+    return out.select("batch_id", *[_r(c).alias(c) for c in ("total_loss", "kd", "total_loss_full")])
 
 
 @register("preference_metrics", f"""
 WITH p AS ({PAIR_DPO_SQL}),
 m AS (SELECT batch_id, avg(chosen_reward) AS a1, avg(rejected_reward) AS a2,
              avg(CAST(chosen_reward > rejected_reward AS DOUBLE)) AS a3, avg(margin) AS a4, avg(chosen) AS a5,
-             avg(rejected) AS a6 FROM p GROUP BY 1),
+             avg(rejected) AS a6, avg({AUX_SQL}) AS a7 FROM p GROUP BY 1),
+f AS (SELECT p.batch_id, avg((p.loss + 0.5 * n.nll) * w.policy_weight + 0.01 * {AUX_SQL} + 0.001 * k.kd) AS total, max(n.nll) AS nll
+      FROM p LEFT JOIN ({BATCH_KD_SQL}) k ON k.batch_id = p.batch_id LEFT JOIN ({NLL_SQL}) n ON n.batch_id = p.batch_id
+      JOIN ({_wpo_sql(False)}) w ON w.pair_id = p.pair_id GROUP BY 1),
 b AS (SELECT l.batch_id, l.mean_chosen_logits, l.mean_rejected_logits, k.kd
       FROM ({MEAN_LOGITS_SQL}) l JOIN ({BATCH_KD_SQL}) k ON k.batch_id = l.batch_id)
 SELECT batch_id, x.metric, round(x.value, 6) AS value FROM (
@@ -180,12 +182,11 @@ SELECT batch_id, x.metric, round(x.value, 6) AS value FROM (
     {{'metric': 'rewards/accuracies', 'value': a3}}, {{'metric': 'rewards/margins', 'value': a4}},
     {{'metric': 'logps/chosen', 'value': a5}}, {{'metric': 'logps/rejected', 'value': a6}},
     {{'metric': 'logits/chosen', 'value': b.mean_chosen_logits}}, {{'metric': 'logits/rejected', 'value': b.mean_rejected_logits}},
-    {{'metric': 'logits/kd', 'value': b.kd}}]) AS x
-  FROM m LEFT JOIN b ON b.batch_id = m.batch_id)""")
+    {{'metric': 'logits/kd', 'value': b.kd}}, {{'metric': 'loss', 'value': f.total}}, {{'metric': 'nll_loss', 'value': f.nll}},
+    {{'metric': 'aux_loss', 'value': m.a7}}]) AS x
+  FROM m LEFT JOIN b ON b.batch_id = m.batch_id LEFT JOIN f ON f.batch_id = m.batch_id)""")
 def q_preference_metrics(spark, d):
-    pair = pf.reward_accuracy(_pair_dpo(spark, d))
-    batch = pf.mean_masked_logits(_tokens(spark, d)).join(_batch_kd(spark, d), "batch_id")
-    m = pf.preference_metrics(pair, batch)
+    m = pf.composed_metrics(pf.composed_loss(_pairs(spark, d), FULL, use_weighting=True), FULL)
     return m.select("batch_id", "metric", _r("value").alias("value"))
 
 
