@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _LOCAL_DIRS: dict[str, str] = {}
 
@@ -40,3 +41,9 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     path = f"{scratch_dir(spark).rstrip('/')}/llm-{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def broadcast_if_small(table: DataFrame, limit: int = 10_000) -> DataFrame:
+    """A written ``table`` with a broadcast hint if it has at most ``limit`` rows, else as it is (the
+    join then shuffles)."""
+    return F.broadcast(table) if table.limit(limit + 1).count() <= limit else table
