@@ -101,6 +101,8 @@ def _numeric_bucket(df: DataFrame, order_cols):
     and hold ≈ ROWS_PER_BUCKET rows whatever the key distribution (keys must be unique).
     """
     from pyspark.ml.feature import Bucketizer
+    if isinstance(order_cols, (list, tuple)) and len(order_cols) > 1:
+        return None        # the first column may repeat: the range exchange splits on all columns
     first = order_cols[0] if isinstance(order_cols, (list, tuple)) else order_cols
     if not isinstance(first, str) or first not in df.columns:
         return None
