@@ -14,8 +14,6 @@ Each pair returns k rows a query, and the final ranking is a small aggregate ove
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
