@@ -43,6 +43,16 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def hash_sample(df: DataFrame, col: str, n: int) -> DataFrame:
+    """Rows of ``df`` with the ``n`` smallest different hashes of ``col``, one row a hash, nulls left out.
+
+    The threshold is found on the hashes alone; only the rows of the sample carry their texts on."""
+    keyed = df.filter(F.col(col).isNotNull()).withColumn("llm_hash", F.xxhash64(F.col(col)))
+    last = keyed.select("llm_hash").distinct().orderBy("llm_hash").limit(n).agg(F.max("llm_hash")).first()[0]
+    few = keyed.filter(F.lit(False) if last is None else F.col("llm_hash") <= last)
+    return few.dropDuplicates(["llm_hash"]).orderBy("llm_hash").drop("llm_hash")
+
+
 def broadcast_if_small(table: DataFrame, limit: int = 10_000) -> DataFrame:
     """A written ``table`` with a broadcast hint if it has at most ``limit`` rows, else as it is (the
     join then shuffles)."""

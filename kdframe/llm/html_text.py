@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import boost
+from .common import hash_sample
 
 #: Pages in the sample the trees are fitted on; layouts made of each.
 SAMPLE, LAYOUTS = 200, 3
@@ -306,8 +307,7 @@ def _layout(rng: random.Random, main: list[str], other: list[str], rest: list[st
 
 def fit(pages: DataFrame, sample: int = SAMPLE, html_col: str = "html") -> tuple:
     """Trees fitted on layouts made of the texts of ``sample`` pages (the ones with the smallest hash)."""
-    key = F.xxhash64(F.col(html_col))
-    rows = pages.select(F.col(html_col).alias("html")).filter("html is not null").withColumn("k", key).orderBy("k", "html").limit(sample).collect()
+    rows = hash_sample(pages.select(F.col(html_col).alias("html")), "html", sample).collect()
     rng = random.Random(SEED)
     parts = [p for p in (_parts(Page(r["html"])) for r in rows) if p[0]]
     # without a page that shows its parts, layouts are set with neutral words

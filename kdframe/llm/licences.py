@@ -23,7 +23,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import hash_sample, written
 
 UNKNOWN = "unknown"
 #: Ordinary paragraphs in the training sample, and variants made of each template.
@@ -119,8 +119,7 @@ class Model:
 def fit(docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """Fit on the fixed texts and on ``sample`` paragraphs of the documents with the smallest hashes."""
     spark = docs.sparkSession
-    few = docs.select(id_col, text_col).filter(F.col(text_col).isNotNull()).withColumn("k", F.xxhash64(F.col(id_col))) \
-        .orderBy("k", F.xxhash64(text_col)).limit(max(1, sample // 4))
+    few = hash_sample(docs.select(id_col, text_col), text_col, max(1, sample // 4))
     templates = _fixed(spark, TEMPLATES)
     licence = _variants(templates).select("family", _grams(F.col("words")).alias("grams"))
     known = [r["w"] for r in templates.select(F.explode(_words(F.col("text"))).alias("w")).distinct().collect()]
