@@ -1,8 +1,9 @@
 """Licence scan: which paragraphs state a licence, and of which family.
 
 A paragraph is a line of a text.  Features are its words and word pairs that occur in licence
-templates; a pair counts only with a word that ordinary text of the corpus rarely has, so a
-paragraph without such a word has no feature at all and needs no scoring.  A multinomial logistic
+templates; a pair counts only with a word that is not one of the fixed ``ORDINARY`` words, so a
+paragraph without such a word has no feature at all and needs no scoring.  The list is fixed
+because words counted in the corpus would drop a licence that the corpus states often.  A multinomial logistic
 regression over the sparse features is fitted on variants of the templates, on a bounded sample
 of ordinary paragraphs (``SAMPLE``) and on sentences that use licence words otherwise.  One half
 of the ordinary paragraphs is kept out of the fit and sets the probability that a family needs;
@@ -28,8 +29,8 @@ from .common import hash_sample, written
 UNKNOWN = "unknown"
 #: Ordinary paragraphs in the training sample, and variants made of each template.
 SAMPLE, VARIANTS = 2000, 24
-#: A word is ordinary, and no feature, if more than this share of the sampled paragraphs has it.
-ORDINARY = 0.005
+#: Template words that ordinary text has everywhere (``mit`` is German); no features by themselves.
+ORDINARY = ["a", "and", "are", "as", "by", "in", "is", "it", "mit", "of", "only", "or", "that", "the", "this", "to", "with"]
 #: Share of the held-out ordinary paragraphs that may pass for a licence; least probability of a family.
 FALSE_RATE, LEAST = 0.001, 0.5
 #: Share of a template's features that a paragraph must hold.
@@ -107,6 +108,15 @@ def paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         .select("doc_id", "paragraph", _words(F.col("line")).alias("words"))
 
 
+def _features(templates: list[tuple[str, str]], grams: list[str]) -> list[list[str]]:
+    """Those of ``grams`` that each template holds."""
+    kept, out = re.compile(r"[^\W_]+"), []
+    for _, text in templates:
+        words = [w for w in kept.findall(text.lower()) if not w.isdigit()]
+        out.append(sorted({*words, *map(" ".join, zip(words, words[1:]))} & set(grams)))
+    return out
+
+
 class Model:
     """What a fit yields: the vocabulary, the words a paragraph needs one of, the regression, the
     families in the order of its classes, and the least probability of a family."""
@@ -123,18 +133,15 @@ def fit(docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col:
     templates = _fixed(spark, TEMPLATES)
     licence = _variants(templates).select("family", _grams(F.col("words")).alias("grams"))
     known = [r["w"] for r in templates.select(F.explode(_words(F.col("text"))).alias("w")).distinct().collect()]
-    ordinary = written(paragraphs(few, id_col, text_col).filter("size(words) > 0").limit(sample).select("words"), "ordinary")
-    total = max(1, ordinary.count())
-    seen = (ordinary.select(F.explode(F.array_intersect("words", F.lit(known))).alias("w")).groupBy("w").count()
-            .filter(F.col("count") > ORDINARY * total))
-    common = {r["w"] for r in seen.collect()}  # words of the templates only
-    # sampled lines that state a licence word for word are no ordinary text
-    stated = [r["g"] for r in templates.select(_words(F.col("text")).alias("g")).collect()]
-    for words in stated:
-        ordinary = ordinary.filter(F.size(F.array_intersect("words", F.lit(sorted(set(words))))) < len(set(words)))
-    anchors = sorted(w for w in known if w not in common)
+    anchors = sorted(w for w in known if w not in ORDINARY)
     grams = sorted({r["g"] for r in templates.select(F.explode(_grams(_words(F.col("text")))).alias("g")).collect()
-                    if any(w not in common for w in r["g"].split(" "))})
+                    if any(w not in ORDINARY for w in r["g"].split(" "))})
+    ordinary = written(paragraphs(few, id_col, text_col).filter("size(words) > 0").limit(sample).select("words"), "ordinary")
+    # sampled lines that state a licence are no ordinary text, and a line counts once however often it is repeated
+    ordinary = ordinary.withColumn("grams", _grams(F.col("words")))
+    for own in _features(TEMPLATES, grams):
+        ordinary = ordinary.filter(F.size(F.array_intersect("grams", F.lit(own))) < CONFIRM * len(own))
+    ordinary = ordinary.dropDuplicates(["grams"]).select("words")
     vectorizer = CountVectorizerModel.from_vocabulary(grams, inputCol="grams", outputCol="features")
     vectorizer.setBinary(True)
     plain = ordinary.unionByName(_variants(_fixed(spark, [(UNKNOWN, t) for t in OTHERWISE])).select("words"))
@@ -168,11 +175,8 @@ def scan(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     """
     rows = paragraphs(docs, id_col, text_col).filter(F.arrays_overlap("words", F.lit(model.anchors)))
     rows = _odds(rows.withColumn("grams", _grams(F.col("words"))).drop("words"), model)
-    kept = re.compile(r"[^\W_]+")
     held = []
-    for n, (family, text) in enumerate(model.templates):
-        words = [w for w in kept.findall(text.lower()) if not w.isdigit()]
-        own = sorted({g for g in [*words, *map(" ".join, zip(words, words[1:]))] if g in set(model.grams)})
+    for n, ((family, _), own) in enumerate(zip(model.templates, _features(model.templates, model.grams))):
         share = F.size(F.array_intersect("grams", F.lit(own))) / len(own) if own else F.lit(0.0)
         held.append(F.struct(F.when(F.col("best.family") == family, share).otherwise(-1.0).alias("held"), F.lit(-n).alias("n")))
     rows = rows.withColumn("t", F.array_max(F.array(*held)))

@@ -51,3 +51,12 @@ def test_fit_without_documents(docs_of):
 def test_no_python_on_the_way(docs_of, model):
     plan = C.scan(docs_of([(1, "x")]), model)._jdf.queryExecution().toString()
     assert not re.search(r"(?i)python(?!rdd)|arrow|pandas", plan.replace("ExistingRDD", ""))
+
+
+def test_frequent_licence_and_small_table(docs_of, words):
+    said = "Released under the MIT License."
+    third = [(i, words(30, i) + ("\n" + said if i % 3 == 0 else "")) for i in range(300)]
+    ten = [(i, words(30, 500 + i) + ("\n" + said if i == 4 else "")) for i in range(10)]
+    for rows in (third, ten):
+        got = {(r.doc_id, r.paragraph): r.family for r in C.scan(docs_of(rows), C.fit(docs_of(rows))).collect()}
+        assert got == {(i, 1): "mit" for i, t in rows if said in t}
