@@ -1,6 +1,8 @@
 """Licence scan: which paragraphs state a licence, and of which family.
 
-A paragraph is a line of a text.  Features are its words and word pairs that occur in licence
+A paragraph is a line of a text.  A statement that is wrapped over lines, also in comment lines, is
+reported at the line where it begins: a line that states no licence by itself is read again with
+the words that follow it before the next blank line.  Features are its words and word pairs that occur in licence
 templates; a pair counts only with a word that is not one of the fixed ``ORDINARY`` words, so a
 paragraph without such a word has no feature at all and needs no scoring.  The list is fixed
 because words counted in the corpus would drop a licence that the corpus states often.  A multinomial logistic
@@ -75,10 +77,19 @@ OTHERWISE = [
     "The MIT professor released a new book.", "An Apache helicopter landed under heavy rain.", "The GNU is an animal of the plains.", "The terms of the project were modified.",
 ]
 
+_BETWEEN = r"[^\p{L}\p{N}]+"
+#: Words after a line that are read with it: twice those of the longest template.
+REACH = 2 * max(len(re.findall(r"[^\W_]+", t)) for _, t in TEMPLATES)
+
+
+def _told(words: Column) -> Column:
+    """Without numbers (versions, years): they say nothing of the family."""
+    return F.filter(words, lambda w: ~w.rlike("^[0-9]*$"))
+
 
 def _words(text: Column) -> Column:
-    """Lower-cased words; numbers (versions, years) say nothing of the family and are left out."""
-    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: ~w.rlike("^[0-9]*$"))
+    """Lower-cased words without numbers."""
+    return _told(F.split(F.lower(text), _BETWEEN))
 
 
 def _pairs(words: Column) -> Column:
@@ -117,6 +128,23 @@ def _features(templates: list[tuple[str, str]], grams: list[str]) -> list[list[s
     return out
 
 
+def wrapped(docs: DataFrame, anchors: list[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(doc_id, paragraph, words, more)`` for each line with one of ``anchors``; ``more`` are the ``REACH`` words
+    that follow it in the next lines.  A line without letters and digits, as an empty comment line, ends them."""
+    lines = docs.select(F.col(id_col).alias("doc_id"), F.transform(F.split(F.col(text_col), "\n"), lambda x: F.split(F.lower(x), _BETWEEN)).alias("lines"))
+    hit = F.filter(F.transform("lines", lambda x, i: F.when(F.arrays_overlap(x, F.lit(anchors)), i)), lambda i: i.isNotNull())
+
+    def following(i: Column) -> Column:
+        # a line that goes on has a word at least, so no more than REACH lines are needed
+        after = F.slice("lines", i + 2, F.lit(REACH))
+        blank = F.array_position(F.transform(after, lambda x: F.array_join(x, "")), "")
+        return F.slice(_told(F.flatten(F.when(blank > 0, F.slice(after, F.lit(1), (blank - 1).cast("int"))).otherwise(after))), 1, REACH)
+
+    rows = lines.select("doc_id", F.explode(F.transform(hit, lambda i: F.struct(
+        i.alias("paragraph"), _told(F.element_at("lines", i + 1)).alias("words"), following(i).alias("more")))).alias("row"))
+    return rows.select("doc_id", "row.*")
+
+
 class Model:
     """What a fit yields: the vocabulary, the words a paragraph needs one of, the regression, the
     families in the order of its classes, and the least probability of a family."""
@@ -165,21 +193,35 @@ def _odds(rows: DataFrame, model: Model) -> DataFrame:
     return scored.withColumn("best", F.array_max(F.array(*pairs))).drop("p", "features", "rawPrediction", "probability", "prediction")
 
 
+def _best(rows: DataFrame, model: Model) -> DataFrame:
+    """``rows(grams)`` with ``best``, with ``t``: how much of the best template of its family is held, and how much of
+    it ``rest`` holds where there is such a column, and with ``sure``: whether that confirms the family."""
+    rows, held = _odds(rows, model), []
+    for n, ((family, _), own) in enumerate(zip(model.templates, _features(model.templates, model.grams))):
+        share = lambda c: F.size(F.array_intersect(c, F.lit(own))) / len(own) if own else F.lit(0.0)  # noqa: B023, E731
+        of = F.col("best.family") == family
+        rest = F.when(of, share("rest")) if "rest" in rows.columns else F.lit(None).cast("double")
+        held.append(F.struct(F.when(of, share("grams")).otherwise(-1.0).alias("held"), F.lit(-n).alias("n"), rest.alias("rest")))
+    rows = rows.withColumn("t", F.array_max(F.array(*held)))
+    return rows.withColumn("sure", (F.col("best.p") >= model.least) & (F.col("t.held") >= CONFIRM))
+
+
 def scan(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, paragraph, family, probability, template, held)`` for each paragraph with a licence word.
+    """``(doc_id, paragraph, family, probability, template, held)`` for each paragraph with a licence word, a wrapped
+    statement at the line where it begins.
 
     ``family`` is ``unknown`` where the probability or the share ``held`` of the best template of the
     family is too low.  Null and empty texts and texts without a licence word give no row.
     Repeated rows give a row each; null ids are returned as null; an empty table gives no rows;
     other columns are ignored.
     """
-    rows = paragraphs(docs, id_col, text_col).filter(F.arrays_overlap("words", F.lit(model.anchors)))
-    rows = _odds(rows.withColumn("grams", _grams(F.col("words"))).drop("words"), model)
-    held = []
-    for n, ((family, _), own) in enumerate(zip(model.templates, _features(model.templates, model.grams))):
-        share = F.size(F.array_intersect("grams", F.lit(own))) / len(own) if own else F.lit(0.0)
-        held.append(F.struct(F.when(F.col("best.family") == family, share).otherwise(-1.0).alias("held"), F.lit(-n).alias("n")))
-    rows = rows.withColumn("t", F.array_max(F.array(*held)))
-    sure = (F.col("best.p") >= model.least) & (F.col("t.held") >= CONFIRM)
-    return rows.select("doc_id", "paragraph", F.when(sure, F.col("best.family")).otherwise(UNKNOWN).alias("family"),
-                       F.col("best.p").alias("probability"), (-F.col("t.n")).alias("template"), F.col("t.held").alias("held"))
+    rows = wrapped(docs, model.anchors, id_col, text_col)
+    rows = _best(rows.withColumn("grams", _grams(F.col("words"))), model)
+    # what is no statement by itself may be the beginning of one; the rest alone must hold less of it
+    rows = rows.withColumn("one", F.col("best")).withColumn("one_t", F.col("t")).withColumn("one_sure", F.col("sure"))
+    rows = rows.withColumn("grams", F.when(F.col("sure"), F.col("grams")).otherwise(_grams(F.concat("words", "more")))).drop("best", "t", "sure")
+    rows = _best(rows.withColumn("rest", _grams(F.col("more"))), model)
+    begins = F.col("sure") & ~F.col("one_sure") & (F.col("t.held") > F.col("t.rest"))
+    best, t = F.when(begins, F.col("best")).otherwise(F.col("one")), F.when(begins, F.col("t")).otherwise(F.col("one_t"))
+    return rows.select("doc_id", "paragraph", F.when(begins | F.col("one_sure"), best["family"]).otherwise(UNKNOWN).alias("family"),
+                       best["p"].alias("probability"), (-t["n"]).alias("template"), t["held"].alias("held"))

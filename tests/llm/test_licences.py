@@ -60,3 +60,22 @@ def test_frequent_licence_and_small_table(docs_of, words):
     for rows in (third, ten):
         got = {(r.doc_id, r.paragraph): r.family for r in C.scan(docs_of(rows), C.fit(docs_of(rows))).collect()}
         assert got == {(i, 1): "mit" for i, t in rows if said in t}
+
+
+WRAPPED = {
+    "gpl": ["This program is free software: you can redistribute", "it and/or modify it under the terms of the GNU", "General Public License as published by the Free",
+            "Software Foundation, either version 3"],
+    "mit": ["Permission is hereby granted, free of charge, to any person obtaining a copy", "of this software and associated documentation files (the Software), to deal"],
+    "bsd": ["Redistribution and use in source and binary forms, with or without", "modification, are permitted provided that the following conditions are", "met:"],
+    "mpl": ["This Source Code Form is subject to the", "terms of the Mozilla Public", "License, v. 2.0. If a copy of the MPL was not"],
+}
+
+
+@pytest.mark.parametrize("mark", ["", "# ", " * ", "// "])
+def test_wrapped_headers(docs_of, model, words, mark):
+    rows = [(i, "\n".join(["some code here", mark.rstrip(), *[mark + x for x in w], mark.rstrip(), words(50, i)])) for i, w in enumerate(WRAPPED.values())]
+    rows.append((9, "This program is free software: you can redistribute\n\n" + words(40, 9)))
+    rows.append((10, words(30, 10) + "\n" + "Released under the MIT License."))
+    got = {(r.doc_id, r.paragraph): r.family for r in C.scan(docs_of(rows), model).collect()}
+    assert [got.get((i, 2)) for i in range(4)] == list(WRAPPED)
+    assert got[9, 0] == C.UNKNOWN and got[10, 1] == "mit" and (10, 0) not in got
