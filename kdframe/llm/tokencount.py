@@ -1,6 +1,9 @@
 """Token counts of a unigram vocabulary without building the tokens.
 
 The vocabulary's pieces and scores come from a public tokenizer file, whose path is a parameter.
+The default file is a BPE model, whose merge ranks are used as the scores: counts are those of a
+unigram Viterbi over its vocabulary and not of the file's own tokenizer.  On the 200 documents of
+sf0.001 that is 218524 pieces for 191304; 194 documents differ.
 An Aho-Corasick automaton lists every piece that occurs in a text; dynamic programming over the
 end positions carries only the best score and its number of pieces.  Rules of the tokenizer:
 white space U+0020 is written U+2581 and one is put before a text; of equal scores the path
