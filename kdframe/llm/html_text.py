@@ -316,7 +316,7 @@ def fit(pages: DataFrame, sample: int = SAMPLE, html_col: str = "html") -> tuple
     for main, rest in parts:
         for _ in range(LAYOUTS):
             other = rng.choice(parts)[0]
-            page = Page(_layout(rng, main[:12], other[:12], rest))
+            page = Page(_layout(rng, main, other, rest))
             f = page.features()
             known = [i for i, m in enumerate(page.mark) if m is not None]
             x.append(f[known])

@@ -106,3 +106,21 @@ def test_boosting_learns_a_rule():
     y = ((x[:, 0] > 0.3) ^ (x[:, 2] > -0.5)).astype(float)
     odds = boost.predict(boost.fit(x, y), x)
     assert ((odds > 0) == (y > 0)).mean() > 0.97
+
+
+def long_page(n):
+    r = random.Random(n)
+    article = [" ".join(r.choice(P).split()[: r.randint(6, 25)]) + f" {i}." for i in range(n)]
+    nav = "<ul>" + "".join(f'<li><a href="/{i}">Item {i}</a></li>' for i in range(9)) + "</ul>"
+    side = f'<aside class="sidebar"><h3>Popular</h3>{nav}</aside>'
+    return article, f'<body><nav>{nav}</nav><div><div>{"".join(f"<p>{x}</p>" for x in article)}</div>{side}</div><footer><p>&copy; 2020 Daily Paper</p></footer></body>'
+
+
+def test_long_pages(spark, monkeypatch):
+    article, page = long_page(300)
+    pages = spark.createDataFrame([(i, "u", f"<body><article>{''.join(f'<p>{x}</p>' for x in long_page(40 + i)[0])}</article><nav><a href='/'>Home</a></nav></body>", 0) for i in range(20)], SCHEMA)
+    seen, layout = [], H._layout
+    monkeypatch.setattr(H, "_layout", lambda rng, main, *rest: seen.append(len(main)) or layout(rng, main, *rest))
+    model = H.fit(pages)
+    assert set(seen) == set(range(40, 60))  # every block of a sampled page is set
+    assert run(spark, model, [page]) == [" ".join(article)]
