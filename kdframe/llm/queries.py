@@ -1,4 +1,4 @@
-"""Registered queries of the ten operators, each over its whole table with production parameters."""
+"""Registered queries of the operators, each over its whole table with production parameters."""
 
 from __future__ import annotations
 
@@ -22,5 +22,5 @@ def register(name: str, sql: str | None = None):
 def load() -> tuple[dict, dict]:
     """Import every query module and return (queries, oracle SQL)."""
     from . import (decontam_queries, dedup_queries, html_queries, langid_queries, licence_queries,  # noqa: F401
-                   mixing_queries, quality_queries, tokencount_queries, topk_queries)
+                   mixing_queries, quality_queries, tokencount_queries, topk_queries, trie_queries)
     return dict(QUERIES), dict(ORACLE)
