@@ -21,6 +21,6 @@ def register(name: str, sql: str | None = None):
 
 def load() -> tuple[dict, dict]:
     """Import every query module and return (queries, oracle SQL)."""
-    from . import (decontam_queries, dedup_queries, html_queries, langid_queries, licence_queries,  # noqa: F401
-                   mixing_queries, quality_queries, tokencount_queries, topk_queries, trie_queries)
+    from . import (bpe_queries, decontam_queries, dedup_queries, html_queries, langid_queries, licence_queries,  # noqa: F401
+                   mixing_queries, quality_queries, spelling_queries, tokencount_queries, topk_queries, trie_queries)
     return dict(QUERIES), dict(ORACLE)
