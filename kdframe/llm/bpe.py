@@ -4,25 +4,31 @@ A word is a doubly linked list of symbols.  A priority queue holds the merges th
 allow, lowest rank first and leftmost first among equals; an entry is skipped if its symbol is gone or has
 another neighbour by now.  Decoding joins the strings of the ids.
 
-Text is prepared by the file's own normalizer and pre-tokenizer, taken word by word: no rule of such a
-file reaches over white space, which is checked by trial when a file is read.  Ids are packed as
-little-endian unsigned 32-bit integers, the form token files on disk have.
+Text is prepared as the file's normalizer and pre-tokenizer do.  For characters below U+0180 their rules are
+a lower-casing and one pattern, which is held against the library when a file is read; words with other
+characters go through the file's own normalizer and pre-tokenizer, one by one, as no rule
+reaches over white space.  A Python worker keeps the ids of words and pieces it has met from task to task.  Ids are
+packed as little-endian unsigned 32-bit integers, the form token files on disk have.
 """
 
 from __future__ import annotations
 
 import json
 import re
+import unicodedata
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Words whose ids one worker keeps, and the longest word kept: a memory bound, not a limit of the encoding.
-KEPT_WORDS, KEPT_LENGTH = 500_000, 64
+from .common import held_by_worker
+
+#: Pieces and words whose ids one worker keeps, and the longest kept: a memory bound, not a limit of the encoding.
+KEPT_PIECES, KEPT_WORDS, KEPT_LENGTH = 500_000, 100_000, 64
 #: Longer texts are cut at white space into parts of about this many characters.
 PART = 1 << 20
 #: Bytes of results after which a batch is handed on.
@@ -42,21 +48,34 @@ def read_file(path: str | None = None) -> str:
         return f.read()
 
 
-def words_of(text: str) -> Iterator[str]:
-    """The runs of ``text`` between white space."""
+def parts_of(text: str) -> Iterator[str]:
+    """``text`` in parts of about ``PART`` characters that end in white space."""
     at = 0
     while at < len(text):
         end = min(at + PART, len(text))
         if end < len(text):
             border = SPACES.search(text, end)
             end = border.end() if border else len(text)
-        part = text[at:end]
-        yield from filter(None, SPACES.split(part)) if SEPARATORS.search(part) else part.split()
+        yield text[at:end]
         at = end
 
 
+def words_of(text: str) -> list[str]:
+    """The runs of ``text`` between white space."""
+    return [w for w in SPACES.split(text) if w] if SEPARATORS.search(text) else text.split()
+
+
+#: Characters that the library's own normalizer and pre-tokenizer prepare.
+OTHER = re.compile("[^\x00-\u017f]")
+
+
+def _class(kind: str) -> str:
+    """The characters below U+0180 of a general category (L or N), as the inside of a character class."""
+    return "".join(re.escape(chr(c)) for c in range(0x180) if unicodedata.category(chr(c))[0] == kind)
+
+
 class Encoder(dict):
-    """Packed ids by word; a word not met before is encoded and kept."""
+    """Packed ids by piece; a piece not met before is encoded and kept."""
 
     def __init__(self, file: str):
         from tokenizers import Tokenizer
@@ -72,7 +91,7 @@ class Encoder(dict):
         self.vocabulary, self.suffix = model["vocab"], model.get("end_of_word_suffix") or ""
         pairs = (m if isinstance(m, list) else m.split(" ") for m in model["merges"])
         v = self.vocabulary
-        self.merges = {(v[a], v[b]): (rank, v[a + b]) for rank, (a, b) in enumerate(pairs)}
+        self.merges = {v[a] << 20 | v[b]: rank << 20 | v[a + b] for rank, (a, b) in enumerate(pairs)}
         added = spec.get("added_tokens") or []
         plain = ("single_word", "lstrip", "rstrip", "normalized")
         if any(t[k] for t in added for k in plain) or any(t["content"].split() != [t["content"]] for t in added):
@@ -80,59 +99,110 @@ class Encoder(dict):
         self.added = {t["content"]: t["id"] for t in added}
         longest = sorted(self.added, key=len, reverse=True)
         self.special = re.compile(f"({'|'.join(map(re.escape, longest))})") if longest else None
-        if any(self.cut(self.normal(f"a{space}b"))[i][0] != x for space in " \n　" for i, x in enumerate("ab")):
+        # bytes as the letters that stand for them: printable ones are their own, the others follow from U+0100 on
+        own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        rest = [b for b in range(256) if b not in own]
+        self.letter = {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
+        self.byte = {c: b for b, c in self.letter.items()}
+        if any(self.pieces_of(f"a{space}b") != ["a", "b"] for space in " \n\u3000"):
             raise ValueError("words are not cut at white space")
+        self.words: dict[str, bytes] = {}
+        self.find = self._pattern(spec)
+
+    def pieces_of(self, text: str) -> list[str]:
+        """The library's pieces of ``text``."""
+        return [bytes(map(self.byte.__getitem__, p)).decode("utf-8", "surrogatepass") for p, _ in self.cut(self.normal(text))]
+
+    def _pattern(self, spec: dict):
+        """What finds the pieces of lower-cased text below U+0180, if one pattern does as the library."""
+        steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or []
+        split = [s["pattern"].get("Regex") for s in steps if s["type"] == "Split" and s["invert"]]
+        if len(split) != 1 or not split[0]:
+            return None
+        classes = {r"[\p{L}]": f"[{_class('L')}]", r"[\p{N}]": f"[{_class('N')}]", r"\p{L}": _class("L"), r"\p{N}": _class("N"),
+                   r"\s": r" \t-\r\x85\xa0"}
+        pattern = split[0]
+        for name, inside in classes.items():
+            pattern = pattern.replace(name, inside)
+        find = re.compile(pattern).findall
+        trial = [x + chr(c) + y for c in range(0x180) for x, y in (("a", "b"), ("1", "!"), ("'", "e"))]
+        return find if all(find(t.lower()) == self.pieces_of(t) for t in trial) else None
 
     def merged(self, ids: list[int]) -> list[int]:
         """``ids`` after all merges, by queue and linked list."""
-        merges, n = self.merges, len(ids)
+        get, n = self.merges.get, len(ids)
         before, after = list(range(-1, n - 1)), list(range(1, n + 1))
-        queue = [(m[0], i) for i in range(n - 1) if (m := merges.get((ids[i], ids[i + 1])))]
+        queue = []  # rank, then position
+        for i in range(n - 1):
+            m = get(ids[i] << 20 | ids[i + 1])
+            if m is not None:
+                queue.append((m >> 20) << 32 | i)
         heapify(queue)
         while queue:
-            rank, i = heappop(queue)
+            top = heappop(queue)
+            i = top & 0xFFFFFFFF
             j = after[i]
             if ids[i] < 0 or j >= n:
                 continue
-            m = merges.get((ids[i], ids[j]))
-            if not m or m[0] != rank:
+            m = get(ids[i] << 20 | ids[j])
+            if m is None or m >> 20 != top >> 32:
                 continue
-            ids[i], ids[j] = m[1], -1
+            ids[i] = new = m & 0xFFFFF
+            ids[j] = -1
             after[i] = k = after[j]
             if k < n:
                 before[k] = i
-                if m := merges.get((ids[i], ids[k])):
-                    heappush(queue, (m[0], i))
+                m = get(new << 20 | ids[k])
+                if m is not None:
+                    heappush(queue, (m >> 20) << 32 | i)
             h = before[i]
-            if h >= 0 and (m := merges.get((ids[h], ids[i]))):
-                heappush(queue, (m[0], h))
+            if h >= 0:
+                m = get(ids[h] << 20 | new)
+                if m is not None:
+                    heappush(queue, (m >> 20) << 32 | h)
         return [x for x in ids if x >= 0]
 
-    def piece(self, text: str) -> list[int]:
+    def piece(self, piece: str) -> list[int]:
         """Ids of one piece of the pre-tokenizer; symbols outside the vocabulary have none."""
-        symbols = [*text[:-1], text[-1] + self.suffix]
-        return self.merged([x for s in symbols if (x := self.vocabulary.get(s)) is not None])
-
-    def run(self, word: str) -> bytes:
-        ids: list[int] = []
-        for part in self.special.split(word) if self.special else [word]:
-            if part in self.added:
-                ids.append(self.added[part])
-            elif part:
-                for piece, _ in self.cut(self.normal(part)):
-                    ids += self.piece(piece)
-        return np.array(ids, "<u4").tobytes()
-
-    def __missing__(self, word: str) -> bytes:
-        ids = self.run(word)
-        if len(word) <= KEPT_LENGTH:
-            if len(self) >= KEPT_WORDS:
+        letters = list(map(self.letter.__getitem__, piece.encode("utf-8", "surrogatepass")))
+        letters[-1] += self.suffix
+        return self.merged([x for s in letters if (x := self.vocabulary.get(s)) is not None])
+
+    def __missing__(self, piece: str) -> bytes:
+        found = self.piece(piece)
+        ids = pack(f"<{len(found)}I", *found)
+        if len(piece) <= KEPT_LENGTH:
+            if len(self) >= KEPT_PIECES:
                 self.clear()
-            self[word] = ids
+            self[piece] = ids
+        return ids
+
+    def word(self, word: str) -> bytes:
+        """Ids of a run between white space, of any characters."""
+        ids = self.words.get(word)
+        if ids is None:
+            parts = []
+            for part in self.special.split(word) if self.special else [word]:
+                if part in self.added:
+                    parts.append(pack("<I", self.added[part]))
+                elif part:
+                    plain = self.find and not OTHER.search(part)
+                    parts += map(self.__getitem__, self.find(part.lower()) if plain else self.pieces_of(part))
+            ids = b"".join(parts)
+            if len(word) <= KEPT_LENGTH:
+                if len(self.words) >= KEPT_WORDS:
+                    self.words.clear()
+                self.words[word] = ids
         return ids
 
     def encode(self, text: str | None) -> bytes:
-        return b"".join(map(self.__getitem__, words_of(text))) if text else b""
+        out = []
+        for part in parts_of(text or ""):
+            if self.find is None or OTHER.search(part) or any(t in part for t in self.added):
+                out += map(self.word, words_of(part))
+            else:
+                out += map(self.__getitem__, self.find(part.lower()))
+        return b"".join(out)
 
 
 def vocabulary_strings(file: str) -> dict[int, str]:
@@ -165,7 +235,7 @@ def encode(docs: DataFrame, file: str | None = None, id_col: str = "doc_id", tex
     sent = docs.sparkSession.sparkContext.broadcast(file or read_file())  # the size of the file
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(sent.value)
+        encoder = held_by_worker(sent.value, Encoder)
         for b in batches:
             ids = (encoder.encode(t.as_py()) for t in b.column(1))
             rows = ((k.as_py(), len(x) // 4, x) for k, x in zip(b.column(0), ids))
@@ -184,7 +254,7 @@ def decode(encoded: DataFrame, file: str | None = None, id_col: str = "doc_id",
     sent = encoded.sparkSession.sparkContext.broadcast(file or read_file())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        strings = vocabulary_strings(sent.value)
+        strings = held_by_worker(sent.value, vocabulary_strings)
         for b in batches:
             def rows(b: pa.RecordBatch = b) -> Iterator[tuple]:
                 for k, x in zip(b.column(0), b.column(1)):

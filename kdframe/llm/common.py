@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
+import types
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -57,3 +59,15 @@ def broadcast_if_small(table: DataFrame, limit: int = 10_000) -> DataFrame:
     """A written ``table`` with a broadcast hint if it has at most ``limit`` rows, else as it is (the
     join then shuffles)."""
     return F.broadcast(table) if table.limit(limit + 1).count() <= limit else table
+
+
+def held_by_worker(source: str, make):
+    """``make(source)``, made once in a Python worker and used again by its later tasks.
+
+    Functions are shipped by value, so their own globals do not last from task to task; a module of the
+    worker does.  One object of each kind is held, the latest.
+    """
+    held = sys.modules.setdefault("kdframe_held", types.ModuleType("kdframe_held")).__dict__.setdefault("made", {})
+    if held.get(make.__name__, (None,))[0] != source:
+        held[make.__name__] = (source, make(source))
+    return held[make.__name__][1]

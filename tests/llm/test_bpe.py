@@ -81,8 +81,12 @@ def test_long_texts_and_bounds(monkeypatch, library):
     text = "some Words here\x1cand  there, é \n" * 500 + "y" * 9000
     monkeypatch.setattr(B, "PART", 50)
     monkeypatch.setattr(B, "KEPT_WORDS", 3)
+    monkeypatch.setattr(B, "KEPT_PIECES", 3)
     e = B.Encoder(B.read_file())
-    assert hashlib.sha256(e.encode(text)).hexdigest() == library(text)[1] and len(e) <= 3
+    for t in (text, text + " 日本語"):
+        assert hashlib.sha256(e.encode(t)).hexdigest() == library(t)[1] and len(e) <= 3 and len(e.words) <= 3
+    e.find = None  # a file whose pattern is not known: all goes through its own pre-tokenizer
+    assert hashlib.sha256(e.encode(text)).hexdigest() == library(text)[1]
 
 
 def test_other_files_are_refused():
