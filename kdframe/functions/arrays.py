@@ -40,7 +40,7 @@ def truncate_seq(ids, n: int, mode: str = "keep_end") -> Column:
         return keep_end(ids, n)
     if mode == "keep_start":
         return keep_start(ids, n)
-    raise ValueError(f"Unknown truncation mode: '{mode}'. Should be one of ['keep_end', 'keep_start'].")
+    raise ValueError(f"truncation mode {mode!r}: only keep_end and keep_start are known")
 
 
 def pad_ids(ids, n: int, pad_id, side: str = "right") -> Column:
@@ -91,3 +91,30 @@ def zeros_like(a) -> Column:
 def first_one(mask) -> Column:
     """0-based index of the first 1 in the mask, -1 when there is none."""
     return F.array_position(_col(mask), 1) - 1
+
+
+def runs_of_ones(mask) -> Column:
+    """The runs of ones of a mask, in order, as structs (start, stop), stop exclusive."""
+    m = _col(mask)
+    size, none = F.greatest(F.size(m) - 1, F.lit(0)), F.array(F.lit(0))
+
+    def edges(neighbours: Column, step: int) -> Column:
+        at = F.zip_with(m, neighbours, lambda x, y: (x == 1) & (y != 1))
+        return F.filter(F.transform(at, lambda edge, i: F.when(edge, i + step)), lambda i: i.isNotNull())
+
+    starts, stops = edges(F.concat(none, F.slice(m, 1, size)), 0), edges(F.concat(F.slice(m, 2, size), none), 1)
+    return F.zip_with(starts, stops, lambda a, b: F.struct(a.alias("start"), b.alias("stop")))
+
+
+def scatter(values, mask) -> Column:
+    """``values`` put in order where the mask is 1, 0 elsewhere: one slice a run of ones."""
+    kind = "struct<out:array<int>,at:int,used:int>"
+    begin = F.struct(F.array().cast("array<int>").alias("out"), F.lit(0).alias("at"), F.lit(0).alias("used")).cast(kind)
+
+    def put(acc: Column, run: Column) -> Column:
+        size = run["stop"] - run["start"]
+        out = F.concat(acc["out"], F.array_repeat(F.lit(0), run["start"] - acc["at"]), F.slice(_col(values), acc["used"] + 1, size))
+        return F.struct(out.alias("out"), run["stop"].alias("at"), (acc["used"] + size).alias("used")).cast(kind)
+
+    m = _col(mask)
+    return F.aggregate(runs_of_ones(m), begin, put, lambda acc: F.concat(acc["out"], F.array_repeat(F.lit(0), F.size(m) - acc["at"])))

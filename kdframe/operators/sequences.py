@@ -1,30 +1,43 @@
 """Sequence operators of the preference forward pass, on per-row token arrays.
 
 Rows are (batch_id, row, ...) with ``row`` the position of the sequence in the stacked
-2N-row batch (chosen rows first).  Batch-wide decisions (the flush-left cut, logits_to_keep)
-are small per-batch aggregates joined back; groups never exceed one batch.
+2N-row batch (chosen rows first).  Facts of a batch (its size, the flush-left cut, logits_to_keep) are
+windows over narrow facts of its rows, so the chain stays one lineage: rows are brought together
+by batch once and nothing is joined back.  No token is ever a row.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.arrays import first_one, roll_left, rotate_left, truncate_seq as _trunc, zeros_like
+from ..functions.arrays import attention_mask, first_one, pad_ids, roll_left, rotate_left, runs_of_ones, scatter, truncate_seq as _trunc, zeros_like
+
+
+def pad_pairs(encoded: DataFrame, pad_id: int, prompt: str = "prompt", chosen: str = "chosen", rejected: str = "rejected",
+              batch_col: str = "batch_id", pair_col: str = "pair_id") -> DataFrame:
+    """Id arrays → wide pair rows with ids and masks, as a collator does: prompts left-padded to the longest
+    prompt of the batch, completions right-padded to its longest completion; nothing is cut."""
+    batch = Window.partitionBy(batch_col)
+    e = (encoded.withColumn("_np", F.max(F.size(prompt)).over(batch))
+         .withColumn("_nc", F.max(F.greatest(F.size(chosen), F.size(rejected))).over(batch)))
+    sides = [("prompt", prompt, "_np", "left"), ("chosen", chosen, "_nc", "right"), ("rejected", rejected, "_nc", "right")]
+    padded = [x for name, c, n, side in sides for x in (pad_ids(c, F.col(n), pad_id, side).alias(f"{name}_ids"),
+                                                        attention_mask(c, F.col(n), side).alias(f"{name}_mask"))]
+    return e.select(batch_col, pair_col, *padded)
 
 
 def stack_pairs(pairs: DataFrame, batch_col: str = "batch_id", pair_col: str = "pair_id") -> DataFrame:
     """Wide pair rows → 2N stacked rows per batch, chosen first; ``row`` = index in the batch."""
-    w = Window.partitionBy(batch_col).orderBy(pair_col)
-    ranked = pairs.withColumn("_r", F.row_number().over(w) - 1).withColumn(
-        "_n", F.count("*").over(Window.partitionBy(batch_col)))
-    common = [batch_col, pair_col, "prompt_ids", "prompt_mask"]
-    chosen = ranked.select(*common, F.lit("chosen").alias("side"), F.col("_r").alias("row"),
-                           F.col("chosen_ids").alias("completion_ids"), F.col("chosen_mask").alias("completion_mask"))
-    rejected = ranked.select(*common, F.lit("rejected").alias("side"), (F.col("_r") + F.col("_n")).alias("row"),
-                             F.col("rejected_ids").alias("completion_ids"),
-                             F.col("rejected_mask").alias("completion_mask"))
-    return chosen.unionByName(rejected).withColumn("row", F.col("row").cast("long"))
+    batch = Window.partitionBy(batch_col)
+    ranked = pairs.withColumn("_r", F.row_number().over(batch.orderBy(pair_col)) - 1).withColumn("_n", F.count("*").over(batch))
+
+    def side(name: str, row: Column) -> Column:
+        return F.struct(F.lit(name).alias("side"), row.cast("long").alias("row"), F.col(f"{name}_ids").alias("completion_ids"),
+                        F.col(f"{name}_mask").alias("completion_mask"))
+
+    both = F.array(side("chosen", F.col("_r")), side("rejected", F.col("_r") + F.col("_n")))
+    return ranked.select(batch_col, pair_col, "prompt_ids", "prompt_mask", F.inline(both))
 
 
 def concat_prompt_completion(df: DataFrame) -> DataFrame:
@@ -44,17 +57,13 @@ def flush_left(df: DataFrame, batch_col: str = "batch_id", mask: str = "attentio
     for c in (mask, *others):
         out = out.withColumn(c, F.when(F.col("_k") < 0, F.array().cast(out.schema[c].dataType))
                              .otherwise(rotate_left(c, F.col("_k"))))
-    # per batch the column numbers that some row uses are united as arrays, one array a row: tokens
-    # are never exploded or shuffled one by one, and a group is one batch
-    ones = F.transform(mask, lambda m, i: F.when(m == 1, i))
-    used = F.array_distinct(F.flatten(F.collect_list(F.filter(ones, lambda i: i.isNotNull()))))
-    cut = out.groupBy(batch_col).agg(used.alias("_u"), F.max(F.size(mask)).alias("_last"))
-    free = F.array_min(F.array_except(F.sequence(F.lit(0), F.col("_last")), F.col("_u")))
-    cut = cut.select(batch_col, free.alias("_cut"))
-    out = out.join(cut, batch_col, "left").withColumn("_cut", F.coalesce("_cut", F.lit(0)))
+    # a row tells its runs of ones; the batch's runs, by start, cover columns up to the first gap
+    runs = F.array_sort(F.flatten(F.collect_list("_runs").over(Window.partitionBy(batch_col))))
+    cover = F.aggregate(runs, F.lit(0), lambda c, r: F.when(r["start"] <= c, F.greatest(c, r["stop"])).otherwise(c))
+    out = out.withColumn("_runs", runs_of_ones(mask)).withColumn("_cut", cover)
     for c in (mask, *others):
         out = out.withColumn(c, F.slice(c, 1, F.col("_cut")))
-    return out.drop("_k", "_cut")
+    return out.drop("_k", "_runs", "_cut")
 
 
 def truncate_rows(df: DataFrame, n: int, mode: str = "keep_end",
@@ -70,12 +79,20 @@ def shift_labels(df: DataFrame, ids: str = "input_ids", loss_mask: str = "loss_m
     return df.withColumn("labels", roll_left(ids)).withColumn("label_mask", roll_left(loss_mask))
 
 
+def token_rows(df: DataFrame, keep=("batch_id", "pair_id", "side", "row"), ids: str = "input_ids",
+               cols=("labels", "label_mask")) -> DataFrame:
+    """One row a position, the form that stored scores have: (keep…, pos, input_id, label, loss_mask)."""
+    zipped = F.arrays_zip(F.col(ids).alias("input_id"), F.col(cols[0]).alias("label"), F.col(cols[1]).alias("loss_mask"))
+    return df.select(*keep, F.posexplode(zipped).alias("pos", "_t")).select(*keep, "pos", "_t.*")
+
+
 def logits_to_keep(df: DataFrame, batch_col: str = "batch_id", loss_mask: str = "loss_mask") -> DataFrame:
     """Batch-wide ``seq_len − min(first loss position) + 1``; labels and label mask sliced to that tail."""
-    per = df.withColumn("_f", F.when(first_one(loss_mask) >= 0, first_one(loss_mask)))
-    keep = per.groupBy(batch_col).agg(F.min("_f").alias("_min"), F.max(F.size(loss_mask)).alias("_len"))
-    keep = keep.select(batch_col, (F.col("_len") - F.col("_min") + 1).cast("int").alias("logits_to_keep"))
-    out = shift_labels(df).join(keep, batch_col, "left")
+    batch = Window.partitionBy(batch_col)
+    first = F.when(first_one(loss_mask) >= 0, first_one(loss_mask))
+    facts = shift_labels(df).withColumn("_f", first).withColumn("_l", F.size(loss_mask))
+    keep = (F.max("_l").over(batch) - F.min("_f").over(batch) + 1).cast("int")
+    out = facts.withColumn("logits_to_keep", keep).drop("_f", "_l")
     for c in ("labels", "label_mask"):
         start = F.greatest(F.size(c) - F.col("logits_to_keep") + 1, F.lit(1))
         out = out.withColumn(c, F.slice(c, start, F.col("logits_to_keep")))
@@ -83,36 +100,47 @@ def logits_to_keep(df: DataFrame, batch_col: str = "batch_id", loss_mask: str =
 
 
 def pack_padding_free(df: DataFrame, batch_col: str = "batch_id", row_col: str = "row",
-                      ids: str = "input_ids", mask: str = "attention_mask", loss_mask: str = "loss_mask") -> DataFrame:
-    """Drop padding, concatenate the batch's rows in row order; position_ids restart at 0 per row."""
-    kept = df.select(batch_col, row_col,
+                      ids: str = "input_ids", mask: str = "attention_mask", loss_mask: str = "loss_mask",
+                      keep=()) -> DataFrame:
+    """Drop padding, concatenate the batch's rows in row order; position_ids restart at 0 per row.
+
+    ``rows`` tells where the tokens came from: (row, the columns in ``keep``, mask) in row order."""
+    kept = df.select(batch_col, row_col, mask, *keep,
                      F.filter(F.arrays_zip(F.col(ids).alias("i"), F.col(mask).alias("m"), F.col(loss_mask).alias("l")),
                               lambda x: x["m"] == 1).alias("_z"))
-    g = kept.groupBy(batch_col).agg(F.array_sort(F.collect_list(F.struct(row_col, "_z"))).alias("_rows"))
+    g = kept.groupBy(batch_col).agg(F.array_sort(F.collect_list(F.struct(row_col, *keep, mask, "_z"))).alias("_rows"))
     return g.select(batch_col,
                     F.flatten(F.transform("_rows", lambda r: F.transform(r["_z"], lambda x: x["i"]))).alias("input_ids"),
                     F.flatten(F.transform("_rows", lambda r: F.transform(r["_z"], lambda x, j: j))).alias("position_ids"),
-                    F.flatten(F.transform("_rows", lambda r: F.transform(r["_z"], lambda x: x["l"]))).alias("loss_mask"))
+                    F.flatten(F.transform("_rows", lambda r: F.transform(r["_z"], lambda x: x["l"]))).alias("loss_mask"),
+                    F.transform("_rows", lambda r: F.struct(*[r[c].alias(c) for c in (row_col, *keep)], r[mask].alias("mask"))).alias("rows"))
 
 
-def unpack_padding_free(packed: DataFrame, grid: DataFrame, values: str = "input_ids", batch_col: str = "batch_id",
+def unpack_padding_free(packed: DataFrame, grid: DataFrame | None = None, values: str = "input_ids", batch_col: str = "batch_id",
                         row_col: str = "row", mask: str = "attention_mask") -> DataFrame:
-    """Scatter packed per-token values back to (row, pos); 0 where the mask is 0 (long form:
-    mask grid left-joined with the packed values)."""
-    cells = grid.select(batch_col, row_col, F.posexplode(mask).alias("pos", "_m"))
-    w = Window.partitionBy(batch_col).orderBy(row_col, "pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cells = cells.withColumn("_k", F.when(F.col("_m") == 1, F.sum("_m").over(w) - 1))
-    vals = packed.select(batch_col, F.posexplode(values).alias("_k", "_v"))
-    j = cells.join(vals, [batch_col, "_k"], "left").withColumn("_v", F.coalesce("_v", F.lit(0)))
-    g = j.groupBy(batch_col, row_col).agg(F.array_sort(F.collect_list(F.struct("pos", "_v"))).alias("_s"))
-    return g.select(batch_col, row_col, F.transform("_s", lambda x: x["_v"]).alias(values))
-
-
-def split_packed(packed: DataFrame, n_pairs: DataFrame, batch_col: str = "batch_id") -> DataFrame:
-    """Index of the (N+1)-th ``position_ids == 0`` = first rejected token of the packed batch."""
+    """Scatter packed per-token values back to their rows; 0 where the mask is 0.
+
+    ``rows`` of the packed batch has the masks, or a ``grid`` of (batch, row, mask) does.  A row's values
+    begin after the ones of the rows before it, are one slice, and go to its runs of ones."""
+    if grid is not None:
+        rows = grid.groupBy(batch_col).agg(F.array_sort(F.collect_list(F.struct(row_col, F.col(mask).alias("mask")))).alias("rows"))
+        packed = packed.drop("rows").join(rows, batch_col)
+    ones = lambda r: F.size(F.filter(r["mask"], lambda m: m == 1))
+    begin = F.aggregate("rows", F.array(F.lit(0)), lambda acc, r: F.concat(acc, F.array(F.element_at(acc, -1) + ones(r))))
+    names = [f.name for f in packed.schema["rows"].dataType.elementType.fields if f.name != "mask"]
+    flat = packed.withColumn("_begin", begin).select(batch_col, F.col(values).alias("_v"), "_begin", F.posexplode("rows").alias("_i", "_r"))
+    own = F.slice("_v", F.element_at("_begin", F.col("_i") + 1) + 1, ones(F.col("_r")))
+    cut = flat.select(batch_col, *[F.col(f"_r.{c}").alias(c) for c in names], F.col("_r.mask").alias("_m"), own.alias("_v"))
+    return cut.withColumn(values, scatter("_v", "_m")).drop("_v", "_m")
+
+
+def split_packed(packed: DataFrame, n_pairs: DataFrame | None = None, batch_col: str = "batch_id") -> DataFrame:
+    """Index of the (N+1)-th ``position_ids == 0`` = first rejected token of the packed batch; N is half the
+    packed ``rows``, or ``n_pairs`` of a table of (batch, n_pairs)."""
+    n = F.floor(F.size("rows") / 2) if n_pairs is None else F.col("n_pairs")
+    packed = packed if n_pairs is None else packed.join(n_pairs, batch_col)
     zeros = F.filter(F.transform("position_ids", lambda p, i: F.when(p == 0, i).otherwise(-1)), lambda x: x >= 0)
-    j = packed.join(n_pairs, batch_col)
-    return j.select(batch_col, F.try_element_at(zeros, (F.col("n_pairs") + 1).cast("int")).alias("split_idx"))
+    return packed.select(batch_col, F.try_element_at(zeros, (n + 1).cast("int")).alias("split_idx"))
 
 
 def tail_align_logits(logits: DataFrame, labels_len: DataFrame, example_col: str = "example_id",

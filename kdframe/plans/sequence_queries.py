@@ -15,7 +15,7 @@ EOS = 1
 TRUNC_N = 48
 
 
-def _keep_end(x, n):
+def keep_end_sql(x, n):
     return f"({x})[greatest(len({x}) - {n} + 1, 1):]"
 
 
@@ -30,13 +30,18 @@ def _mask(x, n, side):
     return f"list_concat({zeros}, {ones})" if side == "left" else f"list_concat({ones}, {zeros})"
 
 
-PT_SQL = f"""
-WITH f AS (SELECT pair_id, {dpo_prompt_sql()} AS prompt, chosen || '<|im_end|>n' AS chosen,
-                  rejected || '<|im_end|>n' AS rejected FROM ({DPO_PAIRS})),
-src AS (SELECT pair_id * 3 AS k, prompt AS text FROM f UNION ALL SELECT pair_id * 3 + 1, chosen FROM f
-        UNION ALL SELECT pair_id * 3 + 2, rejected FROM f),
-enc AS ({encode_sql('SELECT k, text FROM src', 'k', 'text', vocab_sql())}),
-e AS (SELECT f.pair_id, f.pair_id // {fx.CONVS_PER_BATCH * fx.PAIR_STRIDE} AS batch_id, p.ids AS p, c.ids AS c, r.ids AS r
+BATCH_SQL = f"f.pair_id // {fx.CONVS_PER_BATCH * fx.PAIR_STRIDE}"
+
+
+def pt_sql(pairs: str = DPO_PAIRS, size: int = fx.VOCAB_SIZE, batch: str = BATCH_SQL) -> str:
+    """Padded token rows of the pairs; ``batch`` is an expression over the formatted pairs f."""
+    return f"""
+WITH f AS (SELECT *, {dpo_prompt_sql()} AS prompt, chosen || '<|im_end|>n' AS yes,
+                  rejected || '<|im_end|>n' AS no FROM ({pairs})),
+src AS (SELECT pair_id * 3 AS k, prompt AS text FROM f UNION ALL SELECT pair_id * 3 + 1, yes FROM f
+        UNION ALL SELECT pair_id * 3 + 2, no FROM f),
+enc AS ({encode_sql('SELECT k, text FROM src', 'k', 'text', vocab_sql(size))}),
+e AS (SELECT f.pair_id, {batch} AS batch_id, p.ids AS p, c.ids AS c, r.ids AS r
       FROM f JOIN enc p ON p.k = f.pair_id * 3 JOIN enc c ON c.k = f.pair_id * 3 + 1 JOIN enc r ON r.k = f.pair_id * 3 + 2),
 b AS (SELECT *, max(len(p)) OVER (PARTITION BY batch_id) AS np, max(greatest(len(c), len(r))) OVER (PARTITION BY batch_id) AS nc FROM e)
 SELECT batch_id, pair_id,
@@ -44,26 +49,31 @@ SELECT batch_id, pair_id,
        {_pad('c', 'nc', 'right')} AS chosen_ids, {_mask('c', 'nc', 'right')} AS chosen_mask,
        {_pad('r', 'nc', 'right')} AS rejected_ids, {_mask('r', 'nc', 'right')} AS rejected_mask FROM b"""
 
-STACK_SQL = f"""
+
+def stack_sql(pairs: str) -> str:
+    return f"""
 WITH R AS (SELECT *, row_number() OVER (PARTITION BY batch_id ORDER BY pair_id) - 1 AS r,
-                  count(*) OVER (PARTITION BY batch_id) AS n FROM ({PT_SQL}))
+                  count(*) OVER (PARTITION BY batch_id) AS n FROM ({pairs}))
 SELECT batch_id, pair_id, 'chosen' AS side, r AS row, prompt_ids, prompt_mask, chosen_ids AS completion_ids,
        chosen_mask AS completion_mask FROM R
 UNION ALL
 SELECT batch_id, pair_id, 'rejected' AS side, r + n AS row, prompt_ids, prompt_mask, rejected_ids, rejected_mask FROM R"""
 
-CONCAT_SQL = f"""
+
+def concat_sql(stacked: str) -> str:
+    return f"""
 SELECT batch_id, pair_id, side, row, list_concat(prompt_ids, completion_ids) AS input_ids,
        list_concat(prompt_mask, completion_mask) AS attention_mask,
-       list_concat(list_transform(prompt_mask, lambda x: 0), completion_mask) AS loss_mask FROM ({STACK_SQL})"""
+       list_concat(list_transform(prompt_mask, lambda x: 0), completion_mask) AS loss_mask FROM ({stacked})"""
 
 
 def _rot(c):
     return f"CASE WHEN k < 0 THEN []::INTEGER[] ELSE list_concat({c}[k + 1:], {c}[1:k]) END AS {c}"
 
 
-FLUSH_SQL = f"""
-WITH k AS (SELECT *, coalesce(list_position(attention_mask, 1), 0) - 1 AS k FROM ({CONCAT_SQL})),
+def flush_sql(joined: str) -> str:
+    return f"""
+WITH k AS (SELECT *, coalesce(list_position(attention_mask, 1), 0) - 1 AS k FROM ({joined})),
 rot AS (SELECT batch_id, pair_id, side, row, {_rot('input_ids')}, {_rot('attention_mask')}, {_rot('loss_mask')} FROM k),
 cells AS (SELECT batch_id, unnest(range(len(attention_mask))) AS c, unnest(attention_mask) AS m FROM rot),
 cut AS (SELECT batch_id, coalesce(min(c) FILTER (WHERE mx = 0), max(c) + 1) AS cut
@@ -72,6 +82,11 @@ SELECT rot.batch_id, pair_id, side, row, input_ids[1:coalesce(cut, 0)] AS input_
        attention_mask[1:coalesce(cut, 0)] AS attention_mask, loss_mask[1:coalesce(cut, 0)] AS loss_mask
 FROM rot LEFT JOIN cut ON cut.batch_id = rot.batch_id"""
 
+
+STACK_SQL = stack_sql(pt_sql())
+CONCAT_SQL = concat_sql(STACK_SQL)
+FLUSH_SQL = flush_sql(CONCAT_SQL)
+
 PACK_SQL = f"""
 SELECT batch_id, list(i ORDER BY row, j) AS input_ids, list(pid ORDER BY row, j) AS position_ids,
        list(l ORDER BY row, j) AS loss_mask FROM (
@@ -122,7 +137,7 @@ def q_flush_left(spark, d):
 
 
 @register("truncate_seq", f"""
-SELECT pair_id, side, {j(_keep_end('input_ids', TRUNC_N))} AS input_ids, {j(_keep_end('loss_mask', TRUNC_N))} AS loss_mask,
+SELECT pair_id, side, {j(keep_end_sql('input_ids', TRUNC_N))} AS input_ids, {j(keep_end_sql('loss_mask', TRUNC_N))} AS loss_mask,
        {j(f'attention_mask[1:{TRUNC_N}]')} AS attention_mask_start
 FROM ({FLUSH_SQL})""")
 def q_truncate_seq(spark, d):
@@ -160,11 +175,8 @@ def q_pack_padding_free(spark, d):
 SELECT pair_id, side, {j("list_transform(list_zip(input_ids, attention_mask), lambda z: CASE WHEN z[2] = 1 THEN z[1] ELSE 0 END)")} AS input_ids
 FROM ({FLUSH_SQL})""")
 def q_unpack_padding_free(spark, d):
-    f = _flushed(spark, d)
-    packed = sq.pack_padding_free(f)
-    u = sq.unpack_padding_free(packed, f)
-    keys = f.select("batch_id", "row", "pair_id", "side")
-    return u.join(keys, ["batch_id", "row"]).select("pair_id", "side", sj("input_ids").alias("input_ids"))
+    packed = sq.pack_padding_free(_flushed(spark, d), keep=("pair_id", "side"))
+    return sq.unpack_padding_free(packed).select("pair_id", "side", sj("input_ids").alias("input_ids"))
 
 
 @register("split_packed", f"""
@@ -175,9 +187,8 @@ n AS (SELECT batch_id, count(DISTINCT pair_id) AS n_pairs FROM ({FLUSH_SQL}) GRO
 SELECT p.batch_id, CAST(z.i AS INTEGER) AS split_idx FROM p JOIN n ON n.batch_id = p.batch_id
 LEFT JOIN z ON z.batch_id = p.batch_id AND z.nth = n.n_pairs + 1""")
 def q_split_packed(spark, d):
-    f = _flushed(spark, d)
-    n = f.groupBy("batch_id").agg(F.countDistinct("pair_id").alias("n_pairs"))
-    return sq.split_packed(sq.pack_padding_free(f), n).select("batch_id", F.col("split_idx").cast("int").alias("split_idx"))
+    packed = sq.pack_padding_free(_flushed(spark, d))
+    return sq.split_packed(packed).select("batch_id", F.col("split_idx").cast("int").alias("split_idx"))
 
 
 @register("shift_labels", f"""
