@@ -65,29 +65,61 @@ def hard_ce(logits: DataFrame, labels: DataFrame, keys=("example_id", "pos"), ba
     return tok.groupBy(batch_col).agg(F.avg("_ce").alias("ce"))
 
 
+def next_labels(labels: DataFrame, keys=("example_id", "pos")) -> DataFrame:
+    """(example_id, pos, next_label): the label each position predicts, under the key of its scores."""
+    ex, pos = keys
+    return labels.select(ex, (F.col(pos) - 1).cast(labels.schema[pos].dataType).alias(pos), F.col("label").alias("next_label"))
+
+
+def kd_and_ce(pairs: DataFrame, following: DataFrame, policy: str = "pad", temperature: float = 1.0, scale: float = 1.0,
+              batch_col: str = "batch_id", keys=("example_id", "pos"), ignore: int = -100, mask: Column | None = None) -> DataFrame:
+    """(batch_id, kd, ce) from one reading of the pairs: ``batch_kd`` and ``hard_ce`` of the student in one
+    aggregate.  ``following`` is ``next_labels``; a position without one has no CE but counts for KD."""
+    both = pairs.join(following, list(keys), "left")
+    target = F.when(F.col("next_label") != ignore, F.col("next_label"))
+    both = both.withColumn("_ce", -sc.selective_log_softmax("s", target))      # the student as it is, before any policy
+    rows = kl_rows(with_vocab_policy(both, policy), temperature)
+    if mask is not None:
+        rows = rows.withColumn("kl", F.when(mask, F.col("kl")).otherwise(0.0))
+    per_ex = rows.groupBy(batch_col, keys[0]).agg(F.sum("kl").alias("_kl"), F.sum("_ce").alias("_ce"), F.count("_ce").alias("_n"))
+    n = F.sum("_n")
+    return per_ex.groupBy(batch_col).agg((F.sum("_kl") / F.count("*") * (temperature ** 2) * scale).alias("kd"),
+                                         F.when(n > 0, F.sum("_ce") / F.nullif(n, F.lit(0))).alias("ce"))
+
+
+def mixed(both: DataFrame, alpha: float, guard_missing_ce: bool = True) -> DataFrame:
+    """``loss`` from columns ``kd`` and ``ce``: α·KD + (1−α)·CE; with the guard, without a hard loss α·KD only."""
+    loss = alpha * F.col("kd") + (1 - alpha) * F.col("ce")
+    return both.withColumn("loss", F.when(F.col("ce").isNull(), alpha * F.col("kd")).otherwise(loss) if guard_missing_ce else loss)
+
+
 def mix_loss(kd: DataFrame, ce: DataFrame | None, alpha: float, batch_col: str = "batch_id",
              guard_missing_ce: bool = True) -> DataFrame:
     """α·KD + (1−α)·CE; with the guard, a batch without a hard loss gets α·KD only."""
     if ce is None:
         return kd.withColumn("ce", F.lit(None).cast("double")).withColumn("loss", alpha * F.col("kd"))
-    j = kd.join(ce, batch_col, "left")
-    mixed = alpha * F.col("kd") + (1 - alpha) * F.col("ce")
-    loss = F.when(F.col("ce").isNull(), alpha * F.col("kd")).otherwise(mixed) if guard_missing_ce else mixed
-    return j.withColumn("loss", loss)
+    return mixed(kd.join(ce, batch_col, "left"), alpha, guard_missing_ce)
 
 
 def kd_loss_logits(pairs: DataFrame, ce: DataFrame | None, temperature: float = 2.0, alpha: float = 0.5,
-                   max_length: int = 4096, batch_col: str = "batch_id", mask: Column | None = None) -> DataFrame:
+                   max_length: int = 4096, batch_col: str = "batch_id", mask: Column | None = None,
+                   following: DataFrame | None = None) -> DataFrame:
     """Logit-KD script: zero-padded vocab, batchmean KL · T² / max_length, α-mixed with CE.
+
+    CE comes as a table ``ce``, or with ``following`` (see ``next_labels``) from the same pass over the pairs.
     ``mask`` (e.g. ``F.col('attention_mask') == 1``) leaves padding positions out; the source
     counts them, which is the default."""
+    if following is not None:
+        return mixed(kd_and_ce(pairs, following, "pad", temperature, 1.0 / max_length, batch_col, mask=mask), alpha, False)
     kd = batch_kd(with_vocab_policy(pairs, "pad"), temperature, batch_col, scale=1.0 / max_length, mask=mask)
     return mix_loss(kd, ce, alpha, batch_col, guard_missing_ce=False)
 
 
 def kd_loss_plain(pairs: DataFrame, ce: DataFrame | None, temperature: float = 2.0, alpha: float = 0.5,
-                  batch_col: str = "batch_id", mask: Column | None = None) -> DataFrame:
+                  batch_col: str = "batch_id", mask: Column | None = None, following: DataFrame | None = None) -> DataFrame:
     """Control/cascade script: same without ÷max_length; no hard loss → α·KD."""
+    if following is not None:
+        return mixed(kd_and_ce(pairs, following, "pad", temperature, 1.0, batch_col, mask=mask), alpha)
     kd = batch_kd(with_vocab_policy(pairs, "pad"), temperature, batch_col, mask=mask)
     return mix_loss(kd, ce, alpha, batch_col, guard_missing_ce=True)
 
@@ -109,9 +141,11 @@ def response_kd_mse(df: DataFrame, student: str = "student_chosen", teacher: str
     return df.groupBy(batch_col).agg(F.avg(F.pow(F.col(student) - F.col(teacher), 2)).alias("mse"))
 
 
-def write_bucketed(df: DataFrame, table_name: str, buckets: int, keys=("example_id", "pos")) -> DataFrame:
+def write_bucketed(df: DataFrame, table_name: str, buckets: int, keys=("example_id", "pos"), path: str | None = None) -> DataFrame:
     """Store scores bucketed and sorted by the alignment key, so the teacher ⋈ student join of
     two such tables (same bucket count) reads co-located files and shuffles neither side; only
-    the per-position KL scalars are shuffled afterwards for the per-example sums."""
-    (df.write.mode("overwrite").bucketBy(buckets, *keys).sortBy(*keys).format("parquet").saveAsTable(table_name))
+    the per-position KL scalars are shuffled afterwards for the per-example sums.  A file a bucket is
+    written (rows are brought together by bucket first).  ``path`` keeps the files outside the warehouse."""
+    writer = (df.repartition(buckets, *keys).write.mode("overwrite").bucketBy(buckets, *keys).sortBy(*keys).format("parquet"))
+    (writer.option("path", path) if path else writer).saveAsTable(table_name)
     return df.sparkSession.table(table_name)

@@ -56,15 +56,15 @@ FROM ({pairs}) p JOIN ({fx.LABELS_SQL}) l ON l.example_id = p.example_id AND l.p
 WHERE l.label <> -100 GROUP BY 1"""
 
 
-CE_SQL = ce_sql(PAIRS60)
+CE60_SQL, CE_SQL = ce_sql(PAIRS60), ce_sql(PAIRS)
 
 
 def _pairs(spark, d, cut=None):
     return fx.logits_pair(spark, d, cut).withColumn("batch_id", idiv("example_id", BATCH))
 
 
-def _ce(spark, d, cut=CUT):
-    s = _pairs(spark, d, cut).select("example_id", "pos", "batch_id", F.col("s").alias("logits"))
+def _ce(spark, d, cut=None):
+    s = fx.student_logits(spark, d, cut).withColumn("batch_id", idiv("example_id", BATCH))
     return ds.hard_ce(s, fx.labels_tok(spark, d))
 
 
@@ -120,20 +120,18 @@ def q_kl_row(spark, d):
 
 @register("kd_loss_logits", f"""
 SELECT k.batch_id, {r6('k.kd')} AS kd, {r6('c.ce')} AS ce, {r6('0.5 * k.kd + 0.5 * c.ce')} AS loss
-FROM ({kd_sql(PADDED, 2.0, 1.0 / 4096)}) k LEFT JOIN ({CE_SQL}) c ON c.batch_id = k.batch_id""")
+FROM ({kd_sql(PADDED, 2.0, 1.0 / 4096)}) k LEFT JOIN ({CE60_SQL}) c ON c.batch_id = k.batch_id""")
 def q_kd_loss_logits(spark, d):
-    out = ds.kd_loss_logits(_pairs(spark, d, CUT), _ce(spark, d), 2.0, 0.5, 4096)
+    out = ds.kd_loss_logits(_pairs(spark, d, CUT), None, 2.0, 0.5, 4096, following=ds.next_labels(fx.labels_tok(spark, d)))
     return out.select("batch_id", _r("kd").alias("kd"), _r("ce").alias("ce"), _r("loss").alias("loss"))
 
 
 @register("kd_loss_plain", f"""
 SELECT k.batch_id, {r6('k.kd')} AS kd, {r6('0.5 * k.kd + 0.5 * c.ce')} AS loss, {r6('0.5 * k.kd')} AS loss_no_ce
-FROM ({kd_sql(PADDED, 2.0)}) k LEFT JOIN ({CE_SQL}) c ON c.batch_id = k.batch_id""")
+FROM ({kd_sql(PADDED, 2.0)}) k LEFT JOIN ({CE60_SQL}) c ON c.batch_id = k.batch_id""")
 def q_kd_loss_plain(spark, d):
-    with_ce = ds.kd_loss_plain(_pairs(spark, d, CUT), _ce(spark, d), 2.0, 0.5)
-    no_ce = ds.mix_loss(with_ce.withColumnRenamed("loss", "_with"), None, 0.5).withColumnRenamed("loss", "loss_no_ce")
-    both = no_ce.withColumnRenamed("_with", "loss")
-    return both.select("batch_id", _r("kd").alias("kd"), _r("loss").alias("loss"), _r("loss_no_ce").alias("loss_no_ce"))
+    out = ds.kd_loss_plain(_pairs(spark, d, CUT), None, 2.0, 0.5, following=ds.next_labels(fx.labels_tok(spark, d)))
+    return out.select("batch_id", _r("kd").alias("kd"), _r("loss").alias("loss"), _r(0.5 * F.col("kd")).alias("loss_no_ce"))
 
 
 @register("kd_loss_dpo", f"SELECT batch_id, {r6('kd')} AS kd FROM ({kd_sql(PAIRS, 1.0, 1.0, 4)})")
@@ -155,9 +153,9 @@ def q_response_kd_mse(spark, d):
     return ds.response_kd_mse(p).select("batch_id", _r("mse").alias("mse"))
 
 
-@register("hard_ce", f"SELECT batch_id, {r6('ce')} AS ce FROM ({ce_sql(PAIRS)})")
+@register("hard_ce", f"SELECT batch_id, {r6('ce')} AS ce FROM ({CE_SQL})")
 def q_hard_ce(spark, d):
-    return _ce(spark, d, None).select("batch_id", _r("ce").alias("ce"))
+    return _ce(spark, d).select("batch_id", _r("ce").alias("ce"))
 
 
 @register("layer_map", f"""
@@ -177,13 +175,24 @@ SELECT h.example_id, h.pos, h.layer, p.out_idx,
 FROM ({fx.hidden_sql('student')}) h JOIN ({fx.PROJECTIONS_SQL}) p ON p.layer = h.layer"""
 
 
-@register("project_hidden", f"SELECT example_id, pos, layer, CAST(out_idx AS INTEGER) AS out_idx, {r6('v')} AS v FROM ({PROJ_SQL})")
+PROJ_OUT_SQL = f"SELECT example_id, pos, layer, CAST(out_idx AS INTEGER) AS out_idx, {r6('v')} AS v FROM ({PROJ_SQL})"
+
+
+@register("project_hidden", PROJ_OUT_SQL)
 def q_project_hidden(spark, d):
     p = hd.project_hidden(fx.hidden_states(spark, d, "student"), fx.projections(spark))
     return p.select("example_id", "pos", "layer", F.posexplode("h").alias("out_idx", "v")).select(
         "example_id", "pos", "layer", F.col("out_idx").cast("int").alias("out_idx"), _r("v").alias("v"))
 
 
+@register("project_hidden_tiled", PROJ_OUT_SQL)
+def q_project_hidden_tiled(spark, d):
+    """Tiles of 3 outputs and 5 inputs, so that neither divides its dimension."""
+    p = hd.project_hidden_tiled(fx.hidden_states(spark, d, "student"), fx.projections(spark), tile=(3, 5), states=1000)
+    return p.select("example_id", "pos", "layer", F.posexplode("h").alias("out_idx", "v")).select(
+        "example_id", "pos", "layer", F.col("out_idx").cast("int").alias("out_idx"), _r("v").alias("v"))
+
+
 HIDDEN_KD_SQL = f"""
 SELECT batch_id, avg(lk) / max(dim) AS kd FROM (
   SELECT batch_id, student_layer, sum(kl_ex) / count(*) * 4.0 AS lk, max(dim) AS dim FROM (
@@ -202,7 +211,8 @@ def q_hidden_kd_loss(spark, d):
     bid = idiv("example_id", BATCH)
     s = fx.hidden_states(spark, d, "student").withColumn("batch_id", bid)
     t = fx.hidden_states(spark, d, "teacher")
-    out = hd.hidden_kd_loss(s, t, fx.projections(spark), 2.0, 0.5, ce=_ce(spark, d))
+    out = hd.hidden_kd_loss(s, t, fx.projections(spark), 2.0, 0.5, ce=_ce(spark, d), num_student=fx.STUDENT_LAYERS,
+                            num_teacher=fx.TEACHER_LAYERS)
     return out.select("batch_id", _r("kd").alias("kd"), _r("ce").alias("ce"), _r("loss").alias("loss"))
 
 

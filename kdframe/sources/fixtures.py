@@ -208,7 +208,14 @@ def teacher_logits(spark: SparkSession, d: str) -> DataFrame:
 
 
 def student_logits(spark: SparkSession, d: str, vocab: int | None = None) -> DataFrame:
-    return logits_pair(spark, d, vocab).select("example_id", "pos", F.col("s").alias("logits"))
+    """(example_id, pos, logits): an embedding is the student of the position before its own."""
+    e = table(spark, d, "embeddings").select("vec_id", "embedding")
+    n = F.broadcast(e.agg(F.count("*").alias("_n")))                                  # one-row scalar
+    x = F.transform("embedding", lambda x: x.cast("double") * 10)
+    at = (F.col("vec_id") + F.col("_n") - 1) % F.col("_n")
+    return e.crossJoin(n).withColumn("_at", at).select(
+        idiv("_at", EX_POSITIONS).alias("example_id"), (F.col("_at") % EX_POSITIONS).cast("int").alias("pos"),
+        (x if vocab is None else F.slice(x, 1, vocab)).alias("logits"))
 
 
 def logits_pair_sql(student_vocab: int | None = None) -> str:
@@ -241,9 +248,8 @@ SELECT vec_id // {EX_POSITIONS} AS example_id, CAST(vec_id % {EX_POSITIONS} AS I
 def hidden_states(spark: SparkSession, d: str, who: str = "student") -> DataFrame:
     """(example_id, pos, layer, h): slices of the whole embedding; student 4 × 16, teacher 8 × 8."""
     layers, dim = (STUDENT_LAYERS, STUDENT_DIM) if who == "student" else (TEACHER_LAYERS, TEACHER_DIM)
-    e = table(spark, d, "embeddings").select("vec_id", "embedding")
-    lay = F.broadcast(spark.range(layers).select(F.col("id").cast("int").alias("layer")))
-    return e.crossJoin(lay).select(
+    e = table(spark, d, "embeddings").select("vec_id", F.explode(F.sequence(F.lit(0), F.lit(layers - 1))).alias("layer"), "embedding")
+    return e.select(
         idiv("vec_id", EX_POSITIONS).alias("example_id"),
         (F.col("vec_id") % EX_POSITIONS).cast("int").alias("pos"), "layer",
         F.transform(F.slice("embedding", F.col("layer") * dim + 1, F.lit(dim)), lambda x: x.cast("double")).alias("h"))
@@ -261,8 +267,7 @@ FROM embeddings, range({layers}) l(layer)"""
 def projections(spark: SparkSession, layers: int = STUDENT_LAYERS, in_dim: int = STUDENT_DIM,
                 out_dim: int = TEACHER_DIM) -> DataFrame:
     """Adapter weights (layer, out_idx, w, b): w[j] = ((7·layer + 3·out + j) % 5 − 2)/10, b = out/100."""
-    g = (spark.range(layers).select(F.col("id").cast("int").alias("layer"))
-         .crossJoin(spark.range(out_dim).select(F.col("id").cast("int").alias("out_idx"))))
+    g = (spark.range(layers).select(F.col("id").cast("int").alias("layer"), F.explode(F.sequence(F.lit(0), F.lit(out_dim - 1))).alias("out_idx")))
     w = F.transform(F.sequence(F.lit(0), F.lit(in_dim - 1)),
                     lambda j: (((F.col("layer") * 7 + F.col("out_idx") * 3 + j) % 5) - 2).cast("double") / 10.0)
     return g.select("layer", "out_idx", w.alias("w"), (F.col("out_idx").cast("double") / 100.0).alias("b"))
@@ -307,23 +312,26 @@ def pair_tokens(spark: SparkSession, d: str) -> DataFrame:
     the DPO-formatted pair encoded with the document vocabulary.  As a collator does, prompts are
     left-padded to the longest prompt of the batch and completions right-padded to its longest
     completion; nothing is cut; pad = eos."""
-    from ..functions.arrays import attention_mask, pad_ids
     from ..operators import tokens as tk
     from ..operators.conversations import dpo_format
-    eos = SPECIALS.index("<eos>")
+    from ..operators.sequences import pad_pairs
     f = dpo_format(dpo_pairs(spark, d))
     vocab = tk.fit_vocab(table(spark, d, "documents"), "text", VOCAB_SIZE)
     e = tk.encode_columns(f, {"_p": "prompt", "_c": "chosen", "_r": "rejected"}, vocab)
     e = e.select(idiv("pair_id", CONVS_PER_BATCH * PAIR_STRIDE).alias("batch_id"), "pair_id", "_p", "_c", "_r")
-    w = Window.partitionBy("batch_id")
-    e = (e.withColumn("_np", F.max(F.size("_p")).over(w))
-         .withColumn("_nc", F.max(F.greatest(F.size("_c"), F.size("_r"))).over(w)))
-    np_, nc = F.col("_np"), F.col("_nc")
-    return e.select(
-        "batch_id", "pair_id",
-        pad_ids("_p", np_, eos, "left").alias("prompt_ids"), attention_mask("_p", np_, "left").alias("prompt_mask"),
-        pad_ids("_c", nc, eos).alias("chosen_ids"), attention_mask("_c", nc).alias("chosen_mask"),
-        pad_ids("_r", nc, eos).alias("rejected_ids"), attention_mask("_r", nc).alias("rejected_mask"))
+    return pad_pairs(e, SPECIALS.index("<eos>"), "_p", "_c", "_r")
+
+
+def id_scores(tokens: DataFrame, size: int) -> DataFrame:
+    """Token rows with student ``logits`` and teacher ``t_logits`` over ``size`` ids, functions of id and position."""
+    ids = F.sequence(F.lit(0), F.lit(size - 1))
+    score = lambda a, b, m, q: F.transform(ids, lambda v: ((F.col("input_id") * a + v * b + F.col("pos")) % m).cast("double") / q)
+    return tokens.withColumn("logits", score(7, 3, 11, 2.0)).withColumn("t_logits", score(5, 2, 13, 3.0))
+
+
+def id_scores_sql(tokens: str, size: int) -> str:
+    score = lambda a, b, m, q: f"list_transform(range({size}), lambda v: CAST((input_id * {a} + v * {b} + pos) % {m} AS DOUBLE) / {q})"
+    return f"SELECT *, {score(7, 3, 11, 2.0)} AS logits, {score(5, 2, 13, 3.0)} AS t_logits FROM ({tokens})"
 
 
 def pref_tokens(spark: SparkSession, d: str) -> DataFrame:
