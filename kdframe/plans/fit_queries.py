@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import uuid
 
-import numpy as np
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
@@ -39,26 +38,48 @@ def _lsm(z, t):
     return f"list_transform({z}, lambda q: (q - {top}) / {t} - ln(list_sum(list_transform({z}, lambda r: exp((r - {top}) / {t})))))"
 
 
-def fit_sql(steps: int, t: float = 2.0, alpha: float = 0.5, lr: float = 0.5) -> str:
-    """(run, step, loss) of ``steps`` gradient steps from zero weights, each written out as SQL."""
-    ctes, zero = [], "list_transform(t, lambda q: 0.0::DOUBLE)"
-    ctes.append(f"z0 AS MATERIALIZED (SELECT id, label, x, t, {zero} AS z FROM task)")
+def _steps_sql(p: str, source: str, x: str, teacher: str, steps: int, t: float = 2.0, alpha: float = 0.5, lr: float = 0.5) -> list[str]:
+    """CTEs of ``steps`` gradient steps from zero weights, each written out: {p}h{i} has the loss before step i,
+    {p}z{i} the student's logits ``z``.  ``source`` has id, label, feats (all features) and the teacher's logits."""
+    ctes, zero = [], f"list_transform({teacher}, lambda q: 0.0::DOUBLE)"
+    ctes.append(f"{p}z0 AS MATERIALIZED (SELECT id, label, feats, {x} AS x, {teacher} AS t, {zero} AS z FROM {source})")
     for i in range(steps + 1):
-        ctes.append(f"l{i} AS MATERIALIZED (SELECT *, {_lsm('z', t)} AS st, {_lsm('t', t)} AS tt, {_lsm('z', 1.0)} AS s1 FROM z{i})")
-        ctes.append(f"""h{i} AS MATERIALIZED (SELECT avg({alpha * t * t} * list_sum(list_transform(list_zip(tt, st), lambda q: exp(q[1]) * (q[1] - q[2])))
-                     - {1 - alpha} * s1[label + 1]) AS loss FROM l{i})""")
+        ctes.append(f"{p}l{i} AS MATERIALIZED (SELECT *, {_lsm('z', t)} AS st, {_lsm('t', t)} AS tt, {_lsm('z', 1.0)} AS s1 FROM {p}z{i})")
+        ctes.append(f"""{p}h{i} AS MATERIALIZED (SELECT avg({alpha * t * t} * list_sum(list_transform(list_zip(tt, st), lambda q: exp(q[1]) * (q[1] - q[2])))
+                     - {1 - alpha} * s1[label + 1]) AS loss FROM {p}l{i})""")
         if i < steps:
-            ctes.append(f"""g{i} AS MATERIALIZED (SELECT id, x, unnest(range(len(z))) AS k, unnest(list_transform(list_zip(st, tt, s1), lambda q, n:
-                     {alpha * t} * (exp(q[1]) - exp(q[2])) + {1 - alpha} * (exp(q[3]) - CASE WHEN n - 1 = label THEN 1.0 ELSE 0.0 END))) AS g FROM l{i})""")
-            ctes.append(f"w{i} AS MATERIALIZED (SELECT k, j, sum(g * v) / (SELECT count(*) FROM task) AS w FROM (SELECT k, g, unnest(x) AS v, unnest(range(len(x))) AS j FROM g{i}) GROUP BY 1, 2)")
-            ctes.append(f"v{i} AS MATERIALIZED (SELECT k, list(w ORDER BY j) AS w FROM w{i} GROUP BY 1)")
-            ctes.append(f"b{i} AS MATERIALIZED (SELECT k, avg(g) AS b FROM g{i} GROUP BY 1)")
-            ctes.append(f"""d{i} AS MATERIALIZED (SELECT l.id, list(list_sum(list_transform(list_zip(v.w, l.x), lambda q: q[1] * q[2])) + b.b ORDER BY v.k) AS d
-                     FROM l{i} l, v{i} v JOIN b{i} b ON b.k = v.k GROUP BY 1)""")
-            ctes.append(f"""z{i + 1} AS MATERIALIZED (SELECT l.id, l.label, l.x, l.t, list_transform(list_zip(l.z, d.d), lambda q: q[1] - {lr} * q[2]) AS z
-                     FROM l{i} l JOIN d{i} d ON d.id = l.id)""")
+            ctes.append(f"""{p}g{i} AS MATERIALIZED (SELECT id, x, unnest(range(len(z))) AS k, unnest(list_transform(list_zip(st, tt, s1), lambda q, n:
+                     {alpha * t} * (exp(q[1]) - exp(q[2])) + {1 - alpha} * (exp(q[3]) - CASE WHEN n - 1 = label THEN 1.0 ELSE 0.0 END))) AS g FROM {p}l{i})""")
+            ctes.append(f"{p}w{i} AS MATERIALIZED (SELECT k, j, sum(g * v) / (SELECT count(*) FROM {source}) AS w FROM (SELECT k, g, unnest(x) AS v, unnest(range(len(x))) AS j FROM {p}g{i}) GROUP BY 1, 2)")
+            ctes.append(f"{p}v{i} AS MATERIALIZED (SELECT k, list(w ORDER BY j) AS w FROM {p}w{i} GROUP BY 1)")
+            ctes.append(f"{p}b{i} AS MATERIALIZED (SELECT k, avg(g) AS b FROM {p}g{i} GROUP BY 1)")
+            ctes.append(f"""{p}d{i} AS MATERIALIZED (SELECT l.id, list(list_sum(list_transform(list_zip(v.w, l.x), lambda q: q[1] * q[2])) + b.b ORDER BY v.k) AS d
+                     FROM {p}l{i} l, {p}v{i} v JOIN {p}b{i} b ON b.k = v.k GROUP BY 1)""")
+            ctes.append(f"""{p}z{i + 1} AS MATERIALIZED (SELECT l.id, l.label, l.feats, l.x, l.t, list_transform(list_zip(l.z, d.d), lambda q: q[1] - {lr} * q[2]) AS z
+                     FROM {p}l{i} l JOIN {p}d{i} d ON d.id = l.id)""")
+    return ctes
+
+
+FULL_SQL = f"{TASK_SQL},\nwhole AS MATERIALIZED (SELECT id, label, x AS feats, t AS teach FROM task)"
+
+
+def fit_sql(steps: int) -> str:
+    """(run, step, loss) of a fit over all features."""
     rows = " UNION ALL ".join(f"SELECT 'run' AS run, CAST({i} AS INTEGER) AS step, round(loss, 6) AS loss FROM h{i}" for i in range(steps + 1))
-    return f"{TASK_SQL},\n" + ",\n".join(ctes) + f"\n{rows}"
+    return ",\n".join([FULL_SQL, *_steps_sql("", "whole", "feats", "teach", steps)]) + f"\n{rows}"
+
+
+def schedule_sql(mode: str, steps: int) -> str:
+    """Last loss and accuracy of each student of a schedule; in a cascade a student's logits teach the next one."""
+    ctes, rows, source, teach, teacher = [FULL_SQL], [], "whole", "teach", "teacher"
+    for i, s in enumerate(STUDENTS, start=1):
+        ctes += _steps_sql(s.name, source, f"list_select(feats, {[j + 1 for j in s.features]})", teach, steps)
+        rows.append(f"""SELECT '{mode}' AS mode, CAST({i} AS INTEGER) AS stage, '{teacher}' AS teacher, '{s.name}' AS student,
+               round((SELECT loss FROM {s.name}h{steps}), 6) AS final_loss,
+               round(avg(CAST(list_position(z, list_max(z)) - 1 = label AS DOUBLE)), 6) AS train_accuracy FROM {s.name}z{steps}""")
+        if mode == "cascade":
+            source, teach, teacher = f"{s.name}z{steps}", "z", s.name
+    return ",\n".join(ctes) + "\n" + " UNION ALL ".join(rows)
 
 
 def _folder(spark, tag: str) -> str:
@@ -85,25 +106,30 @@ s AS (SELECT e.vec_id AS id, c.label AS k,
       FROM embeddings e, c)
 SELECT id, CAST(arg_max(k, logit) AS INTEGER) AS pred, round(max(logit), 6) AS max_logit FROM s GROUP BY id""")
 def q_score_linear(spark, d):
-    cents = fx.class_centroids(spark, d).orderBy("label").collect()          # one row per class
-    w = np.array([[2.0 * v for v in r["c"]] for r in cents])
-    b = np.array([-sum(v * v for v in r["c"]) for r in cents])
+    cents = fx.class_centroids(spark, d).agg(F.array_sort(F.collect_list(F.struct("label", "c"))).alias("_cs"))       # one row a class
+    square = lambda c: F.aggregate(c, F.lit(0.0), lambda acc, v: acc + v * v)
+    model = cents.select(F.transform("_cs", lambda x: F.transform(x["c"], lambda v: v * 2.0)).alias("W"),
+                         F.transform("_cs", lambda x: -square(x["c"])).alias("b"))
     e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
-    s = ft.score_linear(e, "embedding", {"W": w, "b": b})
+    s = ft.score_linear(e, "embedding", model)
     best = F.array_max("logits")
     return s.select("id", (F.array_position("logits", best) - 1).cast("int").alias("pred"), F.round(best, 6).alias("max_logit"))
 
 
-@register("distil_control")
+def _rounded(summary):
+    return summary.withColumn("final_loss", F.round("final_loss", 6)).withColumn("train_accuracy", F.round("train_accuracy", 6))
+
+
+@register("distil_control", schedule_sql("control", ITERS))
 def q_distil_control(spark, d):
     summary, _ = ft.distil_control(fx.linear_task(spark, d), STUDENTS, iters=ITERS, temperature=2.0, alpha=0.5, lr=0.5)
-    return summary
+    return _rounded(summary)
 
 
-@register("distil_cascade")
+@register("distil_cascade", schedule_sql("cascade", ITERS))
 def q_distil_cascade(spark, d):
     summary, _ = ft.distil_cascade(fx.linear_task(spark, d), STUDENTS, iters=ITERS, temperature=2.0, alpha=0.5, lr=0.5)
-    return summary
+    return _rounded(summary)
 
 
 @register("run_plan", """
