@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import math
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -39,12 +40,13 @@ def _cols(cols):
 
 
 def prefix_sum(df: DataFrame, order_cols, weight=None, group_cols=(), bucket: Column | None = None,
-               name: str = "idx", small_groups: bool = True) -> DataFrame:
+               name: str = "idx", small_groups: bool = True, keep_bucket: str | None = None) -> DataFrame:
     """Exclusive running sum of ``weight`` (default 1 = 0-based global index) in ``order_cols`` order.
 
     ``order_cols`` must be a total order (include a unique tie-breaker).  ``bucket`` (optional)
     must be monotone in that order inside each group; with it the work is one shuffle by
-    bucket plus a broadcast of per-bucket totals.  Without it a range exchange is used.
+    bucket plus a broadcast of per-bucket totals.  Without it a range exchange is used.  With
+    ``keep_bucket`` the rows keep the bucket (or range) they were brought together by, under that name.
     """
     order = _cols(order_cols)
     groups = list(group_cols)
@@ -60,20 +62,26 @@ def prefix_sum(df: DataFrame, order_cols, weight=None, group_cols=(), bucket: Co
             Window.unboundedPreceding, Window.currentRow)
         out = (tagged.join(offsets, groups + ["_kb"], "inner")
                .withColumn(name, (F.col("_ko") + F.sum("_kw").over(within) - F.col("_kw")).cast("long")))
+        if keep_bucket:
+            out = out.withColumnRenamed("_kb", keep_bucket)
         return out.drop("_kb", "_kw", "_ko")
     if groups:
         raise ValueError("group_cols needs a bucket expression")
     auto = _numeric_bucket(df, order_cols)
     if auto is not None:
         bdf, bcol = auto
-        return prefix_sum(bdf, order_cols, weight, (), bcol, name, small_groups).drop("_kq")
+        return prefix_sum(bdf, order_cols, weight, (), bcol, name, small_groups, keep_bucket).drop("_kq")
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     nparts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ranged = (df.repartitionByRange(nparts, *order).sortWithinPartitions(*order)
+    # a total order over named columns is a key: only key, weight and tag are sorted and frozen, and
+    # whatever else a row has is joined to its position
+    names = [c for c in ([order_cols] if isinstance(order_cols, (str, Column)) else order_cols) if isinstance(c, str)]
+    skeleton = len(names) == len(order) and set(names) < set(df.columns)
+    source = df.withColumn("_kw", w)
+    ranged = ((source.select(*names, "_kw") if skeleton else source).repartitionByRange(nparts, *order).sortWithinPartitions(*order)
               .withColumn("_kp", F.spark_partition_id())
-              .withColumn("_kr", F.monotonically_increasing_id() - F.shiftleft(F.col("_kp").cast("long"), 33))
-              .withColumn("_kw", w))
+              .withColumn("_kr", F.monotonically_increasing_id() - F.shiftleft(F.col("_kp").cast("long"), 33)))
     # reliable checkpoint: partition ids / row tags are frozen, recomputation cannot re-sample bounds
     ranged = ranged.checkpoint(eager=True)
     totals = ranged.groupBy("_kp").agg(F.sum("_kw").alias("_kn"))
@@ -85,7 +93,15 @@ def prefix_sum(df: DataFrame, order_cols, weight=None, group_cols=(), bucket: Co
         within = Window.partitionBy("_kp").orderBy("_kr").rowsBetween(Window.unboundedPreceding, Window.currentRow)
         local = F.sum("_kw").over(within) - F.col("_kw")
     out = ranged.join(offsets, "_kp").withColumn(name, (F.col("_ko") + local).cast("long"))
-    return out.drop("_kp", "_kr", "_kw", "_ko")
+    if keep_bucket:
+        out = out.withColumn(keep_bucket, F.col("_kp"))
+    out = out.drop("_kp", "_kr", "_kw", "_ko")
+    if skeleton:
+        keys = {c: f"_key_{i}" for i, c in enumerate(names)}
+        out = out.withColumnsRenamed(keys)
+        same = [F.col(c).eqNullSafe(F.col(k)) for c, k in keys.items()]
+        out = df.join(out, reduce(lambda x, y: x & y, same)).drop(*keys.values())
+    return out
 
 
 ROWS_PER_BUCKET = 1_000_000

@@ -4,13 +4,13 @@ The pretrained subword tokenizers of the source scripts are re-aimed as a word-l
 fitted on the corpus (count desc, token asc; specials first).  Tokenisation is a JVM regex
 (``regexp_extract_all``).  Id lookup takes one of two forms, chosen by the caller: ``udf`` (default)
 broadcasts the vocabulary, whose size is a parameter of the fit, to an Arrow-batched pandas UDF
-and shuffles nothing; ``join`` explodes tokens, joins a vocabulary of any size and collects them
-again in order.
+and shuffles nothing; ``join`` joins the different tokens of each block of rows with a vocabulary of any size and
+gives the block's rows its dictionary.
 """
 
 from __future__ import annotations
 
-import uuid
+import hashlib
 
 import numpy as np
 import pandas as pd
@@ -20,6 +20,7 @@ from pyspark.sql.types import ArrayType, IntegerType
 
 from ..functions.arrays import attention_mask, idiv, pad_ids, truncate_ids
 from .ordering import prefix_sum
+from ..session import materialised
 from ..sources.readers import literal_table
 
 # Token pattern (letters/digits/underscore runs, or one other non-space char)
@@ -61,13 +62,16 @@ def vocab_id(vocab: DataFrame, token: str) -> int | None:
     return None if row is None else int(row[0])
 
 
+#: Indexes of vocabularies that one Python worker holds, by content.
 _LOOKUP_CACHE: dict = {}
+HELD_VOCABULARIES = 4
 
 
 def _sent_vocab(vocab: DataFrame):
-    """Broadcast of the vocabulary (as many entries as the fit was asked for)."""
+    """Broadcast of the vocabulary (as many entries as the fit was asked for), and a name for its content."""
     rows = vocab.select("token", "id").collect()
-    return vocab.sparkSession.sparkContext.broadcast(([r[0] for r in rows], [r[1] for r in rows]))
+    tag = hashlib.md5(repr(rows).encode()).hexdigest()
+    return vocab.sparkSession.sparkContext.broadcast(([r[0] for r in rows], [r[1] for r in rows])), tag
 
 
 def _lookup_udf(bc, tag: str, unk_id: int):
@@ -77,6 +81,8 @@ def _lookup_udf(bc, tag: str, unk_id: int):
         if cached is None:          # built once per Python worker, reused by every batch
             words, ids = bc.value
             cached = (pd.Index(words), np.asarray(ids, dtype=np.int32))
+            while len(_LOOKUP_CACHE) >= HELD_VOCABULARIES:
+                _LOOKUP_CACHE.pop(next(iter(_LOOKUP_CACHE)))
             _LOOKUP_CACHE[tag] = cached
         index, ids = cached
         arrs = [a if a is not None else np.array([], dtype=object) for a in toks]
@@ -92,33 +98,49 @@ def _lookup_udf(bc, tag: str, unk_id: int):
     return lookup
 
 
+def _dictionary_ids(unk_id: int):
+    """cogrouped applyInArrow function: the token arrays of a block and the ids of its tokens."""
+    def run(rows, known):
+        import numpy as np
+        import pyarrow as pa
+        ids = dict(zip(known.column("token").to_pylist(), known.column("id").to_pylist()))
+        out = [None if t is None else np.fromiter((ids.get(x, unk_id) for x in t), np.int32, len(t)) for t in rows.column("_t").to_pylist()]
+        return pa.table({"_k": rows.column("_k"), "_ids": pa.array(out, pa.list_(pa.int32()))})
+    return run
+
+
+#: Rows whose tokens share one dictionary.
+BLOCK_ROWS = 2048
+
+
 def encode(df: DataFrame, text_col: str, vocab: DataFrame, out: str = "input_ids", unk_id: int = 0,
-           key: str | None = None, method: str = "udf") -> DataFrame:
+           key: str | None = None, method: str = "udf", block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Text → id array (unknown → ``unk_id``).
 
     ``method='udf'`` broadcasts the vocabulary to an Arrow pandas UDF; ``method='join'``, which needs
-    a unique ``key``, takes a vocabulary of any size: it explodes tokens, joins the vocabulary and
-    collects them again in position order.
+    a unique ``key``, takes a vocabulary of any size: rows are dealt into blocks by a hash of the key, the different tokens
+    of each block are joined with the vocabulary, and a block's rows meet its own small
+    dictionary.  A token that is in every row is one row a block of that join.
     """
     if method == "udf":
-        return df.withColumn(out, _lookup_udf(_sent_vocab(vocab), uuid.uuid4().hex, unk_id)(tokenize(text_col)))
+        return df.withColumn(out, _lookup_udf(*_sent_vocab(vocab), unk_id)(tokenize(text_col)))
     if method != "join":
         raise ValueError(f"unknown method {method!r}")
     if key is None:
         raise ValueError("method='join' needs a unique key column")
-    ex = df.select(key, F.posexplode(tokenize(text_col)).alias("_p", "token"))
-    j = ex.join(vocab.select("token", F.col("id").alias("_id")), "token", "left")
-    ids = j.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_p", F.coalesce("_id", F.lit(unk_id)).alias("_i"))))
-                             .alias("_s"))
-    ids = ids.select(key, F.transform("_s", lambda x: x["_i"]).alias(out))
-    return (df.join(ids, key, "left")
-            .withColumn(out, F.when(F.col(text_col).isNull(), F.lit(None))
-                        .otherwise(F.coalesce(out, F.array().cast("array<int>")))))
+    blocks = -(-max(df.select(key).count(), 1) // block_rows)
+    block = F.pmod(F.xxhash64(F.col(key)), F.lit(blocks)).cast("int")
+    rows = df.select(block.alias("_b"), F.col(key).alias("_k"), tokenize(text_col).alias("_t"))
+    tokens = rows.select(F.col("_b").alias("_kb"), F.explode(F.array_distinct("_t")).alias("token")).distinct()
+    known = tokens.join(vocab.select("token", "id"), "token")
+    kind = df.schema[key].dataType.simpleString()
+    ids = rows.groupBy("_b").cogroup(known.groupBy("_kb")).applyInArrow(_dictionary_ids(unk_id), f"_k {kind}, _ids array<int>")
+    return df.join(ids.withColumnRenamed("_ids", out), F.col(key).eqNullSafe(F.col("_k")), "left").drop("_k")
 
 
 def encode_columns(df: DataFrame, outputs: dict, vocab: DataFrame, unk_id: int = 0) -> DataFrame:
     """Encode several text columns with one broadcast of the vocabulary."""
-    fn = _lookup_udf(_sent_vocab(vocab), uuid.uuid4().hex, unk_id)
+    fn = _lookup_udf(*_sent_vocab(vocab), unk_id)
     for out, text_col in outputs.items():
         df = df.withColumn(out, F.coalesce(fn(tokenize(text_col)), F.array().cast("array<int>")))
     return df
@@ -151,14 +173,17 @@ def dual_encode(df: DataFrame, student_text: str, teacher_text: str, svocab: Dat
     return encode_padded(out, teacher_text, tvocab, n, tpad, prefix="teacher_", batch=batch)
 
 
-def pack_sequences(df: DataFrame, order_cols, ids_col: str, n: int, bucket: Column | None = None) -> DataFrame:
+def pack_sequences(df: DataFrame, order_cols, ids_col: str, n: int, bucket: Column | None = None,
+                   length: Column | None = None) -> DataFrame:
     """Concatenate id sequences in order and cut into blocks of ``n`` (the last block may be short).
 
-    Offsets are a distributed prefix sum of sequence lengths; each row emits only the pieces that
-    fall into each block it spans, so the single shuffle moves array pieces, not single tokens.
+    Offsets are a prefix sum over (key, length) alone; ``length`` may be an expression that needs no
+    ids, so they are not made for it.  The ids go once to the range of their keys and are cut and
+    put together there; of each range only its first and last block meet those of other
+    ranges.  Each row emits the pieces that fall into each block it spans, never single tokens.
     """
-    sized = df.withColumn("_len", F.size(ids_col).cast("long"))
-    off = prefix_sum(sized, order_cols, weight="_len", bucket=bucket, name="_off")
+    sized = df.withColumn("_len", F.greatest(F.coalesce(F.size(ids_col) if length is None else length, F.lit(0)), F.lit(0)).cast("long"))
+    off = prefix_sum(sized, order_cols, weight="_len", bucket=bucket, name="_off", keep_bucket="_range").where(F.col("_len") > 0)
     first = idiv("_off", n)
     last = idiv(F.col("_off") + F.col("_len") - 1, n)
 
@@ -168,11 +193,17 @@ def pack_sequences(df: DataFrame, order_cols, ids_col: str, n: int, bucket: Colu
         ids = F.slice(ids_col, (lo - F.col("_off") + 1).cast("int"), (hi - lo).cast("int"))
         return F.struct(block.alias("block_id"), lo.alias("_start"), ids.alias("_piece"))
 
+    def put_together(pieces: DataFrame, *by: str) -> DataFrame:
+        g = pieces.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("_start", "_piece"))).alias("_ps"))
+        return g.select(*by, F.element_at("_ps", 1)["_start"].alias("_start"), F.flatten(F.transform("_ps", lambda x: x["_piece"])).alias("_piece"))
+
     # each piece is sliced before the explode, so a long row is not copied once a block
-    pieces = off.where(F.col("_len") > 0).select(
-        F.inline(F.transform(F.sequence(first.cast("long"), last.cast("long")), piece)))
-    blocks = pieces.groupBy("block_id").agg(F.array_sort(F.collect_list(F.struct("_start", "_piece"))).alias("_ps"))
-    return blocks.select("block_id", F.flatten(F.transform("_ps", lambda x: x["_piece"])).alias("input_ids"))
+    pieces = off.select("_range", F.inline(F.transform(F.sequence(first.cast("long"), last.cast("long")), piece)))
+    local = materialised(put_together(pieces, "_range", "block_id"), "packed")
+    whole = F.size("_piece") == n
+    rest = put_together(local.where(~whole).drop("_range"), "block_id")
+    return local.where(whole).select("block_id", F.col("_piece").alias("input_ids")).unionByName(
+        rest.select("block_id", F.col("_piece").alias("input_ids")))
 
 
 def encode_with_tokenizer(df: DataFrame, text_col: str, make_tokenizer, out: str = "input_ids") -> DataFrame:

@@ -151,8 +151,8 @@ def q_dual_encode(spark, d):
     src = fx.sharegpt(spark, d).select("conv_id", render_chatml(m, True).alias("st"),
                                        render_chatml(m, True, start="<|start|>", end="<|end|>",
                                                      default_system=None).alias("tt"))
-    vocab = _vocab(spark, d)
-    # the smaller vocabulary is the head of the larger one: one fit serves both
+    vocab = materialised(_vocab(spark, d), "vocab")
+    # the smaller vocabulary is the head of the larger one: one fit, written once, serves both
     out = tk.dual_encode(src, "st", "tt", vocab, vocab.where(F.col("id") < TVOCAB), None, EOS, EOS,
                          batch=idiv("conv_id", BATCH))
     return out.select("conv_id", *[sj(c).alias(c) for c in
@@ -175,5 +175,5 @@ SELECT block_id, CAST(count(*) AS BIGINT) AS n_tokens, {j('list(id ORDER BY off)
 GROUP BY block_id""")
 def q_pack_sequences(spark, d):
     e = tk.encode(_docs(spark, d), "text", _vocab(spark, d))
-    p = tk.pack_sequences(e, ["doc_id"], "input_ids", 1024)
+    p = tk.pack_sequences(e, ["doc_id"], "input_ids", 1024, length=F.size(tk.tokenize("text")))
     return p.select("block_id", F.size("input_ids").cast("long").alias("n_tokens"), sj("input_ids").alias("input_ids"))
