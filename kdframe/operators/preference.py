@@ -147,9 +147,11 @@ def composed_loss(pairs: DataFrame, cfg: DPOConfig = DPOConfig(), use_weighting:
     return out.withColumn("loss", loss + cfg.kd_weight * F.col("kd"))
 
 
-def composed_metrics(losses: DataFrame, cfg: DPOConfig = DPOConfig(), batch_col: str = "batch_id", train_eval: str = "train") -> DataFrame:
+def composed_metrics(losses: DataFrame, cfg: DPOConfig = DPOConfig(), batch_col: str = "batch_id", train_eval: str = "train",
+                     eval_col: str | None = None) -> DataFrame:
     """(batch_id, metric, value) of ``composed_loss`` rows, one aggregate: the logged means, the total
-    ``loss``, and ``nll_loss`` / ``aux_loss`` where their options are on."""
+    ``loss``, and ``nll_loss`` / ``aux_loss`` where their options are on.  Names begin with ``eval_`` for
+    ``train_eval='eval'``, or batch by batch where the boolean ``eval_col`` is true."""
     mean = lambda c: F.avg(c)
     values = {"rewards/chosen": mean("chosen_reward"), "rewards/rejected": mean("rejected_reward"),
               "rewards/accuracies": mean("reward_accuracy"), "rewards/margins": mean("margin"),
@@ -161,9 +163,10 @@ def composed_metrics(losses: DataFrame, cfg: DPOConfig = DPOConfig(), batch_col:
         values["nll_loss"] = F.max("nll_loss")
     if cfg.aux_loss_coef:
         values["aux_loss"] = mean("aux_loss")
-    prefix = "eval_" if train_eval == "eval" else ""
-    row = losses.groupBy(batch_col).agg(*[v.cast("double").alias(f"_m{i}") for i, v in enumerate(values.values())])
-    pairs = F.array(*[F.struct(F.lit(prefix + m).alias("metric"), F.col(f"_m{i}").alias("value")) for i, m in enumerate(values)])
+    evaluated = F.lit(train_eval == "eval") if eval_col is None else F.max(eval_col)
+    row = losses.groupBy(batch_col).agg(evaluated.alias("_e"), *[v.cast("double").alias(f"_m{i}") for i, v in enumerate(values.values())])
+    name = lambda m: F.when(F.col("_e"), F.lit(f"eval_{m}")).otherwise(F.lit(m))
+    pairs = F.array(*[F.struct(name(m).alias("metric"), F.col(f"_m{i}").alias("value")) for i, m in enumerate(values)])
     return row.select(batch_col, F.inline(pairs))
 
 
@@ -171,15 +174,6 @@ def aux_loss_mix(df: DataFrame, coef: float, loss: str = "loss", aux: str = "aux
     return df.withColumn(loss, F.col(loss) + coef * F.coalesce(F.col(aux), F.lit(0.0)))
 
 
-def dpo_kd_total(pair_losses: DataFrame, batch_kd: DataFrame, kd_weight: float = 1e-3,
-                 batch_col: str = "batch_id") -> DataFrame:
-    """Batch mean of (per-pair loss + kd_weight · batch KD).  The batch-KD table has one row per
-    batch; it is joined on the batch key like any other table (Spark broadcasts it when small)."""
-    j = pair_losses.join(batch_kd.select(batch_col, "kd"), batch_col, "left")
-    return j.groupBy(batch_col).agg(F.avg(F.col("loss") + kd_weight * F.col("kd")).alias("total_loss"),
-                                    F.first("kd").alias("kd"))
-
-
 def mean_masked_logits(tokens: DataFrame, logits: str = "logits", batch_col: str = "batch_id") -> DataFrame:
     """(batch_id, chosen_mean_logits, rejected_mean_logits): mean of every logit value at loss positions."""
     t = tokens.where(F.col("loss_mask") == 1).select(batch_col, "side", sc.array_sum(logits).alias("_s"),

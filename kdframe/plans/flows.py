@@ -4,15 +4,16 @@ from __future__ import annotations
 
 from typing import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import ARC_NAME, GSM_NAME, DistillConfig, DPOConfig, EvalConfig
+from ..config import ARC_NAME, GSM_NAME, SEED, DistillConfig, DPOConfig, EvalConfig
 from ..operators import evaluation as ev
 from ..operators import ordering as od
 from ..operators import preference as pf
+from ..operators import sequences as sq
 from ..operators import tokens as tk
-from ..operators.conversations import collect_conversations, format_sharegpt
+from ..operators.conversations import collect_conversations, dpo_format, format_sharegpt
 from ..session import materialised
 from ..sources import fixtures as fx
 from ..sources.readers import literal_table, table
@@ -46,6 +47,38 @@ def preference_batches(spark: SparkSession, d: str, cfg: DPOConfig = DPOConfig()
     return pf.composed_metrics(pf.composed_loss(pairs, cfg), cfg)
 
 
+def preference_sequences(pairs: DataFrame, vocab: DataFrame, cfg: DPOConfig = DPOConfig(), pad_id: int = 1,
+                         batch: Column | None = None, seed: int = SEED) -> DataFrame:
+    """Entry 2 up to the model: (pair_id, system, question, chosen, rejected) → stacked token sequences with labels.
+
+    ``cfg.val_split`` of the pairs, an exact seeded share, are for evaluation (``is_eval``); prompts and completions
+    with ``cfg.suffix`` are encoded, padded within ``batch`` and split, stacked, joined, flushed left, cut to
+    ``cfg.max_length`` by ``cfg.truncation_mode`` and shifted."""
+    split = od.train_test_split(pairs, "pair_id", cfg.val_split, seed)
+    f = dpo_format(split, keep=("pair_id", "split"), suffix=cfg.suffix)
+    own = F.col("pair_id") if batch is None else batch
+    e = tk.encode_columns(f, {"prompt": "prompt", "chosen": "chosen", "rejected": "rejected"}, vocab)
+    e = e.withColumn("batch_id", own * 2 + (F.col("split") == "test").cast("int"))      # a batch is of one split
+    rows = sq.flush_left(sq.concat_prompt_completion(sq.stack_pairs(sq.pad_pairs(e, pad_id))))
+    if cfg.max_length is not None:
+        rows = sq.truncate_rows(rows, cfg.max_length, cfg.truncation_mode)
+    return sq.shift_labels(rows).withColumn("is_eval", F.col("batch_id") % 2 == 1)
+
+
+def preference_flow(pairs: DataFrame, vocab: DataFrame, score: Callable[[DataFrame], DataFrame], cfg: DPOConfig = DPOConfig(),
+                    batch: Column | None = None, use_weighting: bool = False, seed: int = SEED) -> DataFrame:
+    """Entry 2 end to end, from text pairs to (batch_id, metric, value); metrics of evaluation batches are
+    named ``eval_…``.
+
+    ``score`` adds student ``logits`` and teacher ``t_logits`` to rows of (batch_id, pair_id, side, row, pos, input_id,
+    label, loss_mask): a join with stored scores, or a model through ``udf.map_rows``.  Batch
+    ids are twice those of ``batch``, plus one for evaluation."""
+    rows = preference_sequences(pairs, vocab, cfg, tk.SPECIALS.index("<eos>"), batch, seed)
+    table = pf.pair_table(score(sq.token_rows(rows)), kd_temperature=cfg.kd_temperature).withColumn("is_eval", F.col("batch_id") % 2 == 1)
+    losses = pf.composed_loss(table.withColumn("aux_loss", F.lit(0.0)), cfg, use_weighting)
+    return pf.composed_metrics(losses, cfg, eval_col="is_eval")
+
+
 def reasoning_eval(spark: SparkSession, d: str, models: list, generate: Callable[..., list],
                    cfg: EvalConfig = EvalConfig(), n_items: int | None = None) -> tuple:
     """Entry 3: for every model and shot setting build GSM and ARC prompts (demos from a seeded

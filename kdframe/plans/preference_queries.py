@@ -4,27 +4,33 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..config import DPOConfig
+from ..config import SEED, DPOConfig
+from ..functions.arrays import idiv
 from ..operators import preference as pf
+from ..operators import tokens as tk
 from ..sources import fixtures as fx
+from ..sources.readers import table
+from . import flows
 from .registry import register
 from .score_queries import kl, lse, lsm
+from .sequence_queries import BATCH_SQL, concat_sql, flush_sql, keep_end_sql, pt_sql, stack_sql
+from .sqlparts import DPO_PAIRS, md5_key
 
 TOK = fx.PREF_TOKENS_SQL
 BETA = 0.1
 
 
-def _lp_sql(col="logits"):
+def _lp_sql(col="logits", tok=TOK):
     return (f"SELECT *, CASE WHEN loss_mask = 1 THEN {col}[label + 1] - {lse(col)} ELSE 0.0 END AS lp, "
-            f"CASE WHEN loss_mask = 1 THEN label ELSE 0 END AS label0 FROM ({TOK})")
+            f"CASE WHEN loss_mask = 1 THEN label ELSE 0 END AS label0 FROM ({tok})")
 
 
-def _seq_sql(col="logits", ipo=False):
+def _seq_sql(col="logits", ipo=False, tok=TOK):
     v = "sum(lp) / sum(loss_mask)" if ipo else "sum(lp)"
     return f"""
 SELECT batch_id, pair_id, max(v) FILTER (WHERE side = 'chosen') AS chosen_logps,
        max(v) FILTER (WHERE side = 'rejected') AS rejected_logps
-FROM (SELECT batch_id, pair_id, side, {v} AS v FROM ({_lp_sql(col)}) GROUP BY 1, 2, 3) GROUP BY 1, 2"""
+FROM (SELECT batch_id, pair_id, side, {v} AS v FROM ({_lp_sql(col, tok)}) GROUP BY 1, 2, 3) GROUP BY 1, 2"""
 
 
 def _dpo_cols_sql(c, r, rc, rr, beta=BETA):
@@ -34,22 +40,30 @@ def _dpo_cols_sql(c, r, rc, rr, beta=BETA):
             f"{beta} * ({c} - {rc}) - {beta} * ({r} - {rr}) AS margin")
 
 
-PAIR_DPO_SQL = f"""
+def pair_dpo_sql(tok=TOK):
+    return f"""
 SELECT s.batch_id, s.pair_id, s.chosen_logps AS chosen, s.rejected_logps AS rejected,
        {_dpo_cols_sql('s.chosen_logps', 's.rejected_logps', 't.chosen_logps', 't.rejected_logps')}
-FROM ({_seq_sql('logits')}) s JOIN ({_seq_sql('t_logits')}) t ON t.pair_id = s.pair_id"""
+FROM ({_seq_sql('logits', tok=tok)}) s JOIN ({_seq_sql('t_logits', tok=tok)}) t ON t.pair_id = s.pair_id"""
+
 
-BATCH_KD_SQL = f"""
+def batch_kd_sql(tok=TOK, example="example_id"):
+    return f"""
 SELECT batch_id, sum(kl_ex) / count(*) AS kd FROM (
-  SELECT batch_id, example_id, sum({kl('logits', 't_logits', 1.0)}) AS kl_ex FROM ({TOK}) GROUP BY 1, 2) GROUP BY 1"""
+  SELECT batch_id, {example}, sum({kl('logits', 't_logits', 1.0)}) AS kl_ex FROM ({tok}) GROUP BY 1, 2) GROUP BY 1"""
 
-MEAN_LOGITS_SQL = f"""
+
+def mean_logits_sql(tok=TOK):
+    return f"""
 SELECT batch_id, max(v) FILTER (WHERE side = 'chosen') AS mean_chosen_logits,
        max(v) FILTER (WHERE side = 'rejected') AS mean_rejected_logits
-FROM (SELECT batch_id, side, sum(list_sum(logits)) / sum(len(logits)) AS v FROM ({TOK}) WHERE loss_mask = 1 GROUP BY 1, 2)
+FROM (SELECT batch_id, side, sum(list_sum(logits)) / sum(len(logits)) AS v FROM ({tok}) WHERE loss_mask = 1 GROUP BY 1, 2)
 GROUP BY 1"""
 
 
+PAIR_DPO_SQL, BATCH_KD_SQL, MEAN_LOGITS_SQL = pair_dpo_sql(), batch_kd_sql(), mean_logits_sql()
+
+
 def r6(x):
     return f"round({x}, 6)"
 
@@ -197,3 +211,34 @@ def q_mean_masked_logits(spark, d):
     m = pf.mean_masked_logits(_tokens(spark, d))
     return m.select("batch_id", _r("mean_chosen_logits").alias("mean_chosen_logits"),
                     _r("mean_rejected_logits").alias("mean_rejected_logits"))
+
+
+FLOW_IDS, FLOW_LENGTH = 64, 48       # size of the vocabulary, tokens kept of a sequence
+FLOW = DPOConfig(max_length=FLOW_LENGTH, val_split=0.05)
+FLOW_SPLIT = f"""
+SELECT *, row_number() OVER (ORDER BY {md5_key(SEED, 'pair_id')}, pair_id) - 1 < (SELECT ceil(0.05 * count(*)) FROM ({DPO_PAIRS})) AS is_test
+FROM ({DPO_PAIRS})"""
+FLOW_ROWS = flush_sql(concat_sql(stack_sql(pt_sql(FLOW_SPLIT, FLOW_IDS, f"({BATCH_SQL}) * 2 + CAST(f.is_test AS INTEGER)"))))
+FLOW_TOK = f"""
+SELECT batch_id, pair_id, side, row, unnest(range(len(ids))) AS pos, unnest(ids) AS input_id,
+       unnest(list_concat(ids[2:], ids[1:1])) AS label, unnest(list_concat(lm[2:], lm[1:1])) AS loss_mask
+FROM (SELECT batch_id, pair_id, side, row, {keep_end_sql('input_ids', FLOW_LENGTH)} AS ids, {keep_end_sql('loss_mask', FLOW_LENGTH)} AS lm FROM ({FLOW_ROWS}))"""
+FLOW_METRICS = {"rewards/chosen": "m.a1", "rewards/rejected": "m.a2", "rewards/accuracies": "m.a3", "rewards/margins": "m.a4", "logps/chosen": "m.a5",
+                "logps/rejected": "m.a6", "logits/chosen": "l.mean_chosen_logits", "logits/rejected": "l.mean_rejected_logits", "logits/kd": "k.kd",
+                "loss": "m.a7 + 0.001 * k.kd"}
+
+
+@register("preference_flow", f"""
+WITH tok AS MATERIALIZED ({fx.id_scores_sql(FLOW_TOK, FLOW_IDS)}),
+m AS (SELECT batch_id, avg(chosen_reward) AS a1, avg(rejected_reward) AS a2, avg(CAST(chosen_reward > rejected_reward AS DOUBLE)) AS a3,
+             avg(margin) AS a4, avg(chosen) AS a5, avg(rejected) AS a6, avg(loss) AS a7 FROM ({pair_dpo_sql('SELECT * FROM tok')}) GROUP BY 1)
+SELECT batch_id, CASE WHEN batch_id % 2 = 1 THEN 'eval_' ELSE '' END || x.metric AS metric, round(x.value, 6) AS value FROM (
+  SELECT m.batch_id, unnest([{', '.join(f"{{'metric': '{n}', 'value': {v}}}" for n, v in FLOW_METRICS.items())}]) AS x
+  FROM m JOIN ({batch_kd_sql('SELECT * FROM tok', 'row')}) k ON k.batch_id = m.batch_id
+  LEFT JOIN ({mean_logits_sql('SELECT * FROM tok')}) l ON l.batch_id = m.batch_id)""")
+def q_preference_flow(spark, d):
+    """Text pairs to metrics: split, format, encode, pad, stack, join, flush, truncate, shift, log-probs, loss."""
+    vocab = tk.fit_vocab(table(spark, d, "documents"), "text", FLOW_IDS)
+    batch = idiv("pair_id", fx.CONVS_PER_BATCH * fx.PAIR_STRIDE)
+    m = flows.preference_flow(fx.dpo_pairs(spark, d), vocab, lambda t: fx.id_scores(t, FLOW_IDS), FLOW, batch)
+    return m.select("batch_id", "metric", _r("value").alias("value"))
