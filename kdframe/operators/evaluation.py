@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from ..config import SHOTS, STOP_SEQS
-from ..functions.text import (extract_last_integer, format_choices, predict_choice, py_strip, truncate_at_stop,
-                              zero_shot_prompt)
+from ..functions.text import (extract_choice_letter, extract_last_integer, format_choices, match_choice_by_text, py_strip,
+                              truncate_at_stop, zero_shot_prompt)
 from .ordering import sample_n
 from ..sources.readers import literal_table
 
@@ -134,14 +134,18 @@ def score_gsm(gens: DataFrame, items: DataFrame, clean: bool = True) -> DataFram
 
 
 def score_arc(gens: DataFrame, items: DataFrame, clean: bool = True) -> DataFrame:
-    """pred = letter or text match; correct iff both exist and pred == key."""
-    g0 = truncate_at_stop("generation") if clean else F.col("generation")
-    j = gens.withColumn("_gen", g0).join(items.select("item_id", "question", "choices", "answerKey"), "item_id", "inner")
-    g = F.col("_gen")
-    pred = predict_choice(g, F.col("choices.text"))
-    return j.select("model", "dataset", "shot", "item_id", "question", F.col("choices.text").alias("choices"),
-                    F.col("answerKey").alias("gold"), pred.alias("pred"),
-                    F.coalesce(pred == F.col("answerKey"), F.lit(False)).alias("correct"), g.alias("generation"))
+    """pred = letter or text match; correct iff both exist and pred == key.
+
+    The letter is extracted before the join, and only a generation without one takes its text along
+    for the match; a query that wants no texts moves no others."""
+    g = truncate_at_stop("generation") if clean else F.col("generation")
+    left = gens.select("model", "dataset", "shot", "item_id", g.alias("generation")).withColumn("_letter", extract_choice_letter("generation"))
+    left = left.withColumn("_open", F.when(F.col("_letter").isNull(), F.col("generation")))
+    j = left.join(items.select("item_id", "question", "choices", "answerKey"), "item_id", "inner")
+    pred = F.coalesce("_letter", match_choice_by_text("_open", F.col("choices.text")))
+    return j.withColumn("pred", pred).select(
+        "model", "dataset", "shot", "item_id", "question", F.col("choices.text").alias("choices"), F.col("answerKey").alias("gold"), "pred",
+        F.coalesce(F.col("pred") == F.col("answerKey"), F.lit(False)).alias("correct"), "generation")
 
 
 def accuracy_summary(scored: DataFrame, grid: DataFrame) -> DataFrame:
