@@ -149,3 +149,12 @@ def write_bucketed(df: DataFrame, table_name: str, buckets: int, keys=("example_
     writer = (df.repartition(buckets, *keys).write.mode("overwrite").bucketBy(buckets, *keys).sortBy(*keys).format("parquet"))
     (writer.option("path", path) if path else writer).saveAsTable(table_name)
     return df.sparkSession.table(table_name)
+
+
+def store_scores(student: DataFrame, teacher: DataFrame, labels: DataFrame, name: str, buckets: int, path: str | None = None) -> tuple:
+    """Student scores, teacher scores and next labels as tables bucketed alike: (student, teacher, following).
+
+    ``align_scores`` of the first two and ``kd_and_ce`` with the third then join without any exchange."""
+    at = lambda part: f"{path.rstrip('/')}/{part}" if path else None
+    return tuple(write_bucketed(df, f"{name}_{part}", buckets, path=at(part))
+                 for part, df in (("student", student), ("teacher", teacher), ("following", next_labels(labels))))

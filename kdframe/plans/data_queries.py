@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import ordering as od
+from ..session import ensure_checkpoint_dir
 from ..sources import fixtures as fx
-from ..sources.readers import read_dataset, read_with_fallback, table
+from ..sources.readers import read_choices, read_dataset, read_with_fallback, table
+from ..sources.sinks import CSV_OPTIONS
 from .registry import register
 from .sqlparts import SHAREGPT, md5_key
 
@@ -19,6 +23,40 @@ def q_read_dataset(spark, d):
     return read_dataset(spark, f"{d}/conversations.parquet", "parquet", schema)
 
 
+def _written_as(spark, d, df, fmt, **options):
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{fmt}-{uuid.uuid4().hex}"
+    df.write.options(**options).format(fmt).save(path)
+    return path
+
+
+CONV_SQL = "SELECT conv_id, turn, role, text FROM conversations"
+CONV_SCHEMA = "conv_id BIGINT, turn BIGINT, role STRING, text STRING"
+
+
+@register("read_dataset_json", CONV_SQL)
+def q_read_dataset_json(spark, d):
+    """The conversations written as JSON lines and read back."""
+    return read_dataset(spark, _written_as(spark, d, q_read_dataset(spark, d), "json"), "json", CONV_SCHEMA)
+
+
+@register("read_dataset_csv", CONV_SQL)
+def q_read_dataset_csv(spark, d):
+    """The conversations, line breaks included, written as CSV and read back."""
+    path = _written_as(spark, d, q_read_dataset(spark, d), "csv", **CSV_OPTIONS)
+    return read_dataset(spark, path, "csv", CONV_SCHEMA, multiLine=True)
+
+
+@register("read_choices", f"""
+SELECT item_id, question, answerKey, array_to_string(choices.text, '|') AS texts, array_to_string(choices.label, '') AS labels FROM ({fx.ARC_SQL})""")
+def q_read_choices(spark, d):
+    """Items as JSON lines, every third with its choices as a bare list, read into one shape."""
+    items = fx.arc_items(spark, d)
+    one, other = items.where("item_id % 3 = 0").withColumn("choices", F.col("choices.text")), items.where("item_id % 3 <> 0")
+    lines = one.select(F.to_json(F.struct("*")).alias("value")).unionByName(other.select(F.to_json(F.struct("*")).alias("value")))
+    read = read_choices(spark, _written_as(spark, d, lines, "text"))
+    return read.select("item_id", "question", "answerKey", F.array_join("choices.text", "|").alias("texts"), F.array_join("choices.label", "").alias("labels"))
+
+
 @register("split_slice", """
 SELECT doc_id, idx, n_chars FROM (
   SELECT doc_id, n_chars, row_number() OVER (ORDER BY doc_id) - 1 AS idx FROM documents)

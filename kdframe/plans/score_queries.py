@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import scores as sc
@@ -9,6 +11,7 @@ from ..functions.arrays import idiv
 from ..operators import distill as ds
 from ..operators import hidden as hd
 from ..sources import fixtures as fx
+from ..session import ensure_checkpoint_dir
 from ..sources.readers import table
 from .registry import register
 
@@ -118,14 +121,29 @@ def q_kl_row(spark, d):
     return _pairs(spark, d).select("example_id", "pos", _r(sc.kl_row("s", "t", 2.0)).alias("kl"))
 
 
-@register("kd_loss_logits", f"""
+KD_LOGITS_SQL = f"""
 SELECT k.batch_id, {r6('k.kd')} AS kd, {r6('c.ce')} AS ce, {r6('0.5 * k.kd + 0.5 * c.ce')} AS loss
-FROM ({kd_sql(PADDED, 2.0, 1.0 / 4096)}) k LEFT JOIN ({CE60_SQL}) c ON c.batch_id = k.batch_id""")
+FROM ({kd_sql(PADDED, 2.0, 1.0 / 4096)}) k LEFT JOIN ({CE60_SQL}) c ON c.batch_id = k.batch_id"""
+
+
+@register("kd_loss_logits", KD_LOGITS_SQL)
 def q_kd_loss_logits(spark, d):
     out = ds.kd_loss_logits(_pairs(spark, d, CUT), None, 2.0, 0.5, 4096, following=ds.next_labels(fx.labels_tok(spark, d)))
     return out.select("batch_id", _r("kd").alias("kd"), _r("ce").alias("ce"), _r("loss").alias("loss"))
 
 
+@register("kd_loss_stored", KD_LOGITS_SQL)
+def q_kd_loss_stored(spark, d):
+    """Scores and labels stored bucketed by (example, position) and read back: the losses join them as they lie."""
+    name = f"scores_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    s, t, following = ds.store_scores(fx.student_logits(spark, d, CUT), fx.teacher_logits(spark, d), fx.labels_tok(spark, d), name, buckets,
+                                      f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}")
+    pairs = ds.align_scores(s, t).withColumn("batch_id", idiv("example_id", BATCH))
+    out = ds.kd_loss_logits(pairs, None, 2.0, 0.5, 4096, following=following)
+    return out.select("batch_id", _r("kd").alias("kd"), _r("ce").alias("ce"), _r("loss").alias("loss"))
+
+
 @register("kd_loss_plain", f"""
 SELECT k.batch_id, {r6('k.kd')} AS kd, {r6('0.5 * k.kd + 0.5 * c.ce')} AS loss, {r6('0.5 * k.kd')} AS loss_no_ce
 FROM ({kd_sql(PADDED, 2.0)}) k LEFT JOIN ({CE60_SQL}) c ON c.batch_id = k.batch_id""")

@@ -151,7 +151,8 @@ def generations(spark: SparkSession, d: str, items: DataFrame, dataset: str) ->
     # the grid is narrow but expands items 6x and is then joined to whole texts that are scanned
     # by regexes; spread it over the cores so a small item table (which AQE coalesces to one
     # partition) does not leave all text work to one task
-    grid = grid.repartition(spark.sparkContext.defaultParallelism)     # round-robin: no hot partition
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    grid = grid.repartition(parts)     # round-robin: no hot partition
     j = grid.join(docs, "doc_id", "left")
     lead = F.concat(F.lit("The answer is ("), F.expr("chr(65 + cast(item_id % 4 as int))"), F.lit("). "))
     kind = (F.col("item_id") + F.col("n_shot") + F.col("m_idx")) % 7
