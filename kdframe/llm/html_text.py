@@ -2,7 +2,10 @@
 
 A page is read into a tree of its block elements (inline markup adds to the text of its block).
 Each block has features of its own and of its subtree, ancestors and siblings; boosted trees
-give its log-odds of being main text.  Decoding picks the best consistent labelling: a block is
+give its log-odds of being main text.  Class names, ids and roles are read name by name: a name made of a listed word
+and words of structure names a part of the surroundings, one with other words may do so, and one that tells
+what a page has (``has-sidebar``, ``content-with-ads``, ``comments-open``) does not.  No name decides by itself: how
+much of the page's text lies below a named element counts as well.  Decoding picks the best consistent labelling: a block is
 outside, inside or cut; below an inside block there is inside or cut, below a cut block only
 cut.  So no paragraph of a dropped comment section survives, and an advert inside an article
 goes as a whole.
@@ -18,6 +21,7 @@ import html
 import math
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,12 +33,12 @@ from . import boost
 from .common import hash_sample
 
 #: Pages in the sample the trees are fitted on; layouts made of each.
-SAMPLE, LAYOUTS = 200, 3
+SAMPLE, LAYOUTS = 200, 6
 SEED = 7
 
 #: Element names by their role in HTML.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = set("script style template noscript svg iframe object canvas title math".split())
+RAW = set("script style template noscript svg iframe object canvas title annotation annotation-xml".split())
 BLOCK = set("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption "
             "figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup html label legend li main menu nav ol optgroup option p pre "
             "section select summary table tbody td textarea tfoot th thead tr ul".split())
@@ -53,6 +57,11 @@ BAD_WORDS = set("ad ads advert adverts advertisement advertising adsense sponsor
                 "comment comments commentlist reply replies respond disqus discussion feedback reviews search form contentinfo "
                 "complementary dialog skip hidden tags tagcloud".split())
 GOOD_WORDS = set("article content post entry story main body text prose page blog news".split())
+#: Words beside a listed one that leave its name what it is, and words that make the name tell what a page has.
+PLAIN_WORDS = set("site top left right primary secondary inner outer wrap wrapper container area box section block list item items link links "
+                  "button buttons bar posts count title heading group row col column form field fields info meta panel global local mobile "
+                  "desktop unit slot header1 footer1 reader user form1 thread".split()) | GOOD_WORDS
+HAS_WORDS = set("has with without no not is are open opened closed enabled disabled active".split())
 #: Elements that a start tag of the key's kind closes when they are open.
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
            "option": {"option"}, "tbody": {"tr", "td", "th", "thead"}, "body": set(), "html": set()}
@@ -67,13 +76,13 @@ class Page:
     ``(node, text)`` in page order."""
 
     def __init__(self, source: str | None):
-        self.parent, self.tag, self.bad, self.good, self.mark = [-1], ["html"], [0], [0], [None]
+        self.parent, self.tag, self.bad, self.weak, self.good, self.mark = [-1], ["html"], [0], [0], [0], [None]
         self.own, self.linked, self.stops = [0], [0], [0]
         self.pieces: list[tuple[int, str]] = []
         self._read(source or "")
 
     def _open(self, at: int, tag: str, attrs: str) -> int:
-        bad = good = 0
+        bad = weak = good = 0
         mark = None
         if attrs:
             for m in _ATTR.finditer(attrs):
@@ -85,12 +94,17 @@ class Page:
                 elif name == "hidden":
                     bad += 1
                 else:
-                    words = _SPLIT.findall(_CAMEL.sub("-", value).lower())
-                    bad += sum(w in BAD_WORDS for w in words)
-                    good += sum(w in GOOD_WORDS for w in words)
+                    for whole in value.split():
+                        words = _SPLIT.findall(_CAMEL.sub("-", whole).lower())
+                        if not any(w in BAD_WORDS for w in words):
+                            good += any(w in GOOD_WORDS for w in words)
+                        elif not any(w in HAS_WORDS for w in words):
+                            sure = all(w in BAD_WORDS or w in PLAIN_WORDS for w in words)
+                            bad, weak = bad + sure, weak + (not sure)
         self.parent.append(at)
         self.tag.append(tag)
         self.bad.append(bad)
+        self.weak.append(weak)
         self.good.append(good)
         self.mark.append(mark)
         self.own.append(0)
@@ -159,19 +173,25 @@ class Page:
         n = len(self.tag)
         parent, tag = self.parent, self.tag
         sub, link, size, stops = list(self.own), list(self.linked), [1] * n, list(self.stops)
-        kids = [0] * n
+        kids, full = [0] * n, [int(o > 0) for o in self.own]
+        tiny = [int(0 < o < 40) for o in self.own]
+        under: list[list[str]] = [[] for _ in range(n)]
         for i in range(n - 1, 0, -1):
             p = parent[i]
-            sub[p] += sub[i]
-            link[p] += link[i]
-            size[p] += size[i]
-            stops[p] += stops[i]
+            for x in (sub, link, size, stops, full, tiny):
+                x[p] += x[i]
             kids[p] += 1
+            under[p].append(tag[i])
+        # of each element with several parts, how many of its siblings are made of the same parts
+        shape = [(parent[i], tag[i], *sorted(set(under[i]))) for i in range(n)]
+        alike = Counter(shape[i] for i in range(1, n) if kids[i] > 1)
         place, seen = [0] * n, [0] * n
         same: dict[tuple[int, str], int] = {}
-        depth, bad_above, good_above = [0] * n, [0] * n, [0] * n
+        depth, bad_above, good_above, weak_above, records = [0] * n, [0] * n, [0] * n, [0] * n, [0] * n
+        named, hinted = [-1.0] * n, [-1.0] * n
         before = 0
         ahead = [0] * n
+        total = max(1, sub[0])
         for i in range(n):
             ahead[i] = before
             before += self.own[i]
@@ -180,11 +200,15 @@ class Page:
             p = parent[i]
             depth[i] = depth[p] + 1
             bad_above[i] = bad_above[p] + (self.bad[p] > 0) + (tag[p] in APART)
+            weak_above[i] = weak_above[p] + (self.weak[p] > 0)
             good_above[i] = good_above[p] + (self.good[p] > 0) + (tag[p] in CENTRAL)
+            # share of the page's text below the least named element that has the block
+            named[i] = sub[i] / total if self.bad[i] or tag[i] in APART else named[p]
+            hinted[i] = sub[i] / total if self.weak[i] else hinted[p]
+            records[i] = max(records[p], alike[shape[i]] if kids[i] > 1 else 0)
             place[i] = seen[p]
             seen[p] += 1
             same[p, tag[i]] = same.get((p, tag[i]), 0) + 1
-        total = max(1, sub[0])
         rows = []
         for i in range(n):
             p = max(parent[i], 0)
@@ -194,7 +218,8 @@ class Page:
                 depth[i], math.log1p(self.own[i]), math.log1p(s), link[i] / s if s else 0.0, math.log1p(s / size[i]), s / total,
                 kids[i], kids[p], place[i] / max(1, kids[p]), same.get((p, t), 1) / max(1, kids[p]), self.bad[i], self.good[i],
                 bad_above[i], good_above[i], t in HEADING, t in PROSE, t in ITEM, t in LIST, t in TABLE, t in APART, t in CENTRAL,
-                ahead[i] / total, stops[i] / (s + 1), link[p] / sub[p] if sub[p] else 0.0))
+                ahead[i] / total, stops[i] / (s + 1), link[p] / sub[p] if sub[p] else 0.0, self.weak[i], weak_above[i], named[i], hinted[i],
+                records[i], tiny[i] / max(1, full[i]), tiny[p] / max(1, full[p]), sub[p] / total, stops[p] / (sub[p] + 1)))
         return np.array(rows, dtype=np.float64)
 
     def decode(self, odds: list[float]) -> list[bool]:
@@ -262,6 +287,25 @@ def _layout(rng: random.Random, main: list[str], other: list[str], rest: list[st
         return "".join(f'<p data-llm="{mark}">{e(t)}</p>' for t in texts)
 
     short = lambda tag: f'<{tag} data-llm="0">{few(3, 25)}</{tag}>'
+
+    def thread() -> str:
+        """What readers wrote, without any telling name: a name, a date, a text, a link, again and again."""
+        who, outer = rng.choice(["p", "div", "h4", "span"]), rng.choice(["div", "li", "section", "article"])
+        reply = rng.choice(["", '<div data-llm="0"><a href="#r">{}</a></div>', '<a href="#r">{}</a>'])
+        records = []
+        for _ in range(rng.randint(1, 6)):
+            text = rng.choice([f'<p data-llm="0">{few(4, 60)}</p>', prose(rng.randint(1, 2), 0), f'<div data-llm="0">{few(10, 60)}</div>'])
+            records.append(f'<{outer} data-llm="0"><{who} data-llm="0">{few(1, 4)}</{who}>{text}{reply.format(few(1, 1))}</{outer}>')
+        inner = "".join(records)
+        inner = f'<ul data-llm="0">{inner}</ul>' if outer == "li" else inner
+        return el(rng.choice(["section", "div"]), ["", "", "lower", "talk", "below"], rng.choice([f'<h3 data-llm="0">{few(1, 4)}</h3>', ""]) + inner)
+
+    def misleading() -> str:
+        """A name with a listed word that says nothing of its element."""
+        word, own = rng.choice(sorted(BAD_WORDS)), rng.choice(["analysis", "history", "builder", "theory", "elementor", "guide", "studies", "lab", "wiki", "grid"])
+        good = rng.choice(sorted(GOOD_WORDS))
+        return rng.choice([f"{good}-with-{word}", f"has-{word}", f"{good} {word}-open", f"layout has-{word}", f"no-{word} {good}", f"{word}-{own}",
+                           f"{own}-{word}-container", f"{own}-{word}", f"{word} {good}", f"{word}-container {good}-{own}"])
     around = [
         lambda: el("nav", ["", "main-nav", "menu", "breadcrumb"], f'<ul data-llm="0">{links()}</ul>'),
         lambda: el("div", ["menu", "navbar", "top-navigation", "breadcrumbs"], f'<ul data-llm="0">{links()}</ul>'),
@@ -277,9 +321,12 @@ def _layout(rng: random.Random, main: list[str], other: list[str], rest: list[st
         lambda: el(rng.choice(["section", "div", "ol"]), ["comments", "comment-list", "reader-comments", "discussion", "replies"],
                    f'<h3 data-llm="0">{few(1, 4)}</h3>' + "".join(el("div", ["comment", "comment-body", "reply", ""], prose(rng.randint(1, 2), 0)) for _ in range(rng.randint(1, 5)))),
         lambda: el("div", ["share", "social-links", "tags", "follow"], links("span")),
+        thread,
+        thread,
     ]
     body = list(main)
-    blocks = [f'<{rng.choice(["h1", "h1", "h2"])} data-llm="1">{e(body[0])}</{"h1"}>'] if len(body) > 1 and len(body[0]) < 200 else [f'<p data-llm="1">{e(body[0])}</p>']
+    first = body[0] if rng.random() < 0.5 else " ".join(body[0].split()[:rng.randint(1, 4)])
+    blocks = [f'<{rng.choice(["h1", "h1", "h2"])} data-llm="1">{e(first)}</{"h1"}>'] if len(body) > 1 and len(body[0]) < 200 else [f'<p data-llm="1">{e(body[0])}</p>']
     for text in body[1:]:
         kind = rng.random()
         if kind < 0.06:
@@ -287,7 +334,7 @@ def _layout(rng: random.Random, main: list[str], other: list[str], rest: list[st
         elif kind < 0.10:
             blocks.append(f'<blockquote data-llm="1"><p data-llm="1">{e(text)}</p></blockquote>')
         elif kind < 0.14:
-            blocks.append(f'<h2 data-llm="1">{e(" ".join(text.split()[:5]))}</h2><p data-llm="1">{e(text)}</p>')
+            blocks.append(f'<h2 data-llm="1">{e(" ".join(text.split()[:rng.randint(1, 5)]))}</h2><p data-llm="1">{e(text)}</p>')
         else:
             blocks.append(f'<p data-llm="1">{e(text)}</p>')
     if rng.random() < 0.4:
@@ -296,13 +343,22 @@ def _layout(rng: random.Random, main: list[str], other: list[str], rest: list[st
         blocks.append(rng.choice(around)())
     tag, names = rng.choice([("article", ["", "post", "story"]), ("article", [""]), ("main", ["", "content"]), ("div", ["content", "main", "post-body", "entry-content", "article-text", "story"]),
                              ("section", ["", "article", "content"]), ("div", [""])])
+    if len(blocks) > 4 and rng.random() < 0.12:  # an article of sections alike
+        step = rng.randint(2, 3)
+        blocks = blocks[:1] + [f'<section data-llm="1">{"".join(blocks[i:i + step])}</section>' for i in range(1, len(blocks), step)]
+    if rng.random() < 0.3:
+        names = [misleading()]
     inner = el(tag, names, "".join(blocks), 1)
     for _ in range(rng.choice([0, 0, 1, 2])):
         side = rng.choice(around)() if rng.random() < 0.5 else ""
-        inner = f'<div data-llm="0"{rng.choice(["", " class=wrapper", " id=page"])}>{inner}{side}</div>'
+        name = misleading() if rng.random() < 0.25 else rng.choice(["", "wrapper", "page"])
+        inner = f'<div data-llm="0" class="{name}">{inner}{side}</div>'
     top = "".join(rng.choice(around)() for _ in range(rng.randint(0, 4)))
     end = "".join(rng.choice(around)() for _ in range(rng.randint(0, 4)))
-    return f"<html><body>{top}{inner}{end}</body></html>"
+    page = f"{top}{inner}{end}"
+    if rng.random() < 0.08:  # some kits put a form round everything
+        page = f'<form data-llm="0" id="{rng.choice(["form1", "aspnetForm", "frm"])}">{page}</form>'
+    return f"<html><body>{page}</body></html>"
 
 
 def fit(pages: DataFrame, sample: int = SAMPLE, html_col: str = "html") -> tuple:

@@ -124,3 +124,62 @@ def test_long_pages(spark, monkeypatch):
     model = H.fit(pages)
     assert set(seen) == set(range(40, 60))  # every block of a sampled page is set
     assert run(spark, model, [page]) == [" ".join(article)]
+
+
+A = "<h1>Flood</h1>" + "".join(f"<p>{p}</p>" for p in P) + f"<p>{LONG}</p>"
+TEXT = "Flood " + " ".join([*P, LONG])
+LIST = "<ul>" + "".join(f'<li><a href="/{i}">Item {i}</a></li>' for i in range(7)) + "</ul>"
+TALK = "".join(f"<div><p>{n}, {d} May</p><p>{t}</p><a href='#'>Reply</a></div>" for n, d, t in
+               [("Ann", 3, "That is not how I remember it, to be honest."), ("Bo", 4, "Thanks for writing this up, it was long overdue."),
+                ("Cy", 4, "I was there. The water came from the other side, and nobody was told."), ("Di", 9, "Agreed.")])
+#: Written by hand; the article of each is A.
+LAYOUTS = {
+    "main with a telling name": f'<nav>{LIST}</nav><main class="content-with-sidebar">{A}</main><footer>&copy; 2020 Daily Paper</footer>',
+    "comments open": f'<header><h2>Daily Paper</h2>{LIST}</header><article class="post comments-open">{A}</article><footer><p>&copy; 2020</p></footer>',
+    "layout has": f'<div class="layout has-sidebar"><div>{A}</div><aside>{LIST}</aside></div><footer>&copy; 2020 Daily Paper</footer>',
+    "builder": f'<div class="elementor-widget-container">{A}</div><footer class="elementor-footer"><p>&copy; 2020 Daily Paper</p></footer>',
+    "history": f'<nav>{LIST}</nav><div class="social-history">{A}</div><footer>&copy; 2020 Daily Paper</footer>',
+    "analysis": f'<header>{LIST}</header><section id="legal-analysis">{A}</section><footer>&copy; 2020 Daily Paper</footer>',
+    "form round the page": f'<form id="aspnetForm" action="/x"><div class="menu">{LIST}</div><div id="content">{A}</div><div class="footer">&copy; 2020</div></form>',
+    "plain div": f"<div>{LIST}</div><div>{A}</div><div>&copy; 2020 Daily Paper</div>",
+    "table": f'<table><tr><td>{LIST}</td><td>{A}</td></tr></table><table><tr><td>&copy; 2020 Daily Paper</td></tr></table>',
+    "no sidebar": f'<body class="no-sidebar"><div id="top-nav">{LIST}</div><div class="no-sidebar entry">{A}</div><div id="footer"><p>All rights reserved.</p></div>',
+    "comments without a name": f"<nav>{LIST}</nav><article>{A}</article><section><h3>4 comments</h3>{TALK}</section><footer>&copy; 2020</footer>",
+    "comments in a div": f'<div class="menu">{LIST}</div><main>{A}</main><div><h3>Discussion</h3>{TALK}</div>',
+    "named comments": f'<article>{A}</article><div id="comments">{TALK}</div><footer>&copy; 2020</footer>',
+    "sections": f"<nav>{LIST}</nav><main><h1>Flood</h1>" + "".join(f"<section><p>{p}</p></section>" for p in [*P, LONG]) + "</main><footer>&copy; 2020</footer>",
+    "advert inside": f'<nav>{LIST}</nav><article><h1>Flood</h1><p>{P[0]}</p><p>{P[1]}</p><div class="ad">Buy two boats, pay one.</div><p>{P[2]}</p><p>{LONG}</p></article>',
+    "cookie notice": f'<div class="cookie-notice"><p>We use cookies to give you the best experience, as you would expect.</p><button>OK</button></div><main>{A}</main>',
+    "related": f'<article>{A}</article><div class="related-posts"><h3>Read next</h3>{LIST}</div><footer><p>&copy; 2020 Daily Paper</p></footer>',
+    "newsletter": f'<header class="site-header">{LIST}</header><div class="story">{A}</div><form class="newsletter"><label>Mail</label><p>Get our letter every week.</p><button>Go</button></form>',
+    "rail": f'<div id="page"><div class="right-rail"><h3>Popular</h3>{LIST}</div><div class="post-body">{A}</div></div><div class="copyright">&copy; 2020 Daily Paper</div>',
+    "deep": f'<div><div><div><div class="search-engine-guide"><div>{A}</div></div></div><div class="sidebar">{LIST}</div></div></div><footer>&copy; 2020</footer>',
+    "with ads": f'<nav>{LIST}</nav><div class="article-with-ads"><div>{A}</div></div><footer>&copy; 2020 Daily Paper</footer>',
+    "notice theory": f'<nav>{LIST}</nav><div id="comment-theory" class="is-open">{A}</div><footer>&copy; 2020 Daily Paper</footer>',
+}
+
+
+def share_right(got, want):
+    """Twice the characters in common runs over all characters."""
+    import difflib
+    same = sum(b.size for b in difflib.SequenceMatcher(None, got.split(), want.split(), autojunk=False).get_matching_blocks())
+    return 2 * same / max(1, len(got.split()) + len(want.split()))
+
+
+def test_layouts_written_by_hand(spark, model):
+    pages = [f"<html><body>{x}</body></html>" for x in LAYOUTS.values()]
+    scores = {name: share_right(got, TEXT) for name, got in zip(LAYOUTS, run(spark, model, pages))}
+    assert min(scores.values()) >= 0.95, sorted(scores.items(), key=lambda x: x[1])[:6]
+
+
+def test_formulas_are_text(spark, model):
+    page = f"<nav>{LIST}</nav><article><h1>Flood</h1><p>{P[0]}</p><p>So <math><mi>a</mi><mo>=</mo><mn>2</mn><annotation>a=2</annotation></math> holds, as was said.</p><p>{P[1]}</p></article>"
+    assert run(spark, model, [page]) == [f"Flood {P[0]} So a=2 holds, as was said. {P[1]}"]
+
+
+def test_names():
+    kinds = lambda names: (lambda p: (p.bad[1], p.weak[1], p.good[1]))(H.Page(f'<div class="{names}">x</div>'))
+    assert kinds("sidebar") == kinds("page-footer") == kinds("commentBody") == (1, 0, 0)
+    assert kinds("has-sidebar") == kinds("content-with-sidebar") == kinds("comments-open") == (0, 0, 0)
+    assert kinds("legal-analysis") == kinds("elementor-widget-container") == (0, 1, 0)
+    assert kinds("post-content ads") == (1, 0, 1)
