@@ -9,6 +9,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from ..operators import evaluation as ev
 from ..operators import fit as ft
+from ..operators import fit_sharded as fs
 from ..operators import ordering as od
 from ..operators.patterns import pattern_flag
 from ..operators.udf import map_rows
@@ -92,6 +93,14 @@ def q_distil_linear(spark, d):
     return hist.withColumn("loss", F.round("loss", 6))
 
 
+@register("distil_linear_sharded", fit_sql(5))
+def q_distil_linear_sharded(spark, d):
+    """Five steps with weights in blocks of three classes and rows in blocks of 300."""
+    _, hist = fs.distil_linear_sharded(fx.linear_task(spark, d), "features", "teacher_logits", "label", 2.0, 0.5, 5, 0.5,
+                                       class_block=3, row_block=300)
+    return hist.withColumn("loss", F.round("loss", 6))
+
+
 CENT_SQL = """
 SELECT label, list(m ORDER BY j) AS c FROM (
   SELECT label, j, avg(CAST(v AS DOUBLE)) AS m FROM (

@@ -12,6 +12,7 @@ from kdframe.functions import arrays as ar
 from kdframe.operators import distill as ds
 from kdframe.operators import evaluation as ev
 from kdframe.operators import fit as ft
+from kdframe.operators import fit_sharded as fs
 from kdframe.operators import hidden as hd
 from kdframe.operators import ordering as od
 from kdframe.operators import patterns as pt
@@ -292,3 +293,21 @@ def test_fits_of_an_empty_table(spark):
         summary, hist = run(empty, (ft.StudentSpec("a", (0,)), ft.StudentSpec("b", (1,))), iters=2)
         assert [(r.student, r.final_loss, r.train_accuracy) for r in summary.orderBy("stage").collect()] == [("a", None, None), ("b", None, None)]
         assert hist.collect() == []
+
+
+@pytest.mark.parametrize("class_block,row_block", [(2, 7), (1, 1000), (100, 3)])
+def test_sharded_weights_take_the_same_steps(spark, class_block, row_block):
+    task = _task(spark, n=40, k=5, d=3).repartition(3)
+    weights, hist = ft.distil_linear(task, "features", "teacher_logits", "label", iters=3)
+    table, sharded = fs.distil_linear_sharded(task, "features", "teacher_logits", "label", iters=3, class_block=class_block, row_block=row_block)
+    losses = lambda h: [r.loss for r in h.orderBy("step").collect()]
+    assert losses(sharded) == pytest.approx(losses(hist))
+    rows = table.orderBy("class").collect()
+    assert np.array([r.w for r in rows]) == pytest.approx(weights["W"]) and [r.b for r in rows] == pytest.approx(weights["b"].tolist())
+
+
+def test_sharded_fit_edges(spark):
+    weights, hist = fs.distil_linear_sharded(_task(spark).limit(0), "features", "teacher_logits", "label", iters=2)
+    assert weights.collect() == [] and hist.collect() == []
+    with pytest.raises(Exception, match="outside the classes"):
+        fs.distil_linear_sharded(_task(spark, n=3, label=7), "features", "teacher_logits", "label", iters=1)
