@@ -15,7 +15,7 @@ LLM = [k for k in entry.queries() if k.startswith("op") and k[2].isdigit()]
 
 
 def test_names():
-    assert sorted(int(k[2:].split("_")[0]) for k in LLM) == list(range(1, 11))
+    assert sorted(int(k[2:].split("_")[0]) for k in LLM) == list(range(1, 14))
     assert "pipeline" in entry.queries() and len(cp.STAGES) == 5
 
 

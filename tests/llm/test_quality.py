@@ -9,13 +9,19 @@ import pytest
 from kdframe.llm import quality as Q
 
 
+LABELS = "doc_id long, quality int, toxic int, text string"
+
+
+def units(text):
+    return np.frombuffer("".join("0" if c in "0123456789" else c for c in text).encode("utf-16-le", "surrogatepass"), "<u2").tolist()
+
+
 def plain_model(texts, order):
-    """Interpolated modified Kneser-Ney by dictionaries: probability of a symbol after a context."""
-    table = Q.symbol_table()
+    """Interpolated modified Kneser-Ney by dictionaries: probability of a unit after a context."""
     grams = Counter()
     for t in texts:
-        s = [Q.START] * (order - 1) + [int(table[min(ord(c), Q.TABLE_SIZE)]) for c in t]
-        for i in range(len(t)):
+        s = [Q.START] * (order - 1) + units(t)
+        for i in range(len(units(t))):
             grams[tuple(s[i:i + order])] += 1
     levels = {order: grams}
     for n in range(order - 1, 0, -1):
@@ -36,7 +42,7 @@ def plain_model(texts, order):
 
     def p(context, symbol):
         n = len(context) + 1
-        below = p(context[1:], symbol) if context else 1 / Q.ALPHABET
+        below = p(context[1:], symbol) if context else 1 / (len(levels[1]) + 1)
         seen = by[n].get(context)
         if not seen:
             return below
@@ -46,17 +52,43 @@ def plain_model(texts, order):
     return p
 
 
-def test_model_and_perplexity(spark, docs_of):
+@pytest.mark.parametrize("block,held", [(8192, 1 << 21), (7, 300)])
+def test_scores_against_a_plain_model(spark, docs_of, monkeypatch, block, held):
+    """Units and log-probabilities of every document, in one block and in many."""
+    monkeypatch.setattr(Q, "BLOCK", block)
+    monkeypatch.setattr(Q, "HELD", held)
     table = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     texts = [r.text[:400] for r in table.limit(25).collect()]
-    model = Q.fit(docs_of(list(enumerate(texts))).select("text"))
-    assert np.exp(model.astype(np.float64)).reshape(-1, Q.ALPHABET).sum(axis=1) == pytest.approx(1, abs=1e-4)
+    other = [texts[0][:120], "ÉTÉ: 12% !!", "zq\n\tß漢字 🙂𝔘", "Пришла весна", "ЫЫЫ", "", None]
+    labels = spark.createDataFrame([(i, 1, 0, "") for i in range(25)] + [(999, 1, 0, "")], LABELS)
+    rows = Q.scored(docs_of(list(enumerate(texts + other))), labels, ["doc_id", "lang"]).collect()
     p = plain_model(texts, Q.ORDER)
-    symbols = Q.symbol_table()
-    for text in [texts[0][:120], "ÉTÉ: 12% !!", "zq\n\tß漢"]:
-        s = [Q.START] * (Q.ORDER - 1) + [int(symbols[min(ord(c), Q.TABLE_SIZE)]) for c in text]
-        want = [math.log(p(tuple(s[i:i + Q.ORDER - 1]), s[i + Q.ORDER - 1])) for i in range(len(text))]
-        assert model[Q.grams(text, symbols)] == pytest.approx(want, abs=1e-4)
+    assert len(rows) == 32 and {r.doc_id for r in rows if r.llm_trusted} == set(range(25))
+    for r in rows:
+        s = units((texts + other)[r.doc_id] or "")
+        padded = [Q.START] * (Q.ORDER - 1) + s
+        want = -sum(math.log(p(tuple(padded[i:i + Q.ORDER - 1]), padded[i + Q.ORDER - 1])) for i in range(len(s)))
+        assert r.llm_symbols == len(s) and r.llm_nll == pytest.approx(want, rel=1e-9, abs=1e-9)
+
+
+def test_other_scripts_are_told_apart(spark, docs_of):
+    """Noise of a script with the word shapes of real text does not score like real text."""
+    import random
+    r = random.Random(1)
+    words = ["река", "ночь", "дорога", "никто", "видел", "совет", "мост", "снова", "камень", "песок", "вода", "город"]
+    real = [" ".join(r.choice(words) for _ in range(60)) for _ in range(60)]
+    noise = "".join(c if c == " " else r.choice("бвгджзклмнпрстфхцчшщъыьэюя") for c in real[0])
+    labels = spark.createDataFrame([(i, 1, 0, "") for i in range(50)], LABELS)
+    rows = {x.doc_id: x for x in Q.classify(docs_of([(i, t, "ru") for i, t in enumerate([*real, noise, "Ы" * 300])]), labels).collect()}
+    assert not rows[60].keep and not rows[61].keep and all(rows[i].keep for i in range(60))
+    assert rows[60].perplexity > 3 * rows[59].perplexity
+
+
+def test_no_table_of_the_model_is_broadcast_or_collected(spark, docs_of):
+    labels = spark.createDataFrame([(0, 1, 0, "")], LABELS)
+    plan = Q.scored(docs_of([(0, "a b"), (1, "c")]), labels, ["doc_id", "lang"])._jdf.queryExecution().optimizedPlan().toString()
+    hinted = [x for x in plan.splitlines() if "strategy=broadcast" in x]
+    assert hinted and all("Join Cross" in x for x in hinted)  # one-row sums and discounts only
 
 
 def junk(text):
@@ -78,9 +110,6 @@ def test_labelled_rows(spark):
     assert clean.columns == docs.columns and {r.doc_id for r in clean.collect()} == {i for i, k in keep.items() if k}
 
 
-LABELS = "doc_id long, quality int, toxic int, text string"
-
-
 def test_edges(spark, docs_of, words):
     rows = [(i, words(60, i), "en") for i in range(40)] + [(50, None), (51, ""), (52, words(40_000, 9), "en"), (53, words(50, 60), None),
                                                            (54, words(50, 61), "xx"), (None, words(50, 62), "en"), (1, words(60, 1), "en"), (55, "%%% ### $$$ *** " * 30, "en")]
