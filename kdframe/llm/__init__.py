@@ -1,4 +1,4 @@
-"""Training-data operators: ten corpus operators, their queries and the helpers they share.
+"""Training-data operators: thirteen corpus operators, their queries and the helpers they share.
 
 Nothing outside this subpackage imports it.  Functions that run inside Python workers are
 shipped by value, so executors need PySpark and the libraries an operator uses, not this package.

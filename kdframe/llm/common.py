@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import sys
 import tempfile
 import types
@@ -42,7 +43,25 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_dir(spark).rstrip('/')}/llm-{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.llm_path = path
+    return out
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of jobs that are over: it does so when the driver's garbage is
+    collected, which may be long after."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def drop_written(*tables: DataFrame) -> None:
+    """Deletes the files of tables of ``written`` that nothing will read again, and releases shuffle files."""
+    spark = tables[0].sparkSession
+    for t in tables:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(t.llm_path)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    release(spark)
 
 
 def hash_sample(df: DataFrame, col: str, n: int) -> DataFrame:

@@ -4,7 +4,7 @@ The model reads the characters of a text as they are, but for the digits 0 to 9,
 them are one 64-bit number).  Its tables are DataFrames, sharded by n-gram, and grow with the text they are made of; no part of
 them passes through the driver or a broadcast.
 
-Documents are dealt into blocks by a hash of their id, texts compressed, in one shuffle.  A block gives its different
+Documents are dealt into blocks by a hash of their id, texts compressed.  A block gives its different
 n-grams with their counts in trusted text; summed up by n-gram they are the model's counts.  Orders
 are worked out from the lowest up, each n-gram joined with the sums of its context and with its own end.
 The probabilities go back to the blocks that asked for them, which score their documents whole.
@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, LongType, StructField, StructType
 
-from .common import broadcast_if_small, written
+from .common import broadcast_if_small, release, written
 
 ORDER = 4
 #: The unit before a text's first (no character).
@@ -195,7 +195,8 @@ def scored(docs: DataFrame, labels: DataFrame, keep: list[str], id_col: str = "d
     ids = trusted_ids(labels).select(F.col("doc_id").cast("string").alias("llm_good"))
     good = ids.select(F.pmod(F.xxhash64("llm_good"), F.lit(blocks)).cast("int").alias("gb"), "llm_good")
     counted = rows.groupBy("llm_block").cogroup(good.groupBy("gb")).applyInArrow(_counted(), "b int, g long, n long")
-    counted = counted.repartition("g")  # once, for the sums and for the way back
+    counted = written(counted, "counted")  # read by each order and on the way back
+    release(docs.sparkSession)  # the texts moved for it
     known = counted.join(probabilities(counted), "g").select("b", "g", F.log("p").alias("logp"), F.lit(None).cast("string").alias("llm_good"))
     back = known.unionByName(good.select(F.col("gb").alias("b"), F.lit(None).cast("long").alias("g"), F.lit(None).cast("double").alias("logp"), "llm_good"))
     fields = [rows.schema[c] for c in keep]
