@@ -103,12 +103,13 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_times: int = MA
 
 def emit(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id", source_col: str = "source",
          text_col: str = "text") -> DataFrame:
-    """The mixed corpus: the columns of ``docs`` and ``copy`` (from 1), one row for each copy."""
+    """The mixed corpus: the columns of ``docs`` and ``copy`` (from 1), one row for each copy.  A column
+    of ``docs`` that is named ``copy`` gives way to it."""
     names = docs.columns
-    left = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col(id_col).alias("k1"),
+    left = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("llm_row"), F.col(id_col).alias("k1"),
                        F.col(source_col).alias("k2"), F.xxhash64(F.col(text_col)).alias("k3"))
     total = mixed.groupBy("doc_id", "source", "text_hash").agg(F.sum("copies").alias("copies")).filter("copies > 0")
     both = left.join(total, left.k1.eqNullSafe(total.doc_id) & left.k2.eqNullSafe(total.source) & (left.k3 == total.text_hash))
     once = both.withColumn("nth", F.row_number().over(Window.partitionBy("k1", "k2", "k3").orderBy("k3"))).filter("nth = 1")
-    copies = once.select("row", F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy_no"))
-    return copies.select("row.*", F.col("copy_no").alias("copy"))
+    copies = once.select("llm_row", F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("llm_copy"))
+    return copies.select(*[F.col("llm_row").getField(c).alias(c) for c in names if c != "copy"], F.col("llm_copy").alias("copy"))

@@ -67,3 +67,17 @@ def test_extra_columns_and_edges(spark, docs_of, words):
 
 def test_run(spark):
     assert cp.run(spark, SF).count() > 50
+
+
+def test_columns_named_as_the_stages_name_theirs(spark, docs_of, words):
+    """Every stage takes documents with columns of the names it uses inside, and leaves them as they are."""
+    from pyspark.sql import functions as F
+    rows = [(1, words(80, 1)), (2, words(30, 2) + " " + words(80, 1)), (3, words(90, 3)), (4, "")]
+    names = ["copy", "spans", "copies", "row", "k", "d", "n", "b", "g", "key", "target", "keep", "block"]
+    for _, f in cp.STAGES:
+        docs = docs_of(rows).drop(*names)
+        docs = docs.withColumns({c: F.concat(F.lit(f"{c} "), "doc_id") for c in names})
+        out = written(f(spark, docs, SF), "t")
+        assert set(docs.columns) <= set(out.columns) and len(out.columns) == len(set(out.columns))
+        for r in out.collect():
+            assert all(r[c] == f"{c} {r.doc_id}" for c in names if c != "copy")
