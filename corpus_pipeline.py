@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from kdframe.llm import decontam, mixing, passages, quality, simhash
-from kdframe.llm.common import read_table, written
+from kdframe.llm.common import drop_written, read_table, written
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,5 +54,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the last stage over ``documents``."""
     docs = read_table(spark, sf_dir, "documents")
     for i, (_, stage) in enumerate(STAGES):
-        docs = written(stage(spark, docs, sf_dir), f"stage{i}")
+        before, docs = docs, written(stage(spark, docs, sf_dir), f"stage{i}")
+        if i:
+            drop_written(before)
     return docs
