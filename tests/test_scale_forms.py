@@ -311,3 +311,20 @@ def test_sharded_fit_edges(spark):
     assert weights.collect() == [] and hist.collect() == []
     with pytest.raises(Exception, match="outside the classes"):
         fs.distil_linear_sharded(_task(spark, n=3, label=7), "features", "teacher_logits", "label", iters=1)
+
+
+def test_encode_keeps_tokens_in_arrow(spark):
+    """No token becomes a Python object: a worker's memory is Arrow's buffers, whatever a batch holds."""
+    vocab = spark.createDataFrame([("<unk>", 0), ("<eos>", 1), ("a", 2), ("b", 3)], "token string, id int")
+    rows = [(0, "a b zz"), (1, None), (2, ""), (3, "b"), (4, None), (5, "ß a")]
+    got = {r.k: r.input_ids for r in tk.encode(spark.createDataFrame(rows, "k int, t string").coalesce(1), "t", vocab).collect()}
+    assert got == {0: [2, 3, 0], 1: None, 2: [], 3: [3], 4: None, 5: [0, 2]}
+
+    import pyarrow as pa
+    words = pa.array([["a", "b"], None, ["zz"], []])[1:]           # a slice: offsets don't begin at 0
+    holder = type("Held", (), {"value": (["a", "b"], [2, 3])})
+    ids = tk._lookup_udf(holder, "test-arrow", 9).func(words)
+    assert isinstance(ids, pa.Array) and ids.to_pylist() == [None, [9], []]
+    twice = type("Held", (), {"value": (["a", "a"], [2, 3])})
+    with pytest.raises(ValueError):
+        tk._lookup_udf(twice, "test-arrow-twice", 9).func(words)
