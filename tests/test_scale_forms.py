@@ -328,3 +328,18 @@ def test_encode_keeps_tokens_in_arrow(spark):
     twice = type("Held", (), {"value": (["a", "a"], [2, 3])})
     with pytest.raises(ValueError):
         tk._lookup_udf(twice, "test-arrow-twice", 9).func(words)
+
+
+@pytest.mark.parametrize("batched", [True, False])
+def test_map_rows_hands_over_small_pieces(spark, batched):
+    """However large an Arrow batch is, a user's function sees at most ``batch_size`` rows, fewer where they are long."""
+    from kdframe.operators import udf
+    rows = spark.range(2500).coalesce(1).select("id", F.when(F.col("id") < 4, F.repeat(F.lit("x"), 3 << 20)).otherwise("y").alias("t"))
+
+    def sizes(x):
+        return x.assign(n=len(x))[["id", "n"]] if batched else {"id": x["id"], "n": 1}
+    got = udf.map_rows(rows, sizes, "id long, n long", batched=batched).collect()
+    assert [r.id for r in got] == list(range(2500))
+    if batched:
+        # a row of 3 MB is a piece, then come 1000, 1000 and what is left
+        assert [r.n for r in got[:4]] == [1, 1, 1, 1] and sorted({r.n for r in got}) == [1, 496, 1000]
