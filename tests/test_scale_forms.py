@@ -1,5 +1,6 @@
 """Forms built for scale against their plain counterparts, and the plans they promise."""
 
+import math
 import os
 import random
 import uuid
@@ -343,3 +344,49 @@ def test_map_rows_hands_over_small_pieces(spark, batched):
     if batched:
         # a row of 3 MB is a piece, then come 1000, 1000 and what is left
         assert [r.n for r in got[:4]] == [1, 1, 1, 1] and sorted({r.n for r in got}) == [1, 496, 1000]
+
+
+def test_generations_move_texts_only_where_shown(spark, tmpdir_path):
+    """Rows of the kinds without a text meet their document without it; copies of a document still count for every kind."""
+    from kdframe.sources import fixtures as fx
+    docs = [(i, f"text {i}\nlast {i}") for i in range(9)] + [(3, "text 3\nlast 3"), (None, "lost")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmpdir_path}/documents.parquet")
+    items = spark.createDataFrame([(i, f"answer {i}") for i in (*range(-3, 14), None)], "item_id long, answer string")
+    gens = fx.generations(spark, tmpdir_path, items, "GSM8K")
+    got = sorted(((r.model, r.shot, r.item_id, r.generation) for r in gens.collect()), key=repr)
+    texts, want = {}, []
+    for k, t in docs:
+        texts.setdefault(k, []).append(t)
+    for i in (*range(-3, 14), None):
+        for m, model in enumerate(fx.MODELS):
+            for shot, n in (("0-shot", 0), ("1-shot", 1), ("3-shot", 3)):
+                rem = lambda x, y: None if i is None else int(math.fmod(x, y))
+                at, kind = rem((i or 0) * 7 + n * 3 + m, len(docs)), rem((i or 0) + n + m, 7)
+                for t in [None] if at is None else texts.get(at, [None]):
+                    lead = None if t is None else f"The answer is ({chr(65 + int(math.fmod(i, 4)))}). {t}"
+                    text = {0: lead, 2: f"so it is: answer {i}", 3: f"1,0 and answer {i}\nA: 99999", 4: f"-answer {i} and -0"}.get(kind, t)
+                    if kind == 5:
+                        text = f"my choice {chr(97 + int(math.fmod(i, 4)))}x is this"
+                    want.append((model, shot, i, text))
+    assert got == sorted(want, key=repr)
+    # texts are paired by the document and the flag, and the grid is not dealt round-robin before
+    joins = [x for x in gens._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join LeftOuter" in x]
+    assert len(joins) == 1 and "_whole" in joins[0]
+
+
+def test_answer_extraction_reads_each_text_once(spark):
+    """No regex runs over a whole text to strip it or to list its integers, and a text is taken apart into words in one place."""
+    from kdframe.functions import text as tx
+    df = spark.createDataFrame([("x", ["a"])], "g string, ch array<string>").repartition(2)
+    plan = lambda c: df.select(c.alias("o"))._jdf.queryExecution().analyzed().toString().lower()
+    assert "regexp" not in plan(tx.py_strip("g"))
+    assert "regexp_extract_all" not in plan(tx.extract_last_integer("g"))
+    words = plan(tx.match_choice_by_text("g", "ch"))
+    assert words.count("array_intersect") == 1 and "array_union" not in words
+    cases = [("--007, and 1,2", "12"), ("x -0", "0"), ("-00", "0"), ("5-06", "-6"), ("3--4z", "-4"), ("-", None), ("", None), (None, None),
+             ("1,000,-2,0", "-20"), ("٣ 4²", "4"), ("0", "0"), ("-10", "-10")]
+    got = spark.createDataFrame(cases, "t string, want string").select("want", tx.extract_last_integer("t").alias("o")).collect()
+    assert all(r.o == r.want for r in got), got
+    strips = [(" \n a b \x85 \x1c", "a b"), ("\n　", ""), ("", ""), ("a", "a"), ("​", "​")]
+    got = spark.createDataFrame(strips, "t string, want string").select("want", tx.py_strip("t").alias("o")).collect()
+    assert all(r.o == r.want for r in got), got
